@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -24,3 +25,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """About ``rows`` rows, chosen by a hash of the key and so the same in every run; all of them, if there are no more. Twice as many at most."""
+    there = df.count()
+    if there <= rows:
+        return df
+    share = 1 << 30
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(share)) < F.lit(share * rows // there)).limit(2 * rows)

@@ -8,12 +8,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe
+from tilewright.llm import bpe, decontaminate, langid, quality
 from tilewright.llm.jobs import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+#: Grades of the ratings: 0 poor, 1 sound but toxic, 2 sound and clean.
+GRADE = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 2)
+SELECT_FROM = 0.5
+
+
+def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), GRADE, levels=3)
+    tail = F.element_at("at_least", 2)
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= SELECT_FROM).alias("selected"))
+
+
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.array_join("hit_items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"))
+    model = langid.train(docs.filter(~F.coalesce("held_out", F.lit(False))))
+    return langid.predict(docs, model, keep=["doc_id", "held_out"])
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.load(spark, RANKS)
     ids = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
@@ -24,7 +49,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_ordinal": op2_quality_ordinal,
+        "op4_winnowing": op4_winnowing,
         "op5_byte_bpe": op5_byte_bpe,
+        "op7_language_id": op7_language_id,
     }
 
 

@@ -44,14 +44,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges with at most ``limit`` bytes of text, or one row."""
+def slices(column: pa.Array, limit: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Row ranges with at most ``limit`` bytes of text and ``rows`` rows, or one row."""
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int32 if column.type == pa.string() else np.int64)[column.offset : column.offset + n + 1].astype(np.int64)
     at = 0
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1
-        to = min(n, max(at + 1, to))
+        to = min(n, at + rows, max(at + 1, to))
         yield at, to
         at = to
 
