@@ -5,27 +5,35 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, decontaminate, langid, quality
+from tilewright.llm import bpe, decontaminate, langid, line_dedup, quality, sharding
 from tilewright.llm.jobs import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-#: Grades of the ratings: 0 poor, 1 sound but toxic, 2 sound and clean.
-GRADE = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 2)
 SELECT_FROM = 0.5
 
 
+def grade() -> Column:
+    """Of the ratings: 0 poor, 1 sound but toxic, 2 sound and clean."""
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 2)
+
+
 def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"), GRADE, levels=3)
+    model = quality.train(docs, table(spark, sf_dir, "labels"), grade(), levels=3)
     tail = F.element_at("at_least", 2)
     return quality.score(docs, model, keep=["doc_id"]).select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= SELECT_FROM).alias("selected"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select(
@@ -47,14 +55,48 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The definition of op3 as it stands: all variants of all lines, without the shortcut through halves.
+OP3_SQL = r"""
+WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, p.pos AS pos, parts[p.pos] AS line, list_filter(regexp_split_to_array(parts[p.pos], '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM split, LATERAL (SELECT unnest(range(1, len(parts) + 1)) AS pos) p),
+classes AS (
+  SELECT w, len(w) AS n, min({'d': doc_id, 'p': pos}) AS spot FROM lines WHERE len(w) > 0 GROUP BY w),
+variants AS (
+  SELECT spot, i.i AS i, array_to_string(CASE WHEN i.i = 0 THEN w ELSE list_concat(w[1:i.i - 1], w[i.i + 1:]) END, ' ') AS x
+  FROM classes, LATERAL (SELECT unnest(range(0, n + 1)) AS i) i WHERE n >= 8),
+firsts AS (SELECT x, min(spot) AS any_spot, min(spot) FILTER (i = 0) AS whole FROM variants GROUP BY x),
+places AS (SELECT x, i, min(spot) AS same FROM variants GROUP BY x, i),
+near AS (
+  SELECT DISTINCT spot FROM variants JOIN firsts USING (x) JOIN places USING (x, i)
+  WHERE same < spot OR (i = 0 AND any_spot < spot) OR (i > 0 AND whole < spot)),
+judged AS (
+  SELECT l.doc_id, l.pos, l.line, len(l.w) > 0 AND (c.spot <> {'d': l.doc_id, 'p': l.pos} OR near.spot IS NOT NULL) AS drop
+  FROM lines l LEFT JOIN classes c ON l.w = c.w LEFT JOIN near ON near.spot = c.spot),
+per_doc AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (drop) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT drop), '') AS kept
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM documents d LEFT JOIN per_doc USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_ordinal": op2_quality_ordinal,
+        "op3_line_dedup": op3_line_dedup,
         "op4_winnowing": op4_winnowing,
         "op5_byte_bpe": op5_byte_bpe,
         "op7_language_id": op7_language_id,
+        "op9_vector_packing": op9_vector_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
