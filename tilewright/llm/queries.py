@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, decontaminate, langid, line_dedup, quality, sharding
+from tilewright.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, quality, sharding
 from tilewright.llm.jobs import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +60,10 @@ def op9_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(table(spark, sf_dir, "documents"))
+
+
 #: The definition of op3 as it stands: all variants of all lines, without the shortcut through halves.
 OP3_SQL = r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": op5_byte_bpe,
         "op7_language_id": op7_language_id,
         "op9_vector_packing": op9_vector_packing,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
