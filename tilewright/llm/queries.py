@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, quality, sharding, substring_dedup
+from tilewright.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, neighbours, quality, sharding, substring_dedup
 from tilewright.llm.jobs import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -41,6 +41,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"))
     model = langid.train(docs.filter(~F.coalesce("held_out", F.lit(False))))
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_line_dedup": op3_line_dedup,
         "op4_winnowing": op4_winnowing,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_nn_descent": op6_nn_descent,
         "op7_language_id": op7_language_id,
         "op8_substring_dedup": op8_substring_dedup,
         "op9_vector_packing": op9_vector_packing,
