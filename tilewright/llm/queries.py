@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, decontaminate, jaccard_join, langid, line_dedup, neighbours, quality, sharding, substring_dedup
+from tilewright.llm import bpe, decontaminate, html_blocks, jaccard_join, langid, line_dedup, neighbours, quality, sharding, substring_dedup
 from tilewright.llm.jobs import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,11 @@ def grade() -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 2)
 
 
+def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_blocks.extract(pages, html_blocks.train(pages), keep=["page_id", "url"]).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), grade(), levels=3)
@@ -102,6 +107,7 @@ FROM documents d LEFT JOIN per_doc USING (doc_id)
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_blocks": op1_html_blocks,
         "op2_quality_ordinal": op2_quality_ordinal,
         "op3_line_dedup": op3_line_dedup,
         "op4_winnowing": op4_winnowing,
