@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +20,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and cuts its lineage, so that a lost executor costs a read and not a recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # so that Spark's cleaner drops the shuffle files of lineages that were cut before
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

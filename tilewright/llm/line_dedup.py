@@ -35,54 +35,60 @@ def without(words: Column, at: Column) -> Column:
 
 
 def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(row, flags array<boolean>): for each document with text, which of its lines are dropped."""
+    """(row, dropped array<int>): for each document that loses lines, which, from 0."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
     lines = texts.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("norm", words_of(F.col("line"))).drop("line")
     n = F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1)
-    lines = lines.withColumn("n", n)
+    lines = lines.withColumn("n", n).filter("n > 0")
     half = lambda m, kind: F.xxhash64(F.lit(kind), m, F.call_function("substring_index", F.col("norm"), F.lit(" "), m if kind == "first" else -m))
     m, less = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
+    kinds = [(kind, k) for kind in ("first", "last") for k in range(2)]
     keyed = lines.select(
-        F.struct("doc", "row", "pos").alias("at"), "n", F.when(F.col("n") > 0, F.md5(F.col("norm").cast("binary"))).alias("line"),
-        *[F.when(F.col("n") >= min_words, half(size, kind)).alias(f"{kind}{k}") for kind in ("first", "last") for k, size in enumerate((m, less))],
+        "doc", "row", "pos", "n", F.xxhash64("norm").alias("h1"), F.shiftleft(F.crc32(F.col("norm").cast("binary")), 32).bitwiseXOR(F.hash("norm").cast("long")).alias("h2"),
+        *[F.when((F.col("n") >= min_words) & ((m != less) if k else F.lit(True)), half(less if k else m, kind)).alias(f"{kind}{k}") for kind, k in kinds],
     )
-    halves = [f"{kind}{k}" for kind in ("first", "last") for k in range(2)]
-    classes = checkpoint(keyed.filter("n > 0").groupBy("line").agg(F.min("at").alias("at"), F.first("n").alias("n"), *[F.first(h).alias(h) for h in halves]))
+    halves = [f"{kind}{k}" for kind, k in kinds]
+    classes = keyed.groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "pos")).alias("at"), F.first("n").alias("n"), *[F.first(h).alias(h) for h in halves])
+    # a number for each class, in the order of its earliest line
+    classes = checkpoint(classes.orderBy("at").select(F.monotonically_increasing_id().alias("line"), "h1", "h2", F.col("at.row").alias("row"), F.col("at.pos").alias("pos"), "n", *halves))
 
     # classes that share half of their words with another one
-    long = classes.filter(F.col("n") >= min_words).select("at", F.explode(F.array_distinct(F.array(*halves))).alias("half"))
-    shared = long.groupBy("half").agg(F.count(F.lit(1)).alias("holders")).filter("holders > 1").select("half")
-    near = long.join(shared, "half").select("at").distinct()
-    wanted = near.groupBy(F.col("at.row").alias("row")).agg(F.collect_set("at.pos").alias("wanted"))
-    found = texts.select("row", "text", "doc").join(wanted, "row").select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"), "wanted").filter(F.array_contains("wanted", F.col("pos")))
-    held = checkpoint(found.select(F.struct("doc", "row", "pos").alias("at"), F.split(words_of(F.col("line")), " ").alias("words")))
+    long = classes.filter(F.col("n") >= min_words).select("line", F.explode(F.array(*halves)).alias("half")).filter("half IS NOT NULL")
+    shared = long.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).filter("a < b").select("half")
+    near = long.join(shared, "half").select("line").distinct().join(classes.select("line", "row", "pos"), "line")
+    wanted = checkpoint(near.groupBy("row").agg(F.collect_list(F.struct("pos", "line")).alias("wanted")).select("row", F.map_from_entries("wanted").alias("wanted")))
+    found = texts.select("row", "text").join(wanted, "row").select(F.posexplode(F.split("text", "\n")).alias("pos", "text"), "wanted").withColumn("line", F.element_at("wanted", F.col("pos"))).filter("line IS NOT NULL")
+    held = checkpoint(found.select("line", F.split(words_of(F.col("text")), " ").alias("words")))
 
     # deletion variants as hashed keys; those that two lines share, through the earliest holder
-    variants = held.select("at", F.explode(F.transform(F.sequence(F.lit(-1), F.size("words") - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(without(F.col("words"), i)).alias("key")))).alias("v")).select("at", "v.i", "v.key")
-    earliest = variants.groupBy("key").agg(
-        F.min_by(F.struct("at", "i"), "at").alias("any"), F.min(F.when(F.col("i") < 0, F.col("at"))).alias("whole"), F.count(F.lit(1)).alias("holders")
-    ).filter("holders > 1").drop("holders")
-    at_place = variants.filter("i >= 0").groupBy("key", "i").agg(F.min("at").alias("same"), F.count(F.lit(1)).alias("holders")).filter("holders > 1").drop("holders")
-    by_key = variants.join(earliest, "key")
-    through_whole = by_key.filter("i >= 0 AND whole < at").select("at", "i", F.col("whole").alias("other"), F.lit(-1).alias("j"))
-    as_whole = by_key.filter("i < 0 AND any.at < at").select("at", "i", F.col("any.at").alias("other"), F.col("any.i").alias("j"))
-    changed = variants.filter("i >= 0").join(at_place, ["key", "i"]).filter("same < at").select("at", "i", F.col("same").alias("other"), F.col("i").alias("j"))
+    hashed = held.select("line", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
+    every = F.transform(F.sequence(F.lit(-1), F.size("words") - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(without(F.col("words"), i)).alias("key")))
+    variants = checkpoint(hashed.select("line", F.explode(every).alias("v")).select("line", "v.i", "v.key"))
+    earliest = variants.groupBy("key").agg(F.min("line").alias("any"), F.max("line").alias("most"), F.min_by("i", "line").alias("any_i"), F.min(F.when(F.col("i") < 0, F.col("line"))).alias("whole")).filter("any < most").drop("most")
+    met = checkpoint(variants.join(earliest, "key"))
+    through_whole = met.filter("i >= 0 AND whole < line").select("line", "i", F.col("whole").alias("other"), F.lit(-1).alias("j"))
+    as_whole = met.filter("i < 0 AND any < line").select("line", "i", F.col("any").alias("other"), F.col("any_i").alias("j"))
+    place = met.filter("i >= 0").groupBy("key", "i").agg(F.min("line").alias("same"), F.max("line").alias("most")).filter("same < most").drop("most")
+    changed = met.filter("i >= 0").select("line", "key", "i").join(place, ["key", "i"]).filter("same < line").select("line", "i", F.col("same").alias("other"), F.col("i").alias("j"))
     pairs = through_whole.unionByName(as_whole).unionByName(changed)
-    a, b = held.select("at", F.col("words").alias("a")), held.select(F.col("at").alias("other"), F.col("words").alias("b"))
-    verified = pairs.join(a, "at").join(b, "other").filter(without(F.col("a"), F.col("i")) == without(F.col("b"), F.col("j"))).select("at").distinct()
+    a, b = held.select("line", F.col("words").alias("a")), held.select(F.col("line").alias("other"), F.col("words").alias("b"))
+    verified = pairs.join(a, "line").join(b, "other").filter(without(F.col("a"), F.col("i")) == without(F.col("b"), F.col("j"))).select("line").distinct()
 
-    first = classes.select("line", F.col("at").alias("kept")).join(verified.select(F.col("at").alias("kept"), F.lit(True).alias("near")), "kept", "left")
-    flagged = keyed.select("at", "line").join(first, "line", "left")
-    drop = F.coalesce((F.col("at") != F.col("kept")) | F.col("near"), F.lit(False))
-    return flagged.groupBy(F.col("at.row").alias("row")).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col("at.pos").alias("pos"), drop.alias("drop")))), lambda x: x["drop"]).alias("flags"))
+    kept = checkpoint(classes.select("line", "h1", "h2", F.col("row").alias("kept_row"), F.col("pos").alias("kept_pos")).join(verified.withColumn("near", F.lit(True)), "line", "left").drop("line"))
+    flagged = keyed.select("row", "pos", "h1", "h2").join(kept, ["h1", "h2"])
+    drop = (F.col("row") != F.col("kept_row")) | (F.col("pos") != F.col("kept_pos")) | F.coalesce("near", F.lit(False))
+    return flagged.filter(drop).groupBy("row").agg(F.collect_list("pos").alias("dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with the text as its kept lines, and n_lines long, n_dropped long."""
     numbered = docs.withColumn(text_col, F.col(text_col).cast("string")).withColumn("__row", F.monotonically_increasing_id())
-    flags = duplicate_lines(numbered, id_col, text_col, min_words)
-    joined = numbered.join(flags, F.col("__row") == F.col("row"), "left")
-    kept = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.element_at("flags", i + 1))
-    dropped = F.coalesce(F.size(F.filter("flags", lambda x: x)), F.lit(0))
-    text = F.when(dropped > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
-    return joined.select(*[(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns], F.coalesce(F.size("flags"), F.lit(0)).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
+    drops = checkpoint(duplicate_lines(numbered, id_col, text_col, min_words))
+    joined = numbered.join(drops, F.col("__row") == F.col("row"), "left")
+    parts = F.split(text_col, "\n")
+    # as a map, so that a document of very many lines looks each one up at once
+    gone = F.map_from_arrays("dropped", F.transform("dropped", lambda _: F.lit(True)))
+    kept = F.filter(parts, lambda _, i: F.element_at("__gone", i).isNull())
+    text = F.when(F.col("dropped").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col(text_col))
+    given = [(text.alias(c) if c == text_col else F.col(f"`{c}`")) for c in docs.columns]
+    return joined.withColumn("__gone", gone).select(*given, F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -64,6 +64,16 @@ def features(column: pa.Array) -> np.ndarray:
     return np.unique(np.concatenate(seen))
 
 
+#: The grades of grade(), and the probability of the highest from which on a document is selected.
+GRADES, SELECT_FROM = 3, 0.5
+
+
+def grade() -> Column:
+    """Of ratings (quality, toxic): 0 poor, 1 sound but toxic, 2 sound and clean; null if there is no rating."""
+    clean = F.coalesce(F.col("toxic"), F.lit(0)) == 0
+    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & clean, 2)
+
+
 @dataclass
 class Model:
     weights: np.ndarray

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.llm import bpe, decontaminate, html_blocks, jaccard_join, langid, line_dedup, neighbours, quality, sharding, substring_dedup
@@ -14,14 +15,6 @@ from tilewright.llm.jobs import table
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-SELECT_FROM = 0.5
-
-
-def grade() -> Column:
-    """Of the ratings: 0 poor, 1 sound but toxic, 2 sound and clean."""
-    return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), 2)
-
-
 def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_blocks.extract(pages, html_blocks.train(pages), keep=["page_id", "url"]).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
@@ -29,9 +22,9 @@ def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = quality.train(docs, table(spark, sf_dir, "labels"), grade(), levels=3)
-    tail = F.element_at("at_least", 2)
-    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= SELECT_FROM).alias("selected"))
+    model = quality.train(docs, table(spark, sf_dir, "labels"), quality.grade(), quality.GRADES)
+    tail = F.element_at("at_least", -1)
+    return quality.score(docs, model, keep=["doc_id"]).select("doc_id", "expected_grade", tail.alias("tail_probability"), (tail >= quality.SELECT_FROM).alias("selected"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_vector_packing": op9_vector_packing,
         "op10_jaccard_join": op10_jaccard_join,
+        "pipeline": corpus_pipeline.run,
     }
 
 
