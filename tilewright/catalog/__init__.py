@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.catalog import tiles
+from tilewright.catalog import logs, tiles, tracks
 
-_MODULES = [tiles]
+_MODULES = [tiles, logs, tracks]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
