@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilewright.catalog import logs, tiles, tracks
+from tilewright.catalog import logs, rasters, tiles, tracks
 
-_MODULES = [tiles, logs, tracks]
+_MODULES = [tiles, logs, tracks, rasters]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
