@@ -282,7 +282,7 @@ def generated_page(random: np.random.Generator, words: list[str]) -> str:
     return f"<html><body>{''.join(head)}{box(pick('article', 'main', 'content', 'post', 'entry', 'story'), body)}{''.join(tail)}{side['footer']()}</body></html>"
 
 
-def fit(pages: list[list[Block]], generated: int = 320, epochs: int = 6, rate: float = 0.12, seed: int = 19) -> Net:
+def fit(pages: list[list[Block]], generated: int = 320, epochs: int = 20, rate: float = 0.12, seed: int = 19) -> Net:
     """Trains on the pages and as many generated ones as said, made of the pages' words."""
     random = np.random.default_rng(seed)
     words = sorted({w for p in pages[:50] for b in p for w in b.text.split()})[:4000] or [f"word{k}" for k in range(400)]
