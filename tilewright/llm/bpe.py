@@ -23,7 +23,7 @@ from tilewright.llm.textkit import mix, slices, utf8, word_hashes
 
 U64 = np.uint64
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
-MEMO_ENTRIES = 200_000
+MEMO_ENTRIES = 50_000
 
 #: The code points with the property White_Space, and the endings that the pattern splits off after an apostrophe.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
