@@ -98,6 +98,31 @@ FROM documents d LEFT JOIN per_doc USING (doc_id)
 """
 
 
+OP4_SQL = r"""
+WITH folded AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+sized AS (SELECT item_id, w, least(10, len(w)) AS k FROM folded WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[p.p : p.p + k - 1], ' ') AS g FROM sized, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS p) p),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+grams AS (SELECT doc_id, k.k AS k, p.p AS p, array_to_string(w[p.p : p.p + k.k - 1], ' ') AS g FROM d, (SELECT DISTINCT k FROM win) k, LATERAL (SELECT unnest(range(1, len(w) - k.k + 2)) AS p) p),
+hits AS (SELECT doc_id, p, k, item_id FROM grams JOIN win USING (k, g)),
+covered AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS list FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(list, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT doc_id, p.p AS p, md5(array_to_string(w[p.p : p.p + 19], ' ')) AS g FROM d, LATERAL (SELECT unnest(range(1, len(w) - 18)) AS p) p),
+firsts AS (SELECT g, min({'d': doc_id, 'p': p}) AS f FROM win GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 20)) AS q FROM win JOIN firsts USING (g) WHERE {'d': doc_id, 'p': p} <> f)),
+words AS (SELECT doc_id, q.q AS q, w[q.q] AS word FROM d, LATERAL (SELECT unnest(range(1, len(w) + 1)) AS q) q),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY q) AS kept FROM words ANTI JOIN gone USING (doc_id, q) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_blocks": op1_html_blocks,
@@ -115,4 +140,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_winnowing": OP4_SQL, "op8_substring_dedup": OP8_SQL}
