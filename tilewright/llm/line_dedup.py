@@ -25,7 +25,9 @@ BLANKS = "[\\x20\\x09-\\x0D]+"
 
 def words_of(line: Column) -> Column:
     """The words, one blank between two."""
-    odd = line.rlike("[\\x09-\\x0D]|  ")
+    odd = F.contains(line, F.lit("  "))
+    for blank in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(blank))
     return F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
 
 
@@ -38,13 +40,13 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
     """(row, dropped array<int>): for each document that loses lines, which, from 0."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
     lines = texts.select("doc", "row", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("norm", words_of(F.col("line"))).drop("line")
-    n = F.when(F.col("norm") == "", 0).otherwise(F.length("norm") - F.length(F.replace("norm", F.lit(" "))) + 1)
+    n = F.when(F.col("norm") == "", 0).otherwise(F.octet_length("norm") - F.octet_length(F.replace("norm", F.lit(" "))) + 1)
     lines = lines.withColumn("n", n).filter("n > 0")
     half = lambda m, kind: F.xxhash64(F.lit(kind), m, F.call_function("substring_index", F.col("norm"), F.lit(" "), m if kind == "first" else -m))
     m, less = F.floor(F.col("n") / 2).cast("int"), F.floor((F.col("n") - 1) / 2).cast("int")
     kinds = [(kind, k) for kind in ("first", "last") for k in range(2)]
     keyed = lines.select(
-        "doc", "row", "pos", "n", F.xxhash64("norm").alias("h1"), F.shiftleft(F.crc32(F.col("norm").cast("binary")), 32).bitwiseXOR(F.hash("norm").cast("long")).alias("h2"),
+        "doc", "row", "pos", "n", F.xxhash64("norm").alias("h1"), F.crc32(F.col("norm").cast("binary")).alias("h2"),
         *[F.when((F.col("n") >= min_words) & ((m != less) if k else F.lit(True)), half(less if k else m, kind)).alias(f"{kind}{k}") for kind, k in kinds],
     )
     halves = [f"{kind}{k}" for kind, k in kinds]
