@@ -36,6 +36,13 @@ def without(words: Column, at: Column) -> Column:
     return F.when(at < 0, words).otherwise(F.concat(F.slice(words, F.lit(1), F.greatest(at, F.lit(0))), F.slice(words, F.greatest(at, F.lit(0)) + 2, F.greatest(F.size(words) - at - 1, F.lit(0)))))
 
 
+def variant_key(words: Column, at: Column) -> Column:
+    """The hash of ``without(words, at)``: hashing goes on from one array to the next as from word to word, so the parts need no joining."""
+    n, i = F.size(words), F.greatest(at, F.lit(-1))
+    before = F.slice(words, F.lit(1), F.when(i < 0, n).otherwise(i))
+    return F.xxhash64(before, F.slice(words, F.when(i < 0, n + 1).otherwise(i + 2), F.when(i < 0, 0).otherwise(n - i - 1)))
+
+
 def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
     """(row, dropped array<int>): for each document that loses lines, which, from 0."""
     texts = docs.select(F.col(id_col).alias("doc"), F.col("__row").alias("row"), F.col(text_col).alias("text"))
@@ -64,7 +71,7 @@ def duplicate_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int)
 
     # deletion variants as hashed keys; those that two lines share, through the earliest holder
     hashed = held.select("line", F.transform("words", lambda w: F.xxhash64(w)).alias("words"))
-    every = F.transform(F.sequence(F.lit(-1), F.size("words") - 1), lambda i: F.struct(i.alias("i"), F.xxhash64(without(F.col("words"), i)).alias("key")))
+    every = F.transform(F.sequence(F.lit(-1), F.size("words") - 1), lambda i: F.struct(i.alias("i"), variant_key(F.col("words"), i).alias("key")))
     variants = checkpoint(hashed.select("line", F.explode(every).alias("v")).select("line", "v.i", "v.key"))
     earliest = variants.groupBy("key").agg(F.min("line").alias("any"), F.max("line").alias("most"), F.min_by("i", "line").alias("any_i"), F.min(F.when(F.col("i") < 0, F.col("line"))).alias("whole")).filter("any < most").drop("most")
     met = checkpoint(variants.join(earliest, "key"))
