@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tilewright.llm.bpe import gather
 from tilewright.llm.jobs import checkpoint
-from tilewright.llm.textkit import NON_SPACE, gram_hashes, rows_of, slices, utf8, winnow, word_hashes, word_spans
+from tilewright.llm.textkit import NON_SPACE, gram_hashes, mix, rows_of, slices, utf8, winnow, word_hashes, word_spans
 
 U64 = np.uint64
 TREE_WINDOWS = 150_000
@@ -44,28 +44,26 @@ def _grams(column: pa.Array, k: int):
 
 
 def leads(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """(lead, row, pos, own, twice): each gram of k words that leads a window, with a hash of its text and whether the text has it twice."""
+    """(lead, row, own, twice): each gram of k words that leads a window, once for a text, with a hash of the text and whether it has the gram twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 text, offsets, words, first, grams, inside = _grams(batch.column("text").slice(a, b - a), k)
                 kept = np.flatnonzero(winnow(grams, inside, window - k + 1))
-                rows = rows_of(first)[kept]
-                own = word_hashes(text, offsets[:-1], offsets[1:])[rows]
-                lead = grams[kept]
+                rows, lead = rows_of(first)[kept], grams[kept]
+                own = word_hashes(text, offsets[:-1], offsets[1:])
                 order = np.lexsort((lead, rows))
-                same = np.zeros(len(order), bool)
-                same[1:] = (lead[order][1:] == lead[order][:-1]) & (rows[order][1:] == rows[order][:-1])
-                same[:-1] |= same[1:]
-                twice = np.zeros(len(order), bool)
-                twice[order] = same
+                rows, lead = rows[order], lead[order]
+                new = np.ones(len(rows), bool)
+                new[1:] = (lead[1:] != lead[:-1]) | (rows[1:] != rows[:-1])
+                twice = np.diff(np.append(np.flatnonzero(new), len(rows))) > 1
+                rows, lead = rows[new], lead[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead.view(np.int64)), batch.column("row").slice(a, b - a).take(pa.array(rows)), pa.array((kept - first[rows]).astype(np.int32)), pa.array(own.view(np.int64)), pa.array(twice.astype(np.int32))],
-                    ["lead", "row", "pos", "own", "twice"],
+                    [pa.array(lead.view(np.int64)), batch.column("row").slice(a, b - a).take(pa.array(rows)), pa.array(own[rows].view(np.int64)), pa.array(twice.astype(np.int32))], ["lead", "row", "own", "twice"]
                 )
 
-    return texts.select("row", "text").mapInArrow(run, "lead long, row long, pos int, own long, twice int")
+    return texts.select("row", "text").mapInArrow(run, "lead long, row long, own long, twice int")
 
 
 def packed(texts: DataFrame) -> DataFrame:
@@ -99,7 +97,7 @@ def _pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.RecordB
 
 
 def _suffix_runs(found: DataFrame, window: int, k: int) -> DataFrame:
-    """(lead, row, id, start, codes, key): runs of windows under one repeated lead; codes of their words, or one row and key for a window if the lead is heavy."""
+    """Runs of windows under one repeated lead: (lead, row, id, start, codes of the words), or (row, id, start, key of the run, hashes of its windows) if the lead is heavy."""
     w = window - k + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,9 +110,9 @@ def _suffix_runs(found: DataFrame, window: int, k: int) -> DataFrame:
                 marks = part.column("leads")
                 counts = marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 flat = marks.flatten()
-                at = np.repeat(first[:-1], counts) + flat.field("pos").to_numpy(zero_copy_only=False)
-                state = np.zeros(n, np.int8)
-                state[at] = 1 + flat.field("heavy").to_numpy(zero_copy_only=False).astype(np.int8)
+                known = mix(flat.field("lead").to_numpy(zero_copy_only=False).view(U64)) + np.repeat(np.arange(len(counts)), counts).astype(U64)
+                by_key = np.argsort(known)
+                known, weight = known[by_key], 1 + flat.field("heavy").to_numpy(zero_copy_only=False).astype(np.int8)[by_key]
                 whole, fits = gram_hashes(words, first, window)
                 fits = fits[: n - window + 1]
                 g = np.where(inside, grams | U64(1), ~U64(0))
@@ -123,31 +121,33 @@ def _suffix_runs(found: DataFrame, window: int, k: int) -> DataFrame:
                     less = g[j : j + n - window + 1] < least
                     least = np.where(less, g[j : j + n - window + 1], least)
                     place[less] = np.flatnonzero(less) + j
-                kind = np.where(fits, state[place], 0)
                 rows = rows_of(first)[: n - window + 1]
-                light = np.flatnonzero(kind == 1)
-                if len(light):
-                    new = np.ones(len(light), bool)
-                    new[1:] = (np.diff(light) > 1) | (grams[place[light[1:]]] != grams[place[light[:-1]]]) | (np.diff(rows[light]) > 0)
-                    begin = light[new]
-                    length = np.diff(np.append(np.flatnonzero(new), len(light))) + window - 1
-                    codes = words.astype(np.uint32)[gather(begin, length)]
-                    bounds = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
-                    data = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(codes.tobytes())])
-                    r = rows[begin]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(grams[place[begin]].view(np.int64)), part.column("row").take(pa.array(r)), part.column("id").take(pa.array(r)), pa.array((begin - first[r]).astype(np.int32)), data, pa.nulls(len(begin), pa.int64())],
-                        ["lead", "row", "id", "start", "codes", "key"],
-                    )
-                heavy = np.flatnonzero(kind == 2)
-                if len(heavy):
-                    r = rows[heavy]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.nulls(len(heavy), pa.int64()), part.column("row").take(pa.array(r)), part.column("id").take(pa.array(r)), pa.array((heavy - first[r]).astype(np.int32)), pa.nulls(len(heavy), pa.binary()), pa.array(whole[heavy].view(np.int64))],
-                        ["lead", "row", "id", "start", "codes", "key"],
-                    )
-
-    return found.mapInArrow(run, "lead long, row long, id long, start int, codes binary, key long")
+                asked = mix(grams[place]) + rows.astype(U64)
+                hit = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                kind = np.where(fits & (known[hit] == asked), weight[hit], 0)
+                for weight_ in (1, 2):
+                    own = np.flatnonzero(kind == weight_)
+                    if not len(own):
+                        continue
+                    new = np.ones(len(own), bool)
+                    new[1:] = (np.diff(own) > 1) | (grams[place[own[1:]]] != grams[place[own[:-1]]]) | (np.diff(rows[own]) > 0)
+                    begin, count = own[new], np.diff(np.append(np.flatnonzero(new), len(own)))
+                    r, length = rows[begin], count + window - 1
+                    inside_run = gather(begin, length)
+                    at = [part.column("row").take(pa.array(r)), part.column("id").take(pa.array(r)), pa.array((begin - first[r]).astype(np.int32))]
+                    if weight_ == 1:
+                        codes = words.astype(np.uint32)[inside_run]
+                        bounds = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
+                        data = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(codes.tobytes())])
+                        columns = [pa.array(grams[place[begin]].view(np.int64)), *at, data, pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.list_(pa.int64()))]
+                    else:
+                        turn = inside_run - np.repeat(begin, length)
+                        key = mix(np.add.reduceat(mix(words[inside_run] + turn.astype(U64)), np.cumsum(length) - length) + length.astype(U64))
+                        windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(whole[own].view(np.int64)))
+                        columns = [pa.nulls(len(begin), pa.int64()), *at, pa.nulls(len(begin), pa.binary()), pa.array(key.view(np.int64)), windows]
+                    yield pa.RecordBatch.from_arrays(columns, ["lead", "row", "id", "start", "codes", "key", "windows"])
+
+    return found.mapInArrow(run, "lead long, row long, id long, start int, codes binary, key long, windows array<long>")
 
 
 def _subtree(leads_: np.ndarray, rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, codes: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,7 +187,7 @@ def repeats(texts: DataFrame, window: int, k: int, group: int) -> DataFrame:
     led = leads(texts, window, k)
     counted = led.groupBy("lead").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("runs"))
     shared = counted.filter("a <> b OR twice = 1").select("lead", (F.col("runs") > group).alias("heavy"))
-    marked = led.select("lead", "row", "pos").join(shared, "lead").groupBy("row").agg(F.collect_list(F.struct("pos", "heavy")).alias("leads"))
+    marked = led.select("lead", "row").join(shared, "lead").groupBy("row").agg(F.collect_list(F.struct("lead", "heavy")).alias("leads"))
     marked = checkpoint(marked.join(later.select("row"), "row", "left_anti"))
     found = packed(texts).join(marked, "row")
     runs = checkpoint(_suffix_runs(found, window, k))
@@ -219,9 +219,14 @@ def repeats(texts: DataFrame, window: int, k: int, group: int) -> DataFrame:
 
     light = runs.filter("lead IS NOT NULL").select("lead", "row", "id", "start", "codes").repartition("lead").sortWithinPartitions("lead")
     below = light.mapInArrow(trees, "row long, low int, high int")
-    heavy = runs.filter("key IS NOT NULL").select("key", F.struct("id", "row", "start").alias("at"))
-    earliest = heavy.groupBy("key").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("key", "first")
-    met = heavy.join(earliest, "key").filter("at <> first").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + window).alias("high"))
+    # runs of heavy leads: of equal runs all but the first repeat; the first ones are compared window by window
+    heavy = runs.filter("key IS NOT NULL").select("key", F.struct("id", "row", "start").alias("at"), "windows")
+    equal = heavy.groupBy("key").agg(F.min("at").alias("first"))
+    joined = checkpoint(heavy.join(equal, "key").select("at", (F.col("at") == F.col("first")).alias("leads"), F.size("windows").alias("n"), F.when(F.col("at") == F.col("first"), F.col("windows")).alias("windows")))
+    again = joined.filter("NOT leads").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + F.col("n") + window - 1).alias("high"))
+    single = joined.filter("leads").select("at", F.posexplode("windows").alias("step", "window")).select("window", F.struct(F.col("at.id").alias("id"), F.col("at.row").alias("row"), (F.col("at.start") + F.col("step")).alias("start")).alias("at"))
+    earliest = single.groupBy("window").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("window", "first")
+    met = single.join(earliest, "window").filter("at <> first").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + window).alias("high")).unionByName(again)
     return below.unionByName(met).unionByName(later)
 
 
