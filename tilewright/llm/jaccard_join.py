@@ -56,32 +56,46 @@ def signature(hashes: np.ndarray) -> int:
     return int(mix(np.array([mix(hashes ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) + U64(len(hashes))], U64))[0].astype(np.int64)) if len(hashes) else 0
 
 
-def levels(largest: int, per_cent: int) -> list[tuple[int, int, int]]:
-    """(least size, largest size, parts) of each level of set sizes."""
+def levels(largest: int, per_cent: int, tries: int = 1) -> list[tuple[int, int, int, int]]:
+    """(least size, largest size, parts, spare parts) of each level of set sizes; with more than one try as many spare parts as parts are likely to be empty."""
     out, low = [], 1
     while low <= largest:
         high = max(low, int(low * 1.25))
-        differences = 2 * high * (100 - per_cent) // (100 + per_cent)
-        out.append((low, high, differences + 1 + SPARE if differences else 0))
+        differences, spare = 2 * high * (100 - per_cent) // (100 + per_cent), SPARE
+        least = -(-low * per_cent // 100)
+
+        def empty(parts: int, least: int = least) -> float:
+            expected = parts * math.exp(-least / parts)
+            return expected + math.sqrt(expected)
+
+        while tries > 1 and spare < high and empty(differences + 1 + spare) > spare:
+            spare += 1
+        out.append((low, high, differences + 1 + spare if differences else 0, spare))
         low = high + 1
     return out
 
 
-def part_keys(hashes: np.ndarray, plan: list[tuple[int, int, int]], per_cent: int) -> np.ndarray:
+def part_keys(hashes: np.ndarray, plan: list[tuple[int, int, int, int]], per_cent: int, tries: int = 1) -> np.ndarray:
     """A hash of each part of the set, at each level where it may have a partner.
 
-    Of two linked sets at least 1 + SPARE parts agree. So empty parts are left out while there are at most SPARE of them: one that is not empty
-    agrees as well.
+    Of two linked sets at least 1 + spare parts agree. So empty parts are left out while there are at most ``spare`` of them: one that is not empty
+    agrees as well, if that holds for either set. A set with more empty parts is cut anew by another hash, up to ``tries`` times, and so is each
+    partner that has no better luck; after the last time all its parts count.
     """
     n, keys = len(hashes), []
-    for number, (low, high, parts) in enumerate(plan):
+    for number, (low, high, parts, spare) in enumerate(plan):
         if parts and high >= n and low * per_cent <= n * 100:
             cuts = np.array([(j << 64) // parts for j in range(1, parts)], U64)
-            bounds = np.concatenate([[0], np.searchsorted(hashes, cuts), [n]])
-            sums = np.concatenate([[U64(0)], np.cumsum(mix(hashes + U64(1)), dtype=U64)])
-            own = mix(mix((sums[bounds[1:]] - sums[bounds[:-1]]) + np.diff(bounds).astype(U64)) + np.arange(parts, dtype=U64) + U64(number << 40))
-            full = np.diff(bounds) > 0
-            keys.append(own[full] if parts - full.sum() <= SPARE else own)
+            for turn in range(tries):
+                cut = hashes if turn == 0 else np.sort(mix(hashes ^ mix(np.array([turn], U64))))
+                bounds = np.concatenate([[0], np.searchsorted(cut, cuts), [n]])
+                sums = np.concatenate([[U64(0)], np.cumsum(mix(cut + U64(1)), dtype=U64)])
+                own = mix(mix((sums[bounds[1:]] - sums[bounds[:-1]]) + np.diff(bounds).astype(U64)) + np.arange(parts, dtype=U64) + U64((number << 40) + (turn << 56)))
+                full = np.diff(bounds) > 0
+                few = parts - full.sum() <= spare
+                keys.append(own if not few and turn == tries - 1 else own[full])
+                if few:
+                    break
     return np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
 
 
@@ -147,8 +161,8 @@ def _linked(gap: np.ndarray, a: np.ndarray, b: np.ndarray, per_cent: int) -> np.
     return gap * (100 + per_cent) <= (a[:, None] + b[None, :]) * (100 - per_cent)
 
 
-def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles long, component_id): the least id that links lead to, the document's own included."""
+def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col: str = "doc_id", text_col: str = "text", tries: int = 1) -> DataFrame:
+    """(id, n_shingles long, component_id): the least id that links lead to, the document's own included. Thresholds under 90 need several ``tries``, or empty parts join regions."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(narrow.dtypes)["id"]
 
@@ -159,7 +173,7 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
     own = checkpoint(_mapped(narrow, f"id {kind}, n long, cls long", ["id", "n", "cls"], sized))
     there = own.filter("id IS NOT NULL AND n > 0")
     classes = checkpoint(there.groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
-    plan = levels(classes.agg(F.max("n")).first()[0] or 0, per_cent)
+    plan = levels(classes.agg(F.max("n")).first()[0] or 0, per_cent, tries)
 
     # regions: classes that hang together by equal parts
     reps = narrow.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
@@ -167,7 +181,7 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
     def parts(batch: pa.RecordBatch) -> Iterator[list]:
         keys, owners = [], []
         for s in shingle_sets(batch.column("text"), size):
-            k = part_keys(s, plan, per_cent)
+            k = part_keys(s, plan, per_cent, tries)
             keys.append(k)
             owners.append(np.full(len(k), signature(s), np.int64))
         yield [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))]
