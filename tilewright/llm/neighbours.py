@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
 The graph starts from random projection trees, fitted on a bounded sample (``sample`` rows); all rows are indexed. Each round of NN-descent
-sends every node's vector, as 8-bit codes, to the nodes it neighbours, either way, and each node introduces those it holds to each other:
+sends every node's vector, as 32-bit floats, to the nodes it neighbours, either way, and each node introduces those it holds to each other:
 neighbours of neighbours. Only edges better than a node's worst are sent on. Queries then search the graph greedily: the ``beam`` best
 nodes seen are expanded, a step in all queries at once, until none is new. Distances in the result come from the original vectors.
 
@@ -62,7 +62,7 @@ class Trees:
 
 
 def _codes(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.int8).reshape(len(column), -1).astype(np.float32)
+    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64)
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -76,7 +76,7 @@ def _best(edges: DataFrame, degree: int) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, degree: int, rounds: int, trees: int, sample: int, seed: int = 11) -> DataFrame:
-    """(a, near array<struct<gap float, b long>>) of nodes (node long, code binary)."""
+    """(a, near array<struct<gap double, b long>>) of nodes (node long, code binary)."""
     there = nodes.count()
     chosen = bounded_sample(nodes.select("node", "code"), "node", sample).orderBy("node").collect()
     fitted = _codes([bytes(r["code"]) for r in chosen]) if chosen else np.zeros((0, 1), np.float32)
@@ -101,21 +101,21 @@ def build_graph(nodes: DataFrame, degree: int, rounds: int, trees: int, sample:
                 near = np.argpartition(gap, min(degree, len(block) - 1), 1)[:, :degree] if len(block) > 1 else np.zeros((1, 0), int)
                 a, b = np.repeat(np.arange(len(block)), near.shape[1]), near.ravel()
                 good = np.isfinite(gap[a, b])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[block[a[good]]]), pa.array(ids[block[b[good]]]), pa.array(gap[a[good], b[good]].astype(np.float32))], ["a", "b", "gap"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[block[a[good]]]), pa.array(ids[block[b[good]]]), pa.array(gap[a[good], b[good]].astype(np.float64))], ["a", "b", "gap"])
 
-    edges = nodes.select("node", "code").mapInArrow(fall, "leaf long, node long, code binary").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(inside, "a long, b long, gap float")
+    edges = nodes.select("node", "code").mapInArrow(fall, "leaf long, node long, code binary").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(inside, "a long, b long, gap double")
     graph = checkpoint(_best(edges, degree))
 
     def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["host"]):
-            ids, x, worst, fresh = np.array(g["node"], np.int64), _codes(g["code"]), np.array(g["worst"], np.float32), np.array(g["fresh"])
+            ids, x, worst, fresh = np.array(g["node"], np.int64), _codes(g["code"]), np.array(g["worst"], np.float64), np.array(g["fresh"])
             _, once = np.unique(ids, return_index=True)
             gap = _squares(x[once], x[once])
             np.fill_diagonal(gap, np.inf)
             ids, worst, fresh = ids[once], worst[once], fresh[once]
             a, b = np.nonzero((gap < worst[:, None]) & (fresh[:, None] | fresh[None, :]))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(gap[a, b].astype(np.float32))], ["a", "b", "gap"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(gap[a, b].astype(np.float64))], ["a", "b", "gap"])
 
     old = None
     for _ in range(rounds):
@@ -125,12 +125,12 @@ def build_graph(nodes: DataFrame, degree: int, rounds: int, trees: int, sample:
         else:
             known = old.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.lit(False).alias("fresh"))
             flat = flat.join(known, ["a", "b"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
-        worst = graph.select(F.col("a").alias("node"), F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["gap"]).cast("float").alias("worst"))
+        worst = graph.select(F.col("a").alias("node"), F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["gap"]).cast("double").alias("worst"))
         carried = nodes.select("node", "code").join(worst, "node")
         # a node is held by itself, by its neighbours, and by whom it is among the nearest of
         held = flat.select(F.col("a").alias("host"), F.col("b").alias("node"), "fresh").unionByName(flat.filter(F.col("rank") < degree // 2).select(F.col("b").alias("host"), F.col("a").alias("node"), "fresh"))
         held = held.join(carried, "node").repartition("host").sortWithinPartitions("host")
-        better = held.mapInArrow(introduce, "a long, b long, gap float")
+        better = held.mapInArrow(introduce, "a long, b long, gap double")
         old, graph = graph, checkpoint(_best(flat.select("a", "b", "gap").unionByName(better), degree))
     return graph
 
@@ -140,20 +140,18 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     sound = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0), F.lit(False))
     good = rows.filter(F.col(id_col).isNotNull() & sound).select(F.col(id_col).cast("long").alias("id"), vector.alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    peak = good.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0] or 1.0
-    code = F.transform("vector", lambda x: F.round(x * (127 / peak)).cast("tinyint"))
+    most = float(np.finfo(np.float32).max)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part = batch.column("code")
-            data = [np.array(c, np.int8).tobytes() for c in part.to_pylist()]
+            data = [np.clip(np.array(v, np.float64), -most, most).astype(np.float32).tobytes() for v in batch.column("vector").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("ids"), batch.column("vector"), pa.array(data, pa.binary())], ["node", "ids", "vector", "code"])
 
     # of rows with equal vectors the k + 1 smallest ids are enough: that many come before any other of them
     numbered = good.select("id", "vector", F.xxhash64("vector").alias("hash"))
     least = numbered.groupBy("hash", "vector").agg(F.min("id").alias("node"))
     copies = checkpoint(_smallest(numbered.select("hash", "id", F.col("vector")), k + 1))
-    nodes = least.join(copies, ["hash", "vector"]).select("node", "ids", "vector", code.alias("code"))
+    nodes = least.join(copies, ["hash", "vector"]).select("node", "ids", "vector")
     nodes = checkpoint(nodes.mapInArrow(pack, "node long, ids array<long>, vector array<double>, code binary"))
     graph = build_graph(nodes.select("node", "code"), degree, rounds, trees, sample)
 
@@ -165,20 +163,20 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     ways = checkpoint(ways.join(back, "a", "left").select("a", F.array_union("to", F.coalesce(F.col("from.b"), F.array().cast("array<long>"))).alias("to")))
     start = homes.select(F.col("node").alias("home")).distinct()
     target = checkpoint(start.join(coded.withColumnsRenamed({"b": "home", "code": "goal"}), "home"))
-    seen = start.select("home", F.col("home").alias("b"), F.lit(0.0).cast("float").alias("gap"), F.lit(False).alias("done"))
+    seen = start.select("home", F.col("home").alias("b"), F.lit(0.0).alias("gap"), F.lit(False).alias("done"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 gap = ((_codes(batch.column("goal").to_pylist()) - _codes(batch.column("code").to_pylist())) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("b"), pa.array(gap.astype(np.float32))], ["home", "b", "gap"])
+                yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("b"), pa.array(gap.astype(np.float64))], ["home", "b", "gap"])
 
     for _ in range(12):
         fresh = seen.filter(~F.col("done"))
         if fresh.isEmpty():
             break
         reached = fresh.join(ways, fresh.b == ways.a).select("home", F.explode("to").alias("b")).distinct().join(seen.select("home", "b"), ["home", "b"], "left_anti")
-        gaps = reached.join(coded, "b").join(target, "home").mapInArrow(measure, "home long, b long, gap float").withColumn("done", F.lit(False))
+        gaps = reached.join(coded, "b").join(target, "home").mapInArrow(measure, "home long, b long, gap double").withColumn("done", F.lit(False))
         every = seen.withColumn("done", F.lit(True)).unionByName(gaps)
         kept = every.groupBy("home").agg(F.slice(F.sort_array(F.collect_list(F.struct("gap", "b", "done"))), 1, beam).alias("best"))
         seen = checkpoint(kept.select("home", F.explode("best").alias("e")).select("home", "e.b", "e.gap", "e.done"))
