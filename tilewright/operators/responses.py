@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Columns of a place, each with the names it is known by, the first that is there.
-PLACE = {"road": ["road", "pedestrian", "footway", "cycleway"], "region": ["region", "state", "state_district"], "locality": ["locality", "city", "town", "village", "municipality", "hamlet"], "water": ["water", "ocean", "sea"], "country": ["country"], "country_code": ["country_code"], "county": ["county"], "postcode": ["postcode"], "suburb": ["suburb"]}
+#: Columns of a place, each with the names it is known by in the address (with $ in the body), the first that is there.
+PLACE = {
+    "display_name": ["$.display_name"], "name": ["$.name"], "category": ["$.category"], "feature_type": ["$.addresstype", "$.type"], "house_number": ["house_number"],
+    "road": ["road", "pedestrian", "footway", "cycleway"], "neighbourhood": ["neighbourhood", "quarter"], "suburb": ["suburb"], "district": ["city_district", "borough"], "postcode": ["postcode"],
+    "county": ["county"], "country": ["country"], "country_code": ["country_code"], "region": ["state", "region", "state_district"],
+    "locality": ["city", "town", "village", "municipality", "hamlet"], "water": ["ocean", "sea", "water"],
+}
 
 
 def flatten_geocode(responses: DataFrame, body: str = "body") -> DataFrame:
     """The columns of PLACE; rows in which all are null are left out."""
-    names = sorted({n for all_ in PLACE.values() for n in all_})
+    names = sorted({n for all_ in PLACE.values() for n in all_ if n[0] != "$"})
     address = F.from_json(F.get_json_object(body, "$.address"), ", ".join(f"`{n}` string" for n in names))
     out = responses.withColumn("__a", address)
-    columns = {k: F.coalesce(*[F.nullif(F.trim(F.col(f"__a.{n}")), F.lit("")) for n in v]) for k, v in PLACE.items()}
+    columns = {k: F.coalesce(*[F.nullif(F.trim(F.get_json_object(body, n) if n[0] == "$" else F.col(f"__a.{n}")), F.lit("")) for n in v]) for k, v in PLACE.items()}
     columns["country_code"] = F.upper(columns["country_code"])
     return out.withColumns(columns).drop("__a").dropna("all", subset=list(PLACE))
 
