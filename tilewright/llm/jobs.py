@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; one of our own only where none is set, as in tests on one machine."""
     sc = spark.sparkContext
-    set_by_cluster = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(set_by_cluster or tempfile.mkdtemp(prefix="checkpoint-"))
+        shared = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
@@ -28,6 +31,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, for what is read several times by few of its columns."""
+    at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def refuse_columns(df: DataFrame, *names: str) -> None:
+    """Columns that an operator adds must not be there before."""
+    clash = sorted(c for c in df.columns if c.lower() in {n.lower() for n in names})
+    if clash:
+        raise ValueError(f"the table has columns that are about to be added: {', '.join(clash)}; rename them first")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
