@@ -28,9 +28,10 @@ def duration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def timings_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each half minute of the log, by host."""
     p = V.read(spark, sf_dir, "pages")
     timings = p.select(F.timestamp_seconds("page_id").alias("ts"), F.when(F.col("page_id") % 5 > 0, F.col("url")).alias("url"), F.octet_length("html").alias("transfer_bytes"), (F.octet_length("html") * 2).alias("encoded_bytes"), (F.col("page_id") % 97).cast("double").alias("duration_ms"))
-    return L.timings_by_host(timings, F.timestamp_seconds(F.lit(240)), 200)
+    return L.timings_by_host(timings).select(F.unix_seconds("until").alias("until"), F.col("host"), "requests", "transfer_bytes", "encoded_bytes", "latest", "mean", "p50", "p95", "p99", "max")
 
 
 def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +51,8 @@ def classify_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cache_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = V.read(spark, sf_dir, "pages")
     control = F.element_at(F.array(F.lit(None).cast("string"), F.lit("public, max-age=60"), F.lit("no-store"), F.lit("private, max-age=5")), (1 + F.col("page_id") % 4).cast("int"))
-    log = p.select("page_id", "url", (F.col("page_id") * 1000).alias("ts_ms"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), F.when(F.col("page_id") % 3 == 0, "text/html").otherwise("image/webp").alias("content_type"), F.octet_length("html").alias("body_bytes"), control.alias("cache_control"), F.when(F.col("page_id") % 8 == 0, F.col("page_id") * 1000 + 5000).alias("expires_ms"))
+    url = F.when(F.col("page_id") % 6 == 0, F.replace("url", F.lit(".com/"), F.lit(".com:8443/"))).when((F.col("page_id") % 6 == 1) & F.col("url").startswith("https:"), F.replace("url", F.lit(".com/"), F.lit(".com:443/"))).otherwise(F.col("url"))
+    log = p.select("page_id", url.alias("url"), (F.col("page_id") * 1000).alias("ts_ms"), F.when(F.col("page_id") % 7 == 0, 404).otherwise(200).alias("status"), F.when(F.col("page_id") % 3 == 0, "text/html").otherwise("image/webp").alias("content_type"), F.octet_length("html").alias("body_bytes"), control.alias("cache_control"), F.when(F.col("page_id") % 8 == 0, F.col("page_id") * 1000 + 5000).alias("expires_ms"))
     return L.cache_identity(log, ["ref"]).select("page_id", "lifetime_ms", "cacheable", "expires_at", "identity")
 
 
@@ -122,11 +124,11 @@ _SUM = lambda v, o: f"round(arg_max({v}, {o}), 2) AS latest, round(avg({v}), 2)
 
 ORACLES = {
     "duration_summary": f"WITH {LOG} SELECT key, {_SUM('value', '(ts_ms, seq)')} FROM log GROUP BY key",
-    "timings_by_host": f"WITH t AS (SELECT page_id, CASE WHEN page_id % 5 > 0 THEN url END AS url, strlen(html) AS b, (page_id % 97)::DOUBLE AS d FROM pages WHERE page_id > 40 AND page_id <= 240) SELECT coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), ''), 'same-origin') AS host, count(*) AS requests, sum(b)::BIGINT AS transfer_bytes, sum(2 * b)::BIGINT AS encoded_bytes, {_SUM('d', '(page_id, url)')} FROM t GROUP BY 1",
+    "timings_by_host": f"WITH t AS (SELECT page_id, CASE WHEN page_id % 5 > 0 THEN url END AS url, strlen(html) AS b, (page_id % 97)::DOUBLE AS d FROM pages) SELECT CAST(ceil(page_id / 30.0) AS BIGINT) * 30 AS until, coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), ''), 'same-origin') AS host, count(*) AS requests, sum(b)::BIGINT AS transfer_bytes, sum(2 * b)::BIGINT AS encoded_bytes, {_SUM('d', '(page_id, url)')} FROM t GROUP BY 1, 2",
     "failure_counts": f"WITH {LOG}, f AS (SELECT * FROM log WHERE kind = 'failure'), c AS (SELECT key, status, count(*) AS n FROM f GROUP BY ALL), l AS (SELECT key, arg_max_null(status, seq) AS last_status FROM f GROUP BY key) SELECT c.key, coalesce(string_agg(status || ':' || n, ',' ORDER BY status) FILTER (status IS NOT NULL), '') AS counts, coalesce(sum(n) FILTER (status IS NULL), 0)::BIGINT AS opaque, any_value(last_status) AS last_status FROM c JOIN l USING (key) GROUP BY c.key",
     "provider_metrics": f"WITH {LOG} SELECT provider, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'in-flight') AS loads, count(*) FILTER (kind = 'response') AS responses, count(*) FILTER (kind = 'failure') AS failures, count(*) FILTER (kind = 'cancellation') AS cancellations, coalesce(sum(duration_ms * 10) FILTER (kind = 'response'), 0)::BIGINT AS bytes, count(*) FILTER (kind = 'response') * 262144 AS decoded_bytes FROM log GROUP BY provider",
     "classify_failures": f"WITH {LOG}, c AS (SELECT seq, CASE WHEN status IS NULL THEN provider = 1 OR seq % 4 = 0 WHEN status = 404 THEN false WHEN provider = 1 THEN true ELSE status IN (400, 401, 403, 410, 429) OR status >= 500 END AS systemic, coalesce(status NOT IN (400, 401, 403, 410, 404), true) AS retryable FROM log) SELECT *, CASE WHEN NOT retryable THEN CASE WHEN systemic THEN 'provider' ELSE 'tile' END END AS scope FROM c",
-    "cache_identity": """WITH p AS (SELECT page_id, url, split_part(url, '#', 1) AS u, strlen(html) AS body, [NULL, 'public, max-age=60', 'no-store', 'private, max-age=5'][1 + page_id % 4] AS control FROM pages),
+    "cache_identity": """WITH p AS (SELECT page_id, url, split_part(CASE WHEN page_id % 6 = 0 THEN replace(url, '.com/', '.com:8443/') ELSE url END, '#', 1) AS u, strlen(html) AS body, [NULL, 'public, max-age=60', 'no-store', 'private, max-age=5'][1 + page_id % 4] AS control FROM pages),
 q AS (SELECT *, list_sort(list_filter(string_split(split_part(u, '?', 2), '&'), lambda x: x <> '' AND split_part(x, '=', 1) <> 'ref')) AS kept, CASE WHEN control LIKE '%no-store%' OR control LIKE 'private%' THEN 0 WHEN control IS NOT NULL THEN 60000 WHEN page_id % 8 = 0 THEN 5000 ELSE 86400000 END AS life FROM p)
 SELECT page_id, life AS lifetime_ms, page_id % 7 <> 0 AND page_id % 3 <> 0 AND body > 0 AND life > 0 AS cacheable, page_id * 1000 + life AS expires_at, sha256(split_part(u, '?', 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END) AS identity FROM q""",
     "expand_tile_urls": "WITH t AS (SELECT DISTINCT p_partkey % 9 AS z, p_partkey * 7 % 300 AS x, p_partkey * 11 % 300 AS y FROM part) SELECT z, x, y, 'https://tiles.test/' || x || '/' || z || '/' || ((1 << z) - 1 - y) || '.webp' AS url FROM t WHERE z BETWEEN 2 AND 8 AND x < (1 << z) AND y < (1 << z)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,10 +12,16 @@ from tilewright.operators import rasters as R
 from tilewright.operators import responses as P
 
 
+def _zoom(spark: SparkSession, sf_dir: str) -> int:
+    """The least zoom whose world has room for a tile for each vector."""
+    most = V.read(spark, sf_dir, "embeddings").agg(F.max("vec_id")).first()[0] or 0
+    return math.ceil(math.log2(math.sqrt(most + 1)))
+
+
 def _rasters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = V.read(spark, sf_dir, "embeddings")
-    tile = e.groupBy(F.lit(5).alias("z"), (F.col("vec_id") % 32).alias("x"), (F.floor(F.col("vec_id") / 32) % 32).alias("y")).agg(F.min_by("embedding", "vec_id").alias("e"))
-    return tile.select("z", "x", "y", F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("e", lambda v: v.cast("double") * 1000).alias("elevation"))
+    """One for each vector, row by row in the world of that zoom."""
+    z = _zoom(spark, sf_dir)
+    return V.read(spark, sf_dir, "embeddings").select(F.lit(z).alias("z"), (F.col("vec_id") % (1 << z)).alias("x"), F.floor(F.col("vec_id") / (1 << z)).alias("y"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.transform("embedding", lambda v: v.cast("double") * 1000).alias("elevation"))
 
 
 def decode_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,21 +34,22 @@ def elevation_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raster_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.raster_pyramid(_rasters(spark, sf_dir)).filter("level = 1").select("x", "y", F.posexplode("elevation").alias("pixel", "metres")).withColumn("metres", F.round("metres", 4))
+    return R.raster_pyramid(_rasters(spark, sf_dir)).select("x", "y", "level", F.posexplode("elevation").alias("pixel", "metres")).withColumn("metres", F.round("metres", 4))
 
 
 def sample_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sample_elevation(V.positions(spark, sf_dir).select("id", "lat", "lon"), _rasters(spark, sf_dir), 5).select("id", F.round("elevation_m", 4).alias("elevation_m"))
+    return R.sample_elevation(V.positions(spark, sf_dir).select("id", "lat", "lon"), _rasters(spark, sf_dir), _zoom(spark, sf_dir)).select("id", F.round("elevation_m", 4).alias("elevation_m"))
 
 
 def ground_tracks_on_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.positions(spark, sf_dir).select("id", "lat", "lon", (F.col("id") % 3 == 0).alias("on_ground"), (F.col("id") % 900).alias("altitude"))
-    return R.ground_tracks_on_terrain(s, _rasters(spark, sf_dir), 5).groupBy("on_ground").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("height"), 2).alias("height"))
+    return R.ground_tracks_on_terrain(s, _rasters(spark, sf_dir), _zoom(spark, sf_dir)).groupBy("on_ground").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("height"), 2).alias("height"))
 
 
 def raster_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tile with a border of one pixel: all its pixels."""
     out = R.raster_neighbours(_rasters(spark, sf_dir), 1)
-    return out.select("x", "y", "width", F.round(F.element_at("elevation", 2), 6).alias("above"), F.round(F.element_at("elevation", 11), 6).alias("left"))
+    return out.select("x", "y", F.posexplode("elevation").alias("pixel", "metres")).withColumn("metres", F.round("metres", 6))
 
 
 def flatten_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,19 +67,24 @@ def flatten_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (decode_elevation, elevation_bounds, raster_pyramid, sample_elevation, ground_tracks_on_terrain, raster_neighbours, flatten_geocode, flatten_search)}
 
-_R = "r AS (SELECT vec_id % 32 AS x, (vec_id // 32) % 32 AS y, list_transform(arg_min(embedding, vec_id), lambda v: v::DOUBLE * 1000) AS e FROM embeddings GROUP BY 1, 2)"
-_S = f"""WITH {V.POSITIONS}, {_R}, p AS (SELECT *, (lon + 180) / 360 * 32 AS mx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 32 AS my FROM positions),
+_R = """wide AS (SELECT CAST(ceil(log2(sqrt(coalesce(max(vec_id), 0) + 1))) AS INT) AS z FROM embeddings), world AS (SELECT z, 1 << z AS w FROM wide),
+r AS (SELECT z, w, vec_id % w AS x, vec_id // w AS y, list_transform(embedding, lambda v: v::DOUBLE * 1000) AS e FROM embeddings, world)"""
+_S = f"""WITH {V.POSITIONS}, {_R}, p AS (SELECT positions.*, (lon + 180) / 360 * w AS mx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * w AS my FROM positions, world),
 q AS (SELECT p.*, r.e, greatest(0, least(7, (mx - floor(mx)) * 8 - 0.5)) AS px, greatest(0, least(7, (my - floor(my)) * 8 - 0.5)) AS py FROM p LEFT JOIN r ON r.x = floor(mx)::BIGINT AND r.y = floor(my)::BIGINT),
 w AS (SELECT *, floor(px)::BIGINT AS w, floor(py)::BIGINT AS n, least(floor(px)::BIGINT + 1, 7) AS ea, least(floor(py)::BIGINT + 1, 7) AS so FROM q),
 s AS (SELECT id, coalesce((e[n * 8 + w + 1] + (e[n * 8 + ea + 1] - e[n * 8 + w + 1]) * (px - w)) * (1 - (py - n)) + (e[so * 8 + w + 1] + (e[so * 8 + ea + 1] - e[so * 8 + w + 1]) * (px - w)) * (py - n), 0) AS m FROM w)"""
 
 ORACLES = {
     "decode_elevation": "WITH b AS (SELECT page_id, substr(md5(html), 1, 16) AS d FROM pages) SELECT page_id, k.k AS pixel, ascii(substr(d, 4 * k.k + 1, 1)) * 256.0::DOUBLE + ascii(substr(d, 4 * k.k + 2, 1)) + ascii(substr(d, 4 * k.k + 3, 1)) / 256.0::DOUBLE - 32768 AS metres FROM b, range(0, 4) k(k)",
-    "elevation_bounds": f"WITH {_R} SELECT 5 AS z, x, y, round(list_min(e), 6) AS low, round(list_max(e), 6) AS high, true AS valid FROM r",
-    "raster_pyramid": f"WITH {_R} SELECT x, y, k.k AS pixel, round((e[(k.k // 4) * 16 + (k.k % 4) * 2 + 1] + e[(k.k // 4) * 16 + (k.k % 4) * 2 + 2] + e[(k.k // 4) * 16 + (k.k % 4) * 2 + 9] + e[(k.k // 4) * 16 + (k.k % 4) * 2 + 10]) / 4, 4) AS metres FROM r, range(0, 16) k(k)",
+    "elevation_bounds": f"WITH {_R} SELECT z, x, y, round(list_min(e), 6) AS low, round(list_max(e), 6) AS high, true AS valid FROM r",
+    "raster_pyramid": f"""WITH {_R}, l0 AS (SELECT x, y, 0 AS level, k.k AS pixel, e[k.k + 1] AS m FROM r, range(0, 64) k(k)),
+l1 AS (SELECT x, y, 1 AS level, (pixel // 16) * 4 + pixel % 8 // 2 AS pixel, avg(m) AS m FROM l0 GROUP BY ALL), l2 AS (SELECT x, y, 2 AS level, (pixel // 8) * 2 + pixel % 4 // 2 AS pixel, avg(m) AS m FROM l1 GROUP BY ALL), l3 AS (SELECT x, y, 3 AS level, 0 AS pixel, avg(m) AS m FROM l2 GROUP BY ALL)
+SELECT x, y, level, pixel, round(m, 4) AS metres FROM (FROM l0 UNION ALL FROM l1 UNION ALL FROM l2 UNION ALL FROM l3)""",
     "sample_elevation": f"{_S} SELECT id, round(m, 4) AS elevation_m FROM s",
     "ground_tracks_on_terrain": f"{_S} SELECT id % 3 = 0 AS on_ground, count(*) AS samples, round(sum(CASE WHEN id % 3 = 0 THEN m ELSE id % 900 END), 2) AS height FROM s GROUP BY 1",
-    "raster_neighbours": f"WITH {_R} SELECT r.x, r.y, 10 AS width, round(coalesce(a.e[57], r.e[1]), 6) AS above, round(coalesce(l.e[8], r.e[1]), 6) AS left FROM r LEFT JOIN r a ON a.x = r.x AND a.y = r.y - 1 LEFT JOIN r l ON l.x = (r.x + 31) % 32 AND l.y = r.y",
+    "raster_neighbours": f"""WITH {_R}, b AS (SELECT r.*, k.k AS pixel, k.k % 10 - 1 AS col, k.k // 10 - 1 AS row_ FROM r, range(0, 100) k(k)),
+a AS (SELECT *, (x + CASE WHEN col < 0 THEN w - 1 WHEN col > 7 THEN 1 ELSE 0 END) % w AS ox, y + CASE WHEN row_ < 0 THEN -1 WHEN row_ > 7 THEN 1 ELSE 0 END AS oy FROM b)
+SELECT a.x, a.y, a.pixel, round(coalesce(o.e[((row_ + 8) % 8) * 8 + (col + 8) % 8 + 1], a.e[greatest(0, least(7, row_)) * 8 + greatest(0, least(7, col)) + 1]), 6) AS metres FROM a LEFT JOIN r o ON o.x = a.ox AND o.y = a.oy""",
     "flatten_geocode": "SELECT doc_id, NULL::VARCHAR AS road, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN source END AS locality, CASE WHEN doc_id % 7 = 0 THEN 's' END AS water, CASE WHEN doc_id % 5 = 0 THEN upper(lang) END AS country_code FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR (doc_id % 5 = 0 AND lang IS NOT NULL) OR doc_id % 7 = 0",
     "flatten_search": "WITH c AS (SELECT conv_id, turn, any_value(role) AS role FROM conversations WHERE text IS NOT NULL GROUP BY ALL) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 > 0 THEN 10 - turn ELSE 0 END, turn) AS rank, role || ' ' || turn AS title, 'some text' AS summary, CASE WHEN turn % 2 = 0 THEN 'https://e.test/wiki/x' ELSE 'https://e.test/wiki/' || role || '_' || turn END AS url FROM c WHERE turn % 4 <> 3",
 }

@@ -75,21 +75,26 @@ def _cut(spark: SparkSession, sf_dir: str, turn: int = 1) -> DataFrame:
     return C.balanced_cover(C.observer_targets(V.observers(spark, sf_dir, turn))).withColumnRenamed("observer_id", "cut_id")
 
 
+def _written(spark: SparkSession, sf_dir: str, turn: int = 1) -> DataFrame:
+    """The cut for what reads it more than once."""
+    return checkpoint(_cut(spark, sf_dir, turn).select("cut_id", "z", "x", "y"))
+
+
 def balanced_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir)
 
 
 def cut_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.cut_statistics(_cut(spark, sf_dir), ["cut_id"])
+    return T.cut_statistics(checkpoint(_cut(spark, sf_dir)), ["cut_id"])
 
 
 def validate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The covers, each with some tiles taken out, one doubled and one split deep: what is wrong with them."""
-    cut = _cut(spark, sf_dir).select("cut_id", "z", "x", "y")
+    cut = _written(spark, sf_dir)
     broken = cut.filter((F.col("x") + 3 * F.col("y") + F.col("z")) % 29 != 0)
     twice = cut.filter((F.col("x") + F.col("y")) % 31 == 1)
     deep = cut.filter((F.col("x") * 5 + F.col("y")) % 37 == 2).select("cut_id", (F.col("z") + 2).alias("z"), (F.col("x") * 4).alias("x"), (F.col("y") * 4).alias("y"))
-    found = T.validate_cut(broken.unionByName(twice).unionByName(deep), ["cut_id"])
+    found = T.validate_cut(checkpoint(broken.unionByName(twice).unionByName(deep)), ["cut_id"])
     return found.groupBy("cut_id", "problem").agg(F.count(F.lit(1)).alias("found"), F.round(F.max("detail"), 6).alias("worst"))
 
 
@@ -99,8 +104,8 @@ def deepest_covering_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def horizon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old, new = _cut(spark, sf_dir, 2), _cut(spark, sf_dir)
-    return T.horizon_candidates(old, C.replacement_groups(old, new), ["cut_id"])
+    old = _written(spark, sf_dir, 2)
+    return T.horizon_candidates(old, C.replacement_groups(old, _written(spark, sf_dir)), ["cut_id"])
 
 
 def diff_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +126,7 @@ def cuts_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def touching_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = _cut(spark, sf_dir)
+    cut = _written(spark, sf_dir)
     return T.touching_tiles(cut, cut, ["cut_id"]).groupBy("cut_id", "z", "x", "y").agg(F.count(F.lit(1)).alias("touching"))
 
 
@@ -131,7 +136,7 @@ def tiles_within_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replacement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.replacement_groups(_cut(spark, sf_dir, 2), _cut(spark, sf_dir))
+    return C.replacement_groups(_written(spark, sf_dir, 2), _written(spark, sf_dir))
 
 
 def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -167,7 +172,7 @@ def ready_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, _, batches = _plan(spark, sf_dir)
-    return C.change_summary(_cut(spark, sf_dir, 2), _cut(spark, sf_dir), members, batches, _requirements(members))
+    return C.change_summary(_written(spark, sf_dir, 2), _written(spark, sf_dir), members, batches, _requirements(members))
 
 
 def work_order(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,11 +243,11 @@ SELECT cut_id, problem, count(*) AS found, round(max(detail), 6) AS worst FROM f
     "cuts_equal": f"{_TWO} SELECT NOT EXISTS ((SELECT z, x, y FROM old_cut EXCEPT SELECT z, x, y FROM new_cut) UNION ALL (SELECT z, x, y FROM new_cut EXCEPT SELECT z, x, y FROM old_cut)) AS equal",
     "touching_tiles": f"{_COVER} SELECT a.cut_id, a.z, a.x, a.y, count(*) AS touching FROM cover a JOIN cover b ON a.cut_id = b.cut_id AND (a.z, a.x, a.y) <> (b.z, b.x, b.y) AND {_touch('a', 'b')} GROUP BY ALL",
     "tiles_within_horizon": f"""WITH {V.OBSERVERS}, t AS (SELECT DISTINCT z.z AS z, {V.tx(z='z.z')} AS x, {V.ty(z='z.z')} AS y FROM positions, (VALUES (2), (5)) z(z)),
-o AS (SELECT observer_id, radians(lat) AS a, radians(lon) AS o, acos((1000 * 6356.752314245 / 6371.0088::DOUBLE) / (1000 * 6356.752314245 / 6371.0088::DOUBLE + observer_id % 40 * 2.5)) AS horizon FROM observers),
-w AS (SELECT *, x / (1 << z)::DOUBLE * 2 * pi() - pi() AS w0 FROM o, t), u AS (SELECT *, w0 - floor((w0 - o) / (2 * pi()) + 0.5) * 2 * pi() AS west FROM w),
-d AS (SELECT *, greatest(west, least(west + 2 * pi() / (1 << z), o)) - o AS step FROM u),
-l AS (SELECT *, greatest(atan(sinh(pi() * (1 - 2 * (y + 1) / (1 << z)::DOUBLE))), least(atan(sinh(pi() * (1 - 2 * y / (1 << z)::DOUBLE))), atan2(sin(a), cos(a) * cos(step)))) AS lt FROM d)
-SELECT observer_id, z, x, y FROM l WHERE acos(greatest(-1, least(1, sin(a) * sin(lt) + cos(a) * cos(lt) * cos(step)))) <= horizon""",
+o AS (SELECT observer_id, lat, lon, radians(lat) AS phi, (observer_id % 40 * 2.5) / (2 * (1000 * (6356.752314245 / 6371.0088::DOUBLE) + observer_id % 40 * 2.5)) AS gap FROM observers),
+w AS (SELECT *, (x + 0.5) / (1 << z)::DOUBLE * 360 - 180 AS centre, {V.tx(z='z')} = x AND {V.ty(z='z')} = y AS underfoot FROM o, t),
+d AS (SELECT *, radians(greatest(0, abs((centre - lon + 180) - floor((centre - lon + 180) / 360) * 360 - 180) - 180 / (1 << z)::DOUBLE)) AS aside FROM w),
+l AS (SELECT *, greatest(atan(sinh(pi() * (1 - 2 * (y + 1) / (1 << z)::DOUBLE))), least(atan(sinh(pi() * (1 - 2 * y / (1 << z)::DOUBLE))), CASE WHEN aside = 0 THEN phi ELSE atan2(sin(phi), cos(phi) * cos(aside)) END)) AS at FROM d)
+SELECT observer_id, z, x, y FROM l WHERE underfoot OR pow(sin((at - phi) / 2), 2) + cos(phi) * cos(at) * pow(sin(aside / 2), 2) <= gap""",
     "replacement_groups": f"{_TWO}{_GROUPS} SELECT * FROM members",
     "group_dependencies": f"{_TWO}{_EDGES} SELECT * FROM edges",
     "atomic_batches": f"{_TWO}{_EDGES} SELECT * FROM batches",

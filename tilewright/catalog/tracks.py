@@ -93,7 +93,7 @@ def eclipse_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda k, s: (F.element_at("embedding", k).cast("double") * s)
     v = V.read(spark, sf_dir, "embeddings").select("vec_id", F.struct(at(1, 1e8).alias("x"), at(2, 1e8).alias("y"), at(3, 1e8).alias("z")).alias("sun"), F.struct(at(4, 1e6).alias("x"), at(5, 1e6).alias("y"), at(6, 1e6).alias("z")).alias("moon"))
     out = K.eclipse_geometry(v)
-    return out.select("vec_id", *[F.round(c, 3).alias(c) for c in ("sun_distance", "moon_distance")], F.round("axis_distance", 1).alias("axis_distance"), *[F.round(c, 6).alias(c) for c in ("axis_x", "axis_y", "axis_z")])
+    return out.select("vec_id", *[F.round(c, 3).alias(c) for c in ("sun_distance", "moon_distance", "sun_moon_distance")], F.round("axis_distance", 1).alias("axis_distance"), *[F.round(c, 6).alias(c) for c in ("axis_x", "axis_y", "axis_z")])
 
 
 def contact_range(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +123,5 @@ SELECT track, at_ms::DOUBLE AS at_ms, round(alat + (blat - alat) * s, 6) AS lat,
     "visible_stars": "WITH s AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE * 20 + 5 AS m, 1000 + vec_id * 100.0::DOUBLE AS t FROM embeddings), d AS (SELECT *, sqrt(x * x + y * y + z * z) AS d FROM s) SELECT vec_id, round(x / d, 6) AS dx, round(y / d, 6) AS dy, round(z / d, 6) AS dz, least(254, floor(ln(greatest(2000, least(50000, t)) / 2000) / ln(25) * 255 + 0.5)::BIGINT) AS code FROM d WHERE m <= 6.5 AND d > 1e-9",
     "asof_ephemeris": "WITH e AS (SELECT event_id AS id, user_id % 5 AS body, event_id * 13 % 100000 AS ts FROM events), s AS (SELECT vec_id % 5 AS body, vec_id * 60 AS ts, vec_id AS sample FROM embeddings) SELECT e.id, e.body, e.ts, s.sample FROM e ASOF LEFT JOIN s ON e.body = s.body AND e.ts >= s.ts",
     "contact_range": "WITH c AS (SELECT o_custkey % 500 AS event_id, epoch(o_orderdate)::BIGINT AS utc FROM orders) SELECT event_id, min(utc) AS first, max(utc) AS last, min(utc) < max(utc) AS valid FROM c GROUP BY 1",
-    "eclipse_geometry": "WITH v AS (SELECT vec_id, embedding[1]::DOUBLE * 1e8 AS sx, embedding[2]::DOUBLE * 1e8 AS sy, embedding[3]::DOUBLE * 1e8 AS sz, embedding[4]::DOUBLE * 1e6 AS mx, embedding[5]::DOUBLE * 1e6 AS my, embedding[6]::DOUBLE * 1e6 AS mz FROM embeddings), a AS (SELECT *, sqrt((mx - sx) ** 2 + (my - sy) ** 2 + (mz - sz) ** 2) AS l FROM v), b AS (SELECT *, (mx * (mx - sx) + my * (my - sy) + mz * (mz - sz)) / l AS along FROM a) SELECT vec_id, round(sqrt(sx * sx + sy * sy + sz * sz), 3) AS sun_distance, round(sqrt(mx * mx + my * my + mz * mz), 3) AS moon_distance, round(sqrt(greatest(0, mx * mx + my * my + mz * mz - along * along)), 1) AS axis_distance, round((mx - sx) / l, 6) AS axis_x, round((my - sy) / l, 6) AS axis_y, round((mz - sz) / l, 6) AS axis_z FROM b",
+    "eclipse_geometry": "WITH v AS (SELECT vec_id, embedding[1]::DOUBLE * 1e8 AS sx, embedding[2]::DOUBLE * 1e8 AS sy, embedding[3]::DOUBLE * 1e8 AS sz, embedding[4]::DOUBLE * 1e6 AS mx, embedding[5]::DOUBLE * 1e6 AS my, embedding[6]::DOUBLE * 1e6 AS mz FROM embeddings), a AS (SELECT *, sqrt((mx - sx) ** 2 + (my - sy) ** 2 + (mz - sz) ** 2) AS l FROM v), b AS (SELECT *, (mx * (mx - sx) + my * (my - sy) + mz * (mz - sz)) / l AS along FROM a) SELECT vec_id, round(sqrt(sx * sx + sy * sy + sz * sz), 3) AS sun_distance, round(sqrt(mx * mx + my * my + mz * mz), 3) AS moon_distance, round(l, 3) AS sun_moon_distance, round(-along, 1) AS axis_distance, round((mx - sx) / l, 6) AS axis_x, round((my - sy) / l, 6) AS axis_y, round((mz - sz) / l, 6) AS axis_z FROM b",
 }

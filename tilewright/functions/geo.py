@@ -21,6 +21,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def finite(c: Column | str) -> Column:
     """Whether a number is there and neither NaN nor infinite."""
     c = col(c).cast("double")
@@ -77,6 +82,11 @@ def short_arc(a: Column, b: Column, turn: float = 360.0) -> Column:
     return F.pmod(b - a + turn / 2, F.lit(turn)) - turn / 2
 
 
+def haversine(angle: Column) -> Column:
+    """sin(angle / 2) ** 2, which grows with the angle and is exact for small ones."""
+    return F.pow(F.sin(angle / 2), 2)
+
+
 def central_angle(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) -> Column:
     """Of two points in degrees, in radians."""
     a, b = F.radians(lat_a), F.radians(lat_b)

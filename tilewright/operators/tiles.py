@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import geo
@@ -72,14 +72,14 @@ def canonical_order(cut: DataFrame) -> DataFrame:
 
 
 def work_order(work: DataFrame, first: int | None = None, provider: str | None = None) -> DataFrame:
-    """Deepest first, then by row and column; with ``first``, that many of each provider."""
+    """Deepest first, then by row and column; with ``first``, that many of all or, with their ``turn``, of each provider."""
     order = [F.col("z").desc(), F.col("y"), F.col("x")]
     if first is None:
         return work.orderBy(*order)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(provider) if provider else Window.partitionBy(F.lit(1))
-    return work.withColumn("turn", F.row_number().over(w.orderBy(*order))).filter(F.col("turn") <= first)
+    if provider is None:
+        return work.orderBy(*order).limit(first)
+    w = Window.partitionBy(provider).orderBy(*order)
+    return work.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= first)
 
 
 def with_ancestors(tiles: DataFrame, own: bool = True) -> DataFrame:
@@ -192,34 +192,47 @@ def retained_sources(records: DataFrame, *in_use: DataFrame, keys: list[str]) ->
     return records.join(used, keys, "left_semi"), records.join(used, keys, "left_anti")
 
 
-def minimum_angle(lat: Column, lon: Column, z: str = "z", x: str = "x", y: str = "y") -> Column:
-    """The least central angle from a point (degrees) to a tile, in radians."""
-    a, o = F.radians(lat), F.radians(lon)
-    w = geo.width(z)
-    west = F.col(x) / w * (2 * math.pi) - math.pi
-    west = west - geo.half_up((west - o) / (2 * math.pi)) * (2 * math.pi)
-    step = geo.clamp(o, west, west + 2 * math.pi / w) - o
-    best = F.atan2(F.sin(a), F.cos(a) * F.cos(step))
+def gap_to_tile(lat: str = "lat", lon: str = "lon", z: str = "z", x: str = "x", y: str = "y") -> Column:
+    """The haversine of the angle from a point (degrees) to the nearest place of a tile; exactly 0 for the tile that holds the point."""
+    phi, w = F.radians(lat), geo.width(z)
+    centre = (F.col(x) + 0.5) / w * 360.0 - 180.0
+    aside = F.radians(F.greatest(F.lit(0.0), F.abs(geo.short_arc(F.col(lon), centre)) - 180.0 / w))
+    # where the circle through the point meets the tile's nearer edge at a right angle, kept between the tile's rows
+    best = F.when(aside == 0, phi).otherwise(F.atan2(F.sin(phi), F.cos(phi) * F.cos(aside)))
     at = geo.clamp(best, geo.north_edge(F.col(y) + 1, z), geo.north_edge(F.col(y), z))
-    return F.acos(geo.clamp(F.sin(a) * F.sin(at) + F.cos(a) * F.cos(at) * F.cos(step), -1.0, 1.0))
+    inside = (geo.tile_x(lon, z) == F.col(x)) & (geo.tile_y(lat, z) == F.col(y))
+    return F.when(inside, 0.0).otherwise(geo.haversine(at - phi) + F.cos(phi) * F.cos(at) * geo.haversine(aside))
 
 
-def horizon_angle(radius: Column, height: Column) -> Column:
-    low = F.greatest(F.lit(5e-324), radius * (geo.WGS84_B_KM / geo.EARTH_RADIUS_KM))
-    return F.acos(low / (low + F.greatest(F.lit(0.0), height)))
+def horizon_gap(radius: Column, height: Column) -> Column:
+    """The haversine of the angle to the horizon, from the smaller half-axis of a globe of that radius; 0 on the ground."""
+    low, up = F.greatest(F.lit(0.0), radius) * (geo.WGS84_B_KM / geo.EARTH_RADIUS_KM), F.greatest(F.lit(0.0), height)
+    return F.coalesce(F.try_divide(up, 2 * (low + up)), F.lit(0.0))
 
 
-def tiles_within_horizon(observers: DataFrame, tiles: DataFrame, coarse: int = 3) -> DataFrame:
+def tiles_within_horizon(observers: DataFrame, tiles: DataFrame, finest_cell: int = 16) -> DataFrame:
     """(observer_id, z, x, y) of tiles that the observer's horizon reaches. observers: (observer_id, lat, lon, radius_m, height_m).
 
-    Observers emit the tiles of a coarse zoom that their horizon reaches, 4 ** coarse candidates at most; tiles emit the coarse tiles they lie in or
-    hold; the sides meet on equality before the exact test, so the join never tries all pairs.
+    An observer's cells are the few tiles, of the zoom at which one is as wide as the horizon, that the horizon can reach. Finer tiles meet them
+    through their ancestor of that zoom, coarser ones as ancestors of a cell: two joins on equality before the exact test. A null place or
+    height sees nothing; the tile underfoot is always there.
     """
-    seen = observers.withColumn("horizon", horizon_angle(F.col("radius_m"), F.col("height_m")))
-    grid = observers.sparkSession.range(4**coarse).select(F.lit(coarse).alias("z"), (F.col("id") % 2**coarse).alias("x"), F.floor(F.col("id") / 2**coarse).alias("y"))
-    cells = seen.withColumn("cell", F.explode(F.array(*[F.struct(F.lit(coarse).alias("z"), F.lit(x).cast("long").alias("x"), F.lit(y).cast("long").alias("y")) for x in range(2**coarse) for y in range(2**coarse)]))).select("*", F.col("cell.z").alias("z"), F.col("cell.x").alias("x"), F.col("cell.y").alias("y"))
-    cells = cells.filter(minimum_angle(F.col("lat"), F.col("lon")) <= F.col("horizon")).select("observer_id", "lat", "lon", "horizon", F.col("x").alias("cx"), F.col("y").alias("cy"))
-    fine = tiles.filter(F.col("z") >= coarse).withColumns({"cx": geo.ancestor("x", F.col("z") - coarse), "cy": geo.ancestor("y", F.col("z") - coarse)})
-    wide = tiles.filter(F.col("z") < coarse).join(F.broadcast(grid.select(F.col("x").alias("cx"), F.col("y").alias("cy"))), (geo.ancestor("cx", coarse - F.col("z")) == F.col("x")) & (geo.ancestor("cy", coarse - F.col("z")) == F.col("y")))
-    met = cells.join(fine.unionByName(wide), ["cx", "cy"])
-    return met.filter(minimum_angle(F.col("lat"), F.col("lon")) <= F.col("horizon")).select("observer_id", *TILE).distinct()
+    seen = observers.withColumn("gap", horizon_gap(F.col("radius_m"), F.col("height_m"))).withColumn("reach", 2 * F.asin(F.sqrt("gap")))
+    end = F.abs(F.radians("lat")) + F.col("reach")
+    spread = F.when(end >= math.radians(geo.MAX_LATITUDE), F.lit(math.pi)).otherwise(F.asin(F.least(F.lit(1.0), F.sin("reach") / F.cos(F.radians("lat")))))
+    zoom = F.when(F.col("spread") > 0, geo.clamp(F.floor(F.log2(math.pi / F.col("spread"))), 0, finest_cell)).otherwise(finest_cell)
+    seen = seen.withColumn("spread", spread).withColumn("cz", zoom.cast("int")).filter("gap IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    # a little more than the reach, so that rounding at a cell's edge loses nothing
+    wide, tall = F.degrees("spread") * (1 + 1e-9) + 1e-9, F.degrees("reach") * (1 + 1e-9) + 1e-9
+    w = geo.width("cz")
+    first, last = F.floor((F.col("lon") - wide + 180) / 360 * w), F.floor((F.col("lon") + wide + 180) / 360 * w)
+    columns = F.when(last - first + 1 >= w, F.sequence(F.lit(0).cast("long"), w - 1)).otherwise(F.transform(F.sequence(first, last), lambda c: F.pmod(c, w)))
+    rows = F.sequence(geo.tile_y(F.col("lat") + tall, "cz"), geo.tile_y(F.col("lat") - tall, "cz"))
+    cells = seen.withColumn("cx", F.explode(columns)).withColumn("cy", F.explode(rows)).select("observer_id", "lat", "lon", "gap", "cz", "cx", "cy")
+    zooms = F.broadcast(cells.select("cz").distinct())  # at most finest_cell + 1 rows
+    kept = tiles.select(*TILE).distinct()
+    fine = kept.join(zooms, F.col("z") >= F.col("cz")).withColumns({"cx": geo.ancestor("x", F.col("z") - F.col("cz")), "cy": geo.ancestor("y", F.col("z") - F.col("cz"))})
+    inner = cells.join(fine, ["cz", "cx", "cy"]).select("observer_id", "lat", "lon", "gap", *TILE)
+    above = with_ancestors(cells.withColumnsRenamed({"cz": "z", "cx": "x", "cy": "y"}), own=False).select("observer_id", "lat", "lon", "gap", F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
+    outer = above.join(kept, TILE).select("observer_id", "lat", "lon", "gap", *TILE)
+    return inner.unionByName(outer).filter(gap_to_tile() <= F.col("gap")).select("observer_id", *TILE).distinct()

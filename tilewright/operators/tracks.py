@@ -124,12 +124,11 @@ def asof_ephemeris(observations: DataFrame, ephemeris: DataFrame, key: str, step
 
 
 def eclipse_geometry(vectors: DataFrame) -> DataFrame:
-    """Distances, direction of the shadow's axis and its distance from the Earth's centre plane, from Sun and Moon vectors."""
+    """Distances of Sun and Moon from the Earth and each other, the shadow's direction, and how far along it the plane through the Earth's centre lies from the Moon (below 0: behind)."""
     dot = lambda a, b: sum((F.col(f"{a}.{c}") * F.col(f"{b}.{c}") for c in "yz"), F.col(f"{a}.x") * F.col(f"{b}.x"))
     df = vectors.withColumn("axis", F.struct(*[(F.col(f"moon.{c}") - F.col(f"sun.{c}")).alias(c) for c in "xyz"]))
     length = F.sqrt(dot("axis", "axis"))
-    along = dot("moon", "axis") / length
-    return df.withColumns({"sun_distance": F.sqrt(dot("sun", "sun")), "moon_distance": F.sqrt(dot("moon", "moon")), "axis_distance": F.sqrt(F.greatest(F.lit(0.0), dot("moon", "moon") - along * along)), "axis_x": F.col("axis.x") / length, "axis_y": F.col("axis.y") / length, "axis_z": F.col("axis.z") / length}).drop("axis")
+    return df.withColumns({"sun_distance": F.sqrt(dot("sun", "sun")), "moon_distance": F.sqrt(dot("moon", "moon")), "sun_moon_distance": length, "axis_distance": -dot("moon", "axis") / length, "axis_x": F.col("axis.x") / length, "axis_y": F.col("axis.y") / length, "axis_z": F.col("axis.z") / length}).drop("axis")
 
 
 def contact_range(contacts: DataFrame) -> DataFrame:

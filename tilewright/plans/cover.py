@@ -63,32 +63,41 @@ def balanced_cover(targets: DataFrame, key: str = "observer_id") -> DataFrame:
     """
     z0 = F.col("zoom").cast("int")
     asked = block_tiles(F.col("block_x"), F.col("block_y"), F.col("block_width"), F.col("block_height"), z0)
-    pair = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    half = lambda v: F.call_function("shiftright", v, F.lit(1))
-    leaf = "array<struct<z:int,x:bigint,y:bigint>>"
+    shift = lambda name, v, k: F.call_function(name, v, F.lit(k))
+    # a tile is one number inside the fold, which sets of numbers are looked up by hash for
+    code = lambda x, y: shift("shiftleft", x, 31) + y
+    column, row = lambda t: shift("shiftright", t, 31), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1))
+    half = lambda v: shift("shiftright", v, 1)
+    faced = lambda v: half(v) + F.when(v % 2 == 0, -1).otherwise(1)
+    leaf = "array<struct<z:int,t:bigint>>"
 
     def level(state: Column, z: Column) -> Column:
         w = geo.width(z - 1)
-        parents = F.array_distinct(F.transform(state["asked"], lambda t: pair(half(t["x"]), half(t["y"]))))
-        family = F.flatten(F.transform(parents, lambda p: F.array(*[pair(p["x"] * 2 + i, p["y"] * 2 + j) for j in (0, 1) for i in (0, 1)])))
-        leaves = F.array_except(family, state["opened"])
-        faced = lambda v: half(v) + F.when(v % 2 == 0, -1).otherwise(1)
-        around = lambda t: F.filter(F.array(*[pair(x, y) for x in (half(t["x"]), F.pmod(faced(t["x"]), w)) for y in (half(t["y"]), faced(t["y"]))]), lambda p: (p["y"] >= 0) & (p["y"] < w))
-        return F.struct(
-            F.array_distinct(F.flatten(F.transform(family, around))).alias("asked"),
-            parents.alias("opened"),
-            F.concat(state["leaves"], F.transform(leaves, lambda t: F.struct(z.alias("z"), t["x"].alias("x"), t["y"].alias("y"))).cast(leaf)).alias("leaves"),
-        )
-
-    none = F.array().cast("array<struct<x:bigint,y:bigint>>")
-    start = F.struct(asked.cast("array<struct<x:bigint,y:bigint>>").alias("asked"), none.alias("opened"), F.array().cast(leaf).alias("leaves"))
+
+        def around(t: Column) -> Column:
+            x, y = column(t), row(t)
+            beside = F.pmod(faced(x), w)
+            straight, across = F.array(code(half(x), half(y)), code(beside, half(y))), F.array(code(half(x), faced(y)), code(beside, faced(y)))
+            return F.when((faced(y) >= 0) & (faced(y) < w), F.concat(straight, across)).otherwise(straight)
+
+        def opened(parents: Column) -> Column:
+            family = F.flatten(F.transform(parents, lambda p: F.array(*[code(column(p) * 2 + i, row(p) * 2 + j) for j in (0, 1) for i in (0, 1)])))
+            return geo.let(family, lambda own: F.struct(
+                F.array_distinct(F.flatten(F.transform(own, around))).alias("asked"),
+                parents.alias("opened"),
+                F.concat(state["leaves"], F.transform(F.array_except(own, state["opened"]), lambda t: F.struct(z.alias("z"), t.alias("t"))).cast(leaf)).alias("leaves"),
+            ))
+
+        return geo.let(F.array_distinct(F.transform(state["asked"], lambda t: code(half(column(t)), half(row(t))))), opened)
+
+    start = F.struct(F.transform(asked, lambda t: code(t["x"], t["y"])).alias("asked"), F.array().cast("array<bigint>").alias("opened"), F.array().cast(leaf).alias("leaves"))
     zooms = F.when(z0 > 0, F.sequence(z0, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
     folded = F.aggregate(zooms, start, level, lambda s: s["leaves"])
-    root = F.array(F.struct(F.lit(0).alias("z"), F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))).cast(leaf)
+    root = F.array(F.struct(F.lit(0).alias("z"), F.lit(0).cast("long").alias("t"))).cast(leaf)
     covered = targets.select(key, z0.alias("__zoom"), asked.alias("__finest"), F.when(z0 > 0, folded).otherwise(root).alias("__leaves"))
-    out = covered.select(key, "__zoom", "__finest", F.explode("__leaves").alias("t"))
-    finest = (F.col("t.z") == F.col("__zoom")) & F.array_contains("__finest", F.struct(F.col("t.x").alias("x"), F.col("t.y").alias("y")))
-    return out.select(key, "t.z", "t.x", "t.y", F.when(finest, "finest").otherwise("outer").alias("role"))
+    out = covered.select(key, "__zoom", "__finest", F.explode("__leaves").alias("l")).select(key, "__zoom", "__finest", F.col("l.z").alias("z"), column(F.col("l.t")).alias("x"), row(F.col("l.t")).alias("y"))
+    finest = (F.col("z") == F.col("__zoom")) & F.array_contains("__finest", F.struct("x", "y"))
+    return out.select(key, "z", "x", "y", F.when(finest, "finest").otherwise("outer").alias("role"))
 
 
 def replacement_groups(old: DataFrame, new: DataFrame, key: str = "cut_id") -> DataFrame:
