@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by NN-descent and greedy graph search.
 
-The graph starts from random projection trees, fitted on a bounded sample (``sample`` rows); all rows are indexed. Each round of NN-descent
-sends every node's vector, as 32-bit floats, to the nodes it neighbours, either way, and each node introduces those it holds to each other:
-neighbours of neighbours. Only edges better than a node's worst are sent on. Queries then search the graph greedily: the ``beam`` best
-nodes seen are expanded, a step in all queries at once, until none is new. Distances in the result come from the original vectors.
+The graph starts from the leaves of a few random projection trees, fitted on a bounded sample (``sample`` rows); all rows are indexed. Each round
+of NN-descent then sends every node's vector, as 32-bit floats, to the nodes it neighbours, either way, and each of those introduces what it
+holds to each other, where one of the two edges is new: neighbours of neighbours. Only edges better than a node's worst are sent on. Rounds go on
+until less than ``settled`` of the edges change. Queries then search the graph greedily: the ``beam`` best nodes seen are expanded, a
+step in all queries at once, until none of them is new. Distances in the result come from the original vectors.
 
 Equal vectors are one node, which keeps the ``k`` + 1 smallest ids of its rows; so a vector that very many rows share is one node of the graph,
-and its rows are found in order of their ids.
+and its rows are found in order of their ids. A node that very many others hold among their nearest is a host in several parts, each
+with its own neighbours and a share of those others, so no group grows with the table.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, as rows or as queries; vectors of another length
-than most are an error of the caller; with fewer than k candidates all are returned; other columns are not read.
+than most are an error of the caller; rows at equal distance come in order of their ids; repeated ids are rows of their own, but none is a
+neighbour of a query with its id; with fewer than k candidates all are returned; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tilewright.llm.jaccard_join import _groups
 from tilewright.llm.jobs import bounded_sample, checkpoint
 
 LEAF = 160
@@ -61,39 +63,71 @@ class Trees:
         return out
 
 
-def _codes(column: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.float32).reshape(len(column), -1).astype(np.float64)
+def _codes(column: pa.Array) -> np.ndarray:
+    """The vectors of a binary column, a row each."""
+    if not len(column):
+        return np.zeros((0, 1))
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.float32, (int(offsets[-1]) - int(offsets[0])) // 4, int(offsets[0])).reshape(len(column), -1).astype(np.float64)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key, of batches that are sorted by the keys."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        marks = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+        if held and [held[-1].column(k)[-1].as_py() for k in keys] != marks[:, 0].tolist():
+            yield _joined(held)
+            held = []
+        edges = [0, *(np.flatnonzero((marks[:, 1:] != marks[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for at, to in zip(edges[:-1], edges[1:], strict=True):
+            if at and held:
+                yield _joined(held)
+                held = []
+            held.append(batch.slice(at, to - at))
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T, 0)
 
 
+def _nearest(edges: DataFrame, of: str, other: str, k: int) -> DataFrame:
+    """The k nearest edges of each node, with their rank; what is far is cut before it is moved, so no node's edges are ever all in one place."""
+    return edges.withColumn("rank", F.row_number().over(Window.partitionBy(of).orderBy("gap", other))).filter(F.col("rank") <= k)
+
+
 def _best(edges: DataFrame, degree: int) -> DataFrame:
-    """(a, near array<struct<gap, b>>): the nearest edges of each node, each neighbour once."""
-    once = edges.groupBy("a", "b").agg(F.min("gap").alias("gap"))
-    return once.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("gap", "b"))), 1, degree).alias("near"))
+    """(a, b, gap, fresh, rank): the nearest edges of each node, each neighbour once; fresh if none of its rows was known."""
+    return _nearest(edges.groupBy("a", "b").agg(F.min("gap").alias("gap"), F.bool_and("fresh").alias("fresh")), "a", "b", degree)
 
 
-def build_graph(nodes: DataFrame, degree: int, rounds: int, trees: int, sample: int, seed: int = 11) -> DataFrame:
-    """(a, near array<struct<gap double, b long>>) of nodes (node long, code binary)."""
+def build_graph(nodes: DataFrame, degree: int, settled: float, trees: int, sample: int, seed: int = 11) -> DataFrame:
+    """(a long, b long, gap double, fresh boolean, rank int) of nodes (node long, code binary)."""
     there = nodes.count()
     chosen = bounded_sample(nodes.select("node", "code"), "node", sample).orderBy("node").collect()
-    fitted = _codes([bytes(r["code"]) for r in chosen]) if chosen else np.zeros((0, 1), np.float32)
+    fitted = _codes(pa.array([bytes(r["code"]) for r in chosen], pa.binary()))
     depth = min(max(0, math.ceil(math.log2(max(1, there) / LEAF))), max(0, int(math.log2(max(1, len(fitted)) / 8))))
     forest = Trees(fitted, trees, depth, seed)
 
     def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                at = forest.leaves(_codes(batch.column("code").to_pylist()))
+                at = forest.leaves(_codes(batch.column("code")))
                 for t in range(at.shape[1]):
                     yield pa.RecordBatch.from_arrays([pa.array(at[:, t] * at.shape[1] + t), batch.column("node"), batch.column("code")], ["leaf", "node", "code"])
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["leaf"]):
-            ids, x = np.array(g["node"], np.int64), _codes(g["code"])
-            along = np.argsort(x @ np.random.default_rng(seed).normal(size=x.shape[1]).astype(np.float32), kind="stable")
+        for g in _runs(batches, ["leaf"]):
+            ids, x = g.column("node").to_numpy(), _codes(g.column("code"))
+            along = np.argsort(x @ np.random.default_rng(seed).normal(size=x.shape[1]), kind="stable")
             for at in range(0, len(ids), 4 * LEAF):  # a leaf of any size is worked on in blocks
                 block = along[at : at + 4 * LEAF]
                 gap = _squares(x[block], x[block])
@@ -101,41 +135,40 @@ def build_graph(nodes: DataFrame, degree: int, rounds: int, trees: int, sample:
                 near = np.argpartition(gap, min(degree, len(block) - 1), 1)[:, :degree] if len(block) > 1 else np.zeros((1, 0), int)
                 a, b = np.repeat(np.arange(len(block)), near.shape[1]), near.ravel()
                 good = np.isfinite(gap[a, b])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[block[a[good]]]), pa.array(ids[block[b[good]]]), pa.array(gap[a[good], b[good]].astype(np.float64))], ["a", "b", "gap"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[block[a[good]]]), pa.array(ids[block[b[good]]]), pa.array(gap[a[good], b[good]])], ["a", "b", "gap"])
 
-    edges = nodes.select("node", "code").mapInArrow(fall, "leaf long, node long, code binary").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(inside, "a long, b long, gap double")
-    graph = checkpoint(_best(edges, degree))
+    leaves = nodes.select("node", "code").mapInArrow(fall, "leaf long, node long, code binary").repartition("leaf").sortWithinPartitions("leaf")
+    graph = checkpoint(_best(leaves.mapInArrow(inside, "a long, b long, gap double").withColumn("fresh", F.lit(True)), degree))
 
     def introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["host"]):
-            ids, x, worst, fresh = np.array(g["node"], np.int64), _codes(g["code"]), np.array(g["worst"], np.float64), np.array(g["fresh"])
-            _, once = np.unique(ids, return_index=True)
-            gap = _squares(x[once], x[once])
+        for g in _runs(batches, ["host", "part"]):
+            ids, once = np.unique(g.column("node").to_numpy(), return_index=True)
+            worst, fresh = g.column("worst").to_numpy()[once], g.column("fresh").to_numpy(zero_copy_only=False)[once]
+            x = _codes(g.column("code"))[once]
+            gap = _squares(x, x)
             np.fill_diagonal(gap, np.inf)
-            ids, worst, fresh = ids[once], worst[once], fresh[once]
             a, b = np.nonzero((gap < worst[:, None]) & (fresh[:, None] | fresh[None, :]))
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(gap[a, b].astype(np.float64))], ["a", "b", "gap"])
-
-    old = None
-    for _ in range(rounds):
-        flat = graph.select("a", F.posexplode("near").alias("rank", "e")).select("a", "rank", F.col("e.b").alias("b"), F.col("e.gap").alias("gap"))
-        if old is None:
-            flat = flat.withColumn("fresh", F.lit(True))
-        else:
-            known = old.select("a", F.explode("near").alias("e")).select("a", F.col("e.b").alias("b"), F.lit(False).alias("fresh"))
-            flat = flat.join(known, ["a", "b"], "left").withColumn("fresh", F.coalesce("fresh", F.lit(True)))
-        worst = graph.select(F.col("a").alias("node"), F.when(F.size("near") < degree, F.lit(float("inf"))).otherwise(F.element_at("near", -1)["gap"]).cast("double").alias("worst"))
-        carried = nodes.select("node", "code").join(worst, "node")
-        # a node is held by itself, by its neighbours, and by whom it is among the nearest of
-        held = flat.select(F.col("a").alias("host"), F.col("b").alias("node"), "fresh").unionByName(flat.filter(F.col("rank") < degree // 2).select(F.col("b").alias("host"), F.col("a").alias("node"), "fresh"))
-        held = held.join(carried, "node").repartition("host").sortWithinPartitions("host")
-        better = held.mapInArrow(introduce, "a long, b long, gap double")
-        old, graph = graph, checkpoint(_best(flat.select("a", "b", "gap").unionByName(better), degree))
-    return graph
-
-
-def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 20, rounds: int = 2, trees: int = 6, beam: int = 192, sample: int = 20_000) -> DataFrame:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(gap[a, b])], ["a", "b", "gap"])
+
+    while True:
+        state = graph.agg(F.count_if("fresh").alias("fresh"), F.count(F.lit(1)).alias("edges")).first()
+        if state["fresh"] <= settled * state["edges"]:
+            return graph
+        # who holds a node, in parts of at most `degree` holders; a node's own neighbours are in all of its parts
+        parts = graph.groupBy(F.col("b").alias("host")).agg(F.ceil(F.count(F.lit(1)) / degree).alias("parts"))
+        ahead = graph.select(F.col("a").alias("host"), F.col("b").alias("node"), "fresh").join(parts, "host", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)))
+        back = graph.select(F.col("b").alias("host"), F.col("a").alias("node"), "fresh").join(parts, "host").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+        held = ahead.select("host", "part", "node", "fresh").unionByName(back.select("host", "part", "node", "fresh")).groupBy("host", "part", "node").agg(F.bool_or("fresh").alias("fresh"))
+        held = held.join(held.filter("fresh").select("host", "part").distinct(), ["host", "part"], "left_semi")
+        worst = graph.groupBy(F.col("a").alias("node")).agg(F.when(F.count(F.lit(1)) < degree, F.lit(float("inf"))).otherwise(F.max("gap")).alias("worst"))
+        carried = nodes.select("node", "code").join(worst, "node", "left").withColumn("worst", F.coalesce("worst", F.lit(float("inf"))))
+        met = held.join(carried, "node").repartition("host", "part").sortWithinPartitions("host", "part")
+        better = met.mapInArrow(introduce, "a long, b long, gap double").withColumn("fresh", F.lit(True))
+        graph = checkpoint(_best(graph.select("a", "b", "gap", F.lit(False).alias("fresh")).unionByName(better), degree))
+
+
+def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 30, settled: float = 0.1, trees: int = 4, beam: int = 160, sample: int = 20_000) -> DataFrame:
     """(query_id long, rank int, vec_id long, score double): for each row that is_query holds for, the k nearest other rows found, by Euclidean distance."""
     vector = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     sound = F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(vector, lambda x: x != 0), F.lit(False))
@@ -153,33 +186,27 @@ def search(rows: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id
     copies = checkpoint(_smallest(numbered.select("hash", "id", F.col("vector")), k + 1))
     nodes = least.join(copies, ["hash", "vector"]).select("node", "ids", "vector")
     nodes = checkpoint(nodes.mapInArrow(pack, "node long, ids array<long>, vector array<double>, code binary"))
-    graph = build_graph(nodes.select("node", "code"), degree, rounds, trees, sample)
+    graph = build_graph(nodes.select("node", "code"), degree, settled, trees, sample)
 
     queries = good.filter("query").select(F.col("id").alias("q"), F.xxhash64("vector").alias("hash"), "vector")
     homes = checkpoint(queries.join(least.select("hash", "vector", "node"), ["hash", "vector"]).select("q", "node"))
     coded = nodes.select(F.col("node").alias("b"), F.col("code"))
-    ways = graph.select("a", F.col("near.b").alias("to"))
-    back = graph.select(F.posexplode("near").alias("rank", "e"), "a").filter(F.col("rank") < degree // 2).groupBy(F.col("e.b").alias("a")).agg(F.slice(F.sort_array(F.collect_list(F.struct(F.col("e.gap").alias("gap"), F.col("a").alias("b")))), 1, 2 * degree).alias("from"))
-    ways = checkpoint(ways.join(back, "a", "left").select("a", F.array_union("to", F.coalesce(F.col("from.b"), F.array().cast("array<long>"))).alias("to")))
+    back = _nearest(graph.select(F.col("b").alias("a"), F.col("a").alias("b"), "gap"), "a", "b", 2 * degree)
+    ways = checkpoint(graph.select("a", "b").unionByName(back.select("a", "b")).distinct())
     start = homes.select(F.col("node").alias("home")).distinct()
     target = checkpoint(start.join(coded.withColumnsRenamed({"b": "home", "code": "goal"}), "home"))
-    seen = start.select("home", F.col("home").alias("b"), F.lit(0.0).alias("gap"), F.lit(False).alias("done"))
+    seen = checkpoint(start.select("home", F.col("home").alias("b"), F.lit(0.0).alias("gap"), F.lit(False).alias("done")))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                gap = ((_codes(batch.column("goal").to_pylist()) - _codes(batch.column("code").to_pylist())) ** 2).sum(1)
-                yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("b"), pa.array(gap.astype(np.float64))], ["home", "b", "gap"])
-
-    for _ in range(12):
-        fresh = seen.filter(~F.col("done"))
-        if fresh.isEmpty():
-            break
-        reached = fresh.join(ways, fresh.b == ways.a).select("home", F.explode("to").alias("b")).distinct().join(seen.select("home", "b"), ["home", "b"], "left_anti")
+                gap = ((_codes(batch.column("goal")) - _codes(batch.column("code"))) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column("home"), batch.column("b"), pa.array(gap)], ["home", "b", "gap"])
+
+    while not seen.filter("NOT done").isEmpty():
+        reached = seen.filter("NOT done").select("home", F.col("b").alias("a")).join(ways, "a").select("home", "b").distinct().join(seen.select("home", "b"), ["home", "b"], "left_anti")
         gaps = reached.join(coded, "b").join(target, "home").mapInArrow(measure, "home long, b long, gap double").withColumn("done", F.lit(False))
-        every = seen.withColumn("done", F.lit(True)).unionByName(gaps)
-        kept = every.groupBy("home").agg(F.slice(F.sort_array(F.collect_list(F.struct("gap", "b", "done"))), 1, beam).alias("best"))
-        seen = checkpoint(kept.select("home", F.explode("best").alias("e")).select("home", "e.b", "e.gap", "e.done"))
+        seen = checkpoint(_nearest(seen.withColumn("done", F.lit(True)).unionByName(gaps), "home", "b", beam).drop("rank"))
 
     # exact distances on the original vectors
     found = homes.join(seen.select(F.col("home").alias("node"), "b"), "node").select("q", "node", "b")
