@@ -2,28 +2,36 @@
 
 Two documents link when ``per_cent`` * |union| <= 100 * |intersection|. Documents with equal sets are one class; classes are joined.
 
-In the metric of the symmetric difference D two sets of a and b shingles link when D <= (a + b) * (100 - p) / (100 + p). At the distances of whole
-corpora that metric parts nothing, as unrelated texts are all equally far from any pivot; so the first cut is by parts of sets. Sets of
-similar size are cut by hash range into more parts than a link may have differences: two linked sets have a whole part in common. Equal parts
-are joined through their least holder, one row for a holder, and what hangs together is a region; no link leaves its region.
-
-Inside regions the pivots work. A small region is joined in one task. In a large one each member is dealt to a cell, where it is compared with
-its cell and with the region's pivots, so most members reach the region's main component at once. The others, and only they, are
-compared with the rest: by the triangle inequality | D(x, pivot) - D(y, pivot) | <= D(x, y), a member goes only to the bands of distance from
-the first pivot that can hold a partner, and each band is joined block by block. So no group is ever whole in one task.
+In the metric of the symmetric difference D two sets of a and b shingles link when D <= (a + b) * (100 - p) / (100 + p). Whole corpora are
+first cut by parts of sets, as unrelated texts are all equally far from any pivot: sets of similar size are cut by hash range into more
+parts than a link may have differences, so two linked sets have a whole part in common. Equal parts are joined through their least holder, one
+row for a holder, and what hangs together is a region; no link leaves its region.
+
+A region of more than ``cell`` sets is cut by pivots. Each member belongs to the Voronoi region of its nearest pivot and, by the triangle
+inequality, goes as a guest to each earlier pivot that isn't farther from it than its own by more than twice its longest link; any two linked members
+so meet in the region of one of them. The parts are cut again, with other pivots, until they fit in one task. Where every member
+of a part links to its pivot nothing is left to find. Where a cut doesn't part a region (its parts hold over twice its members, or one of
+them most), the region is dense: each member is dealt to a cell, where it is compared with its cell and with the region's pivots, so
+most members reach the region's main component at once. The others, and only they, are compared with the rest: again by the triangle inequality, a member goes
+only to the bands of distance from the first pivot that can hold a partner, and each band is joined block by block. So no group is ever
+whole in one task, and no pair that could link is left out.
+
+A class is known by 128 bits: two sums of its shingles' hashes, mixed apart.
 
 Defined cases: null and empty texts and texts without words have no shingles, link with nothing and are their own component; with fewer
-words than a shingle the whole sequence is one; repeated rows and equal texts share a class; rows with a null id have no component.
+words than a shingle the whole sequence is one; repeated rows and equal texts share a class; ties between pivots go to the earlier one; very long
+texts are sets like others; rows with a null id have no component; other columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
@@ -34,6 +42,7 @@ U64 = np.uint64
 SPARE = 1
 CELL = 192
 PIVOTS = 12
+CUTS = 32
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -52,8 +61,12 @@ def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, U64)
 
 
-def signature(hashes: np.ndarray) -> int:
-    return int(mix(np.array([mix(hashes ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64) + U64(len(hashes))], U64))[0].astype(np.int64)) if len(hashes) else 0
+def signature(hashes: np.ndarray, salt: int = 0x5851F42D4C957F2D) -> int:
+    return int(mix(np.array([mix(hashes ^ U64(salt)).sum(dtype=U64) + U64(len(hashes))], U64))[0].astype(np.int64)) if len(hashes) else 0
+
+
+def second_signature(hashes: np.ndarray) -> int:
+    return signature(hashes, 0x2545F4914F6CDD1D)
 
 
 def levels(largest: int, per_cent: int, tries: int = 1) -> list[tuple[int, int, int, int]]:
@@ -161,18 +174,189 @@ def _linked(gap: np.ndarray, a: np.ndarray, b: np.ndarray, per_cent: int) -> np.
     return gap * (100 + per_cent) <= (a[:, None] + b[None, :]) * (100 - per_cent)
 
 
-def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col: str = "doc_id", text_col: str = "text", tries: int = 1) -> DataFrame:
+def _pairs(ids: np.ndarray, sets: list[np.ndarray], per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All linked pairs of some sets."""
+    n = np.array([len(s) for s in sets])
+    x, y = np.nonzero(np.triu(_linked(differences(sets, sets), n, n, per_cent), 1))
+    return ids[x], ids[y]
+
+
+def _within(small: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): the links inside regions that fit in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["region"]):
+            a, b = _pairs(np.array(g["cls"], np.int64), [np.frombuffer(s, U64) for s in g["shingles"]], per_cent)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return small.select("region", "cls", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    return members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region")
+
+
+def _first(members: DataFrame, turn: int, most: int) -> DataFrame:
+    """Some members of each region, by a hash that changes with the turn, numbered from 0."""
+    order = Window.partitionBy("region").orderBy(F.xxhash64("cls", F.lit(turn)), "cls")
+    return members.withColumn("at", F.row_number().over(order) - 1).filter(F.col("at") < most)
+
+
+def _cut(large: DataFrame, per_cent: int, cell: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links to pivots, members of the parts, members of dense regions) of regions cut by pivots. large: (region, cls, shingles, m)."""
+    chunks = F.ceil(F.col("m") / (2 * cell))
+    pivots = _first(large, turn, CUTS).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    dealt = large.withColumn("at", F.lit(-1)).withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(turn), F.lit("chunk")), chunks))
+    fields = ["region", "chunk", "at", "cls", "shingles"]
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["region", "chunk"]):
+            at, ids = np.array(g["at"]), np.array(g["cls"], np.int64)
+            sets = [np.frombuffer(s, U64) for s in g["shingles"]]
+            lead, rest = np.argsort(np.where(at < 0, len(at) + CUTS, at), kind="stable")[: (at >= 0).sum()], np.flatnonzero(at < 0)
+            if not len(rest):
+                continue
+            # of pivots within twice a link of each other the first one is enough
+            right = [sets[k] for k in lead]
+            m = np.array([len(s) for s in right])
+            apart = differences(right, right) > 2 * (np.maximum(m[:, None], m[None, :]) * (100 - per_cent) // per_cent)
+            kept: list[int] = []
+            for k in range(len(lead)):
+                if apart[k, kept].all():
+                    kept.append(k)
+            left, right, lead, m = [sets[k] for k in rest], [right[k] for k in kept], lead[kept], m[kept]
+            n = np.array([len(s) for s in left])
+            gap = differences(left, right)
+            home = gap.argmin(1)
+            linked = _linked(gap, n, m, per_cent)
+            # a partner is at most so far away, and no farther from its own pivot than from this one
+            reach = n * (100 - per_cent) // per_cent
+            guest = (gap <= (gap[np.arange(len(rest)), home] + 2 * reach)[:, None]) & (np.arange(len(lead)) < home[:, None])
+            guest[np.arange(len(rest)), home] = True
+            x, y = np.nonzero(guest)
+            parts = pa.StructArray.from_arrays([pa.array(y.astype(np.int32)), pa.array(linked[x, y])], ["at", "linked"])
+            bounds = np.concatenate([[0], np.cumsum(guest.sum(1))]).astype(np.int32)
+            u, v = np.nonzero(linked)
+            edges = np.concatenate([[0], np.cumsum(linked.sum(1))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(rest), g["region"][0], np.int64)), pa.array(ids[rest]), pa.ListArray.from_arrays(pa.array(bounds), parts), pa.ListArray.from_arrays(pa.array(edges), pa.array(ids[lead[v]]))],
+                ["region", "cls", "parts", "links"],
+            )
+
+    met = dealt.select(*fields).unionByName(pivots.select(*fields)).repartition("region", "chunk").sortWithinPartitions("region", "chunk")
+    placed = checkpoint(met.mapInArrow(nearest, "region long, cls long, parts array<struct<at:int,linked:boolean>>, links array<long>"))
+    links = placed.select(F.col("cls").alias("a"), F.explode("links").alias("b")).filter("a <> b")
+    flat = placed.select("region", "cls", F.explode("parts").alias("part")).select("region", "cls", "part.at", "part.linked")
+    left = flat.groupBy("region", "at").agg(F.count(F.lit(1)).alias("held"), F.bool_and("linked").alias("done")).filter("NOT done")
+    sums = left.groupBy("region").agg(F.sum("held").alias("total"), F.max("held").alias("most")).join(large.select("region", "m").distinct(), "region")
+    sums = checkpoint(sums.select("region", ((F.col("total") > 2 * F.col("m")) | (F.col("most") > 0.75 * F.col("m"))).alias("dense")))
+    open_ = flat.join(left.select("region", "at"), ["region", "at"], "left_semi").join(sums.filter("NOT dense"), "region", "left_semi")
+    parts = open_.join(large.select("region", "cls", "shingles"), ["region", "cls"]).select(F.xxhash64("region", "at", F.lit(turn)).alias("region"), "cls", "shingles")
+    return links, parts, large.join(sums.filter("dense"), "region", "left_semi").select("region", "cls", "shingles")
+
+
+def _dense(members: DataFrame, per_cent: int, cell: int) -> DataFrame:
+    """(a, b): links inside regions that pivots don't part, enough of them for the components."""
+    members = _sized(members)
+    # first pass: each member with its cell, and with the pivots of its region
+    cells = F.ceil(F.col("m") / cell)
+    member = members.withColumn("cell", F.pmod(F.xxhash64("cls"), cells)).withColumn("pivot", F.lit(-1))
+    spread = _first(members, 7, PIVOTS).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))).withColumn("pivot", F.col("at"))
+
+    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["region", "cell"]):
+            every, pivot = np.array(g["cls"], np.int64), np.array(g["pivot"])
+            ids, once = np.unique(every, return_index=True)  # a pivot may be a member of its own cell
+            sets = [np.frombuffer(g["shingles"][k], U64) for k in once]
+            n = np.array([len(s) for s in sets])
+            gap = differences(sets, sets)
+            x, y = np.nonzero(np.triu(_linked(gap, n, n, per_cent), 1))
+            centre = int(np.searchsorted(ids, every[pivot == 0][0]))
+            a, b = np.concatenate([ids[x], ids]), np.concatenate([ids[y], ids])
+            far = np.concatenate([np.full(len(x), -1), gap[:, centre]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), g["region"][0], np.int64)), pa.array(a), pa.array(b), pa.array(far.astype(np.int64))], ["region", "a", "b", "gap"])
+
+    first = checkpoint(member.select("region", "cell", "cls", "pivot", "shingles").unionByName(spread.select("region", "cell", "cls", "pivot", "shingles")).repartition("region", "cell").sortWithinPartitions("region", "cell").mapInArrow(in_cells, "region long, a long, b long, gap long"))
+    links = first.filter("a <> b").select("a", "b")
+
+    # second pass: who isn't in the main component goes to all bands that can hold a partner
+    roots = components(links)
+    placed = members.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+    gaps = first.filter("a = b").groupBy("region", F.col("a").alias("cls")).agg(F.min("gap").alias("gap"))
+    placed = checkpoint(placed.join(gaps, ["region", "cls"]).withColumn("n", (F.octet_length("shingles") / 8).cast("long")))
+    main = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("region").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
+    # one step of a band is as wide as a link of the region's largest set can be
+    width = placed.groupBy("region").agg(F.greatest(F.lit(1), F.floor(F.max("n") * 2 * (100 - per_cent) / (100 + per_cent))).alias("width"))
+    banded = placed.join(main, "region").join(width, "region").withColumn("band", F.floor(F.col("gap") / F.col("width")))
+    outside = banded.filter("root <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    # a band's members in blocks, its guests in chunks; each block meets each chunk, and bands without guests meet nobody
+    count = lambda df, name, size: df.groupBy("region", "band").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
+    sizes = checkpoint(count(banded, "blocks", cell).join(count(outside, "chunks", 4 * cell), ["region", "band"]))
+    up_to = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
+    home = banded.join(sizes, ["region", "band"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("blocks"))).withColumn("chunk", up_to("chunks"))
+    sent = outside.join(sizes, ["region", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(13)), F.col("chunks"))).withColumn("block", up_to("blocks"))
+    keys = ["region", "band", "block", "chunk"]
+    met = home.select(*keys, "cls", "shingles", F.lit(False).alias("guest")).unionByName(sent.select(*keys, "cls", "shingles", F.lit(True).alias("guest")))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, keys):
+            ids, guest = np.array(g["cls"], np.int64), np.array(g["guest"])
+            if guest.any() and not guest.all():
+                sets = [np.frombuffer(s, U64) for s in g["shingles"]]
+                left, right = [sets[k] for k in np.flatnonzero(guest)], [sets[k] for k in np.flatnonzero(~guest)]
+                x, y = np.nonzero(_linked(differences(left, right), np.array([len(s) for s in left]), np.array([len(s) for s in right]), per_cent))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[guest][x]), pa.array(ids[~guest][y])], ["a", "b"])
+
+    more = checkpoint(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(across, "a long, b long"))
+    return links.unionByName(more.filter("a <> b"))
+
+
+def region_links(members: DataFrame, per_cent: int, cell: int = CELL) -> DataFrame:
+    """(a, b): links of the sets (region long, cls long, shingles binary), enough of them for the components."""
+    links, dense, turn = [], [], 0
+    while True:
+        counted = _sized(members)
+        links.append(checkpoint(_within(counted.filter(F.col("m") <= cell), per_cent)))
+        large = counted.filter(F.col("m") > cell)
+        if large.isEmpty():
+            break
+        large = checkpoint(large)
+        to_pivots, parts, left = _cut(large, per_cent, cell, turn)
+        links.append(to_pivots)
+        dense.append(left)
+        members, turn = checkpoint(parts), turn + 1
+    if dense:
+        every = checkpoint(functools.reduce(DataFrame.unionByName, dense))
+        if not every.isEmpty():
+            links.append(_dense(every, per_cent, cell))
+    return functools.reduce(DataFrame.unionByName, links)
+
+
+def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col: str = "doc_id", text_col: str = "text", tries: int = 1, cell: int = CELL) -> DataFrame:
     """(id, n_shingles long, component_id): the least id that links lead to, the document's own included. Thresholds under 90 need several ``tries``, or empty parts join regions."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(narrow.dtypes)["id"]
 
     def sized(batch: pa.RecordBatch) -> Iterator[list]:
         sets = list(shingle_sets(batch.column("text"), size))
-        yield [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64())]
+        yield [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.array([second_signature(s) for s in sets], pa.int64())]
 
-    own = checkpoint(_mapped(narrow, f"id {kind}, n long, cls long", ["id", "n", "cls"], sized))
+    own = checkpoint(_mapped(narrow, f"id {kind}, n long, cls long, also long", ["id", "n", "cls", "also"], sized))
     there = own.filter("id IS NOT NULL AND n > 0")
-    classes = checkpoint(there.groupBy("cls").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
+    classes = checkpoint(there.groupBy("cls", "also").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
+    # two classes of one number are expected once in 2 ** 64 pairs; all but one of them get another
+    shared = classes.groupBy("cls").agg(F.min("also").alias("least"), F.max("also").alias("most")).filter("least < most")
+    renamed = {(r["cls"], r["also"]): r["new"] for r in classes.join(shared, "cls").filter("also > least").select("cls", "also", F.xxhash64("cls", "also").alias("new")).collect()}
+    twice = {c for c, _ in renamed}
+
+    def name(s: np.ndarray) -> int:
+        first = signature(s)
+        return renamed.get((first, second_signature(s)), first) if first in twice else first
+
+    if renamed:
+        pairs = there.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "cls long, also long, new long")
+        there, classes = (df.join(F.broadcast(pairs), ["cls", "also"], "left").withColumn("cls", F.coalesce("new", "cls")).drop("new") for df in (there, classes))
+    there, classes = there.drop("also"), classes.drop("also")
     plan = levels(classes.agg(F.max("n")).first()[0] or 0, per_cent, tries)
 
     # regions: classes that hang together by equal parts
@@ -183,7 +367,7 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
         for s in shingle_sets(batch.column("text"), size):
             k = part_keys(s, plan, per_cent, tries)
             keys.append(k)
-            owners.append(np.full(len(k), signature(s), np.int64))
+            owners.append(np.full(len(k), name(s), np.int64))
         yield [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))]
 
     holders = _mapped(narrow, "key long, cls long", ["key", "cls"], parts)
@@ -193,72 +377,12 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
 
     def whole(batch: pa.RecordBatch) -> Iterator[list]:
         sets = list(shingle_sets(batch.column("text"), size))
-        yield [batch.column("region"), batch.column("cls"), pa.array([s.tobytes() for s in sets], pa.binary())]
+        own = pa.array([name(s) == c for s, c in zip(sets, batch.column("cls").to_pylist(), strict=True)])  # rows of one id may hold other texts
+        yield [batch.column("region").filter(own), batch.column("cls").filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)]
 
     placed = reps.join(classes.join(regions, "cls").select(F.col("rep").alias("id"), "cls", "region"), "id").select("region", "cls", "text")
-    members = checkpoint(_mapped(placed, "region long, cls long, shingles binary", ["region", "cls", "shingles"], whole))
-    members = members.join(members.groupBy("region").agg(F.count(F.lit(1)).alias("m")), "region")
-
-    # first pass: each member with its cell, and with the pivots of its region
-    cells = F.ceil(F.col("m") / CELL)
-    member = members.withColumn("cell", F.pmod(F.xxhash64("cls"), cells)).withColumn("pivot", F.lit(False))
-    pivot = F.pmod(F.xxhash64("cls", F.lit(7)), F.ceil(F.col("m") / PIVOTS)) == 0
-    spread = members.filter((F.col("m") > CELL) & pivot).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))).withColumn("pivot", F.lit(True))
-
-    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["region", "cell"]):
-            ids = np.array(g["cls"], np.int64)
-            _, once = np.unique(ids, return_index=True)  # a pivot may be a member of its own cell
-            sets = [np.frombuffer(g["shingles"][k], U64) for k in once]
-            pivots = np.array(g["pivot"])
-            ids, n = ids[once], np.array([len(s) for s in sets])
-            gap = differences(sets, sets)
-            x, y = np.nonzero(np.triu(_linked(gap, n, n, per_cent), 1))
-            lead = np.isin(ids, np.array(g["cls"], np.int64)[pivots])
-            centre = int(np.argmax(lead)) if lead.any() else 0
-            a, b = np.concatenate([ids[x], ids]), np.concatenate([ids[y], ids])
-            far = np.concatenate([np.full(len(x), -1), gap[:, centre] if lead.any() else np.full(len(ids), -1)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), g["region"][0], np.int64)), pa.array(a), pa.array(b), pa.array(far.astype(np.int64))], ["region", "a", "b", "gap"])
-
-    first = checkpoint(member.unionByName(spread).select("region", "cell", "cls", "pivot", "shingles").repartition("region", "cell").sortWithinPartitions("region", "cell").mapInArrow(in_cells, "region long, a long, b long, gap long"))
-    links = first.filter("a <> b").select("a", "b")
-
-    # second pass, in large regions alone: who isn't in the main component goes to all bands that can hold a partner
-    large = members.filter(F.col("m") > CELL)
-    if not large.isEmpty():
-        roots = components(links)
-        placed = large.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-        gaps = first.filter("a = b AND gap >= 0").groupBy(F.col("a").alias("cls")).agg(F.min("gap").alias("gap"))
-        placed = checkpoint(placed.join(gaps, "cls").withColumn("n", (F.octet_length("shingles") / 8).cast("long")))
-        main = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("region").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
-        # one step of a band is as wide as a link of the region's largest set can be
-        width = placed.groupBy("region").agg(F.greatest(F.lit(1), F.floor(F.max("n") * 2 * (100 - per_cent) / (100 + per_cent))).alias("width"))
-        banded = placed.join(main, "region").join(width, "region").withColumn("band", F.floor(F.col("gap") / F.col("width")))
-        sized_bands = banded.groupBy("region", "band").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("blocks"))
-        home = banded.join(sized_bands, ["region", "band"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("blocks")))
-        outside = banded.filter("root <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        sent = outside.join(sized_bands, ["region", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        # those sent are themselves dealt in chunks, so that a block meets them piece by piece
-        sent = sent.withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(13)), F.ceil(F.col("m") / (4 * CELL))))
-        chunks = F.ceil(F.col("m") / (4 * CELL))
-        home = home.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-        fields = ["region", "band", "block", "chunk", "cls", "shingles"]
-        met = home.select(*fields, F.lit(False).alias("guest")).unionByName(sent.select(*fields, F.lit(True).alias("guest")))
-
-        def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for g in _groups(batches, ["region", "band", "block", "chunk"]):
-                ids, guest = np.array(g["cls"], np.int64), np.array(g["guest"])
-                if guest.any() and not guest.all():
-                    sets = [np.frombuffer(s, U64) for s in g["shingles"]]
-                    left, right = [sets[k] for k in np.flatnonzero(guest)], [sets[k] for k in np.flatnonzero(~guest)]
-                    x, y = np.nonzero(_linked(differences(left, right), np.array([len(s) for s in left]), np.array([len(s) for s in right]), per_cent))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[guest][x]), pa.array(ids[~guest][y])], ["a", "b"])
-
-        keys = ["region", "band", "block", "chunk"]
-        more = checkpoint(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(across, "a long, b long"))
-        links = links.unionByName(more.filter("a <> b"))
-
-    roots = components(links)
+    members = checkpoint(_mapped(placed, "region long, cls long, shingles binary", ["region", "cls", "shingles"], whole).dropDuplicates(["cls"]))
+    roots = components(region_links(members, per_cent, cell))
     joined = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
     alone = own.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
