@@ -1,17 +1,20 @@
 """Substring dedup: the words of windows of ``window`` words whose sequence starts earlier in the corpus are removed.
 
-Exact copies of a text are settled by its hash; the first copy stands for all. The suffixes of the other texts, cut at a window's length, are
-split by prefixes: the gram that is least among a window's grams of ``k`` words leads it, so equal windows have equal leads. Leads that only
-one text has are counted out before any suffix is moved. Where at most ``group`` suffix runs share a lead, they go to one task, which sorts
-them, with many other such groups, into the order of a suffix tree's leaves; neighbours that agree in a whole window are below a
-common internal node of that depth, and all leaves there but the earliest repeat. A lead with more runs than that gets a longer prefix, the
-whole window: these suffixes meet by hash through the earliest of each, found with partial sums, so a passage of any number of copies is one row.
-
-Word codes have 32 bits inside a tree, so windows that agree in all but some words could meet by chance with 2**-32 for each such pair.
+The suffixes indexed are those at anchors: of the grams of ``k`` words in a window the least one (by hash, the leftmost of equals) is its anchor,
+so equal windows have equal anchors at the same place. A suffix carries the words that its windows have before it. Suffixes are split
+by prefixes of variable length: first the ``k`` words of the anchor. Prefixes that only one place has are counted out before any suffix is
+moved, and exact copies of a text are settled by its hash, the first copy standing for all. Where a prefix leads at most ``group`` windows, its
+suffixes go to one task, with many other such prefixes, and become a suffix tree, as the array of the sorted suffixes with the lengths of
+their common prefixes; the words before the anchors make a second one, read backwards. A window with o words before its anchor lies below the internal node at
+depth ``window`` - o of the first tree and at depth o of the second; the windows below the same pair of nodes, the maximal repeats around the
+anchor, are equal, and all but the earliest go. Where a prefix leads more windows than that, it is lengthened to the whole window: these meet by
+its hash through the earliest of each, found with partial sums, so a passage of any number of copies is one row.
+
+Words are compared by 48 bits of their hashes in trees, lengthened prefixes by 64 bits of the window.
 
 Defined cases: null and empty texts have no words and stay as they are (null as null); texts under a window lose nothing; documents are ordered
-by id, null first, and rows of one id by their place in the table, so of repeated rows the first stays; very long texts are worked on whole.
-Other columns are passed through.
+by id, of any type, null first, and those of one id by a hash; rows with the same id and text are one document and all get its result; very long texts
+are worked on whole, one at a time. Other columns are passed through whatever their names; n_words, n_removed, removed among them are an error.
 """
 
 from __future__ import annotations
@@ -22,13 +25,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, IntegralType, StructField, StructType
 
 from tilewright.llm.bpe import gather
-from tilewright.llm.jobs import checkpoint
-from tilewright.llm.textkit import NON_SPACE, gram_hashes, mix, rows_of, slices, utf8, winnow, word_hashes, word_spans
+from tilewright.llm.jobs import checkpoint, refuse_columns
+from tilewright.llm.textkit import NON_SPACE, gram_hashes, mix, rows_of, slices, utf8, word_hashes, word_spans
 
 U64 = np.uint64
 TREE_WINDOWS = 150_000
+CODE = 6  # bytes of a word's code
 
 
 def squeezed(text: bytes) -> bytes:
@@ -43,39 +48,66 @@ def _grams(column: pa.Array, k: int):
     return text, offsets, words, first, *gram_hashes(words, first, k)
 
 
+def _anchors(grams: np.ndarray, inside: np.ndarray, window: int, k: int) -> np.ndarray:
+    """For each place that a window could start at, where the least of its grams is, the leftmost of equals."""
+    n, steps = len(grams), window - k + 1
+    g = np.where(inside, grams, ~U64(0))
+    least, place = g[: n - window + 1].copy(), np.arange(n - window + 1)
+    for j in range(1, steps):
+        less = np.flatnonzero(g[j : j + n - window + 1] < least)
+        least[less] = g[less + j]
+        place[less] = less + j
+    return place
+
+
+def _fits(first: np.ndarray, n: int, window: int) -> np.ndarray:
+    """Whether the window from each word on stays inside the row of the word."""
+    return np.arange(n - window + 1) + window <= np.repeat(first[1:], np.diff(first))[: n - window + 1]
+
+
 def leads(texts: DataFrame, window: int, k: int) -> DataFrame:
-    """(lead, row, own, twice): each gram of k words that leads a window, once for a text, with a hash of the text and whether it has the gram twice."""
+    """(lead, row, own, places, windows): each gram of k words that leads windows, once for a text, with a hash of the text, at how many places and how many windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text")):
                 text, offsets, words, first, grams, inside = _grams(batch.column("text").slice(a, b - a), k)
-                kept = np.flatnonzero(winnow(grams, inside, window - k + 1))
-                rows, lead = rows_of(first)[kept], grams[kept]
-                own = word_hashes(text, offsets[:-1], offsets[1:])
+                n = len(words)
+                if n < window:
+                    continue
+                fits = _fits(first, n, window)
+                place = _anchors(grams, inside, window, k)[fits]
+                new = np.ones(len(place), bool)
+                new[1:] = place[1:] != place[:-1]
+                count = np.diff(np.append(np.flatnonzero(new), len(place)))
+                place = place[new]
+                rows, lead = rows_of(first)[place], grams[place]
                 order = np.lexsort((lead, rows))
-                rows, lead = rows[order], lead[order]
+                rows, lead, count = rows[order], lead[order], count[order]
                 new = np.ones(len(rows), bool)
                 new[1:] = (lead[1:] != lead[:-1]) | (rows[1:] != rows[:-1])
-                twice = np.diff(np.append(np.flatnonzero(new), len(rows))) > 1
-                rows, lead = rows[new], lead[new]
+                at = np.flatnonzero(new)
+                own = word_hashes(text, offsets[:-1], offsets[1:])
+                places, windows = np.diff(np.append(at, len(rows))), np.add.reduceat(count, at) if len(at) else count
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead.view(np.int64)), batch.column("row").slice(a, b - a).take(pa.array(rows)), pa.array(own[rows].view(np.int64)), pa.array(twice.astype(np.int32))], ["lead", "row", "own", "twice"]
+                    [pa.array(lead[at].view(np.int64)), batch.column("row").slice(a, b - a).take(pa.array(rows[at])), pa.array(own[rows[at]].view(np.int64)), pa.array(places.astype(np.int32)), pa.array(windows.astype(np.int32))],
+                    ["lead", "row", "own", "places", "windows"],
                 )
 
-    return texts.select("row", "text").mapInArrow(run, "lead long, row long, own long, twice int")
+    return texts.select("row", "text").mapInArrow(run, "lead long, row long, own long, places int, windows int")
 
 
-def packed(texts: DataFrame) -> DataFrame:
-    """(row, id, packed): the text compressed, as it is to be moved."""
+def packed(texts: DataFrame, *keep: str) -> DataFrame:
+    """(row, id, packed) and columns to keep: the text compressed, as it is to be moved."""
+    schema = StructType([*texts.select("row", "id").schema, StructField("packed", BinaryType()), *texts.select(*keep).schema])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in slices(batch.column("text"), 4 << 20):
                 data = [None if t is None else squeezed(t) for t in batch.column("text").slice(a, b - a).cast(pa.binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(data, pa.binary())], ["row", "id", "packed"])
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(data, pa.binary()), *[batch.column(c).slice(a, b - a) for c in keep]], schema.names)
 
-    return texts.select("row", "id", "text").mapInArrow(run, "row long, id long, packed binary")
+    return texts.select("row", "id", "text", *keep).mapInArrow(run, schema)
 
 
 def unpacked(column: pa.Array) -> list[bytes | None]:
@@ -97,8 +129,7 @@ def _pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.RecordB
 
 
 def _suffix_runs(found: DataFrame, window: int, k: int) -> DataFrame:
-    """Runs of windows under one repeated lead: (lead, row, id, start, codes of the words), or (row, id, start, key of the run, hashes of its windows) if the lead is heavy."""
-    w = window - k + 1
+    """Suffixes at anchors with a shared prefix: (lead, row, id, at, back, count, codes) with ``back`` words before them for ``count`` windows; with a lengthened prefix: (row, id, at, key of the run, hashes of its windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,60 +144,85 @@ def _suffix_runs(found: DataFrame, window: int, k: int) -> DataFrame:
                 known = mix(flat.field("lead").to_numpy(zero_copy_only=False).view(U64)) + np.repeat(np.arange(len(counts)), counts).astype(U64)
                 by_key = np.argsort(known)
                 known, weight = known[by_key], 1 + flat.field("heavy").to_numpy(zero_copy_only=False).astype(np.int8)[by_key]
-                whole, fits = gram_hashes(words, first, window)
-                fits = fits[: n - window + 1]
-                g = np.where(inside, grams | U64(1), ~U64(0))
-                least, place = g[: n - window + 1].copy(), np.arange(n - window + 1)
-                for j in range(1, w):
-                    less = g[j : j + n - window + 1] < least
-                    least = np.where(less, g[j : j + n - window + 1], least)
-                    place[less] = np.flatnonzero(less) + j
+                place = _anchors(grams, inside, window, k)
                 rows = rows_of(first)[: n - window + 1]
                 asked = mix(grams[place]) + rows.astype(U64)
                 hit = np.minimum(np.searchsorted(known, asked), len(known) - 1)
-                kind = np.where(fits & (known[hit] == asked), weight[hit], 0)
+                kind = np.where(_fits(first, n, window) & (known[hit] == asked), weight[hit], 0)
                 for weight_ in (1, 2):
                     own = np.flatnonzero(kind == weight_)
                     if not len(own):
                         continue
                     new = np.ones(len(own), bool)
-                    new[1:] = (np.diff(own) > 1) | (grams[place[own[1:]]] != grams[place[own[:-1]]]) | (np.diff(rows[own]) > 0)
+                    parts = place[own] if weight_ == 1 else grams[place[own]]
+                    new[1:] = (np.diff(own) > 1) | (parts[1:] != parts[:-1]) | (np.diff(rows[own]) > 0)
                     begin, count = own[new], np.diff(np.append(np.flatnonzero(new), len(own)))
                     r, length = rows[begin], count + window - 1
                     inside_run = gather(begin, length)
-                    at = [part.column("row").take(pa.array(r)), part.column("id").take(pa.array(r)), pa.array((begin - first[r]).astype(np.int32))]
+                    named = [part.column("row").take(pa.array(r)), part.column("id").take(pa.array(r))]
+                    none = lambda kind, m=len(begin): pa.nulls(m, kind)
                     if weight_ == 1:
-                        codes = words.astype(np.uint32)[inside_run]
-                        bounds = np.concatenate([[0], np.cumsum(length * 4)]).astype(np.int32)
+                        codes = np.ascontiguousarray(words[inside_run].view(np.uint8).reshape(-1, 8)[:, :CODE])
+                        bounds = np.concatenate([[0], np.cumsum(length * CODE)]).astype(np.int32)
                         data = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(codes.tobytes())])
-                        columns = [pa.array(grams[place[begin]].view(np.int64)), *at, data, pa.nulls(len(begin), pa.int64()), pa.nulls(len(begin), pa.list_(pa.int64()))]
+                        anchor = place[begin]
+                        columns = [pa.array(grams[anchor].view(np.int64)), *named, pa.array((anchor - first[r]).astype(np.int32)), pa.array((anchor - begin).astype(np.int32)), pa.array(count.astype(np.int32)), data, none(pa.int64()), none(pa.list_(pa.int64()))]
                     else:
                         turn = inside_run - np.repeat(begin, length)
                         key = mix(np.add.reduceat(mix(words[inside_run] + turn.astype(U64)), np.cumsum(length) - length) + length.astype(U64))
+                        whole, _ = gram_hashes(words, first, window)
                         windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(whole[own].view(np.int64)))
-                        columns = [pa.nulls(len(begin), pa.int64()), *at, pa.nulls(len(begin), pa.binary()), pa.array(key.view(np.int64)), windows]
-                    yield pa.RecordBatch.from_arrays(columns, ["lead", "row", "id", "start", "codes", "key", "windows"])
-
-    return found.mapInArrow(run, "lead long, row long, id long, start int, codes binary, key long, windows array<long>")
-
-
-def _subtree(leads_: np.ndarray, rows: np.ndarray, ids: np.ndarray, starts: np.ndarray, codes: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and start of each window that repeats an earlier one, of the suffixes of some groups."""
-    lengths = np.array([len(c) // 4 for c in codes])
-    flat = np.frombuffer(b"".join(codes), np.uint32)
-    count = lengths - window + 1
-    of = np.repeat(np.arange(len(codes)), count)
-    within = gather(np.zeros(len(codes), np.int64), count)
-    at = (np.cumsum(lengths) - lengths)[of] + within
-    start = starts[of] + within
-    pairs = [flat[at + j].astype(U64) << U64(32) | (flat[at + j + 1] if j + 1 < window else np.uint32(0)) for j in range(0, window, 2)]
-    order = np.lexsort((start, rows[of], ids[of], *pairs[::-1], leads_[of]))  # the leaves from left to right
-    same = np.ones(max(0, len(order) - 1), bool)  # whether neighbours agree to the depth of a window
-    for column in (leads_[of], *pairs):
-        c = column[order]
-        same &= c[1:] == c[:-1]
-    repeat = order[1:][same]
-    return rows[of][repeat], start[repeat]
+                        columns = [none(pa.int64()), *named, pa.array((begin - first[r]).astype(np.int32)), none(pa.int32()), none(pa.int32()), none(pa.binary()), pa.array(key.view(np.int64)), windows]
+                    yield pa.RecordBatch.from_arrays(columns, ["lead", "row", "id", "at", "back", "count", "codes", "key", "windows"])
+
+    return found.mapInArrow(run, "lead long, row long, id long, at int, back int, count int, codes binary, key long, windows array<long>")
+
+
+class SuffixTree:
+    """The suffixes of some prefixes in order, and how long a prefix each shares with the one before: the nodes at any depth."""
+
+    def __init__(self, lead: np.ndarray, words: np.ndarray):
+        self.order = np.lexsort([*words.T[::-1], lead])
+        ordered, led = words[self.order], lead[self.order]
+        same = np.logical_and.accumulate(ordered[1:] == ordered[:-1], axis=1).sum(1)
+        self.common = np.where(led[1:] == led[:-1], same, -1)
+
+    def nodes(self, depth: int) -> np.ndarray:
+        """The number of the node at this depth above each suffix."""
+        out = np.zeros(len(self.order), np.int64)
+        out[self.order[1:]] = np.cumsum(self.common < depth)
+        return out
+
+
+def repeated_windows(lead: np.ndarray, row: np.ndarray, id_: np.ndarray, at: np.ndarray, back: np.ndarray, count: np.ndarray, codes: list[bytes], window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and start of each window, of the suffixes of some prefixes, that an earlier one equals."""
+    lengths = count + window - 1
+    flat = np.zeros((int(lengths.sum()), 8), np.uint8)
+    flat[:, :CODE] = np.frombuffer(b"".join(codes), np.uint8).reshape(-1, CODE)
+    flat = flat.view(np.int64).ravel()
+    anchor = np.cumsum(lengths) - lengths + back
+    ahead, behind = np.arange(window), np.arange(window - k)
+    # what a suffix doesn't carry is a word of its own, and none of its windows reaches that far
+    right = np.where(ahead < (lengths - back)[:, None], flat[np.minimum(anchor[:, None] + ahead, len(flat) - 1)], -1)
+    left = np.where(behind < back[:, None], flat[np.maximum(anchor[:, None] - 1 - behind, 0)], -1)
+    after, before = SuffixTree(lead, right), SuffixTree(lead, left)
+    rank = np.empty(len(row), np.int64)
+    rank[np.lexsort((at, row, id_))] = np.arange(len(row))
+    rows, starts = [], []
+    for o in range(window - k + 1):
+        own = np.flatnonzero((back >= o) & (back - o < count))
+        if len(own) < 2:
+            continue
+        pair = after.nodes(window - o)[own] * len(row) + before.nodes(o)[own]
+        order = np.lexsort((rank[own], pair))
+        own, pair = own[order], pair[order]
+        new = np.ones(len(own), bool)
+        new[1:] = pair[1:] != pair[:-1]
+        earliest = own[np.maximum.accumulate(np.where(new, np.arange(len(own)), 0))]
+        again = own[(row[own] != row[earliest]) | (at[own] != at[earliest])]  # rows that are one document hold a window twice
+        rows.append(row[again])
+        starts.append(at[again] - o)
+    return (np.concatenate(rows), np.concatenate(starts)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _intervals(row: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatch:
@@ -178,33 +234,40 @@ def _intervals(row: np.ndarray, start: np.ndarray, window: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([pa.array(row[new]), pa.array(start[new].astype(np.int32)), pa.array((start[last] + window).astype(np.int32))], ["row", "low", "high"])
 
 
-def repeats(texts: DataFrame, window: int, k: int, group: int) -> DataFrame:
-    """(row, low, high): spans of words that repeated windows cover. texts: (row, id, text)."""
-    base = checkpoint(texts.select("row", "id", F.md5(F.col("text").cast("binary")).alias("copy"), F.regexp_count("text", F.lit("[^\\x20\\x09-\\x0D]+")).alias("n")).filter(F.col("n") >= window))
+def repeats(texts: DataFrame, window: int, k: int, group: int, ordered: DataFrame | None) -> DataFrame:
+    """(row, id, low, high): spans of words that repeated windows cover, high perhaps beyond the end. texts: (row, id, text); ordered: (row, id) where texts have no ids of their own."""
+    base = texts.select("row", *([] if ordered is not None else ["id"]), F.md5(F.col("text").cast("binary")).alias("copy"))
+    base = checkpoint(base.join(ordered, "row") if ordered is not None else base)
     firsts = base.groupBy("copy").agg(F.min(F.struct("id", "row")).alias("first"))
-    later = checkpoint(base.join(firsts, "copy").filter(F.col("row") != F.col("first.row")).select("row", F.lit(0).alias("low"), F.col("n").cast("int").alias("high")))
+    later = checkpoint(base.join(firsts, "copy").filter(F.col("row") != F.col("first.row")).select("row", "id", F.lit(0).alias("low"), F.lit((1 << 31) - 1).alias("high")).distinct())
 
     led = leads(texts, window, k)
-    counted = led.groupBy("lead").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("runs"))
-    shared = counted.filter("a <> b OR twice = 1").select("lead", (F.col("runs") > group).alias("heavy"))
-    marked = led.select("lead", "row").join(shared, "lead").groupBy("row").agg(F.collect_list(F.struct("lead", "heavy")).alias("leads"))
-    marked = checkpoint(marked.join(later.select("row"), "row", "left_anti"))
+    counted = led.groupBy("lead").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.max("places").alias("places"), F.sum("windows").alias("windows"))
+    shared = counted.filter("a <> b OR places > 1").select("lead", (F.col("windows") > group).alias("heavy"))
+    marked = led.select("lead", "row").join(shared, "lead").groupBy("row").agg(F.collect_set(F.struct("lead", "heavy")).alias("leads"))
+    marked = checkpoint(marked.join(later.select("row").distinct(), "row", "left_anti"))
     found = packed(texts).join(marked, "row")
-    runs = checkpoint(_suffix_runs(found, window, k))
+    if ordered is not None:
+        found = found.drop("id").join(ordered, "row")
+    runs = checkpoint(_suffix_runs(found.select("row", "id", "packed", "leads"), window, k))
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def grown(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
             t = pa.Table.from_batches(rows)
             ids = t.column("id").fill_null(-(1 << 63))
-            return _intervals(*_subtree(t.column("lead").to_numpy(), t.column("row").to_numpy(), ids.to_numpy(), t.column("start").to_numpy().astype(np.int64), t.column("codes").to_pylist(), window), window)
+            numbers = [t.column(c).to_numpy().astype(np.int64) for c in ("at", "back", "count")]
+            rows_, starts = repeated_windows(t.column("lead").to_numpy(), t.column("row").to_numpy(), ids.to_numpy(), *numbers, t.column("codes").to_pylist(), window, k)
+            return _intervals(rows_, starts, window)
 
         held, size = [], 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             lead = batch.column("lead").to_numpy()
             edges = np.flatnonzero(lead[1:] != lead[:-1]) + 1
-            sizes = np.concatenate([[0], np.cumsum(batch.column("codes").cast(pa.binary()).to_pandas().str.len().to_numpy() // 4 - window + 1)]) if batch.num_rows else np.zeros(1)
+            sizes = np.concatenate([[0], np.cumsum(batch.column("count").to_numpy())])
             at = 0
-            if held and batch.num_rows and held[-1].column("lead")[-1].as_py() != lead[0] and size >= TREE_WINDOWS:
+            if held and held[-1].column("lead")[-1].as_py() != lead[0] and size >= TREE_WINDOWS:
                 yield grown(held)
                 held, size = [], 0
             for edge in edges.tolist():
@@ -217,27 +280,34 @@ def repeats(texts: DataFrame, window: int, k: int, group: int) -> DataFrame:
         if held:
             yield grown(held)
 
-    light = runs.filter("lead IS NOT NULL").select("lead", "row", "id", "start", "codes").repartition("lead").sortWithinPartitions("lead")
+    light = runs.filter("lead IS NOT NULL").select("lead", "row", "id", "at", "back", "count", "codes").repartition("lead").sortWithinPartitions("lead")
     below = light.mapInArrow(trees, "row long, low int, high int")
-    # runs of heavy leads: of equal runs all but the first repeat; the first ones are compared window by window
-    heavy = runs.filter("key IS NOT NULL").select("key", F.struct("id", "row", "start").alias("at"), "windows")
+    # runs of lengthened prefixes: of equal runs all but the first repeat; the first ones are compared window by window
+    heavy = runs.filter("key IS NOT NULL").select("key", F.struct("id", "row", F.col("at").alias("start")).alias("at"), "windows")
     equal = heavy.groupBy("key").agg(F.min("at").alias("first"))
     joined = checkpoint(heavy.join(equal, "key").select("at", (F.col("at") == F.col("first")).alias("leads"), F.size("windows").alias("n"), F.when(F.col("at") == F.col("first"), F.col("windows")).alias("windows")))
     again = joined.filter("NOT leads").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + F.col("n") + window - 1).alias("high"))
     single = joined.filter("leads").select("at", F.posexplode("windows").alias("step", "window")).select("window", F.struct(F.col("at.id").alias("id"), F.col("at.row").alias("row"), (F.col("at.start") + F.col("step")).alias("start")).alias("at"))
     earliest = single.groupBy("window").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("window", "first")
     met = single.join(earliest, "window").filter("at <> first").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + window).alias("high")).unionByName(again)
-    return below.unionByName(met).unionByName(later)
+    return below.unionByName(met).unionByName(later.select("row", "low", "high"))
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, k: int = 8, group: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, k: int = 8, group: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with the text as its kept words joined by a blank, and n_words long, n_removed long, removed array<struct<low, high>>."""
+    refuse_columns(docs, "n_words", "n_removed", "removed")
     inner = [c for c in docs.columns if c not in (id_col, text_col)]
-    kind = dict(docs.dtypes)[id_col]
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    texts = numbered.select(F.col("__row").alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeats(texts.filter("text IS NOT NULL"), window, k, group).groupBy("row").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    moved = packed(texts).join(spans, "row", "left")
+    number = isinstance(docs.schema[id_col].dataType, IntegralType)
+    doc, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
+    rest = F.struct(*[F.col(f"`{c}`") for c in inner], *([] if number else [doc])) if inner or not number else F.lit(None).cast("int")
+    texts = docs.select(F.xxhash64(doc, text).alias("row"), (doc if number else F.lit(None)).cast("long").alias("id"), text.alias("text"), rest.alias("rest"), *([] if number else [doc.alias("doc")]))
+    there = texts.filter("text IS NOT NULL")
+    ordered = None
+    if not number:  # documents numbered in the order of their ids
+        ordered = checkpoint(there.select("doc", "row").distinct().orderBy("doc", "row").select("row", F.monotonically_increasing_id().alias("id")))
+    spans = repeats(there.select("row", "id", "text"), window, k, group, ordered).groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+    moved = packed(texts, "rest").join(spans, "row", "left")
+    removed_kind = pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,11 +317,12 @@ def dedup_substrings(docs: DataFrame, window: int = 20, k: int = 8, group: int =
                     words = [] if text is None else text.split()
                     n_words.append(len(words))
                     runs, at, out = [], 0, []
-                    for s in sorted(own or [], key=lambda s: (s["low"], s["high"])):
+                    for s in sorted(own or [], key=lambda s: (s["low"], s["high"])) if len(words) >= window else []:
+                        high = min(s["high"], len(words))
                         if runs and s["low"] <= runs[-1]["high"]:
-                            runs[-1]["high"] = max(runs[-1]["high"], s["high"])
+                            runs[-1]["high"] = max(runs[-1]["high"], high)
                         else:
-                            runs.append({"low": s["low"], "high": s["high"]})
+                            runs.append({"low": s["low"], "high": high})
                     for s in runs:
                         out += words[at : s["low"]]
                         at = s["high"]
@@ -260,13 +331,11 @@ def dedup_substrings(docs: DataFrame, window: int = 20, k: int = 8, group: int =
                     n_removed.append(len(words) - len(out))
                     removed.append(runs)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("id"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))],
-                    ["row", "id", "text", "n_words", "n_removed", "removed"],
+                    [part.column("id"), part.column("rest"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(removed, removed_kind)],
+                    ["id", "rest", "text", "n_words", "n_removed", "removed"],
                 )
 
-    done = moved.mapInArrow(run, "row long, id long, text string, n_words long, n_removed long, removed array<struct<low:int,high:int>>")
-    named = [F.col("id").cast(kind).alias(id_col), F.col("text").alias(text_col)]
-    if inner:
-        rest = numbered.select(F.col("__row").alias("row"), F.struct(*[F.col(f"`{c}`") for c in inner]).alias("rest"))
-        done = done.join(rest, "row")
-    return done.select(*named, *[F.col(f"rest.`{c}`") for c in inner], "n_words", "n_removed", "removed")
+    made = "text string, n_words long, n_removed long, removed array<struct<low:int,high:int>>"
+    done = moved.select("row", "id", "packed", "rest", "spans").mapInArrow(run, StructType([*texts.select("id", "rest").schema, *StructType.fromDDL(made)]))
+    own = {text_col: F.col("text"), **({id_col: F.col("id").cast(docs.schema[id_col].dataType)} if number else {})}
+    return done.select(*[own.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns], "n_words", "n_removed", "removed")
