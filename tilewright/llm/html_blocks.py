@@ -4,12 +4,15 @@ A page is cut into blocks: the text between two block-level tags, with the path
 their classes and ids). A bidirectional LSTM in numpy reads the blocks of a page in order, each as the sum of its path's vectors, the mean of
 its hashed words' vectors and a few measures, and labels each one as main text or not, so that all of a page bears on each of its blocks.
 
-It is trained here, on generated pages of many layouts and on a bounded sample of the given ones (``rows``), whose blocks are labelled by
-what their path says, where it says something. Labelling is one pass without a shuffle.
-
-Defined cases: a null or empty page has an empty text; tags that are never closed end with what surrounds them; scripts, styles, the head
-and comments of the markup are no blocks; a character reference is decoded once; very long pages are read whole; repeated rows get the same
-text; other columns are passed through.
+It is trained here, on a bounded sample of the given pages (``rows``) and on generated pages of many layouts, made of the sample's own texts. What
+boxes are called labels the blocks in training, where it says something. But in half of the lessons a page's names are hidden or replaced by meaningless ones
+and its boxes are all alike, so the labels have to be found from words, links, length, place and what stands around. Labelling is one pass
+without a shuffle.
+
+Defined cases: a null or empty page has an empty text; tags that are never closed end with what surrounds them, a tag or comment that the
+page's end cuts off with the page; a quote that is never closed is no quote; scripts, styles, the head and its title, and comments of the
+markup are no blocks; a character reference is decoded once; pages without main text have an empty one; very long pages are read whole; repeated
+rows get the same text. Other columns are passed through; columns called like those added are an error.
 """
 
 from __future__ import annotations
@@ -25,36 +28,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.jobs import bounded_sample
+from tilewright.llm.jobs import bounded_sample, refuse_columns
 from tilewright.llm.textkit import NON_SPACE, rows_of, slices, utf8, word_hashes, word_spans
 
 PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN, MEASURES = 1 << 11, 1 << 12, 24, 12, 16, 5
 
 #: Elements that stand inside a line of text, elements whose content is never text, and elements without content.
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
-RAW = ("script", "style", "noscript", "template", "textarea", "svg", "iframe")
+RAW = ("script", "style", "title", "noscript", "template", "textarea", "svg", "iframe")
 EMPTY = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: Names in a path that tell what is below it.
 SIDE = {"nav", "navbar", "menu", "header", "masthead", "footer", "aside", "sidebar", "form", "ad", "ads", "advert", "advertisement", "banner", "promo", "sponsored", "cookie", "consent", "notice", "popup", "newsletter", "subscribe", "share", "social", "related", "breadcrumb", "breadcrumbs", "comment", "comments", "reply", "replies", "discussion", "button", "select", "login", "search", "copyright"}
 MAIN = {"article", "main", "content", "post", "entry", "story", "body-text"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Elements that keep their name where a page's boxes are made alike.
+PLAIN = {"html", "body", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "table", "thead", "tbody", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption"}
+#: Words that turn a name into one about something else on the page.
+ABOUT = {"has", "no", "with", "without", "hide", "show", "toggle"}
+
+#: A quote opens a value only behind an equals sign, and closes it only before white space or the tag's end.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*"[^"]*"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*+)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in (*RAW, "head")}
+_ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in (*RAW, "head")}
 
 
 @dataclass
 class Block:
+    """path: the open elements, the words of their names with a dot before; told: whether it is main text as the names say, -1 if they don't."""
+
     path: tuple[str, ...]
     text: str
     linked: int
+    told: int = -1
 
 
 @dataclass
 class _Open:
     tag: str
     names: tuple[str, ...]
+    told: int
+
+
+def _told(tag: str, attributes: str, above: int) -> tuple[tuple[str, ...], int]:
+    """The words of an element's names, and what they and those above it say. What is beside the main text stays so; a header within it belongs to it."""
+    each = [_NAME.findall(name) for g in _NAMED.findall(attributes) for name in "".join(g).lower().split()]
+    names = tuple(w for words in each for w in words)
+    if above == 0 or tag in ("html", "body"):
+        return names, above
+    said = {tag, *[w for words in each if not ABOUT.intersection(words) for w in words]}
+    side = said & SIDE - ({"header", "masthead"} if above == 1 else set())
+    return names, 0 if side else 1 if said & MAIN else above
 
 
 def blocks_of(page: str | None) -> list[Block]:
@@ -69,7 +93,7 @@ def blocks_of(page: str | None) -> list[Block]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(n for o in stack for n in (o.tag, *o.names)), text, linked))
+            out.append(Block(tuple(n for o in stack for n in (o.tag, *["." + w for w in o.names])), text, linked, stack[-1].told if stack else -1))
         parts.clear()
         linked = 0
 
@@ -115,17 +139,26 @@ def blocks_of(page: str | None) -> list[Block]:
         elif tag not in EMPTY:
             if stack and (stack[-1].tag == "p" or stack[-1].tag == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th")):
                 stack.pop()
-            named = tuple(w for g in _NAMED.findall(m.group(3)) for w in _NAME.findall("".join(g).lower()))
-            stack.append(_Open(tag, named))
+            stack.append(_Open(tag, *_told(tag, m.group(3), stack[-1].told if stack else -1)))
     flush()
     return out
 
 
-def told_label(path: tuple[str, ...]) -> int:
-    """1 or 0 as the path says, -1 if it doesn't."""
-    if SIDE.intersection(path):
-        return 0
-    return 1 if MAIN.intersection(path) else -1
+def made_alike(page: list[Block], random: np.random.Generator) -> list[Block]:
+    """The page with its boxes alike, and their names gone or, half of the time, replaced by meaningless ones."""
+    renamed: dict[str, str] = {}
+    named = random.random() < 0.5
+
+    def path(own: tuple[str, ...]) -> Iterator[str]:
+        for name in own:
+            if not name.startswith("."):
+                yield name if name in PLAIN else "div"
+            elif named:
+                if name not in renamed:
+                    renamed[name] = f".x{int(random.integers(1 << 20))}"
+                yield renamed[name]
+
+    return [Block(tuple(path(b.path)), b.text, b.linked, b.told) for b in page]
 
 
 def bucket(name: str, size: int) -> int:
@@ -252,29 +285,49 @@ class Net:
         return float(-np.log(np.where(batch.labels == 1, p, 1 - p)[told] + 1e-12).mean()) if told.any() else 0.0
 
 
-def generated_page(random: np.random.Generator, words: list[str]) -> str:
-    """A page of a random layout, whose paths tell the labels."""
+@dataclass
+class Texts:
+    """What generated pages are made of: short and longer texts, of the main text and beside it."""
+
+    main: list[str]
+    heads: list[str]
+    side: list[str]
+    links: list[str]
+
+
+def texts_of(pages: list[list[Block]], random: np.random.Generator) -> Texts:
+    """From blocks whose label is told; made-up words where there are none."""
+    soup = lambda low, high: " ".join(f"word{int(k)}" for k in random.integers(0, 400, int(random.integers(low, high))))
+    some = lambda told, short, low, high: [b.text for p in pages for b in p if b.told == told and (len(b.text.split()) < 6) == short][:4000] or [soup(low, high) + ("" if short else ".") for _ in range(200)]
+    return Texts(some(1, False, 6, 80), some(1, True, 2, 6), some(0, False, 6, 25), some(0, True, 1, 5))
+
+
+def generated_page(random: np.random.Generator, texts: Texts) -> str:
+    """A page of a random layout, whose names tell the labels."""
     pick = lambda *options: options[int(random.integers(len(options)))]
-    some = lambda low, high: " ".join(words[int(k)] for k in random.integers(0, len(words), int(random.integers(low, high))))
+    text = lambda of: html.escape(of[int(random.integers(len(of)))])
 
     def box(name: str, inner: str) -> str:
         if name in ("nav", "header", "footer", "aside", "form", "article", "main"):
             return f"<{name}>{inner}</{name}>"
-        return f'<{pick("div", "section")} {pick("class", "id")}="{pick("", "site-", "page-")}{name}">{inner}</div>'
+        tag = pick("div", "section")
+        return f'<{tag} {pick("class", "id")}="{pick("", "site-", "page-")}{name}">{inner}</{tag}>'
 
-    menu = lambda: "<ul>" + "".join(f'<li><a href="#">{some(1, 4)}</a></li>' for _ in range(int(random.integers(2, 9)))) + "</ul>"
-    paragraphs = lambda low, high: "".join(f"<{t}>{some(3, 80)}.</{t}>" for t in [pick("p", "p", "p", "p", "h2", "blockquote") for _ in range(int(random.integers(low, high)))])
+    menu = lambda: "<ul>" + "".join(f'<li><a href="#">{text(texts.links)}</a></li>' for _ in range(int(random.integers(2, 9)))) + "</ul>"
+    lines = lambda of, low, high: "".join(f"<p>{text(of)}</p>" for _ in range(int(random.integers(low, high))))
+    paragraphs = lambda low, high: "".join(f"<{t}>{text(texts.heads if t == 'h2' else texts.main)}</{t}>" for t in [pick("p", "p", "p", "p", "h2", "blockquote", "li") for _ in range(int(random.integers(low, high)))])
     side = {
         "menu": lambda: box(pick("nav", "navbar", "menu", "breadcrumbs"), menu()),
-        "header": lambda: box(pick("header", "masthead", "banner"), f"<h1>{some(1, 4)}</h1><p>{some(2, 9)}</p>"),
-        "ad": lambda: box(pick("ad", "ads", "advert", "promo", "sponsored"), some(2, 25)),
-        "notice": lambda: box(pick("cookie", "notice", "consent", "popup", "newsletter"), f"<p>{some(4, 25)}.</p><button>{some(1, 2)}</button>"),
-        "aside": lambda: box(pick("aside", "sidebar", "related", "social", "share"), f"<h3>{some(1, 4)}</h3>" + pick(menu, lambda: paragraphs(1, 3))()),
-        "form": lambda: box(pick("form", "search", "login", "subscribe"), f"<label>{some(1, 3)}</label><input><button>{some(1, 2)}</button>"),
-        "comments": lambda: box(pick("comments", "comment", "discussion", "replies"), "".join(f"<p>{some(3, 40)}.</p>" for _ in range(int(random.integers(1, 6))))),
-        "footer": lambda: box(pick("footer", "copyright"), f"<p>&copy; {some(2, 15)}</p>"),
+        "header": lambda: box(pick("header", "masthead", "banner"), f"<h1>{text(texts.links)}</h1>" + lines(texts.side, 0, 2)),
+        "ad": lambda: box(pick("ad", "ads", "advert", "promo", "sponsored"), text(texts.side)),
+        "notice": lambda: box(pick("cookie", "notice", "consent", "popup", "newsletter"), f"<p>{text(texts.side)}</p><button>{text(texts.links)}</button>"),
+        "aside": lambda: box(pick("aside", "sidebar", "related", "social", "share"), f"<h3>{text(texts.links)}</h3>" + pick(menu, lambda: lines(texts.side, 1, 3))()),
+        "form": lambda: box(pick("form", "search", "login", "subscribe"), f"<label>{text(texts.links)}</label><input><button>{text(texts.links)}</button>"),
+        "comments": lambda: box(pick("comments", "comment", "discussion", "replies"), f"<h3>{text(texts.links)}</h3>" + lines(texts.side, 1, 6)),
+        "footer": lambda: box(pick("footer", "copyright"), f"<p>{text(texts.side)}</p>"),
     }
-    body = f"<h1>{some(3, 12)}</h1>" + paragraphs(1, 14)
+    title = f"<h1>{text(texts.heads)}</h1>"
+    body = pick(title, f"<header>{title}</header>") + paragraphs(1, 14)
     if random.random() < 0.3:
         body += side[pick("ad", "aside", "notice", "comments")]() + paragraphs(0, 5)
     head = [side[k]() for k in ("menu", "header", "notice", "ad", "form", "aside") if random.random() < 0.45]
@@ -282,20 +335,20 @@ def generated_page(random: np.random.Generator, words: list[str]) -> str:
     return f"<html><body>{''.join(head)}{box(pick('article', 'main', 'content', 'post', 'entry', 'story'), body)}{''.join(tail)}{side['footer']()}</body></html>"
 
 
-def fit(pages: list[list[Block]], generated: int = 320, epochs: int = 20, rate: float = 0.12, seed: int = 19) -> Net:
-    """Trains on the pages and as many generated ones as said, made of the pages' words."""
+def fit(pages: list[list[Block]], generated: int = 240, epochs: int = 24, rate: float = 0.12, seed: int = 19) -> Net:
+    """Trains on the pages and as many generated ones as said."""
     random = np.random.default_rng(seed)
-    words = sorted({w for p in pages[:50] for b in p for w in b.text.split()})[:4000] or [f"word{k}" for k in range(400)]
-    every = [*pages, *[blocks_of(generated_page(random, words)) for _ in range(generated)]]
+    texts = texts_of(pages, random)
+    every = [*pages, *[blocks_of(generated_page(random, texts)) for _ in range(generated)]]
     every = [p for p in every if p]
     net = Net.fresh(seed)
     squares = {k: np.full_like(v, 1e-3) for k, v in net.weights.items()}
     for _ in range(epochs):
         order = random.permutation(len(every))
         for at in range(0, len(order), 16):
-            some = [every[i] for i in order[at : at + 16]]
+            some = [made_alike(every[i], random) if random.random() < 0.5 else every[i] for i in order[at : at + 16]]
             batch = features(some)
-            batch.labels = np.array([told_label(b.path) for p in some for b in p])
+            batch.labels = np.array([b.told for p in some for b in p])
             net.learn(batch, squares, rate)
     net.weights = {k: v.astype(np.float32) for k, v in net.weights.items()}
     return net
@@ -330,6 +383,7 @@ def label(net: Net, pages: list[list[Block]]) -> list[np.ndarray]:
 def extract(pages: DataFrame, net: Net, html_col: str = "html", keep: list[str] | None = None, out: str = "text") -> DataFrame:
     """The columns ``keep`` (all but the html, if None), the main text as ``out``, and n_blocks and n_main int."""
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
+    refuse_columns(pages.select(*[F.col(f"`{c}`") for c in keep]), out, "n_blocks", "n_main", "__html")
     narrow = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias("__html"))
     schema = narrow.drop("__html").withColumns({out: F.lit(""), "n_blocks": F.lit(0), "n_main": F.lit(0)}).schema
 
