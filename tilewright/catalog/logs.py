@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.catalog import views as V
 from tilewright.operators import logs as L
 
+CACHE_KINDS = ["cache-lookup", "cache-hit", "memory-hit", "shared", "persistent-hit", "persistent-write"]
 KINDS = {"click": "request", "view": "in-flight", "purchase": "response", "error": "failure", "signup": "cancellation"}
 
 
@@ -40,7 +41,10 @@ def failure_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def provider_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.provider_metrics(_log(spark, sf_dir).withColumn("bytes", F.col("duration_ms") * 10), ["provider"])
+    """Every third event is one of a cache."""
+    caches = F.element_at(F.array(*[F.lit(k) for k in CACHE_KINDS]), (1 + F.col("seq") % len(CACHE_KINDS)).cast("int"))
+    log = _log(spark, sf_dir).withColumns({"bytes": F.col("duration_ms") * 10, "kind": F.when(F.col("seq") % 3 == 0, caches).otherwise(F.col("kind"))})
+    return L.provider_metrics(log, ["provider"])
 
 
 def classify_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +119,9 @@ def cache_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.route_audit(_log(spark, sf_dir), "provider")
+    log = _log(spark, sf_dir).withColumns({"ts_ms": F.col("seq") * 700, "z": (F.col("seq") % 4).cast("int")})
+    out = L.route_audit(log, "provider", {"ride": (500_000, 2_000_000)})
+    return out.withColumn("starts_by_zoom", F.array_join(F.transform(F.map_entries("starts_by_zoom"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ","))
 
 
 QUERIES = {f.__name__: f for f in (duration_summary, timings_by_host, failure_counts, provider_metrics, classify_failures, cache_identity, expand_tile_urls, coalesce_demand, rolling_frame_window, revision_changes, cut_churn, running_load, repeat_requests, provider_outages, reconcile_requirements, reuse_by_revision, cache_outcomes, route_audit)}
@@ -126,7 +132,7 @@ ORACLES = {
     "duration_summary": f"WITH {LOG} SELECT key, {_SUM('value', '(ts_ms, seq)')} FROM log GROUP BY key",
     "timings_by_host": f"WITH t AS (SELECT page_id, CASE WHEN page_id % 5 > 0 THEN url END AS url, strlen(html) AS b, (page_id % 97)::DOUBLE AS d FROM pages) SELECT CAST(ceil(page_id / 30.0) AS BIGINT) * 30 AS until, coalesce(nullif(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1), ''), 'same-origin') AS host, count(*) AS requests, sum(b)::BIGINT AS transfer_bytes, sum(2 * b)::BIGINT AS encoded_bytes, {_SUM('d', '(page_id, url)')} FROM t GROUP BY 1, 2",
     "failure_counts": f"WITH {LOG}, f AS (SELECT * FROM log WHERE kind = 'failure'), c AS (SELECT key, status, count(*) AS n FROM f GROUP BY ALL), l AS (SELECT key, arg_max_null(status, seq) AS last_status FROM f GROUP BY key) SELECT c.key, coalesce(string_agg(status || ':' || n, ',' ORDER BY status) FILTER (status IS NOT NULL), '') AS counts, coalesce(sum(n) FILTER (status IS NULL), 0)::BIGINT AS opaque, any_value(last_status) AS last_status FROM c JOIN l USING (key) GROUP BY c.key",
-    "provider_metrics": f"WITH {LOG} SELECT provider, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'in-flight') AS loads, count(*) FILTER (kind = 'response') AS responses, count(*) FILTER (kind = 'failure') AS failures, count(*) FILTER (kind = 'cancellation') AS cancellations, coalesce(sum(duration_ms * 10) FILTER (kind = 'response'), 0)::BIGINT AS bytes, count(*) FILTER (kind = 'response') * 262144 AS decoded_bytes FROM log GROUP BY provider",
+    "provider_metrics": f"WITH {LOG}, k AS (SELECT provider, duration_ms, CASE WHEN seq % 3 = 0 THEN {CACHE_KINDS}[1 + seq % 6] ELSE kind END AS kind FROM log) SELECT provider, count(*) FILTER (kind = 'request') AS requests, count(*) FILTER (kind = 'in-flight') AS loads, count(*) FILTER (kind = 'response') AS responses, count(*) FILTER (kind = 'failure') AS failures, count(*) FILTER (kind = 'cancellation') AS cancellations, count(*) FILTER (kind = 'cache-lookup') AS cache_lookups, count(*) FILTER (kind = 'cache-hit') AS cache_hits, count(*) FILTER (kind = 'memory-hit') AS memory_hits, count(*) FILTER (kind = 'shared') AS shared, count(*) FILTER (kind = 'persistent-hit') AS persistent_hits, count(*) FILTER (kind = 'persistent-write') AS persistent_writes, coalesce(sum(duration_ms * 10) FILTER (kind = 'response'), 0)::BIGINT AS bytes, count(*) FILTER (kind = 'response') * 262144 AS decoded_bytes FROM k GROUP BY provider",
     "classify_failures": f"WITH {LOG}, c AS (SELECT seq, CASE WHEN status IS NULL THEN provider = 1 OR seq % 4 = 0 WHEN status = 404 THEN false WHEN provider = 1 THEN true ELSE status IN (400, 401, 403, 410, 429) OR status >= 500 END AS systemic, coalesce(status NOT IN (400, 401, 403, 410, 404), true) AS retryable FROM log) SELECT *, CASE WHEN NOT retryable THEN CASE WHEN systemic THEN 'provider' ELSE 'tile' END END AS scope FROM c",
     "cache_identity": """WITH p AS (SELECT page_id, url, split_part(CASE WHEN page_id % 6 = 0 THEN replace(url, '.com/', '.com:8443/') ELSE url END, '#', 1) AS u, strlen(html) AS body, [NULL, 'public, max-age=60', 'no-store', 'private, max-age=5'][1 + page_id % 4] AS control FROM pages),
 q AS (SELECT *, list_sort(list_filter(string_split(split_part(u, '?', 2), '&'), lambda x: x <> '' AND split_part(x, '=', 1) <> 'ref')) AS kept, CASE WHEN control LIKE '%no-store%' OR control LIKE 'private%' THEN 0 WHEN control IS NOT NULL THEN 60000 WHEN page_id % 8 = 0 THEN 5000 ELSE 86400000 END AS life FROM p)
@@ -142,5 +148,9 @@ SELECT page_id, life AS lifetime_ms, page_id % 7 <> 0 AND page_id % 3 <> 0 AND b
     "reconcile_requirements": "SELECT p_partkey AS key, CASE WHEN p_partkey % 2 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'ready' ELSE 'in-flight' END END AS state, CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 2 = 0 THEN 'keep' WHEN p_partkey % 3 <> 0 THEN 'request' WHEN p_size % 2 = 0 THEN 'discard' ELSE 'cancel' END AS action FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0",
     "reuse_by_revision": "SELECT p_partkey AS key, CASE WHEN p_partkey % 3 <> 0 THEN CASE WHEN p_partkey % 2 = 0 AND p_partkey % 6 > 0 AND p_partkey % 6 >= p_size % 5 THEN 'reuse' ELSE 'new' END WHEN p_partkey % 4 = 0 THEN 'keep' ELSE 'free' END AS action FROM part WHERE p_partkey % 3 <> 0 OR p_partkey % 2 = 0",
     "cache_outcomes": f"WITH {LOG}, e AS (SELECT key, provider, seq, seq * 700 AS ts, seq * 700 + duration_ms AS fin, status FROM log), w AS (SELECT *, max(CASE WHEN status BETWEEN 200 AND 299 THEN fin + 60000 END) OVER h AS fresh, max(fin) OVER h AS flight, max(CASE WHEN status IN (429, 503) THEN fin + 5000 END) OVER c AS cool FROM e WINDOW h AS (PARTITION BY key ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c AS (PARTITION BY provider ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT seq, CASE WHEN fresh > ts THEN 'HIT' WHEN cool > ts AND provider = 1 THEN 'FALLBACK' WHEN flight > ts THEN 'COALESCED' WHEN coalesce(status IN (429, 503), false) AND provider = 1 THEN 'FALLBACK' ELSE 'MISS' END AS outcome FROM w",
-    "route_audit": f"WITH {LOG}, c AS (SELECT provider, count(*) FILTER (kind = 'request') AS starts, count(*) FILTER (kind = 'response') AS successes, count(*) FILTER (kind = 'cancellation') AS aborts, count(*) FILTER (kind = 'failure') AS failures, count(DISTINCT key) FILTER (kind = 'request') AS unique_keys FROM log GROUP BY provider) SELECT *, greatest(0, starts - successes - aborts - failures) AS pending, starts - unique_keys AS duplicates FROM c",
+    "route_audit": f"""WITH {LOG}, w AS (SELECT provider, key, seq, kind, revision, seq * 700 AS t, seq % 4 AS z, lag(kind) OVER (PARTITION BY provider, key ORDER BY seq) AS last, max(CASE WHEN kind = 'request' THEN revision END) OVER (PARTITION BY provider, key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM log),
+c AS (SELECT provider, count(*) FILTER (kind = 'request') AS starts, count(*) FILTER (kind = 'response') AS successes, count(*) FILTER (kind = 'cancellation') AS aborts, count(*) FILTER (kind = 'failure') AS failures, count(DISTINCT key) FILTER (kind = 'request') AS unique_keys,
+count(*) FILTER (kind = 'request' AND last = 'cancellation') AS restarts, count(*) FILTER (kind = 'response' AND newest > revision) AS stale_successes, count(*) FILTER (kind = 'request' AND t BETWEEN 500000 AND 2000000) AS starts_in_ride, count(*) FILTER (kind = 'request' AND t > 2000000) AS starts_after_ride FROM w GROUP BY provider),
+z AS (SELECT provider, string_agg(z || ':' || n, ',' ORDER BY z) AS starts_by_zoom FROM (SELECT provider, z, count(*) AS n FROM w WHERE kind = 'request' GROUP BY ALL) GROUP BY provider)
+SELECT c.*, starts_by_zoom, greatest(0, starts - successes - aborts - failures) AS pending, starts - unique_keys AS duplicates FROM c LEFT JOIN z USING (provider)""",
 }

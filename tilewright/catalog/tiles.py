@@ -246,8 +246,8 @@ SELECT cut_id, problem, count(*) AS found, round(max(detail), 6) AS worst FROM f
 o AS (SELECT observer_id, lat, lon, radians(lat) AS phi, (observer_id % 40 * 2.5) / (2 * (1000 * (6356.752314245 / 6371.0088::DOUBLE) + observer_id % 40 * 2.5)) AS gap FROM observers),
 w AS (SELECT *, (x + 0.5) / (1 << z)::DOUBLE * 360 - 180 AS centre, {V.tx(z='z')} = x AND {V.ty(z='z')} = y AS underfoot FROM o, t),
 d AS (SELECT *, radians(greatest(0, abs((centre - lon + 180) - floor((centre - lon + 180) / 360) * 360 - 180) - 180 / (1 << z)::DOUBLE)) AS aside FROM w),
-l AS (SELECT *, greatest(atan(sinh(pi() * (1 - 2 * (y + 1) / (1 << z)::DOUBLE))), least(atan(sinh(pi() * (1 - 2 * y / (1 << z)::DOUBLE))), CASE WHEN aside = 0 THEN phi ELSE atan2(sin(phi), cos(phi) * cos(aside)) END)) AS at FROM d)
-SELECT observer_id, z, x, y FROM l WHERE underfoot OR pow(sin((at - phi) / 2), 2) + cos(phi) * cos(at) * pow(sin(aside / 2), 2) <= gap""",
+l AS (SELECT *, greatest(atan(sinh(pi() * (1 - 2 * (y + 1) / (1 << z)::DOUBLE))), least(atan(sinh(pi() * (1 - 2 * y / (1 << z)::DOUBLE))), CASE WHEN aside = 0 THEN phi ELSE atan2(sin(phi), cos(phi) * cos(aside)) END)) AS lt FROM d)
+SELECT observer_id, z, x, y FROM l WHERE underfoot OR pow(sin((lt - phi) / 2), 2) + cos(phi) * cos(lt) * pow(sin(aside / 2), 2) <= gap""",
     "replacement_groups": f"{_TWO}{_GROUPS} SELECT * FROM members",
     "group_dependencies": f"{_TWO}{_EDGES} SELECT * FROM edges",
     "atomic_batches": f"{_TWO}{_EDGES} SELECT * FROM batches",

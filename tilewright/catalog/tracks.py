@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilewright.catalog import views as V
 from tilewright.catalog.tiles import rounded
 from tilewright.operators import tracks as K
+from tilewright.sources.files import TRACK
 
 
 def latest_track_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +97,61 @@ def eclipse_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", *[F.round(c, 3).alias(c) for c in ("sun_distance", "moon_distance", "sun_moon_distance")], F.round("axis_distance", 1).alias("axis_distance"), *[F.round(c, 6).alias(c) for c in ("axis_x", "axis_y", "axis_z")])
 
 
+def relative_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k, s: (F.element_at("embedding", k).cast("double") * s)
+    xyz = lambda first, s: F.struct(*[at(first + k, s).alias(c) for k, c in enumerate("xyz")])
+    v = V.read(spark, sf_dir, "embeddings").select("vec_id", xyz(1, 1e6).alias("body"), xyz(4, 1e4).alias("observer"), (F.col("vec_id") % 50 * 10000).cast("double").alias("radius_km"))
+    out = K.relative_bodies(v, "body", "observer", "radius_km")
+    return out.select("vec_id", F.round("distance", 3).alias("distance"), *[F.round(f"direction.{c}", 6).alias(f"d{c}") for c in "xyz"], F.round("angular_radius", 6).alias("angular_radius"))
+
+
+def visible_planets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _stars(spark, sf_dir).select("vec_id", (F.col("vec_id") % 4 > 0).alias("enabled"), (F.col("magnitude") - 6).alias("magnitude"), (F.col("vec_id") % 7 / 10.0).alias("diameter_deg"))
+    return rounded(K.visible_planets(p).select("vec_id", "strength", "shown_deg", "opacity"), "strength", "shown_deg", "opacity")
+
+
+def eclipse_events_between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("partial", "annular", "total", "hybrid", "lunar")]), (1 + F.col("o_orderkey") % 5).cast("int"))
+    e = V.read(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("solar-"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("-"), kind).alias("event_id"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    return K.eclipse_events_between(e, F.lit("1994-01-01").cast("timestamp"), F.lit("1997-01-01").cast("timestamp")).select("o_orderkey", "event_id", "year", "kind")
+
+
+def valid_orbital_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that miss a field or hold another kind in it, by rules on their numbers."""
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    li = V.read(spark, sf_dir, "lineitem").select(key.alias("key"), F.col("l_partkey").cast("string").alias("part"))
+    off = lambda n: F.col("key") % n == 0
+    fields = [f'"{name}": 1.5' for name in K.NUMBERS if name not in ("NORAD_CAT_ID", "BSTAR", "ECCENTRICITY", "MEAN_MOTION")]
+    record = F.concat(
+        F.when(off(11), F.lit("{")).otherwise('{"OBJECT_NAME": "A", '), F.lit('"OBJECT_ID": "B", "EPOCH": '), F.when(off(13), F.lit("7")).otherwise('"2024-01-01"'), F.lit(', "NORAD_CAT_ID": "'), "part", F.lit('", "BSTAR": '),
+        F.when(off(7), F.lit('" "')).otherwise("-1e-4"), F.lit(', "ECCENTRICITY": '), F.when(off(17), F.lit('"abc"')).otherwise('" .5 "'), F.lit(', "MEAN_MOTION": '), F.when(off(19), F.lit("null")).otherwise("15"), F.lit(", " + ", ".join(fields) + "}"),
+    )
+    good, bad = K.valid_orbital_elements(li.select("key", record.alias("record")))
+    return good.select("key", F.lit(True).alias("valid")).unionByName(bad.select("key", F.lit(False).alias("valid")))
+
+
+def normalise_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of one track for each event, as the reader parses them."""
+    e, k = V.read(spark, sf_dir, "events"), F.col("event_id")
+    some = lambda n, value: F.when(k % n != 0, value)
+    none = F.array().cast("array<double>")
+    line = lambda *v: F.when(k % 7 == 0, none).otherwise(F.array(*[x if not isinstance(x, (int, float)) else F.lit(float(x)) for x in v]).cast("array<double>"))
+    body = F.to_json(F.struct(
+        some(17, F.concat(F.lit(" a"), (k % 50).cast("string"))).alias("id"), F.when(k % 3 == 0, F.lit("  ")).alias("callsign"), F.when(k % 2 == 0, F.concat(F.lit("r"), k.cast("string"))).alias("registration"),
+        F.struct((k % 90).cast("double").alias("latitudeDegrees"), some(19, k % 180).cast("double").alias("longitudeDegrees"), some(4, k % 360).cast("double").alias("courseDegrees"), some(5, k * 3 % 360).cast("double").alias("headingDegrees")).alias("current"),
+        F.struct((k * 1000).cast("double").alias("generatedAtMs"), F.when(k % 2 == 0, k * 1000 + 9).cast("double").alias("validUntilMs"), line(0, 1000, 500, 2000).alias("offsetMs"), line(1, F.when(k % 6 != 0, 2.0), 3, 4).alias("latitudeDegrees"), line(5, 6, 7).alias("longitudeDegrees"), line(90, 91).alias("courseDegrees")).alias("trajectory"),
+    ))
+    tracks = e.select("event_id", F.from_json(body, TRACK).alias("track"), F.lit(1).alias("received_ms"))
+    out = K.normalise_tracks(tracks)
+    last = F.element_at("points", -1)
+    return out.select("event_id", "id", "callsign", "lat", "lon", "course", "heading", F.size("points").alias("points"), last["offset_ms"].alias("last_ms"), last["lat"].alias("last_lat"), last["course"].alias("last_course"), "valid_until_ms")
+
+
 def contact_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.contact_range(V.read(spark, sf_dir, "orders").select((F.col("o_custkey") % 500).alias("event_id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("utc")))
 
 
-QUERIES = {f.__name__: f for f in (latest_track_state, interpolate_tracks, to_earth_fixed, describe_tracks, tracks_within_radius, cap_tracks, expand_groups, merge_catalogues, priority_dedup, visible_stars, asof_ephemeris, eclipse_geometry, contact_range)}
+QUERIES = {f.__name__: f for f in (latest_track_state, interpolate_tracks, to_earth_fixed, describe_tracks, tracks_within_radius, cap_tracks, expand_groups, merge_catalogues, priority_dedup, visible_stars, asof_ephemeris, relative_bodies, visible_planets, eclipse_events_between, valid_orbital_elements, normalise_tracks, eclipse_geometry, contact_range)}
 
 _CAT = "cat AS (SELECT l_suppkey % 4 AS source, CASE WHEN l_quantity <> 1 THEN l_partkey END AS id, l_orderkey * 8 + l_linenumber AS pos, l_suppkey AS fetched_at, l_extendedprice AS value FROM lineitem), ex AS (SELECT g.group_name AS grp, cat.* FROM (SELECT DISTINCT 'g' || (n_nationkey % 3) AS group_name, n_nationkey % 4 AS source FROM nation) g JOIN cat USING (source))"
 _MM = "((b.{c} - a.{c} + 180) - floor((b.{c} - a.{c} + 180) / 360) * 360 - 180)"
@@ -124,4 +175,12 @@ SELECT track, at_ms::DOUBLE AS at_ms, round(alat + (blat - alat) * s, 6) AS lat,
     "asof_ephemeris": "WITH e AS (SELECT event_id AS id, user_id % 5 AS body, event_id * 13 % 100000 AS ts FROM events), s AS (SELECT vec_id % 5 AS body, vec_id * 60 AS ts, vec_id AS sample FROM embeddings) SELECT e.id, e.body, e.ts, s.sample FROM e ASOF LEFT JOIN s ON e.body = s.body AND e.ts >= s.ts",
     "contact_range": "WITH c AS (SELECT o_custkey % 500 AS event_id, epoch(o_orderdate)::BIGINT AS utc FROM orders) SELECT event_id, min(utc) AS first, max(utc) AS last, min(utc) < max(utc) AS valid FROM c GROUP BY 1",
     "eclipse_geometry": "WITH v AS (SELECT vec_id, embedding[1]::DOUBLE * 1e8 AS sx, embedding[2]::DOUBLE * 1e8 AS sy, embedding[3]::DOUBLE * 1e8 AS sz, embedding[4]::DOUBLE * 1e6 AS mx, embedding[5]::DOUBLE * 1e6 AS my, embedding[6]::DOUBLE * 1e6 AS mz FROM embeddings), a AS (SELECT *, sqrt((mx - sx) ** 2 + (my - sy) ** 2 + (mz - sz) ** 2) AS l FROM v), b AS (SELECT *, (mx * (mx - sx) + my * (my - sy) + mz * (mz - sz)) / l AS along FROM a) SELECT vec_id, round(sqrt(sx * sx + sy * sy + sz * sz), 3) AS sun_distance, round(sqrt(mx * mx + my * my + mz * mz), 3) AS moon_distance, round(l, 3) AS sun_moon_distance, round(-along, 1) AS axis_distance, round((mx - sx) / l, 6) AS axis_x, round((my - sy) / l, 6) AS axis_y, round((mz - sz) / l, 6) AS axis_z FROM b",
+    "relative_bodies": "WITH v AS (SELECT vec_id, vec_id % 50 * 10000.0::DOUBLE AS r, embedding[1]::DOUBLE * 1e6 - embedding[4]::DOUBLE * 1e4 AS x, embedding[2]::DOUBLE * 1e6 - embedding[5]::DOUBLE * 1e4 AS y, embedding[3]::DOUBLE * 1e6 - embedding[6]::DOUBLE * 1e4 AS z FROM embeddings), d AS (SELECT *, sqrt(x * x + y * y + z * z) AS d FROM v) SELECT vec_id, round(d, 3) AS distance, round(x / d, 6) AS dx, round(y / d, 6) AS dy, round(z / d, 6) AS dz, CASE WHEN d >= r THEN round(asin(r / d), 6) END AS angular_radius FROM d",
+    "visible_planets": "WITH p AS (SELECT vec_id, embedding[4]::DOUBLE * 20 - 1 AS m, vec_id % 7 / 10.0::DOUBLE AS deg FROM embeddings WHERE vec_id % 4 > 0), s AS (SELECT *, greatest(0, least(1, (6.5::DOUBLE - m) / 11)) AS s FROM p WHERE m <= 6.5) SELECT vec_id, round(s, 6) AS strength, round(deg * (0.85::DOUBLE + 0.2::DOUBLE * s), 6) AS shown_deg, round(0.55::DOUBLE + 0.33::DOUBLE * s, 6) AS opacity FROM s",
+    "eclipse_events_between": "SELECT o_orderkey, 'solar-' || strftime(o_orderdate, '%Y-%m-%d') || '-' || ['partial', 'annular', 'total', 'hybrid'][1 + o_orderkey % 5] AS event_id, year(o_orderdate)::INT AS year, ['partial', 'annular', 'total', 'hybrid'][1 + o_orderkey % 5] AS kind FROM orders WHERE o_orderkey % 5 < 4 AND o_orderdate >= DATE '1994-01-01' AND o_orderdate < DATE '1997-01-01'",
+    "valid_orbital_elements": "WITH k AS (SELECT l_orderkey * 8 + l_linenumber AS key FROM lineitem) SELECT key, key % 11 > 0 AND key % 13 > 0 AND key % 7 > 0 AND key % 17 > 0 AND key % 19 > 0 AS valid FROM k",
+    "normalise_tracks": """WITH e AS (SELECT event_id AS k FROM events WHERE event_id % 17 > 0 AND event_id % 19 > 0), p AS (SELECT k, CASE WHEN k % 4 > 0 THEN k % 360 ELSE 0 END::DOUBLE AS course FROM e)
+SELECT k AS event_id, 'A' || (k % 50) AS id, CASE WHEN k % 2 = 0 THEN 'r' || k ELSE 'a' || (k % 50) END AS callsign, (k % 90)::DOUBLE AS lat, (k % 180)::DOUBLE AS lon, course, CASE WHEN k % 5 > 0 THEN (k * 3 % 360)::DOUBLE ELSE course END AS heading,
+CASE WHEN k % 7 = 0 THEN 1 ELSE 2 END AS points, CASE WHEN k % 7 = 0 THEN 0 WHEN k % 6 = 0 THEN 500 ELSE 1000 END::DOUBLE AS last_ms, CASE WHEN k % 7 = 0 THEN (k % 90)::DOUBLE WHEN k % 6 = 0 THEN 3 ELSE 2 END AS last_lat,
+CASE WHEN k % 7 = 0 OR k % 6 = 0 THEN course ELSE 91 END AS last_course, k * 1000.0::DOUBLE + CASE WHEN k % 2 = 0 THEN 9 WHEN k % 7 = 0 THEN 0 WHEN k % 6 = 0 THEN 500 ELSE 1000 END AS valid_until_ms FROM p""",
 }

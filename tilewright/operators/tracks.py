@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.functions import geo
@@ -17,11 +17,10 @@ def latest_track_state(ops: DataFrame, session: str = "session", track: str = "t
 
     A snapshot wipes what was there; within a message removals come first; the last operation on a track holds.
     """
-    epoch = F.sum((F.col("type") == "snapshot").cast("int")).over(Window.partitionBy(session).orderBy("seq").rangeBetween(Window.unboundedPreceding, 0))
-    last_epoch = F.max("__epoch").over(Window.partitionBy(session))
+    wiped = ops.filter("type = 'snapshot'").groupBy(session).agg(F.max("seq").alias("__wiped"))
+    held = ops.join(wiped, session, "left").filter(F.col("__wiped").isNull() | (F.col("seq") >= F.col("__wiped"))).drop("__wiped")
     turn = F.row_number().over(Window.partitionBy(session, track).orderBy(F.col("seq").desc(), F.when(F.col("type") == "remove", 1).otherwise(0)))
-    now = ops.withColumn("__epoch", epoch).withColumn("__last", last_epoch).filter("__epoch = __last").withColumn("__turn", turn)
-    return now.filter("__turn = 1 AND type <> 'remove'").drop("__epoch", "__last", "__turn")
+    return held.withColumn("__turn", turn).filter("__turn = 1 AND type <> 'remove'").drop("__turn")
 
 
 def interpolate_tracks(points: DataFrame, times: DataFrame, track: str = "track") -> DataFrame:
@@ -115,12 +114,103 @@ def visible_stars(stars: DataFrame, limit: float = 6.5) -> DataFrame:
     return seen.withColumns({"dx": F.col("x") / d, "dy": F.col("y") / d, "dz": F.col("z") / d, "code": code})
 
 
-def asof_ephemeris(observations: DataFrame, ephemeris: DataFrame, key: str, step_s: int = 60) -> DataFrame:
-    """Each observation with the latest sample at or before it, by one ordered pass over both. observations: (key, ts, id), ephemeris: (key, ts, sample)."""
+def asof_ephemeris(observations: DataFrame, ephemeris: DataFrame, key: str, bucket: int = 3600) -> DataFrame:
+    """Each observation with the latest sample at or before it. observations: (key, ts long, id), ephemeris: (key, ts long, sample).
+
+    A body has few names and very many rows, so both sides are ordered inside buckets of time only; what a bucket starts with is the last sample
+    of the buckets before it, of which there is one row each.
+    """
     kind = ephemeris.schema["sample"].dataType
-    both = ephemeris.select(key, "ts", F.lit(None).cast("long").alias("id"), "sample").unionByName(observations.select(key, "ts", "id", F.lit(None).cast(kind).alias("sample")))
-    w = Window.partitionBy(key).orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("sample", F.last("sample", ignorenulls=True).over(w)).filter("id IS NOT NULL")
+    cell = lambda df: df.withColumn("__cell", F.floor(F.col("ts") / bucket))
+    both = cell(ephemeris.select(key, "ts", F.lit(None).cast("long").alias("id"), "sample").unionByName(observations.select(key, "ts", "id", F.lit(None).cast(kind).alias("sample"))))
+    last = both.groupBy(key, "__cell").agg(F.max_by("sample", F.when(F.col("sample").isNotNull(), F.col("ts"))).alias("__ends"))
+    before = Window.partitionBy(key).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = last.select(key, "__cell", F.last("__ends", ignorenulls=True).over(before).alias("__starts"))
+    within = Window.partitionBy(key, "__cell").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("sample", F.last("sample", ignorenulls=True).over(within)).filter("id IS NOT NULL").join(starts, [key, "__cell"], "left")
+    return out.withColumn("sample", F.coalesce("sample", "__starts")).select(key, "ts", "id", "sample")
+
+
+def _vector(of: str) -> list:
+    return [F.col(f"{of}.{c}") for c in "xyz"]
+
+
+def relative_bodies(df: DataFrame, body: str, observer: str, radius: str) -> DataFrame:
+    """direction struct<x, y, z>, distance and angular_radius (radians, null inside the body) of a body as an observer sees it. body, observer: struct<x, y, z>."""
+    step = [b - o for b, o in zip(_vector(body), _vector(observer), strict=True)]
+    out = df.withColumn("distance", F.sqrt(step[0] * step[0] + step[1] * step[1] + step[2] * step[2]))
+    unit = F.struct(*[F.try_divide(s, F.col("distance")).alias(c) for s, c in zip(step, "xyz", strict=True)])
+    return out.withColumn("direction", unit).withColumn("angular_radius", F.when(F.col("distance") >= F.col(radius), F.asin(F.col(radius) / F.col("distance"))))
+
+
+def visible_planets(planets: DataFrame, limit: float = 6.5) -> DataFrame:
+    """Planets that are switched on and bright enough, with their strength from 0 to 1, and how large and how opaque they are shown. planets: (enabled, magnitude, diameter_deg)."""
+    strength = geo.clamp((limit - F.col("magnitude")) / (limit + 4.5), 0.0, 1.0)
+    seen = planets.filter(F.col("enabled") & geo.finite("magnitude") & (F.col("magnitude") <= limit)).withColumn("strength", strength)
+    return seen.withColumns({"shown_deg": F.col("diameter_deg") * (0.85 + 0.2 * F.col("strength")), "opacity": 0.55 + 0.33 * F.col("strength")})
+
+
+def eclipse_events_between(events: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Events from start up to end, whose id tells date and kind, with them. events: (event_id, at timestamp). Raises where the range is empty."""
+    parts = lambda k: F.regexp_extract("event_id", r"^solar-(\d{4})-\d{2}-\d{2}-(partial|annular|total|hybrid)$", k)
+    in_order = F.when(end > start, True).otherwise(F.raise_error(F.lit("the end must be after the start")))
+    named = events.withColumns({"year": parts(1).try_cast("int"), "kind": parts(2)}).filter(F.col("year").isNotNull())
+    return named.filter(in_order & (F.col("at") >= start) & (F.col("at") < end))
+
+
+#: The fields of orbital elements that must be texts, and those that must be numbers or texts of numbers.
+TEXTS = ("OBJECT_NAME", "OBJECT_ID", "EPOCH")
+NUMBERS = ("MEAN_MOTION", "ECCENTRICITY", "INCLINATION", "RA_OF_ASC_NODE", "ARG_OF_PERICENTER", "MEAN_ANOMALY", "NORAD_CAT_ID", "ELEMENT_SET_NO", "BSTAR", "MEAN_MOTION_DOT", "MEAN_MOTION_DDOT")
+
+
+def valid_orbital_elements(records: DataFrame, record: str = "record") -> tuple[DataFrame, DataFrame]:
+    """(valid, rejects) of records as JSON text: all fields must be there with their kind; numbers are finite."""
+    fields = records.withColumn("__f", F.from_json(record, ", ".join(f"{name} variant" for name in (*TEXTS, *NUMBERS))))
+    seen = lambda names: F.array(*[F.struct(F.schema_of_variant(F.col(f"__f.{n}")).alias("kind"), F.try_variant_get(F.col(f"__f.{n}"), "$", "string").alias("text")) for n in names])
+    plain = lambda t: F.trim(t).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") & geo.finite(t.try_cast("double"))
+    number = lambda v: F.coalesce(v["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|STRING)") & plain(v["text"]), F.lit(False))
+    told = fields.withColumn("__good", F.coalesce(F.forall(seen(TEXTS), lambda v: F.coalesce(v["kind"] == "STRING", F.lit(False))) & F.forall(seen(NUMBERS), number), F.lit(False))).drop("__f")
+    return told.filter("__good").drop("__good"), told.filter("NOT __good").drop("__good")
+
+
+def normalise_tracks(tracks: DataFrame, track: str = "track", received_ms: str = "received_ms") -> DataFrame:
+    """One flat row for each track that has an id and a place, with the other columns. track: the reader's struct.
+
+    Ids are trimmed and in upper case; a callsign is made up for by the registration or the id as it came, a heading by the course. Points
+    are taken as far as offsets, latitudes and longitudes all go, where these are finite and the offset is after that of the last one taken; without any the current place is the one
+    point.
+    """
+    at = lambda path: F.col(f"{track}.{path}")
+    number = lambda path: F.when(geo.finite(at(path)), at(path))
+    word = lambda path: F.nullif(F.trim(at(path)), F.lit(""))
+    ident, lat, lon = word("id"), number("current.latitudeDegrees"), number("current.longitudeDegrees")
+    good = tracks.filter(F.coalesce(ident.isNotNull() & lat.isNotNull() & lon.isNotNull(), F.lit(False)))
+    course = F.coalesce(number("current.courseDegrees"), F.lit(0.0))
+    heading, altitude = F.coalesce(number("current.headingDegrees"), course), number("current.altitudeFt")
+    line = lambda name: F.coalesce(at(f"trajectory.{name}"), F.array().cast("array<double>"))
+    count = F.least(*[F.size(line(c)) for c in ("offsetMs", "latitudeDegrees", "longitudeDegrees")])
+    sound = lambda x: F.when(geo.finite(x), x)
+    point = lambda offset, la, lo, al, co, he: F.struct(offset.alias("offset_ms"), la.alias("lat"), lo.alias("lon"), al.alias("altitude"), co.alias("course"), he.alias("heading"))
+    value = lambda name, i: sound(F.get(line(name), i))
+
+    def whole(i: Column) -> Column:
+        own = F.coalesce(value("courseDegrees", i), course)
+        return point(value("offsetMs", i), value("latitudeDegrees", i), value("longitudeDegrees", i), value("altitudeFt", i), own, F.coalesce(value("headingDegrees", i), own))
+
+    each = F.transform(F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>")), whole)
+    there = F.filter(each, lambda p: p["offset_ms"].isNotNull() & p["lat"].isNotNull() & p["lon"].isNotNull())
+    kind = "array<struct<offset_ms:double,lat:double,lon:double,altitude:double,course:double,heading:double>>"
+    later = F.aggregate(there, F.array().cast(kind), lambda seen, p: F.when((F.size(seen) == 0) | (p["offset_ms"] > F.try_element_at(seen, F.lit(-1))["offset_ms"]), F.concat(seen, F.array(p).cast(kind))).otherwise(seen))
+    points = F.when(F.size(later) > 0, later).otherwise(F.array(point(F.lit(0.0), lat, lon, altitude, course, heading)).cast(kind))
+    generated = F.coalesce(number("trajectory.generatedAtMs"), F.col(received_ms).cast("double"))
+    others = [c for c in tracks.columns if c not in (track, received_ms)]
+    out = good.select(
+        *others, F.upper(ident).alias("id"), F.coalesce(number("revision"), F.lit(0.0)).alias("revision"), F.coalesce(number("observedAtMs"), F.col(received_ms).cast("double")).alias("observed_at_ms"),
+        F.coalesce(word("callsign"), word("registration"), ident).alias("callsign"), word("registration").alias("registration"), word("aircraftType").alias("aircraft_type"), F.upper(word("emitterCategory")).alias("category"),
+        lat.alias("lat"), lon.alias("lon"), altitude.alias("altitude"), at("current.onGround").alias("on_ground"), F.coalesce(number("current.groundSpeedKt"), F.lit(0.0)).alias("speed_kt"),
+        course.alias("course"), heading.alias("heading"), F.coalesce(number("current.verticalRateFpm"), F.lit(0.0)).alias("vertical_fpm"), generated.alias("generated_at_ms"), points.alias("points"), number("trajectory.validUntilMs").alias("__until"),
+    )
+    return out.withColumn("valid_until_ms", F.coalesce("__until", F.col("generated_at_ms") + F.element_at("points", -1)["offset_ms"])).drop("__until")
 
 
 def eclipse_geometry(vectors: DataFrame) -> DataFrame:
