@@ -52,6 +52,19 @@ def read_request_log(spark: SparkSession, path: str, kind: str = "json", streami
     return (spark.readStream if streaming else spark.read).schema(LOG).format(kind).load(path)
 
 
+METRICS = "session string, ts_ms long, seq long, interval_ms double, rendered boolean"
+
+
+def read_metric_log(spark: SparkSession, path: str, kind: str = "json", streaming: bool = False) -> DataFrame:
+    """Samples of frames, as ``rolling_frame_window`` takes them."""
+    return (spark.readStream if streaming else spark.read).schema(METRICS).format(kind).load(path)
+
+
+def write_pyramid(df: DataFrame, path: str) -> None:
+    """Levels of rasters, a folder for each zoom and level, so that a reader of coarse levels reads little."""
+    df.write.mode("overwrite").partitionBy("z", "level").parquet(path)
+
+
 def write_cut(df: DataFrame, path: str) -> None:
     """One folder for each zoom, so that a reader of some zooms skips the rest."""
     df.write.mode("overwrite").partitionBy("z").parquet(path)
