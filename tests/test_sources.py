@@ -20,7 +20,7 @@ def test_track_messages(spark, tmp_path):
 
 
 def test_catalogues_and_elements(spark, tmp_path):
-    (tmp_path / "stations.json").write_text('[{"NORAD_CAT_ID": 5, "OBJECT_NAME": "A"}, {"NORAD_CAT_ID": 6}]')
+    (tmp_path / "stations.json").write_text('[{"NORAD_CAT_ID": 5, "OBJECT_NAME": "A"},\n{"NORAD_CAT_ID": 6}]')
     (tmp_path / "broken.json").write_text('{"error": 1}')
     rows, bad = files.read_orbital_catalogues(spark, str(tmp_path))
     assert sorted((r["source_group"], r["pos"], r["rec"]["NORAD_CAT_ID"]) for r in rows.collect()) == [("stations", 0, "5"), ("stations", 1, "6")]

@@ -22,7 +22,7 @@ def read_track_messages(spark: SparkSession, path: str, streaming: bool = False)
 
 def read_orbital_catalogues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, rejects): source_group from the file's name, pos in its array and the record as a map; a file that is no array is rejected."""
-    files = spark.read.option("wholetext", True).text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("source_group"), F.col("_metadata.file_modification_time").alias("fetched_at"))
+    files = spark.read.text(path, wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("source_group"), F.col("_metadata.file_modification_time").alias("fetched_at"))
     parsed = files.withColumn("rec", F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<map<string,string>>")))
     return parsed.select("source_group", "fetched_at", F.posexplode("rec").alias("pos", "rec")), parsed.filter("rec IS NULL").select("source_group", "value")
 
@@ -42,7 +42,7 @@ def read_star_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 def read_response_archive(spark: SparkSession, path: str) -> DataFrame:
     """(request_key, body) of one stored response a file."""
-    return spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("request_key"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^([^.]+)", 1).alias("request_key"), F.col("value").alias("body"))
 
 
 LOG = "seq long, revision long, kind string, z int, x long, y long, provider string, request_id string, status int, retry_after_ms long, ts_ms long, duration_ms double"
