@@ -12,8 +12,9 @@ inequality, goes as a guest to each earlier pivot that isn't farther from it tha
 so meet in the region of one of them. The parts are cut again, with other pivots, until they fit in one task. Where every member
 of a part links to its pivot nothing is left to find. Where a cut doesn't part a region (its parts hold over twice its members, or one of
 them most), the region is dense: each member is dealt to a cell, where it is compared with its cell and with the region's pivots, so
-most members reach the region's main component at once. The others, and only they, are compared with the rest: again by the triangle inequality, a member goes
-only to the bands of distance from the first pivot that can hold a partner, and each band is joined block by block. So no group is ever
+near copies of one text reach the region's main component at once. Then those who share a part are a region of their own, where they are not
+all of one component yet and no other part has the same holders. Where that would take more than comparing each outsider with all, the outsiders are compared with the rest
+by the triangle inequality: a member goes only to the bands of distance from the first pivot that can hold a partner, and each band is joined block by block. So no group is ever
 whole in one task, and no pair that could link is left out.
 
 A class is known by 128 bits: two sums of its shingles' hashes, mixed apart.
@@ -174,14 +175,27 @@ def _linked(gap: np.ndarray, a: np.ndarray, b: np.ndarray, per_cent: int) -> np.
     return gap * (100 + per_cent) <= (a[:, None] + b[None, :]) * (100 - per_cent)
 
 
+def _roots(linked: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links the first one that it can reach: as many links as rows say all that many of them do."""
+    root = np.arange(len(linked))
+    while len(root):
+        least = np.minimum(root, np.where(linked, root[None, :], len(root)).min(1))
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    return root
+
+
 def _pairs(ids: np.ndarray, sets: list[np.ndarray], per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All linked pairs of some sets."""
+    """Links of some sets, enough for their components."""
     n = np.array([len(s) for s in sets])
-    x, y = np.nonzero(np.triu(_linked(differences(sets, sets), n, n, per_cent), 1))
-    return ids[x], ids[y]
+    root = _roots(_linked(differences(sets, sets), n, n, per_cent))
+    own = np.flatnonzero(root != np.arange(len(root)))
+    return ids[own], ids[root[own]]
 
 
-def _within(small: DataFrame, per_cent: int) -> DataFrame:
+def _within(small: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     """(a, b): the links inside regions that fit in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +203,7 @@ def _within(small: DataFrame, per_cent: int) -> DataFrame:
             a, b = _pairs(np.array(g["cls"], np.int64), [np.frombuffer(s, U64) for s in g["shingles"]], per_cent)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return small.select("region", "cls", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+    return small.join(sets, "cls").select("region", "cls", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -202,8 +216,8 @@ def _first(members: DataFrame, turn: int, most: int) -> DataFrame:
     return members.withColumn("at", F.row_number().over(order) - 1).filter(F.col("at") < most)
 
 
-def _cut(large: DataFrame, per_cent: int, cell: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(links to pivots, members of the parts, members of dense regions) of regions cut by pivots. large: (region, cls, shingles, m)."""
+def _cut(large: DataFrame, sets: DataFrame, per_cent: int, cell: int, turn: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(links to pivots, members of the parts, members of dense regions) of regions cut by pivots. large: (region, cls, m)."""
     chunks = F.ceil(F.col("m") / (2 * cell))
     pivots = _first(large, turn, CUTS).withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     dealt = large.withColumn("at", F.lit(-1)).withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(turn), F.lit("chunk")), chunks))
@@ -243,7 +257,8 @@ def _cut(large: DataFrame, per_cent: int, cell: int, turn: int) -> tuple[DataFra
                 ["region", "cls", "parts", "links"],
             )
 
-    met = dealt.select(*fields).unionByName(pivots.select(*fields)).repartition("region", "chunk").sortWithinPartitions("region", "chunk")
+    narrow = fields[:-1]
+    met = dealt.select(*narrow).unionByName(pivots.select(*narrow)).join(sets, "cls").select(*fields).repartition("region", "chunk").sortWithinPartitions("region", "chunk")
     placed = checkpoint(met.mapInArrow(nearest, "region long, cls long, parts array<struct<at:int,linked:boolean>>, links array<long>"))
     links = placed.select(F.col("cls").alias("a"), F.explode("links").alias("b")).filter("a <> b")
     flat = placed.select("region", "cls", F.explode("parts").alias("part")).select("region", "cls", "part.at", "part.linked")
@@ -251,13 +266,13 @@ def _cut(large: DataFrame, per_cent: int, cell: int, turn: int) -> tuple[DataFra
     sums = left.groupBy("region").agg(F.sum("held").alias("total"), F.max("held").alias("most")).join(large.select("region", "m").distinct(), "region")
     sums = checkpoint(sums.select("region", ((F.col("total") > 2 * F.col("m")) | (F.col("most") > 0.75 * F.col("m"))).alias("dense")))
     open_ = flat.join(left.select("region", "at"), ["region", "at"], "left_semi").join(sums.filter("NOT dense"), "region", "left_semi")
-    parts = open_.join(large.select("region", "cls", "shingles"), ["region", "cls"]).select(F.xxhash64("region", "at", F.lit(turn)).alias("region"), "cls", "shingles")
-    return links, parts, large.join(sums.filter("dense"), "region", "left_semi").select("region", "cls", "shingles")
+    parts = open_.select(F.xxhash64("region", "at", F.lit(turn)).alias("region"), "cls")
+    return links, parts, large.join(sums.filter("dense"), "region", "left_semi").select("region", "cls")
 
 
-def _dense(members: DataFrame, per_cent: int, cell: int) -> DataFrame:
+def _dense(members: DataFrame, sets: DataFrame, per_cent: int, cell: int, keys_of: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(a, b): links inside regions that pivots don't part, enough of them for the components."""
-    members = _sized(members)
+    members = checkpoint(_sized(members))
     # first pass: each member with its cell, and with the pivots of its region
     cells = F.ceil(F.col("m") / cell)
     member = members.withColumn("cell", F.pmod(F.xxhash64("cls"), cells)).withColumn("pivot", F.lit(-1))
@@ -267,68 +282,98 @@ def _dense(members: DataFrame, per_cent: int, cell: int) -> DataFrame:
         for g in _groups(batches, ["region", "cell"]):
             every, pivot = np.array(g["cls"], np.int64), np.array(g["pivot"])
             ids, once = np.unique(every, return_index=True)  # a pivot may be a member of its own cell
-            sets = [np.frombuffer(g["shingles"][k], U64) for k in once]
-            n = np.array([len(s) for s in sets])
-            gap = differences(sets, sets)
-            x, y = np.nonzero(np.triu(_linked(gap, n, n, per_cent), 1))
+            held = [np.frombuffer(g["shingles"][k], U64) for k in once]
+            n = np.array([len(s) for s in held])
+            gap = differences(held, held)
+            root = _roots(_linked(gap, n, n, per_cent))
+            x = np.flatnonzero(root != np.arange(len(root)))
+            y = root[x]
             centre = int(np.searchsorted(ids, every[pivot == 0][0]))
-            a, b = np.concatenate([ids[x], ids]), np.concatenate([ids[y], ids])
+            a, b, sizes = np.concatenate([ids[x], ids]), np.concatenate([ids[y], ids]), np.concatenate([np.full(len(x), -1), n])
             far = np.concatenate([np.full(len(x), -1), gap[:, centre]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), g["region"][0], np.int64)), pa.array(a), pa.array(b), pa.array(far.astype(np.int64))], ["region", "a", "b", "gap"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), g["region"][0], np.int64)), pa.array(a), pa.array(b), pa.array(far.astype(np.int64)), pa.array(sizes.astype(np.int64))], ["region", "a", "b", "gap", "n"])
 
-    first = checkpoint(member.select("region", "cell", "cls", "pivot", "shingles").unionByName(spread.select("region", "cell", "cls", "pivot", "shingles")).repartition("region", "cell").sortWithinPartitions("region", "cell").mapInArrow(in_cells, "region long, a long, b long, gap long"))
+    fields = ["region", "cell", "cls", "pivot"]
+    dealt = member.select(*fields).unionByName(spread.select(*fields)).join(sets, "cls").select(*fields, "shingles").repartition("region", "cell").sortWithinPartitions("region", "cell")
+    first = checkpoint(dealt.mapInArrow(in_cells, "region long, a long, b long, gap long, n long"))
     links = first.filter("a <> b").select("a", "b")
-
-    # second pass: who isn't in the main component goes to all bands that can hold a partner
     roots = components(links)
-    placed = members.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-    gaps = first.filter("a = b").groupBy("region", F.col("a").alias("cls")).agg(F.min("gap").alias("gap"))
-    placed = checkpoint(placed.join(gaps, ["region", "cls"]).withColumn("n", (F.octet_length("shingles") / 8).cast("long")))
-    main = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("region").agg(F.max_by("root", F.struct("held", "root")).alias("main"))
+    gaps = first.filter("a = b").groupBy("region", F.col("a").alias("cls")).agg(F.min("gap").alias("gap"), F.min("n").alias("n"))
+    placed = checkpoint(members.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node").join(gaps, ["region", "cls"]))
+
+    # second pass, either by the parts that members of two components share: all who have such a part are a region of their own
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [np.unique(keys_of(np.frombuffer(s, U64))) for s in batch.column("shingles").to_pylist()]
+            if keys:
+                owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("cls").take(pa.array(owner))], ["key", "cls"])
+
+    parts = checkpoint(sets.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").mapInArrow(keyed, "key long, cls long"))
+    held = parts.join(placed.select("region", "cls", "root"), "cls")
+    open_ = held.groupBy("region", "key").agg(F.count(F.lit(1)).alias("g"), F.min("root").alias("x"), F.max("root").alias("y"), F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("also")).filter("x < y")
+    open_ = checkpoint(open_.groupBy("region", "g", "who", "also").agg(F.min("key").alias("key")))
+    # or, where that takes more, by the bands of distance from the first pivot
+    main = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("region").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most"))
+    outside = F.col("all") - F.col("most")
+    by_parts = open_.groupBy("region").agg(F.sum("g").alias("rows"), F.max("g").alias("largest"))
+    plans = main.join(by_parts, "region").select("region", "main", ((F.col("rows") <= F.col("all") * F.ceil(outside / (4 * cell)) + outside * F.ceil(F.col("all") / cell)) & (F.col("largest") <= F.col("all") / 2)).alias("parts"))
+    plans = checkpoint(plans)
+    by = held.join(open_.join(plans.filter("parts"), "region", "left_semi").select("region", "key"), ["region", "key"], "left_semi").select(F.xxhash64("region", "key").alias("region"), "cls")
+    links = links.unionByName(region_links(checkpoint(by), sets, per_cent, keys_of, cell))
+    rest = placed.join(plans.filter("NOT parts").select("region", "main"), "region")
+    return links if rest.isEmpty() else links.unionByName(_banded(rest, sets, per_cent, cell))
+
+
+def _banded(placed: DataFrame, sets: DataFrame, per_cent: int, cell: int) -> DataFrame:
+    """(a, b): links of who isn't in the main component of a region. placed: (region, cls, root, main, gap, n)."""
     # one step of a band is as wide as a link of the region's largest set can be
     width = placed.groupBy("region").agg(F.greatest(F.lit(1), F.floor(F.max("n") * 2 * (100 - per_cent) / (100 + per_cent))).alias("width"))
-    banded = placed.join(main, "region").join(width, "region").withColumn("band", F.floor(F.col("gap") / F.col("width")))
+    banded = placed.join(width, "region").withColumn("band", F.floor(F.col("gap") / F.col("width")))
     outside = banded.filter("root <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
     # a band's members in blocks, its guests in chunks; each block meets each chunk, and bands without guests meet nobody
     count = lambda df, name, size: df.groupBy("region", "band").agg(F.ceil(F.count(F.lit(1)) / size).alias(name))
-    sizes = checkpoint(count(banded, "blocks", cell).join(count(outside, "chunks", 4 * cell), ["region", "band"]))
+    sizes = checkpoint(count(banded, "blocks", 2 * cell).join(count(outside, "chunks", 2 * cell), ["region", "band"]))
     up_to = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
     home = banded.join(sizes, ["region", "band"]).withColumn("block", F.pmod(F.xxhash64("cls", F.lit(11)), F.col("blocks"))).withColumn("chunk", up_to("chunks"))
     sent = outside.join(sizes, ["region", "band"]).withColumn("chunk", F.pmod(F.xxhash64("cls", F.lit(13)), F.col("chunks"))).withColumn("block", up_to("blocks"))
     keys = ["region", "band", "block", "chunk"]
-    met = home.select(*keys, "cls", "shingles", F.lit(False).alias("guest")).unionByName(sent.select(*keys, "cls", "shingles", F.lit(True).alias("guest")))
+    met = home.select(*keys, "cls", F.lit(False).alias("guest")).unionByName(sent.select(*keys, "cls", F.lit(True).alias("guest"))).join(sets, "cls").select(*keys, "cls", "shingles", "guest")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, keys):
             ids, guest = np.array(g["cls"], np.int64), np.array(g["guest"])
             if guest.any() and not guest.all():
-                sets = [np.frombuffer(s, U64) for s in g["shingles"]]
-                left, right = [sets[k] for k in np.flatnonzero(guest)], [sets[k] for k in np.flatnonzero(~guest)]
-                x, y = np.nonzero(_linked(differences(left, right), np.array([len(s) for s in left]), np.array([len(s) for s in right]), per_cent))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[guest][x]), pa.array(ids[~guest][y])], ["a", "b"])
+                held = [np.frombuffer(s, U64) for s in g["shingles"]]
+                left, right = [held[k] for k in np.flatnonzero(guest)], [held[k] for k in np.flatnonzero(~guest)]
+                across_ = _linked(differences(left, right), np.array([len(s) for s in left]), np.array([len(s) for s in right]), per_cent)
+                every, m = np.concatenate([ids[guest], ids[~guest]]), len(left)
+                both = np.zeros((len(every), len(every)), bool)
+                both[:m, m:], both[m:, :m] = across_, across_.T
+                root = _roots(both)
+                x = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(every[x]), pa.array(every[root[x]])], ["a", "b"])
 
-    more = checkpoint(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(across, "a long, b long"))
-    return links.unionByName(more.filter("a <> b"))
+    return checkpoint(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(across, "a long, b long")).filter("a <> b")
 
 
-def region_links(members: DataFrame, per_cent: int, cell: int = CELL) -> DataFrame:
-    """(a, b): links of the sets (region long, cls long, shingles binary), enough of them for the components."""
+def region_links(members: DataFrame, sets: DataFrame, per_cent: int, keys_of: Callable[[np.ndarray], np.ndarray], cell: int = CELL) -> DataFrame:
+    """(a, b): links of the members (region long, cls long) of regions, enough of them for the components. sets: (cls long, shingles binary); keys_of: the keys of a set's parts."""
     links, dense, turn = [], [], 0
     while True:
-        counted = _sized(members)
-        links.append(checkpoint(_within(counted.filter(F.col("m") <= cell), per_cent)))
+        counted = checkpoint(_sized(members))
+        links.append(checkpoint(_within(counted.filter(F.col("m") <= cell), sets, per_cent)))
         large = counted.filter(F.col("m") > cell)
         if large.isEmpty():
             break
-        large = checkpoint(large)
-        to_pivots, parts, left = _cut(large, per_cent, cell, turn)
+        to_pivots, parts, left = _cut(large, sets, per_cent, cell, turn)
         links.append(to_pivots)
         dense.append(left)
-        members, turn = checkpoint(parts), turn + 1
+        members, turn = parts, turn + 1
     if dense:
         every = checkpoint(functools.reduce(DataFrame.unionByName, dense))
         if not every.isEmpty():
-            links.append(_dense(every, per_cent, cell))
+            links.append(_dense(every, sets, per_cent, cell, keys_of))
     return functools.reduce(DataFrame.unionByName, links)
 
 
@@ -382,7 +427,8 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
 
     placed = reps.join(classes.join(regions, "cls").select(F.col("rep").alias("id"), "cls", "region"), "id").select("region", "cls", "text")
     members = checkpoint(_mapped(placed, "region long, cls long, shingles binary", ["region", "cls", "shingles"], whole).dropDuplicates(["cls"]))
-    roots = components(region_links(members, per_cent, cell))
+    sets = members.select("cls", "shingles")
+    roots = components(region_links(members.select("region", "cls"), sets, per_cent, lambda s: part_keys(s, plan, per_cent, tries), cell))
     joined = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
     alone = own.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
