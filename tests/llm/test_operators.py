@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -238,6 +239,49 @@ def test_html(spark):
     assert len(html_blocks.blocks_of(page)) == 8
 
 
+def test_html_without_names():
+    """Given pages whose names are taken away and whose boxes are alike, of which the labeller has seen none."""
+    pages = [html_blocks.blocks_of(r["html"]) for r in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).to_pylist()]
+    net = html_blocks.fit([p for p in pages[:125] if len(p) <= 400])
+    bare = [[html_blocks.Block(tuple(n if n in html_blocks.PLAIN else "div" for n in b.path if n[0] != "."), b.text, b.linked, b.told) for b in p] for p in pages[125:]]
+    told, got = np.array([b.told for p in bare for b in p]), np.concatenate(html_blocks.label(net, bare))
+    assert got[told == 1].mean() >= 0.95 and (~got[told == 0]).mean() >= 0.95
+
+
+@pytest.mark.parametrize(
+    ("page", "blocks"),
+    [
+        ("<div class=it's>a</div><p title=\"a>b", [("a", -1), ("b", -1)]),
+        ("<html><head><title>T</title><body><p>x</p>", [("x", -1)]),
+        ("<article class=no-comments><header><h1>A</h1></header><p data-x='<b>'>b</p></article>", [("A", 1), ("b", 1)]),
+        ("<body class=has-sidebar><article>z<div class=ads>y</div></article><p", [("z", 1), ("y", 0)]),
+        ("<div class=comments><article>x</article></div>&lt;p&gt;", [("x", 0), ("<p>", -1)]),
+        ("<a " * 20000, []),
+    ],
+)
+def test_html_markup(page, blocks):
+    assert [(b.text, b.told) for b in html_blocks.blocks_of(page)] == blocks
+
+
+def test_substrings_of_any_kind(spark):
+    r = random.Random(7)
+    pool = [" ".join(f"p{j}_{r.randrange(40)}" for _ in range(r.randrange(5, 60))) for j in range(8)]
+    docs = [(f"k{k:03d}", " ".join(r.choice(pool) if r.random() < 0.6 else " ".join(f"u{r.randrange(9)}" for _ in range(r.randrange(1, 30))) for _ in range(r.randrange(1, 9)))) for k in range(150)]
+    docs += [("k150", docs[3][1]), ("k151", "a " * 5000), ("k152", "b a " * 3000), ("k153", "z " * 200_000), (None, docs[5][1])]
+    want, seen = {}, set()
+    for i, text in sorted(docs, key=lambda d: (d[0] is not None, d[0])):
+        words, gone = text.split(), set()
+        for p in range(len(words) - 19):
+            key = tuple(words[p : p + 20])
+            if key in seen:
+                gone |= set(range(p, p + 20))
+            seen.add(key)
+        want[i] = (len(words), len(gone), " ".join(w for q, w in enumerate(words) if q not in gone))
+    df = spark.createDataFrame(docs, "doc_id string, text string").repartition(3)
+    for group in (2048, 5):
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["text"]) for r in substring_dedup.dedup_substrings(df, group=group).collect()} == want
+
+
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(1).integers(1, 1 << 62, 5000, dtype=np.uint64)
     found = bpe.PerfectHash(keys)

@@ -4,7 +4,8 @@ Texts are cut into pre-tokens by array operations over their code points. A pre-
 perfect hash over the vocabulary answers those that are tokens themselves; the others are merged with a heap over linked bytes.
 Both tiers see each distinct pre-token of a slice once. No shuffle: a row depends on its own text and the vocabulary alone.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; a null id list decodes to null; ids outside the vocabulary raise.
+Defined cases: a null or empty text has no ids and decodes to no bytes; a null id list decodes to null; ids outside the vocabulary raise;
+repeated rows are encoded alike; very long texts are encoded whole. Other columns are passed through; one called like the column added is an error.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilewright.llm.jobs import numbered, refuse_columns, widened
 from tilewright.llm.textkit import mix, slices, utf8, word_hashes
 
 U64 = np.uint64
@@ -235,8 +237,9 @@ def encoder_of(vocabulary: Vocabulary) -> Encoder:
 def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all but the text, if None) and ``out``, the ids of the whole text as array<int>."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    narrow = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
-    schema = narrow.drop("__text").withColumn(out, F.array().cast("array<int>")).schema
+    refuse_columns(df.select(*[F.col(f"`{c}`") for c in keep]), out)
+    narrow, names = numbered(df, keep, F.col(f"`{text_col}`").cast("string").alias("__text"))
+    schema = widened(narrow.drop("__text"), **{out: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(vocabulary.value)
@@ -245,22 +248,23 @@ def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids",
             for a, b in slices(text):
                 ids, counts = encoder.encode(text.slice(a, b - a))
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                rest = [batch.column(c).slice(a, b - a) for c in keep]
-                yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], [*keep, out])
+                rest = [batch.column(c).slice(a, b - a) for c in names]
+                yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], [*names, out])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, out)
 
 
 def decode(df: DataFrame, vocabulary, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, if None) and ``out``, the bytes that the ids stand for."""
     keep = list(df.columns) if keep is None else keep
-    narrow = df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, ids_col])])
-    schema = narrow.select(*[F.col(f"`{c}`") for c in keep]).withColumn(out, F.lit(b"").cast("binary")).schema
+    refuse_columns(df.select(*[F.col(f"`{c}`") for c in keep]), out)
+    narrow, names = numbered(df, keep, F.col(f"`{ids_col}`").alias("__ids"))
+    schema = widened(narrow.drop("__ids"), **{out: "binary"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
         for batch in batches:
-            ids = batch.column(ids_col)
+            ids = batch.column("__ids")
             rows = max(1, batch.num_rows * (1 << 20) // max(1, len(ids.flatten())))
             for a in range(0, batch.num_rows, rows):
                 part = ids.slice(a, rows)
@@ -275,6 +279,6 @@ def decode(df: DataFrame, vocabulary, ids_col: str = "ids", out: str = "decoded"
                 nulls = part.is_null() if part.null_count else None
                 valid = None if nulls is None else pa.py_buffer(np.packbits(~nulls.to_numpy(zero_copy_only=False), bitorder="little").tobytes())
                 made = pa.BinaryArray.from_buffers(pa.binary(), len(part), [valid, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, rows) for c in keep], made], [*keep, out])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, rows) for c in names], made], [*names, out])
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, out)

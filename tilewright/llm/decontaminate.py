@@ -9,7 +9,8 @@ An item shorter than a window is one window itself; the winnowing window shrinks
 words are looked up by grams of their own length, so every length keeps the guarantee.
 
 Defined cases: null and empty texts have no words, hit nothing and are hit by nothing; repeated rows are judged alike; an empty table on
-either side hits nothing; rows whose doc_id is null are judged as well.
+either side hits nothing; rows whose doc_id is null are judged as well; an item without an id hits, but is not named; equal items hit once; very
+long texts are judged whole. Other columns are passed through; columns called like those added are an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tilewright.llm.jobs import refuse_columns
 from tilewright.llm.textkit import ALNUM, gram_hashes, mix, rows_of, slices, utf8, winnow, word_hashes, word_spans
 
 U64 = np.uint64
@@ -94,15 +96,16 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 
     Words are lower-cased (A-Z) runs [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+; a window is ``window`` consecutive words of an item.
     """
+    refuse_columns(docs, "n_words", "n_hit", "hit_items", "hit_runs")
     plan = _plan(items, item_text_col, window, k)
-    texts = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("item_text")).filter("item IS NOT NULL")
+    texts = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("item_text")).filter("item_text IS NOT NULL").withColumn("place", F.xxhash64("item", "item_text"))
     inner = [c for c in docs.columns if c not in (id_col, text_col)]
     docs = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in inner]).alias("__rest") if inner else F.lit(None).cast("string").alias("__rest"))
     if plan:
         fps = _fingerprints(docs, "__id", "__text", plan, own_length=False)
-        own = _fingerprints(texts.select("item", "item_text"), "item", "item_text", plan, own_length=True).withColumnRenamed("id", "item").distinct()
-        pairs = fps.join(own, "fp").select(F.col("id").alias("__key"), "item").distinct()
-        met = pairs.join(texts, "item").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("item", "item_text"))).alias("__items"))
+        own = _fingerprints(texts.select("place", "item_text"), "place", "item_text", plan, own_length=True).withColumnRenamed("id", "place").distinct()
+        pairs = fps.join(own, "fp").select(F.col("id").alias("__key"), "place").distinct()
+        met = pairs.join(texts.distinct(), "place").groupBy("__key").agg(F.sort_array(F.collect_list(F.struct("item", "item_text"))).alias("__items"))
         docs = docs.join(met, F.col("__id").eqNullSafe(F.col("__key")), "left").drop("__key")
     else:
         docs = docs.withColumn("__items", F.lit(None).cast("array<struct<item:string,item_text:string>>"))
@@ -127,7 +130,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
                             hits[row] += high - low
                             at = high
                             spans[row].append({"start": low, "end": high})
-                    names[row] = sorted(set(names[row]))
+                    names[row] = sorted({n for n in names[row] if n is not None})
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__id"), part.column("__text"), part.column("__rest"), pa.array(np.diff(first).astype(np.int64)), pa.array(hits), pa.array(names, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))],
                     schema.names,

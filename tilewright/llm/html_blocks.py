@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.jobs import bounded_sample, refuse_columns
+from tilewright.llm.jobs import bounded_sample, numbered, refuse_columns, widened
 from tilewright.llm.textkit import NON_SPACE, rows_of, slices, utf8, word_hashes, word_spans
 
 PATHS, WORDS, PATH_DIM, WORD_DIM, HIDDEN, MEASURES = 1 << 11, 1 << 12, 24, 12, 16, 5
@@ -383,9 +383,9 @@ def label(net: Net, pages: list[list[Block]]) -> list[np.ndarray]:
 def extract(pages: DataFrame, net: Net, html_col: str = "html", keep: list[str] | None = None, out: str = "text") -> DataFrame:
     """The columns ``keep`` (all but the html, if None), the main text as ``out``, and n_blocks and n_main int."""
     keep = [c for c in pages.columns if c != html_col] if keep is None else keep
-    refuse_columns(pages.select(*[F.col(f"`{c}`") for c in keep]), out, "n_blocks", "n_main", "__html")
-    narrow = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html_col}`").cast("string").alias("__html"))
-    schema = narrow.drop("__html").withColumns({out: F.lit(""), "n_blocks": F.lit(0), "n_main": F.lit(0)}).schema
+    refuse_columns(pages.select(*[F.col(f"`{c}`") for c in keep]), out, "n_blocks", "n_main")
+    narrow, names = numbered(pages, keep, F.col(f"`{html_col}`").cast("string").alias("__html"))
+    schema = widened(narrow.drop("__html"), **{out: "string", "n_blocks": "int", "n_main": "int"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,7 +394,7 @@ def extract(pages: DataFrame, net: Net, html_col: str = "html", keep: list[str]
                 flags = label(net, cut)
                 texts = ["\n".join(x.text for x, f in zip(p, on.tolist(), strict=True) if f) for p, on in zip(cut, flags, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(a, b - a) for c in keep], pa.array(texts, pa.string()), pa.array([len(p) for p in cut], pa.int32()), pa.array([int(f.sum()) for f in flags], pa.int32())], schema.names
+                    [*[batch.column(c).slice(a, b - a) for c in names], pa.array(texts, pa.string()), pa.array([len(p) for p in cut], pa.int32()), pa.array([int(f.sum()) for f in flags], pa.int32())], schema.names
                 )
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, *schema.names[len(keep) :])

@@ -6,8 +6,9 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -38,6 +39,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def numbered(df: DataFrame, keep: list[str], *others: Column) -> tuple[DataFrame, list[str]]:
+    """The columns to keep under plain names, which functions over batches need, and others; and those names."""
+    names = [f"k{i}" for i in range(len(keep))]
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], *others), names
+
+
+def widened(df: DataFrame, **kinds: str) -> StructType:
+    """The schema of df with further columns, given by their types."""
+    return StructType([*df.schema.fields, *[StructField(name, StructType.fromDDL(f"c {kind}")[0].dataType) for name, kind in kinds.items()]])
+
+
 def refuse_columns(df: DataFrame, *names: str) -> None:
     """Columns that an operator adds must not be there before."""
     clash = sorted(c for c in df.columns if c.lower() in {n.lower() for n in names})
@@ -55,4 +67,4 @@ def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     if there <= rows:
         return df
     share = 1 << 30
-    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(share)) < F.lit(share * rows // there)).limit(2 * rows)
+    return df.filter(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(share)) < F.lit(share * rows // there)).orderBy(F.xxhash64(F.col(key), F.lit(17)), key).limit(2 * rows)

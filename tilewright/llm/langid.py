@@ -6,7 +6,8 @@ the score under which a prediction is not accepted, chosen on the same part. Sco
 weights are multiplied once, and a text is the mean of its n-grams' rows in that product.
 
 Defined cases: a null text, an empty one and one without a letter get ``und`` and score 0; with no labelled row every text does. A row
-without a label or text is not learnt from. Repeated rows are predicted alike.
+without a label or text is not learnt from. Repeated rows are predicted alike; of equally likely languages the first by name is taken; very long texts
+are read whole. Other columns are passed through; columns called like those added are an error.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.jobs import bounded_sample
+from tilewright.llm.jobs import bounded_sample, numbered, refuse_columns, widened
 from tilewright.llm.textkit import LOWER, slices, utf8
 
 BITS = 13
@@ -89,7 +90,7 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], dim: int
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for at in range(0, len(learnt), 64):
-            some = learnt[at : at + 64] if not at else learnt[at : at + 64]
+            some = learnt[at : at + 64]
             x = dense(some)
             hidden = x @ embedding
             logits = hidden @ weights + bias
@@ -152,9 +153,10 @@ def train(docs: DataFrame, rows: int = 4000, id_col: str = "doc_id", text_col: s
 def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` and lang_pred string, score double, accepted boolean."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
+    refuse_columns(docs.select(*[F.col(f"`{c}`") for c in keep]), "lang_pred", "score", "accepted")
     text = F.col(f"`{text_col}`").cast("string")
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
-    schema = narrow.drop("__text", "__letters").withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "accepted": F.lit(True)}).schema
+    narrow, own = numbered(docs, keep, text.alias("__text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("__letters"))
+    schema = widened(narrow.drop("__text", "__letters"), lang_pred="string", score="double", accepted="boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, UNKNOWN], object)
@@ -167,6 +169,6 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: list[st
                 else:
                     best, top, letters = np.zeros(b - a, int), np.zeros(b - a), np.zeros(b - a, bool)
                 best, top = np.where(letters, best, len(model.languages)), np.where(letters, top, 0.0)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in keep], pa.array(names[best], pa.string()), pa.array(top), pa.array(letters & (top >= model.reject_below))], schema.names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in own], pa.array(names[best], pa.string()), pa.array(top), pa.array(letters & (top >= model.reject_below))], schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, *schema.names[len(keep) :])

@@ -7,7 +7,8 @@ which runs of other characters stand between them, and how dense capitals, other
 Fitted on a bounded sample of rated rows (``rows``), scored in one pass without a shuffle.
 
 Defined cases: a null or empty text has the features of a text without words; a row without a rating is never learnt from; with no
-rated row at all every document has the middle of the scale. Repeated rows are scored alike.
+rated row at all every document has the middle of the scale. Repeated rows are scored alike, equal scores get equal probabilities, very long texts
+are read whole. Other columns are passed through; columns called like those added are an error.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.jobs import bounded_sample
+from tilewright.llm.jobs import bounded_sample, numbered, refuse_columns, widened
 from tilewright.llm.textkit import ALNUM, rows_of, slices, utf8, word_hashes, word_spans
 
 U64 = np.uint64
@@ -141,7 +142,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, rows:
                 packed = [x.tobytes() for x in np.split((seen & (BUCKETS - 1)).astype(np.int32), ends)]
                 yield pa.RecordBatch.from_arrays([batch.column("__id").slice(a, b - a).cast(pa.string()), batch.column("__grade").slice(a, b - a), pa.array(packed, pa.binary())], ["id", "grade", "buckets"])
 
-    got = chosen.mapInArrow(sparse, "id string, grade int, buckets binary").limit(2 * rows).collect()
+    got = chosen.mapInArrow(sparse, "id string, grade int, buckets binary").orderBy(F.xxhash64("id"), "id", "buckets").limit(2 * rows).collect()
     got.sort(key=lambda r: (r["id"], r["buckets"]))
     return fit([np.frombuffer(r["buckets"], np.int32).astype(np.int64) for r in got], np.array([r["grade"] for r in got], int), levels)
 
@@ -149,9 +150,10 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, rows:
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None, keep_text: bool = False) -> DataFrame:
     """The columns ``keep`` and expected_grade double, at_least array<double>: the probability of each level from 1 on, or more."""
     keep = [c for c in docs.columns if c != text_col] if keep is None else keep
-    narrow = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    refuse_columns(docs.select(*[F.col(f"`{c}`") for c in keep]), "expected_grade", "at_least")
+    narrow, names = numbered(docs, keep, F.col(f"`{text_col}`").cast("string").alias("__text"))
     given = narrow if keep_text else narrow.drop("__text")
-    schema = given.withColumns({"expected_grade": F.lit(0.0), "at_least": F.array(F.lit(0.0))}).schema
+    schema = widened(given, expected_grade="double", at_least="array<double>")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,6 +164,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 scores = np.bincount(seen >> BITS, model.weights[seen & (BUCKETS - 1)], len(part))
                 tails = model.at_least(scores)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tails.size + 1, tails.shape[1]), pa.int32()), pa.array(tails.ravel()))
-                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in keep], *([part] if keep_text else []), pa.array(tails.sum(1)), lists], schema.names)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], *([part] if keep_text else []), pa.array(tails.sum(1)), lists], schema.names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, schema).toDF(*keep, *schema.names[len(keep) :])

@@ -44,8 +44,8 @@ def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2).alias("held_out"))
-    model = langid.train(docs.filter(~F.coalesce("held_out", F.lit(False))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False)).alias("held_out"))
+    model = langid.train(docs.filter("NOT held_out"))
     return langid.predict(docs, model, keep=["doc_id", "held_out"])
 
 

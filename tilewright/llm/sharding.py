@@ -8,7 +8,8 @@ packed first, in one task; each cell then packs its own items against its share
 don't add up in the same shards. Slots count through sub-buckets of a shard with offsets, never through a whole shard in one task.
 
 Defined cases: a null text has no bytes and words, like an empty one; rows with equal text, and wholly repeated rows, stay together unless
-their group is split; an empty table gives no rows; other columns are not read.
+their group is split; an empty table gives no rows; items of equal size are packed in the order of their hashes; a text of any length is one item; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
