@@ -32,8 +32,9 @@ from tilewright.llm.jobs import checkpoint, refuse_columns
 from tilewright.llm.textkit import NON_SPACE, gram_hashes, mix, rows_of, slices, utf8, word_hashes, word_spans
 
 U64 = np.uint64
-TREE_WINDOWS = 150_000
+TREE_WINDOWS = 60_000
 CODE = 6  # bytes of a word's code
+NAMES = ["lead", "row", "id", "at", "back", "count", "codes", "key", "windows"]
 
 
 def squeezed(text: bytes) -> bytes:
@@ -103,7 +104,7 @@ def packed(texts: DataFrame, *keep: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(batch.column("text"), 4 << 20):
+            for a, b in slices(batch.column("text"), 1 << 20):
                 data = [None if t is None else squeezed(t) for t in batch.column("text").slice(a, b - a).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("row").slice(a, b - a), batch.column("id").slice(a, b - a), pa.array(data, pa.binary()), *[batch.column(c).slice(a, b - a) for c in keep]], schema.names)
 
@@ -115,12 +116,12 @@ def unpacked(column: pa.Array) -> list[bytes | None]:
 
 
 def _pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
-    """Few rows at a time with their texts, of about a megabyte."""
+    """Few rows at a time with their texts, of about half a megabyte."""
     sizes = [0 if t is None else int.from_bytes(t[:8], "little") for t in batch.column("packed").to_pylist()]
     at = 0
     while at < batch.num_rows:
         to, total = at, 0
-        while to < batch.num_rows and to - at < rows and (to == at or total + sizes[to] <= 1 << 20):
+        while to < batch.num_rows and to - at < rows and (to == at or total + sizes[to] <= 1 << 19):
             total += sizes[to]
             to += 1
         part = batch.slice(at, to - at)
@@ -129,7 +130,7 @@ def _pieces(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[pa.RecordB
 
 
 def _suffix_runs(found: DataFrame, window: int, k: int) -> DataFrame:
-    """Suffixes at anchors with a shared prefix: (lead, row, id, at, back, count, codes) with ``back`` words before them for ``count`` windows; with a lengthened prefix: (row, id, at, key of the run, hashes of its windows)."""
+    """Suffixes at anchors with a shared prefix: (lead, row, id, at, back, count, codes) with ``back`` words before them for ``count`` windows; with a lengthened prefix: (row, id, at, count, key of the run, its windows that are new in their text, by step and hash); and (row, id, at, back) of words covered by the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,16 +167,31 @@ def _suffix_runs(found: DataFrame, window: int, k: int) -> DataFrame:
                         bounds = np.concatenate([[0], np.cumsum(length * CODE)]).astype(np.int32)
                         data = pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(codes.tobytes())])
                         anchor = place[begin]
-                        columns = [pa.array(grams[anchor].view(np.int64)), *named, pa.array((anchor - first[r]).astype(np.int32)), pa.array((anchor - begin).astype(np.int32)), pa.array(count.astype(np.int32)), data, none(pa.int64()), none(pa.list_(pa.int64()))]
+                        columns = [pa.array(grams[anchor].view(np.int64)), *named, pa.array((anchor - first[r]).astype(np.int32)), pa.array((anchor - begin).astype(np.int32)), pa.array(count.astype(np.int32)), data, none(pa.int64()), none(pa.list_(pa.struct([("step", pa.int32()), ("window", pa.int64())])))]
                     else:
                         turn = inside_run - np.repeat(begin, length)
                         key = mix(np.add.reduceat(mix(words[inside_run] + turn.astype(U64)), np.cumsum(length) - length) + length.astype(U64))
-                        whole, _ = gram_hashes(words, first, window)
-                        windows = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(whole[own].view(np.int64)))
-                        columns = [none(pa.int64()), *named, pa.array((begin - first[r]).astype(np.int32)), none(pa.int32()), none(pa.int32()), none(pa.binary()), pa.array(key.view(np.int64)), windows]
-                    yield pa.RecordBatch.from_arrays(columns, ["lead", "row", "id", "at", "back", "count", "codes", "key", "windows"])
-
-    return found.mapInArrow(run, "lead long, row long, id long, at int, back int, count int, codes binary, key long, windows array<long>")
+                        # a window that its text has had before repeats it, however often a text says the same
+                        whole = gram_hashes(words, first, window)[0][own]
+                        order = np.lexsort((own, whole, rows[own]))
+                        fresh = np.ones(len(own), bool)
+                        fresh[order[1:]] = (whole[order][1:] != whole[order][:-1]) | (rows[own][order][1:] != rows[own][order][:-1])
+                        of = np.repeat(np.arange(len(begin)), count)
+                        bounds = np.concatenate([[0], np.cumsum(np.bincount(of[fresh], minlength=len(begin)))])
+                        each = pa.StructArray.from_arrays([pa.array((own - begin[of])[fresh].astype(np.int32)), pa.array(whole[fresh].view(np.int64))], ["step", "window"])
+                        columns = [none(pa.int64()), *named, pa.array((begin - first[r]).astype(np.int32)), none(pa.int32()), pa.array(count.astype(np.int32)), none(pa.binary()), pa.array(key.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), each)]
+                        if not fresh.all():
+                            again = own[~fresh]
+                            new = np.ones(len(again), bool)
+                            new[1:] = (np.diff(again) > 1) | (np.diff(rows[again]) > 0)
+                            low, high = again[new], again[np.append(np.flatnonzero(new)[1:] - 1, len(again) - 1)] + window
+                            r = rows[low]
+                            none = lambda kind, m=len(low): pa.nulls(m, kind)
+                            known_ = [none(pa.int64()), part.column("row").take(pa.array(r)), part.column("id").take(pa.array(r)), pa.array((low - first[r]).astype(np.int32)), pa.array((high - first[r]).astype(np.int32))]
+                            yield pa.RecordBatch.from_arrays([*known_, none(pa.int32()), none(pa.binary()), none(pa.int64()), none(columns[-1].type)], NAMES)
+                    yield pa.RecordBatch.from_arrays(columns, NAMES)
+
+    return found.mapInArrow(run, "lead long, row long, id long, at int, back int, count int, codes binary, key long, windows array<struct<step:int,window:long>>")
 
 
 class SuffixTree:
@@ -283,17 +299,18 @@ def repeats(texts: DataFrame, window: int, k: int, group: int, ordered: DataFram
     light = runs.filter("lead IS NOT NULL").select("lead", "row", "id", "at", "back", "count", "codes").repartition("lead").sortWithinPartitions("lead")
     below = light.mapInArrow(trees, "row long, low int, high int")
     # runs of lengthened prefixes: of equal runs all but the first repeat; the first ones are compared window by window
-    heavy = runs.filter("key IS NOT NULL").select("key", F.struct("id", "row", F.col("at").alias("start")).alias("at"), "windows")
+    heavy = runs.filter("key IS NOT NULL").select("key", F.struct("id", "row", F.col("at").alias("start")).alias("at"), "count", "windows")
     equal = heavy.groupBy("key").agg(F.min("at").alias("first"))
-    joined = checkpoint(heavy.join(equal, "key").select("at", (F.col("at") == F.col("first")).alias("leads"), F.size("windows").alias("n"), F.when(F.col("at") == F.col("first"), F.col("windows")).alias("windows")))
-    again = joined.filter("NOT leads").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + F.col("n") + window - 1).alias("high"))
-    single = joined.filter("leads").select("at", F.posexplode("windows").alias("step", "window")).select("window", F.struct(F.col("at.id").alias("id"), F.col("at.row").alias("row"), (F.col("at.start") + F.col("step")).alias("start")).alias("at"))
+    joined = checkpoint(heavy.join(equal, "key").select("at", (F.col("at") == F.col("first")).alias("leads"), "count", F.when(F.col("at") == F.col("first"), F.col("windows")).alias("windows")))
+    again = joined.filter("NOT leads").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + F.col("count") + window - 1).alias("high"))
+    said = runs.filter("lead IS NULL AND key IS NULL").select("row", F.col("at").alias("low"), F.col("back").alias("high"))
+    single = joined.filter("leads").select("at", F.explode("windows").alias("w")).select("w.window", F.struct(F.col("at.id").alias("id"), F.col("at.row").alias("row"), (F.col("at.start") + F.col("w.step")).alias("start")).alias("at"))
     earliest = single.groupBy("window").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("window", "first")
-    met = single.join(earliest, "window").filter("at <> first").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + window).alias("high")).unionByName(again)
+    met = single.join(earliest, "window").filter("at <> first").select(F.col("at.row").alias("row"), F.col("at.start").alias("low"), (F.col("at.start") + window).alias("high")).unionByName(again).unionByName(said)
     return below.unionByName(met).unionByName(later.select("row", "low", "high"))
 
 
-def dedup_substrings(docs: DataFrame, window: int = 20, k: int = 8, group: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 20, k: int = 8, group: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, with the text as its kept words joined by a blank, and n_words long, n_removed long, removed array<struct<low, high>>."""
     refuse_columns(docs, "n_words", "n_removed", "removed")
     inner = [c for c in docs.columns if c not in (id_col, text_col)]

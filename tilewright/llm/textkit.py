@@ -1,6 +1,6 @@
 """Vectorised words and word hashes over the bytes of an Arrow string column.
 
-Everything here works on one slice of a column (about a megabyte of text, or one longer text), so the memory of a task doesn't
+Everything here works on one slice of a column (about half a megabyte of text, or one longer text), so the memory of a task doesn't
 depend on how many rows an Arrow batch has. Nulls are empty texts; whoever has to tell them apart looks at the column.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
