@@ -156,7 +156,7 @@ def atomic_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges, batches = _plan(spark, sf_dir)
-    seeds = batches.filter(F.crc32(F.col("batch").cast("binary")) % 3 == 0).select("cut_id", "batch").distinct()
+    seeds = batches.filter(F.length("batch") % 3 == 0).select("cut_id", "batch").distinct()
     return C.dependency_closure(seeds, C.batch_dependencies(batches, edges))
 
 
@@ -251,6 +251,7 @@ SELECT observer_id, z, x, y FROM l WHERE underfoot OR pow(sin((lt - phi) / 2), 2
     "replacement_groups": f"{_TWO}{_GROUPS} SELECT * FROM members",
     "group_dependencies": f"{_TWO}{_EDGES} SELECT * FROM edges",
     "atomic_batches": f"{_TWO}{_EDGES} SELECT * FROM batches",
+    "dependency_closure": f"{_TWO}{_EDGES}, closure AS (SELECT DISTINCT cut_id, batch FROM batches WHERE length(batch) % 3 = 0 UNION SELECT c.cut_id, d.depends_on FROM closure c JOIN depends d ON c.cut_id = d.cut_id AND c.batch = d.batch) SELECT * FROM closure",
     "ready_batches": f"{_TWO}{_EDGES} SELECT b.cut_id, b.batch FROM batches b JOIN after a ON a.cut_id = b.cut_id AND a.g = b.node ANTI JOIN depends d ON d.cut_id = b.cut_id AND d.batch = b.batch GROUP BY ALL HAVING bool_and(a.state IN ('ready', 'missing'))",
     "change_summary": f"""{_TWO}{_EDGES}, o AS (SELECT cut_id, count(*) AS committed FROM old_cut GROUP BY 1), n AS (SELECT cut_id, count(*) AS requested FROM new_cut GROUP BY 1), r AS (SELECT cut_id, count(*) AS retained FROM old_cut SEMI JOIN new_cut USING (cut_id, z, x, y) GROUP BY 1),
 g AS (SELECT cut_id, count(*) AS groups, count(DISTINCT batch) AS batches FROM batches GROUP BY 1),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -131,33 +132,51 @@ def group_dependencies(members: DataFrame, key: str = "cut_id") -> DataFrame:
     return steep.join(a, [key, *TILE]).join(b, [key, "other_z", "other_x", "other_y"]).filter("a <> b").select(key, "a", "b").distinct()
 
 
-def reachable(edges: DataFrame, key: str = "cut_id", limit: int = 1000) -> DataFrame:
-    """(key, a, b): b can be reached from a. Each round extends only the paths that the last one found; raises if ``limit`` rounds don't settle it."""
-    steps = checkpoint(edges.select(key, "a", "b").distinct())
-    onward = steps.select(key, F.col("a").alias("b"), F.col("b").alias("__next"))
-    paths = fresh = steps
-    for _ in range(limit):
-        longer = fresh.join(onward, [key, "b"]).select(key, "a", F.col("__next").alias("b")).distinct()
-        fresh = checkpoint(longer.join(paths, [key, "a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            return paths
-        paths = checkpoint(paths.unionByName(fresh))
-    raise RuntimeError("the edges did not settle")
+def _trimmed(edges: DataFrame, key: str, times: int = 3) -> DataFrame:
+    """The edges without those at nodes that have none in or none out: a circle never leaves the others."""
+    for _ in range(times):
+        edges = edges.join(edges.select(key, F.col("b").alias("a")).distinct(), [key, "a"], "left_semi")
+        edges = edges.join(edges.select(key, F.col("a").alias("b")).distinct(), [key, "b"], "left_semi")
+    return checkpoint(edges.select(key, "a", "b"))
+
+
+def _spread(start: DataFrame, steps: DataFrame, on: list[str], to: str) -> DataFrame:
+    """The rows of start and all that steps lead to from them; each round goes on from what the last one found."""
+    found = fresh = checkpoint(start)
+    while not fresh.isEmpty():
+        onward = fresh.join(steps, on).select(*[F.col(to).alias(c) if c == on[-1] else F.col(c) for c in start.columns]).distinct()
+        fresh = checkpoint(onward.join(found, start.columns, "left_anti"))
+        found = checkpoint(found.unionByName(fresh))
+    return found
 
 
 def atomic_batches(members: DataFrame, edges: DataFrame, key: str = "cut_id") -> DataFrame:
-    """(key, node, batch): groups that depend on each other in a circle share a batch, named by its least group."""
+    """(key, node, batch): groups that depend on each other in a circle share a batch, named by its least group.
+
+    Of the trimmed edges each node first takes the least node that leads to it. Who has the same one, and leads back to it, is a circle; the rest
+    goes round again. Rows are nodes and edges, never pairs of what can be reached.
+    """
     nodes = members.select(key, _group("node")).distinct()
-    # a circle never leaves the nodes with edges both in and out; trimming to them settles most plans at once
-    core = edges
-    for _ in range(3):
-        core = core.join(core.select(key, F.col("b").alias("a")).distinct(), [key, "a"], "left_semi")
-        core = core.join(core.select(key, F.col("a").alias("b")).distinct(), [key, "b"], "left_semi")
-        core = checkpoint(core.select(key, "a", "b"))
-    paths = reachable(core, key)
-    circle = paths.join(paths.select(F.col(key), F.col("a").alias("b"), F.col("b").alias("a")), [key, "a", "b"])
-    least = circle.groupBy(key, F.col("a").alias("node")).agg(F.min("b").alias("__least"))
-    return nodes.join(least, [key, "node"], "left").select(key, "node", F.least("node", F.coalesce("__least", "node")).alias("batch"))
+    core, circles = _trimmed(edges.select(key, "a", "b").distinct(), key), []
+    while not core.isEmpty():
+        labels = checkpoint(core.select(key, F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
+        while True:
+            led = core.join(labels.select(key, F.col("node").alias("a"), F.col("label").alias("from")), [key, "a"]).groupBy(key, F.col("b").alias("node")).agg(F.min("from").alias("from"))
+            new = checkpoint(labels.join(led, [key, "node"], "left").select(key, "node", F.least("label", F.coalesce("from", "label")).alias("label"), (F.col("from") < F.col("label")).alias("moved")))
+            labels = new.select(key, "node", "label")
+            if new.filter("moved").isEmpty():
+                break
+        ends = labels.select(key, F.col("node").alias("b"), F.col("label").alias("other"))
+        back = core.join(labels.withColumnRenamed("node", "a"), [key, "a"]).join(ends, [key, "b"]).filter("label = other").select(key, "label", F.col("b").alias("node"), F.col("a").alias("before"))
+        circle = _spread(labels.filter("node = label").select(key, "label", "node"), checkpoint(back), [key, "label", "node"], "before")
+        circles.append(circle.select(key, "node", F.col("label").alias("batch")))
+        done = circle.select(key, "node")
+        core = core.join(done.withColumnRenamed("node", "a"), [key, "a"], "left_anti").join(done.withColumnRenamed("node", "b"), [key, "b"], "left_anti")
+        core = _trimmed(core, key)
+    if not circles:
+        return nodes.withColumn("batch", F.col("node"))
+    found = functools.reduce(DataFrame.unionByName, circles)
+    return nodes.join(found, [key, "node"], "left").select(key, "node", F.coalesce("batch", "node").alias("batch"))
 
 
 def batch_dependencies(batches: DataFrame, edges: DataFrame, key: str = "cut_id") -> DataFrame:
@@ -169,9 +188,7 @@ def batch_dependencies(batches: DataFrame, edges: DataFrame, key: str = "cut_id"
 
 def dependency_closure(seeds: DataFrame, dependencies: DataFrame, key: str = "cut_id") -> DataFrame:
     """(key, batch): the seeds and all they depend on."""
-    paths = reachable(dependencies.select(key, F.col("batch").alias("a"), F.col("depends_on").alias("b")), key)
-    needed = seeds.select(key, F.col("batch").alias("a")).join(paths, [key, "a"]).select(key, F.col("b").alias("batch"))
-    return seeds.select(key, "batch").unionByName(needed).distinct()
+    return _spread(seeds.select(key, "batch").distinct(), checkpoint(dependencies.select(key, "batch", "depends_on")), [key, "batch"], "depends_on")
 
 
 def ready_batches(batches: DataFrame, dependencies: DataFrame, members: DataFrame, requirements: DataFrame, key: str = "cut_id") -> DataFrame:
