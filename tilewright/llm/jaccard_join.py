@@ -44,6 +44,7 @@ SPARE = 1
 CELL = 192
 PIVOTS = 12
 CUTS = 32
+BROADCAST_ROWS = 1_000_000
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -416,8 +417,9 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
         yield [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))]
 
     holders = _mapped(narrow, "key long, cls long", ["key", "cls"], parts)
-    met = holders.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least < most").select("key", "least")
-    touching = holders.join(met, "key").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    met = checkpoint(holders.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least < most").select("key", "least"))
+    # few shared parts go to all tasks, more of them by a join that moves the parts once more
+    touching = holders.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "key").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
     regions = checkpoint(components(touching).select(F.col("node").alias("cls"), F.col("root").alias("region")))
 
     def whole(batch: pa.RecordBatch) -> Iterator[list]:
