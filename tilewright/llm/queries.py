@@ -122,6 +122,21 @@ lost AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
+#: Whole sets joined shingle by shingle, and what the links reach.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, array_to_string(w[p.p : p.p + 2], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 1)) AS p) p WHERE len(w) >= 3
+  UNION SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 90 * (p.n + q.n - c)),
+ways AS (SELECT x, y FROM link UNION SELECT y, x FROM link),
+reach AS (SELECT x, y FROM ways UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x),
+lowest AS (SELECT x AS doc_id, min(y) AS other FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN lowest USING (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -140,4 +155,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_winnowing": OP4_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_winnowing": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op10_jaccard_join": OP10_SQL}
