@@ -57,6 +57,20 @@ def refuse_columns(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the table has columns that are about to be added: {', '.join(clash)}; rename them first")
 
 
+def with_totals(df: DataFrame, totals: DataFrame, key: str, rows: int = 10_000, salts: int = 16) -> DataFrame:
+    """df with the other columns of ``totals``, which has one row for each value of ``key``, null among them.
+
+    Up to ``rows`` values, counted first, go to every task; beyond that each value has ``salts`` rows and the rows of df that share it are dealt over them.
+    """
+    totals = checkpoint(totals)
+    if totals.count() <= rows:
+        right = F.broadcast(totals.withColumnRenamed(key, "__key"))
+        return df.join(right, F.col(key).eqNullSafe(F.col("__key")), "left").drop("__key")
+    right = totals.withColumnRenamed(key, "__key").withColumn("__of", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    return left.join(right, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__salt") == F.col("__of")), "left").drop("__key", "__salt", "__of")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
