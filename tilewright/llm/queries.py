@@ -9,10 +9,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import bpe, decontaminate, html_blocks, jaccard_join, langid, line_dedup, neighbours, quality, sharding, substring_dedup
+from tilewright.llm import bpe, decontaminate, html_blocks, jaccard_join, langid, line_dedup, neighbours, quality, sharding, substring_dedup, vector_codes, whitening, word_bpe
 from tilewright.llm.jobs import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,24 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return rows
+
+
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = word_bpe.load(spark, WORD_PIECES)
+    ids = word_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
+    digests = word_bpe.ids_digest(ids, "ids", keep=["doc_id", "ids"])
+    back = word_bpe.decode(digests, vocabulary, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 #: The definition of op3 as it stands: all variants of all lines, without the shortcut through halves.
 OP3_SQL = r"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
@@ -138,6 +157,37 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(other, d
 """
 
 
+def _op13_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS) -> str:
+    """The rounds one after the other, every part against every entry of its position."""
+    ctes = [
+        """good AS (
+  SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(1024 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)""",
+        "usual AS (SELECT len(v) AS d FROM good GROUP BY ALL ORDER BY count(*) DESC, d LIMIT 1)",
+        "kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v FROM good WHERE len(v) = (SELECT d FROM usual))",
+        f"part AS MATERIALIZED (SELECT r, p.p AS p, v[p.p * len(v) // {parts} + 1 : (p.p + 1) * len(v) // {parts}] AS x FROM kept, (SELECT unnest(range({parts})) AS p) p)",
+        f"book0 AS MATERIALIZED (SELECT p, r - 1 AS i, x AS e FROM part WHERE r <= {entries})",
+    ]
+    for k in range(rounds + 1):
+        ctes.append(
+            f"""near{k} AS MATERIALIZED (
+  SELECT r, p, x, min({{'d': d, 'i': i}}) AS best FROM (
+    SELECT r, part.p AS p, x, i, list_sum(list_transform(list_zip(x, e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS d FROM part JOIN book{k} USING (p)) GROUP BY ALL)"""
+        )
+        if k < rounds:
+            ctes.append(
+                f"""mean{k} AS (
+  SELECT p, i, list(CAST(floor(s / n) AS BIGINT) ORDER BY pos) AS e FROM (
+    SELECT p, best.i AS i, pos, CAST(sum(c) AS DOUBLE) AS s, count(*) AS n FROM (SELECT p, best, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM near{k}) GROUP BY ALL) GROUP BY ALL)"""
+            )
+            ctes.append(f"book{k + 1} AS MATERIALIZED (SELECT p, i, coalesce(m.e, b.e) AS e FROM book{k} b LEFT JOIN mean{k} m USING (p, i))")
+    ctes.append(
+        f"coded AS MATERIALIZED (SELECT r, string_agg(format('{{:02x}}', best.i), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error FROM near{rounds} GROUP BY r)"
+    )
+    ctes.append(f"said AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, i)) AS h FROM book{rounds})")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM coded JOIN kept USING (r), said"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_blocks": op1_html_blocks,
@@ -150,9 +200,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_vector_packing": op9_vector_packing,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_whitening": op11_whitening,
+        "op12_word_bpe": op12_word_bpe,
+        "op13_vector_codes": op13_vector_codes,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op4_winnowing": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op4_winnowing": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op10_jaccard_join": OP10_SQL, "op13_vector_codes": _op13_sql()}

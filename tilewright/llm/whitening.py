@@ -276,9 +276,11 @@ def project(kept: DataFrame, names: list[str], d: int, model: Whitening) -> Data
 
 def identity_error(projected: DataFrame, many: int) -> float:
     """The largest entry of the covariance of w, less the identity."""
+    if not many:
+        return 0.0
     pairs = [(i, j) for i in range(many) for j in range(i, many)]
     row = projected.select(*[F.col("w")[i].alias(f"w{i}") for i in range(many)]).agg(*[F.covar_pop(f"w{i}", f"w{j}") for i, j in pairs]).first()
-    return max((abs(v - (i == j)) for (i, j), v in zip(pairs, row, strict=True)), default=0.0)
+    return max(abs(v - (i == j)) for (i, j), v in zip(pairs, row, strict=True))
 
 
 def whiten(df: DataFrame, vector_col: str = "embedding", keep: list[str] | None = None, components: int = COMPONENTS) -> tuple[DataFrame, Whitening]:
