@@ -204,12 +204,17 @@ def test_word_ids_equal_the_library(spark):
             assert got[k]["decoded"] == library.decode(want, skip_special_tokens=False), k
 
 
-def test_each_distinct_word_is_encoded_once(spark):
+def test_blocks_give_each_word_its_ids(spark):
     vocabulary = word_bpe.load(spark, PATH)
-    listed = spark.createDataFrame([(c, a, w.encode()) for c in range(5) for a, w in enumerate(["the", "cat", f"own{c}"])], "chunk long, at int, word binary")
-    rows = word_bpe.encode_words(listed, vocabulary).collect()
-    assert len(rows) == 15 and len({(r["chunk"], r["at"]) for r in rows}) == 15
-    assert len({bytes(r["ids"]) for r in rows if r["at"] == 0}) == 1
+    lists = {c: [b"the", b"cat", *[f"own{c}x{k}".encode() for k in range(40)]] for c in range(5)}
+    listed = spark.createDataFrame([(c, len(w), *map(bytearray, word_bpe.pack_words(w))) for c, w in lists.items()], "chunk long, n_words long, sizes binary, words binary")
+    seen = {}
+    for row in word_bpe.encode_words(listed, vocabulary, bucket_words=10).collect():
+        ids = np.frombuffer(word_bpe.unzipped(bytes(row["ids"])), np.int32)
+        numbers, sizes = np.cumsum(word_bpe.unpack(bytes(row["numbers"]))), word_bpe.unpack(bytes(row["sizes"]))
+        for number, part in zip(numbers.tolist(), np.split(ids, np.cumsum(sizes)[:-1])):
+            seen[row["chunk"], number] = part.tolist()
+    assert seen == {(c, k): vocabulary.value.encode_word(w) for c, own in lists.items() for k, w in enumerate(own)}
 
 
 def test_word_cases(spark):
@@ -227,7 +232,7 @@ def test_word_cases(spark):
         word_bpe.encode(none.withColumnRenamed("doc_id", "ids"), vocabulary)
 
 
-def test_numbers_survive_squeezing():
+def test_numbers_survive_packing():
     numbers = np.array([0, 127, 128, 16383, 16384, 2**21 - 1, 2**21, 2**28 + 5, 3], np.int64)
-    parts = word_bpe.squeeze(numbers, np.array([0, 4, 0, 5]))
-    assert [word_bpe.unsqueeze(p).tolist() for p in parts] == [[], numbers[:4].tolist(), [], numbers[4:].tolist()]
+    parts = word_bpe.pack_each(numbers, np.array([0, 4, 0, 5]))
+    assert [word_bpe.unpack(p).tolist() for p in parts] == [[], numbers[:4].tolist(), [], numbers[4:].tolist()]

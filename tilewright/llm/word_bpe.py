@@ -1,12 +1,12 @@
 """Word-level BPE encoding and decoding through a table of distinct words.
 
-Encoding is three steps. (1) Texts are normalised (NFC, lower case) and split into words in Spark tasks. About ``chunk`` bytes of neighbouring texts make a chunk,
+Encoding is three steps. (1) Texts are normalised (NFC, lower case) and split into words in Spark tasks. About ``chunk_bytes`` of neighbouring texts make a chunk,
 which lists its distinct words once; a text becomes the numbers of its words in that list, in order: its positions. Both are written. (2) The chunks'
-words meet by word: sorted by it, each distinct word of the corpus is encoded once, where its rows begin, and what its rows carry
-on is its ids with their chunk and number. (3) They are joined back by chunk, and a text's numbers become ids by position. A frequent word
-is one row a chunk, so no word gathers rows; a word that only one text holds is one row.
+words meet by word: they are dealt to buckets by a hash, as many as keep about ``BUCKET_WORDS`` listed words in each, and there each distinct word of the corpus
+is encoded once; its ids go back with the chunk and number of every listing. (3) They are joined back by chunk, and a text's numbers become ids by position. A frequent word
+is listed once a chunk, so no word gathers rows; a task of step 2 keeps the distinct words of one bucket, one of step 3 a chunk.
 
-What is shuffled is distinct words, not texts, once by word and once by chunk, and the texts' numbers, squeezed, once by chunk. A task of step 3 holds one chunk.
+What is shuffled is distinct words, not texts, once by bucket and once by chunk, packed in blocks (what one chunk lists in one bucket), and the texts' numbers, packed, once by chunk.
 
 Decoding joins ids with pieces: the table of (id, piece) has the size of the vocabulary, whatever the input's, so it goes to every task, and a batch's ids
 are looked up at once. Pieces are joined by one blank, as the tokenizers library does for this vocabulary, which names no decoder.
@@ -19,10 +19,12 @@ is split as any other sign.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import re
 import unicodedata
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tilewright.llm.bpe import LETTER, NUMBER, WHITE_SPACE, char_classes, gather
-from tilewright.llm.jobs import checkpoint, numbered, refuse_columns, widened, written
+from tilewright.llm.jobs import numbered, refuse_columns, widened, written
 
-CHUNK_BYTES = 1 << 23
+CHUNK_BYTES = 1 << 24
+BUCKET_WORDS = 1 << 16
+#: Texts whose numbers are packed at once.
+PACK_WORDS = 1 << 18
 #: Up to this length pairs are searched one by one, beyond it they are kept in a heap.
 SHORT = 200
 #: In front of a special token's name where words are listed; no word begins with this byte.
@@ -150,34 +155,59 @@ def load(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 
-def squeeze(numbers: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """Each text's numbers, 7 bits a byte, the last byte of a number without the high bit; small numbers, which stand for early and so mostly frequent words, take one."""
-    sizes = 1 + (numbers >= 1 << 7).astype(np.int64) + (numbers >= 1 << 14) + (numbers >= 1 << 21) + (numbers >= 1 << 28)
+def _seven_bits(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers under 2^35 in bytes of 7 bits, the last byte of each without the high bit; and where each ends."""
+    sizes = 1 + sum((numbers >= 1 << (7 * k)).astype(np.int64) for k in range(1, 5))
     ends = np.cumsum(sizes)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
     for k in range(5):
         here = sizes > k
         out[ends[here] - 1 - k] = (numbers[here] >> (7 * k)) & 127 | (128 if k else 0)
+    return out, ends
+
+
+def zipped(data: bytes) -> bytes:
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def unzipped(data: bytes) -> bytes:
+    size = int.from_bytes(data[:4], "little")
+    return pa.Codec("zstd").decompress(data[4:], size, asbytes=True) if size else b""
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    return zipped(_seven_bits(numbers)[0].tobytes())
+
+
+def pack_each(numbers: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+    """The numbers of each text by itself; small ones, which stand for early and so mostly for frequent words, take a byte."""
+    data, ends = _seven_bits(numbers)
     bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
-    flat, codec = out.tobytes(), pa.Codec("zstd", 1)
-    return [len(part).to_bytes(4, "little") + codec.compress(part, asbytes=True) for part in (flat[a:b] for a, b in zip(bounds, bounds[1:]))]
-
-
-def unsqueeze(part: bytes) -> np.ndarray:
-    size = int.from_bytes(part[:4], "little")
-    if not size:
-        return np.zeros(0, np.int64)
-    data = np.frombuffer(pa.Codec("zstd").decompress(part[4:], size, asbytes=True), np.uint8)
-    last = data < 128
-    ends = np.flatnonzero(last)
-    starts = np.append(0, ends[:-1] + 1)
+    flat = data.tobytes()
+    return [zipped(flat[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+
+def unpack(part: bytes) -> np.ndarray:
+    data = np.frombuffer(unzipped(part), np.uint8)
+    ends = np.flatnonzero(data < 128)
+    starts = np.append(0, ends[:-1] + 1)[: len(ends)]
     out, sizes = np.zeros(len(ends), np.int64), ends - starts
-    for k in range(int(sizes.max()) + 1):
+    for k in range(int(sizes.max()) + 1 if len(ends) else 0):
         here = sizes >= k
         out[here] |= (data[ends[here] - k] & 127).astype(np.int64) << (7 * k)
     return out
 
 
+def pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    return pack(np.fromiter(map(len, words), np.int64, len(words))), zipped(b"".join(words))
+
+
+def unpack_words(sizes: bytes, words: bytes) -> list[bytes]:
+    ends = np.cumsum(unpack(sizes)).tolist()
+    flat = unzipped(words)
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class _Numbers(dict):
     """Words to numbers, a new word the next one."""
 
@@ -187,12 +217,14 @@ class _Numbers(dict):
 
 
 class _Chunk:
-    """Neighbouring texts: the numbers of their words, and the rows they came from."""
+    """Neighbouring texts: the packed numbers of their words, and the rows they came from."""
 
     def __init__(self, at: int):
         self.at, self.number, self.size = at, _Numbers(), 0
         self.rows: list[pa.RecordBatch] = []
         self.texts: list[np.ndarray] = []
+        self.waiting = 0
+        self.packed: list[bytes] = []
 
     def add(self, text: str | None, vocabulary: Vocabulary) -> None:
         number = self.number.__getitem__
@@ -204,25 +236,34 @@ class _Chunk:
             words = words_of(text) if text else []
         self.texts.append(np.fromiter(map(number, words), np.int64, len(words)))
         self.size += len(text or "")
+        self.waiting += len(words)
+        if self.waiting >= PACK_WORDS:
+            self.pack()
+
+    def pack(self) -> None:
+        if self.texts:
+            self.packed += pack_each(np.concatenate(self.texts), np.array([len(t) for t in self.texts], np.int64))
+        self.texts, self.waiting = [], 0
 
     def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
         """The texts with their numbers, then one row that lists the words."""
-        rows = pa.Table.from_batches(self.rows).select(names).combine_chunks() if names else None
-        lengths = np.array([len(t) for t in self.texts], np.int64)
-        squeezed = squeeze(np.concatenate(self.texts) if self.texts else np.zeros(0, np.int64), lengths)
-        columns = [rows.column(c).combine_chunks() for c in names] if names else []
-        n = len(squeezed)
-        made = [pa.array([self.at] * n, pa.int64()), pa.array(squeezed, pa.binary()), pa.nulls(n, pa.list_(pa.binary()))]
-        yield pa.RecordBatch.from_arrays([*columns, *made], [*names, "chunk", "numbers", "words"])
+        self.pack()
+        n = len(self.packed)
+        columns = [c.combine_chunks() for c in pa.Table.from_batches(self.rows).select(names).columns]
+        none = pa.nulls(n, pa.binary())
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([self.at] * n, pa.int64()), pa.array(self.packed, pa.binary()), pa.nulls(n, pa.int64()), none, none], [*names, *STEP_1])
         if self.number:
-            words = pa.array([[w if isinstance(w, bytes) else w.encode() for w in self.number]], pa.list_(pa.binary()))
-            blank = [pa.nulls(1, c.type) for c in columns]
-            yield pa.RecordBatch.from_arrays([*blank, pa.array([self.at], pa.int64()), pa.nulls(1, pa.binary()), words], [*names, "chunk", "numbers", "words"])
+            sizes, words = pack_words([w if isinstance(w, bytes) else w.encode() for w in self.number])
+            listed = [pa.array([self.at], pa.int64()), pa.nulls(1, pa.binary()), pa.array([len(self.number)], pa.int64()), pa.array([sizes], pa.binary()), pa.array([words], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, c.type) for c in columns], *listed], [*names, *STEP_1])
+
+
+STEP_1 = {"chunk": "long", "numbers": "binary", "n_words": "long", "sizes": "binary", "words": "binary"}
 
 
 def split(narrow: DataFrame, names: list[str], vocabulary, chunk_bytes: int) -> DataFrame:
-    """Step 1, written: a row for each text (names, chunk, numbers), and one for each chunk (chunk, words)."""
-    schema = widened(narrow.select(*names), chunk="long", numbers="binary", words="array<binary>")
+    """Step 1, written: a row for each text (names, chunk, numbers), and one for each chunk (chunk, n_words, sizes, words)."""
+    schema = widened(narrow.select(*names), **STEP_1)
     for field in schema.fields:
         field.nullable = True
 
@@ -234,32 +275,52 @@ def split(narrow: DataFrame, names: list[str], vocabulary, chunk_bytes: int) ->
             for k, text in enumerate(batch.column("__text")):
                 chunk.add(text.as_py(), v)
                 if chunk.size >= chunk_bytes:
-                    chunk.rows.append(batch.slice(start, k + 1 - start))
+                    chunk.rows.append(batch.select(names).slice(start, k + 1 - start))
                     yield from chunk.batches(names)
                     start, seen = k + 1, seen + 1
                     chunk = _Chunk(task << 32 | seen)
             if start < batch.num_rows:
-                chunk.rows.append(batch.slice(start))
-        if chunk.texts:
+                chunk.rows.append(batch.select(names).slice(start))
+        if chunk.rows:
             yield from chunk.batches(names)
 
     return written(narrow.mapInArrow(run, schema))
 
 
-def encode_words(listed: DataFrame, vocabulary) -> DataFrame:
-    """Step 2: (chunk, at, ids) of (chunk, at, word); rows of a word stand together, and the word is encoded at the first of them."""
+def encode_words(listed: DataFrame, vocabulary, bucket_words: int = BUCKET_WORDS) -> DataFrame:
+    """Step 2: of (chunk, n_words, sizes, words), the blocks (chunk, numbers, sizes, ids): a word's number in its chunk, how many ids it has, and those."""
+    buckets = max(16, -(-(listed.agg(F.sum("n_words")).first()[0] or 0) // bucket_words))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, last, ids = vocabulary.value, None, b""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for word in batch.column("word").to_pylist():
-                if word != last:
-                    last, ids = word, np.array(v.encode_word(word), np.uint16 if v.pieces[-1][0] < 1 << 16 else np.uint32).tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("at"), pa.array(out, pa.binary())], ["chunk", "at", "ids"])
+            for chunk, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("chunk", "sizes", "words")), strict=True):
+                own = unpack_words(sizes, words)
+                home = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % buckets
+                order = np.argsort(home, kind="stable")
+                cuts = np.flatnonzero(np.diff(home[order])) + 1
+                parts = np.split(order, cuts)
+                packed = [pack_words([own[k] for k in part.tolist()]) for part in parts]
+                rows = [home[order[np.append(0, cuts)]].tolist(), [chunk] * len(parts), [pack(np.diff(part, prepend=0)) for part in parts], *zip(*packed, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(r), t) for r, t in zip(rows, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "chunk", "numbers", "sizes", "words"])
 
-    return listed.repartition("word").sortWithinPartitions("word").mapInArrow(run, "chunk long, at int, ids binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, bucket, known = vocabulary.value, None, {}
+        for batch in batches:
+            counts, ids = [], []
+            for home, sizes, words in zip(*(batch.column(c).to_pylist() for c in ("bucket", "sizes", "words")), strict=True):
+                if home != bucket:
+                    bucket, known = home, {}
+                made = []
+                for word in unpack_words(sizes, words):
+                    if (found := known.get(word)) is None:
+                        known[word] = found = v.encode_word(word)
+                    made.append(found)
+                counts.append(pack(np.fromiter(map(len, made), np.int64, len(made))))
+                ids.append(zipped(np.array([i for own in made for i in own], np.int32).tobytes()))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("numbers"), pa.array(counts, pa.binary()), pa.array(ids, pa.binary())], ["chunk", "numbers", "sizes", "ids"])
+
+    dealt = listed.select("chunk", "sizes", "words").mapInArrow(deal, "bucket long, chunk long, numbers binary, sizes binary, words binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, numbers binary, sizes binary, ids binary")
 
 
 def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -268,27 +329,24 @@ def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids",
     refuse_columns(df.select(*[F.col(f"`{c}`") for c in keep]), out)
     narrow, names = numbered(df, keep, F.col(f"`{text_col}`").cast("string").alias("__text"))
     pieces = split(narrow, names, vocabulary, chunk_bytes)
-    listed = pieces.filter("words IS NOT NULL").select("chunk", F.posexplode("words").alias("at", "word"))
-    known = checkpoint(encode_words(listed, vocabulary))
+    known = encode_words(pieces.filter("words IS NOT NULL").select("chunk", "n_words", "sizes", "words"), vocabulary)
     texts = pieces.filter("words IS NULL").select(*names, "chunk", "numbers")
     schema = StructType([*texts.select(*names).schema.fields, *widened(narrow.limit(0).select(), **{out: "array<int>"}).fields])
-    narrow_ids = vocabulary.value.pieces[-1][0] < 1 << 16
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("at").to_numpy(), kind="stable")
-        lists = right.column("ids").combine_chunks().take(pa.array(order)) if len(order) else pa.array([], pa.binary())
-        data = b"".join(lists.to_pylist())
-        flat = np.frombuffer(data, np.uint16 if narrow_ids else np.uint32).astype(np.int32)
-        sizes = np.array([len(x) for x in lists.to_pylist()], np.int64) // (2 if narrow_ids else 4)
-        starts = np.cumsum(sizes) - sizes
-        ids, counts = [], []
+        blocks = [[unpack(x) for x in right.column(c).to_pylist()] for c in ("numbers", "sizes")]
+        at = np.concatenate([np.zeros(0, np.int64), *map(np.cumsum, blocks[0])])
+        each = np.concatenate([np.zeros(0, np.int64), *blocks[1]])
+        flat = np.frombuffer(b"".join(map(unzipped, right.column("ids").to_pylist())), np.int32)
+        sizes, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        sizes[at], starts[at] = each, np.cumsum(each) - each
+        ids, counts = [np.zeros(0, np.int32)], [0]
         for part in left.column("numbers").to_pylist():
-            numbers = unsqueeze(part)
-            made = flat[gather(starts[numbers], sizes[numbers])] if len(numbers) else np.zeros(0, np.int32)
+            numbers = unpack(part)
+            made = flat[gather(starts[numbers], sizes[numbers])] if len(numbers) else ids[0]
             ids.append(made)
             counts.append(len(made))
-        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        made = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+        made = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(ids)))
         return pa.table([*[left.column(c) for c in names], made], [*names, out])
 
     return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema).toDF(*keep, out)
@@ -334,8 +392,6 @@ def decode(df: DataFrame, vocabulary, ids_col: str = "ids", out: str = "decoded"
 
 def ids_digest(df: DataFrame, ids_col: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` with n_tokens and ids_sha256, of the ids as little-endian unsigned 32-bit integers."""
-    import hashlib
-
     narrow, names = numbered(df, keep, F.col(f"`{ids_col}`").alias("__ids"))
     schema = widened(narrow.drop("__ids"), n_tokens="long", ids_sha256="string")
 
