@@ -223,7 +223,8 @@ def test_word_cases(spark):
     assert word_bpe.encode(none, vocabulary).collect() == []
     ids = spark.createDataFrame([(1, None), (2, []), (3, [320, 49407])], "n int, ids array<int>")
     assert [r["decoded"] for r in word_bpe.decode(ids, vocabulary).orderBy("n").collect()] == [None, "", "a</w> <|endoftext|>"]
-    digests = word_bpe.ids_digest(ids, "ids", ["n"]).orderBy("n").collect()
+    texts = spark.createDataFrame([(1, None), (2, ""), (3, "a<|endoftext|>")], "n int, text string")
+    digests = word_bpe.encode(texts, vocabulary, digest=True).orderBy("n").collect()
     assert [r["n_tokens"] for r in digests] == [0, 0, 2]
     assert digests[2]["ids_sha256"] == hashlib.sha256(np.array([320, 49407], "<u4").tobytes()).hexdigest()
     with pytest.raises(Exception, match="vocabulary"):

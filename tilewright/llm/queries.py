@@ -79,9 +79,8 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = word_bpe.load(spark, WORD_PIECES)
-    ids = word_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"])
-    digests = word_bpe.ids_digest(ids, "ids", keep=["doc_id", "ids"])
-    back = word_bpe.decode(digests, vocabulary, keep=["doc_id", "n_tokens", "ids_sha256"])
+    ids = word_bpe.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id"], digest=True)
+    back = word_bpe.decode(ids, vocabulary, keep=["doc_id", "n_tokens", "ids_sha256"])
     return back.select("doc_id", "n_tokens", "ids_sha256", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -1,7 +1,7 @@
 """Word-level BPE encoding and decoding through a table of distinct words.
 
 Encoding is three steps. (1) Texts are normalised (NFC, lower case) and split into words in Spark tasks. About ``chunk_bytes`` of neighbouring texts make a chunk,
-which lists its distinct words once; a text becomes the numbers of its words in that list, in order: its positions. Both are written. (2) The chunks'
+which lists its distinct words once; a text becomes the numbers of its words in that list, in order: its positions. Frequent words come first there, so most numbers are small. Both are written. (2) The chunks'
 words meet by word: they are dealt to buckets by a hash, as many as keep about ``BUCKET_WORDS`` listed words in each, and there each distinct word of the corpus
 is encoded once; its ids go back with the chunk and number of every listing. (3) They are joined back by chunk, and a text's numbers become ids by position. A frequent word
 is listed once a chunk, so no word gathers rows; a task of step 2 keeps the distinct words of one bucket, one of step 3 a chunk.
@@ -180,7 +180,7 @@ def pack(numbers: np.ndarray) -> bytes:
 
 
 def pack_each(numbers: np.ndarray, lengths: np.ndarray) -> list[bytes]:
-    """The numbers of each text by itself; small ones, which stand for early and so mostly for frequent words, take a byte."""
+    """The numbers of each text by itself; small ones take a byte."""
     data, ends = _seven_bits(numbers)
     bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
     flat = data.tobytes()
@@ -217,14 +217,12 @@ class _Numbers(dict):
 
 
 class _Chunk:
-    """Neighbouring texts: the packed numbers of their words, and the rows they came from."""
+    """Neighbouring texts: the numbers of their words, and the columns of the rows they came from."""
 
     def __init__(self, at: int):
         self.at, self.number, self.size = at, _Numbers(), 0
         self.rows: list[pa.RecordBatch] = []
         self.texts: list[np.ndarray] = []
-        self.waiting = 0
-        self.packed: list[bytes] = []
 
     def add(self, text: str | None, vocabulary: Vocabulary) -> None:
         number = self.number.__getitem__
@@ -234,26 +232,32 @@ class _Chunk:
                 words += [SPECIAL + part.encode()] if k % 2 else words_of(part)
         else:
             words = words_of(text) if text else []
-        self.texts.append(np.fromiter(map(number, words), np.int64, len(words)))
+        self.texts.append(np.fromiter(map(number, words), np.int32, len(words)))
         self.size += len(text or "")
-        self.waiting += len(words)
-        if self.waiting >= PACK_WORDS:
-            self.pack()
 
-    def pack(self) -> None:
-        if self.texts:
-            self.packed += pack_each(np.concatenate(self.texts), np.array([len(t) for t in self.texts], np.int64))
-        self.texts, self.waiting = [], 0
+    def keep(self, batch: pa.RecordBatch, start: int, end: int) -> None:
+        if end > start:
+            self.rows.append(batch.take(pa.array(np.arange(start, end))))  # a copy, as a slice would hold the texts of its batch
 
     def batches(self, names: list[str]) -> Iterator[pa.RecordBatch]:
-        """The texts with their numbers, then one row that lists the words."""
-        self.pack()
-        n = len(self.packed)
+        """The texts with their numbers, then one row that lists the words, the most frequent first."""
+        counts = np.bincount(np.concatenate(self.texts), minlength=len(self.number))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        lengths = np.array([len(t) for t in self.texts], np.int64)
+        cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // PACK_WORDS)) + 1
+        packed = []
+        for some in np.split(np.arange(len(lengths)), cuts):
+            if len(some):
+                packed += pack_each(rank[np.concatenate(self.texts[some[0] : some[-1] + 1])], lengths[some])
+        n = len(packed)
         columns = [c.combine_chunks() for c in pa.Table.from_batches(self.rows).select(names).columns]
         none = pa.nulls(n, pa.binary())
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([self.at] * n, pa.int64()), pa.array(self.packed, pa.binary()), pa.nulls(n, pa.int64()), none, none], [*names, *STEP_1])
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([self.at] * n, pa.int64()), pa.array(packed, pa.binary()), pa.nulls(n, pa.int64()), none, none], [*names, *STEP_1])
         if self.number:
-            sizes, words = pack_words([w if isinstance(w, bytes) else w.encode() for w in self.number])
+            met = list(self.number)
+            sizes, words = pack_words([w if isinstance(w, bytes) else w.encode() for w in (met[k] for k in order.tolist())])
             listed = [pa.array([self.at], pa.int64()), pa.nulls(1, pa.binary()), pa.array([len(self.number)], pa.int64()), pa.array([sizes], pa.binary()), pa.array([words], pa.binary())]
             yield pa.RecordBatch.from_arrays([*[pa.nulls(1, c.type) for c in columns], *listed], [*names, *STEP_1])
 
@@ -275,12 +279,11 @@ def split(narrow: DataFrame, names: list[str], vocabulary, chunk_bytes: int) ->
             for k, text in enumerate(batch.column("__text")):
                 chunk.add(text.as_py(), v)
                 if chunk.size >= chunk_bytes:
-                    chunk.rows.append(batch.select(names).slice(start, k + 1 - start))
+                    chunk.keep(batch.select(names), start, k + 1)
                     yield from chunk.batches(names)
                     start, seen = k + 1, seen + 1
                     chunk = _Chunk(task << 32 | seen)
-            if start < batch.num_rows:
-                chunk.rows.append(batch.select(names).slice(start))
+            chunk.keep(batch.select(names), start, batch.num_rows)
         if chunk.rows:
             yield from chunk.batches(names)
 
@@ -323,15 +326,19 @@ def encode_words(listed: DataFrame, vocabulary, bucket_words: int = BUCKET_WORDS
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "chunk long, numbers binary, sizes binary, ids binary")
 
 
-def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The columns ``keep`` (all but the text, if None) and ``out``, the ids of the whole text as array<int>."""
+def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids", keep: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES, digest: bool = False) -> DataFrame:
+    """The columns ``keep`` (all but the text, if None) and ``out``, the ids of the whole text as array<int>.
+
+    With ``digest`` also n_tokens and ids_sha256, in hex, of the ids as little-endian unsigned 32-bit integers.
+    """
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
-    refuse_columns(df.select(*[F.col(f"`{c}`") for c in keep]), out)
+    added = [out, "n_tokens", "ids_sha256"] if digest else [out]
+    refuse_columns(df.select(*[F.col(f"`{c}`") for c in keep]), *added)
     narrow, names = numbered(df, keep, F.col(f"`{text_col}`").cast("string").alias("__text"))
     pieces = split(narrow, names, vocabulary, chunk_bytes)
     known = encode_words(pieces.filter("words IS NOT NULL").select("chunk", "n_words", "sizes", "words"), vocabulary)
     texts = pieces.filter("words IS NULL").select(*names, "chunk", "numbers")
-    schema = StructType([*texts.select(*names).schema.fields, *widened(narrow.limit(0).select(), **{out: "array<int>"}).fields])
+    schema = StructType([*texts.select(*names).schema.fields, *widened(narrow.limit(0).select(), **dict(zip(added, ["array<int>", "long", "string"]))).fields])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         blocks = [[unpack(x) for x in right.column(c).to_pylist()] for c in ("numbers", "sizes")]
@@ -347,9 +354,12 @@ def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids",
             ids.append(made)
             counts.append(len(made))
         made = pa.ListArray.from_arrays(pa.array(np.cumsum(counts), pa.int32()), pa.array(np.concatenate(ids)))
-        return pa.table([*[left.column(c) for c in names], made], [*names, out])
+        columns = [*[left.column(c) for c in names], made]
+        if digest:
+            columns += [pa.array(counts[1:], pa.int64()), pa.array([hashlib.sha256(own.astype("<u4").tobytes()).hexdigest() for own in ids[1:]], pa.string())]
+        return pa.table(columns, [*names, *added])
 
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema).toDF(*keep, out)
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(run, schema).toDF(*keep, *added)
 
 
 def decode(df: DataFrame, vocabulary, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -388,20 +398,3 @@ def decode(df: DataFrame, vocabulary, ids_col: str = "ids", out: str = "decoded"
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, rows) for c in names], made], [*names, out])
 
     return narrow.mapInArrow(run, schema).toDF(*keep, out)
-
-
-def ids_digest(df: DataFrame, ids_col: str, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` with n_tokens and ids_sha256, of the ids as little-endian unsigned 32-bit integers."""
-    narrow, names = numbered(df, keep, F.col(f"`{ids_col}`").alias("__ids"))
-    schema = widened(narrow.drop("__ids"), n_tokens="long", ids_sha256="string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("__ids")
-            data = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-            counts = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            bounds = (4 * np.concatenate([[0], np.cumsum(counts)])).tolist()
-            digests = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(bounds, bounds[1:])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(counts), pa.array(digests)], [*names, "n_tokens", "ids_sha256"])
-
-    return narrow.mapInArrow(run, schema).toDF(*keep, "n_tokens", "ids_sha256")
