@@ -188,12 +188,26 @@ class Encoder:
         self.memo: dict[int, tuple[bytes, list[int]]] = {}
         self.older: dict[int, tuple[bytes, list[int]]] = {}
 
+    @staticmethod
+    def _by_bytes(whole: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Kinds of pre-tokens told apart by their bytes: the hash and first place of each kind, and the kind of each place."""
+        kinds: dict[bytes, int] = {}
+        where = np.array([kinds.setdefault(whole[a:b], len(kinds)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int64)
+        first = np.unique(where, return_index=True)[1]
+        return word_hashes(np.frombuffer(whole, np.uint8), starts[first], ends[first]), first, where
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice of texts, and the number of ids in each."""
         text, offsets = utf8(column)
         starts = pretoken_starts(text, offsets)
         ends = np.append(starts[1:], len(text)) if len(starts) else starts
         hashes, first, where = np.unique(word_hashes(text, starts, ends), return_index=True, return_inverse=True)
+        sizes = ends - starts
+        stand_in = first[where]
+        alike = sizes[stand_in] == sizes
+        like = text[gather(starts[stand_in[alike]], sizes[alike])] == text[gather(starts[alike], sizes[alike])]
+        if not alike.all() or not like.all():  # pre-tokens that only share a hash are kinds of their own
+            hashes, first, where = self._by_bytes(text.tobytes(), starts, ends)
         found = self.vocabulary.perfect.find(hashes)
         whole, memo, v = text.tobytes(), self.memo, self.vocabulary
         pieces: list = [None] * len(hashes)

@@ -15,8 +15,11 @@ U64 = np.uint64
 SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers = [np.ones(1, U64), np.ones(1, U64)]
+#: Two primes under 2^31: polynomials modulo a power of two would give a Thue-Morse word and its complement the same value.
+_PRIMES = (2147483629, 2147483587)
+_BYTES = [np.random.default_rng(20240229 + k).integers(1, p, 256).astype(np.uint64) for k, p in enumerate(_PRIMES)]
+_BASES = [int(np.random.default_rng(7 + k).integers(1 << 29, p - 1)) for k, p in enumerate(_PRIMES)]
+_powers: list[list[np.ndarray]] = []
 
 
 def word_table(ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -82,23 +85,30 @@ def word_spans(text: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) <= n:
+def _geometric(base: int, prime: int, size: int) -> np.ndarray:
+    """1, base, base^2, ... modulo prime, by doubling."""
+    out = np.ones(1, U64)
+    while len(out) < size:
+        out = np.concatenate([out, out * U64(pow(base, len(out), prime)) % U64(prime)])
+    return out[:size]
+
+
+def _power_tables(n: int) -> list[list[np.ndarray]]:
+    """For each prime the powers of its base, and of the base's inverse."""
+    if not _powers or len(_powers[0][0]) <= n:
         size = max(n + 1, SLICE_BYTES + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
-            step = np.full(size, base, U64)
-            step[0] = 1
-            _powers[k] = np.cumprod(step, dtype=U64)
+        _powers[:] = [[_geometric(b, p, size), _geometric(pow(b, -1, p), p, size)] for b, p in zip(_BASES, _PRIMES, strict=True)]
     return _powers
 
 
 def word_hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever the word stands."""
-    power, inverse = _power_tables(len(text))
-    sums = np.zeros(len(text) + 1, U64)
-    np.cumsum(_BYTE[text] * power[: len(text)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64))
+    """A hash of each word, the same wherever the word stands: polynomials modulo two primes, 62 bits in all, and the length."""
+    out = np.zeros(len(starts), U64)
+    for (power, inverse), prime, value in zip(_power_tables(len(text)), _PRIMES, _BYTES, strict=True):
+        sums = np.zeros(len(text) + 1, U64)
+        np.cumsum(value[text] * power[: len(text)] % U64(prime), out=sums[1:])
+        out = out << U64(32) | (sums[ends] - sums[starts]) % U64(prime) * inverse[starts] % U64(prime)
+    return mix(out + (ends - starts).astype(U64) * U64(_BASE))
 
 
 def gram_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
