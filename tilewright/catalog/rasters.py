@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.catalog import views as V
+from tilewright.functions.shared import checkpoint
 from tilewright.operators import rasters as R
 from tilewright.operators import responses as P
+from tilewright.plans import cover as C
 
 
 def _zoom(spark: SparkSession, sf_dir: str) -> int:
@@ -38,12 +41,40 @@ def raster_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sample_elevation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sample_elevation(V.positions(spark, sf_dir).select("id", "lat", "lon"), _rasters(spark, sf_dir), _zoom(spark, sf_dir)).select("id", F.round("elevation_m", 4).alias("elevation_m"))
+    return R.sample_one_zoom(V.positions(spark, sf_dir).select("id", "lat", "lon"), _rasters(spark, sf_dir), _zoom(spark, sf_dir)).select("id", F.round("elevation_m", 4).alias("elevation_m"))
 
 
 def ground_tracks_on_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = V.positions(spark, sf_dir).select("id", "lat", "lon", (F.col("id") % 3 == 0).alias("on_ground"), (F.col("id") % 900).alias("altitude"))
-    return R.ground_tracks_on_terrain(s, _rasters(spark, sf_dir), _zoom(spark, sf_dir)).groupBy("on_ground").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("height"), 2).alias("height"))
+    return R.ground_tracks_on_one_zoom(s, _rasters(spark, sf_dir), _zoom(spark, sf_dir)).groupBy("on_ground").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("height"), 2).alias("height"))
+
+
+def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rasters of three zooms: each vector fills a tile in every one whose world has room for it, twice as wide as high where its number is odd; some have no elevation."""
+    top, out = _zoom(spark, sf_dir), []
+    for z in {max(0, top - k) for k in range(3)}:
+        wide = F.col("vec_id") % 2
+        elevation = F.when(F.col("vec_id") % 9 > 0, F.transform("embedding", lambda v: v.cast("double") * 1000 + z))
+        rows = V.read(spark, sf_dir, "embeddings").filter(F.col("vec_id") < (1 << (2 * z)))
+        out.append(rows.select(F.lit(z).alias("z"), (F.col("vec_id") % (1 << z)).alias("x"), F.floor(F.col("vec_id") / (1 << z)).alias("y"), F.when(wide == 1, 16).otherwise(8).alias("width"), F.when(wide == 1, 4).otherwise(8).alias("height"), elevation.alias("elevation")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _covers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checkpoint(C.balanced_cover(C.observer_targets(V.observers(spark, sf_dir))))  # read twice, and dear
+
+
+def sample_through_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terrain that each observer's cover, of mixed zooms, shows under the positions."""
+    at = V.positions(spark, sf_dir).select("id", "observer_id", "lat", "lon")
+    out = R.sample_elevation(at, _covers(spark, sf_dir), _levels(spark, sf_dir), _zoom(spark, sf_dir), 10, ["observer_id"])
+    return out.select("id", F.round("elevation_m", 4).alias("elevation_m"))
+
+
+def ground_tracks_through_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = V.positions(spark, sf_dir).select("id", "observer_id", "lat", "lon", (F.col("id") % 3 == 0).alias("on_ground"), (F.col("id") % 900).alias("altitude"))
+    out = R.ground_tracks_on_terrain(s, _covers(spark, sf_dir), _levels(spark, sf_dir), _zoom(spark, sf_dir), 10, ["observer_id"])
+    return out.groupBy("on_ground").agg(F.count(F.lit(1)).alias("samples"), F.round(F.sum("height"), 2).alias("height"))
 
 
 def raster_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +96,7 @@ def flatten_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.flatten_search(one.select("conv_id", F.to_json(F.struct(F.struct("pages").alias("query"))).alias("body")), "e.test", "conv_id")
 
 
-QUERIES = {f.__name__: f for f in (decode_elevation, elevation_bounds, raster_pyramid, sample_elevation, ground_tracks_on_terrain, raster_neighbours, flatten_geocode, flatten_search)}
+QUERIES = {f.__name__: f for f in (decode_elevation, elevation_bounds, raster_pyramid, sample_elevation, ground_tracks_on_terrain, sample_through_cut, ground_tracks_through_cut, raster_neighbours, flatten_geocode, flatten_search)}
 
 _R = """wide AS (SELECT CAST(ceil(log2(sqrt(coalesce(max(vec_id), 0) + 1))) AS INT) AS z FROM embeddings), world AS (SELECT z, 1 << z AS w FROM wide),
 r AS (SELECT z, w, vec_id % w AS x, vec_id // w AS y, list_transform(embedding, lambda v: v::DOUBLE * 1000) AS e FROM embeddings, world)"""
@@ -73,8 +104,19 @@ _S = f"""WITH {V.POSITIONS}, {_R}, p AS (SELECT positions.*, (lon + 180) / 360 *
 q AS (SELECT p.*, r.e, greatest(0, least(7, (mx - floor(mx)) * 8 - 0.5)) AS px, greatest(0, least(7, (my - floor(my)) * 8 - 0.5)) AS py FROM p LEFT JOIN r ON r.x = floor(mx)::BIGINT AND r.y = floor(my)::BIGINT),
 w AS (SELECT *, floor(px)::BIGINT AS w, floor(py)::BIGINT AS n, least(floor(px)::BIGINT + 1, 7) AS ea, least(floor(py)::BIGINT + 1, 7) AS so FROM q),
 s AS (SELECT id, coalesce((e[n * 8 + w + 1] + (e[n * 8 + ea + 1] - e[n * 8 + w + 1]) * (px - w)) * (1 - (py - n)) + (e[so * 8 + w + 1] + (e[so * 8 + ea + 1] - e[so * 8 + w + 1]) * (px - w)) * (py - n), 0) AS m FROM w)"""
+_THROUGH = f"""WITH RECURSIVE {V.FINEST}, {V.cover_sql()}, {_R},
+lv AS (SELECT world.z - k.k AS z, 1 << (world.z - k.k) AS w FROM world, range(0, 3) k(k) WHERE k.k <= world.z),
+rl AS (SELECT lv.z, vec_id % lv.w AS x, vec_id // lv.w AS y, CASE WHEN vec_id % 2 = 1 THEN 16 ELSE 8 END AS pw, CASE WHEN vec_id % 2 = 1 THEN 4 ELSE 8 END AS ph,
+  CASE WHEN vec_id % 9 > 0 THEN list_transform(embedding, lambda v: v::DOUBLE * 1000 + lv.z) END AS e FROM embeddings, lv WHERE vec_id < lv.w * lv.w),
+hit AS (SELECT p.id, p.lat, p.lon, c.z, least(c.z, world.z) AS sz FROM positions p JOIN cover c ON p.observer_id = c.cut_id AND {V.tx(z='c.z')} = c.x AND {V.ty(z='c.z')} = c.y, world),
+m AS (SELECT *, (lon + 180) / 360 * (1 << sz) AS mx, (1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * (1 << sz) AS my FROM hit),
+q AS (SELECT m.*, rl.e, rl.pw, rl.ph, greatest(0, least(pw - 1, (mx - floor(mx)) * pw - 0.5)) AS px, greatest(0, least(ph - 1, (my - floor(my)) * ph - 0.5)) AS py FROM m LEFT JOIN rl ON rl.z = sz AND rl.x = floor(mx)::BIGINT AND rl.y = floor(my)::BIGINT),
+k AS (SELECT *, floor(px)::BIGINT AS w, floor(py)::BIGINT AS n, least(floor(px)::BIGINT + 1, pw - 1) AS ea, least(floor(py)::BIGINT + 1, ph - 1) AS so FROM q),
+s AS (SELECT id, coalesce((e[n * pw + w + 1] + (e[n * pw + ea + 1] - e[n * pw + w + 1]) * (px - w)) * (1 - (py - n)) + (e[so * pw + w + 1] + (e[so * pw + ea + 1] - e[so * pw + w + 1]) * (px - w)) * (py - n), 0) AS m FROM k)"""
 
 ORACLES = {
+    "sample_through_cut": f"{_THROUGH} SELECT id, round(coalesce(m, 0), 4) AS elevation_m FROM (SELECT id FROM positions) LEFT JOIN s USING (id)",
+    "ground_tracks_through_cut": f"{_THROUGH} SELECT id % 3 = 0 AS on_ground, count(*) AS samples, round(sum(CASE WHEN id % 3 = 0 THEN coalesce(m, 0) ELSE id % 900 END), 2) AS height FROM (SELECT id FROM positions) LEFT JOIN s USING (id) GROUP BY 1",
     "decode_elevation": "WITH b AS (SELECT page_id, substr(md5(html), 1, 16) AS d FROM pages) SELECT page_id, k.k AS pixel, ascii(substr(d, 4 * k.k + 1, 1)) * 256.0::DOUBLE + ascii(substr(d, 4 * k.k + 2, 1)) + ascii(substr(d, 4 * k.k + 3, 1)) / 256.0::DOUBLE - 32768 AS metres FROM b, range(0, 4) k(k)",
     "elevation_bounds": f"WITH {_R} SELECT z, x, y, round(list_min(e), 6) AS low, round(list_max(e), 6) AS high, true AS valid FROM r",
     "raster_pyramid": f"""WITH {_R}, l0 AS (SELECT x, y, 0 AS level, k.k AS pixel, e[k.k + 1] AS m FROM r, range(0, 64) k(k)),

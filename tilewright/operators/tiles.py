@@ -106,6 +106,23 @@ def deepest_covering_tile(points: DataFrame, cut: DataFrame, max_zoom: int, keys
     return hit.select(*points.columns, *TILE).unionByName(off)
 
 
+def with_covering_tile(points: DataFrame, cut: DataFrame, max_zoom: int, keys: list[str] | None = None, lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """points with z, x, y of the deepest tile of the cut over them, null where there is none: every point stays, and a cut may have holes or overlap.
+
+    Points in one tile of ``max_zoom`` have the same answer, so what is looked up at each zoom is such tiles, once each, however many points lie in them.
+    """
+    keys = keys or []
+    on_map = geo.finite(lat) & geo.finite(lon) & (F.abs(F.col(lat)) <= geo.MAX_LATITUDE)
+    fine = {"__fx": F.when(on_map, geo.tile_x(lon, F.lit(max_zoom))), "__fy": F.when(on_map, geo.tile_y(lat, F.lit(max_zoom)))}
+    at = points.withColumns(fine)
+    up = F.lit(max_zoom) - F.col("z")
+    asked = at.select(*keys, *fine).filter(F.col("__fx").isNotNull()).distinct().withColumn("z", F.explode(F.sequence(F.lit(0), F.lit(max_zoom))))
+    asked = asked.withColumns({"x": geo.ancestor("__fx", up), "y": geo.ancestor("__fy", up)})
+    hit = asked.join(cut.select(*keys, F.col("z").cast("int").alias("z"), "x", "y").distinct(), [*keys, *TILE])
+    best = hit.groupBy(*keys, *fine).agg(F.max_by(F.struct(*TILE), "z").alias("__tile"))
+    return at.join(best, [*keys, *fine], "left").select(*points.columns, *[F.col(f"__tile.{c}").alias(c) for c in TILE])
+
+
 def touching_tiles(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Pairs (keys, z, x, y, other_z, other_x, other_y) that share an edge or a corner; x wraps, y doesn't.
 
