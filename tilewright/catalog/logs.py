@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tilewright.catalog import views as V
 from tilewright.operators import frames, outages
 from tilewright.operators import logs as L
+from tilewright.streaming import state
 
+FRESHNESS_KINDS = ["enable", "request", "loaded", "enable", "request", "failed", "request", "loaded", "disable"]
 CACHE_KINDS = ["cache-lookup", "cache-hit", "memory-hit", "shared", "persistent-hit", "persistent-write"]
 KINDS = {"click": "request", "view": "in-flight", "purchase": "response", "error": "failure", "signup": "cancellation"}
 
@@ -149,7 +151,15 @@ def route_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("starts_by_zoom", F.array_join(F.transform(F.map_entries("starts_by_zoom"), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string"))), ","))
 
 
-QUERIES = {f.__name__: f for f in (duration_summary, timings_by_host, failure_counts, provider_metrics, classify_failures, cache_identity, expand_tile_urls, coalesce_demand, rolling_frame_window, revision_changes, cut_churn, running_load, repeat_requests, provider_outages, provider_circuit, reconcile_requirements, reuse_by_revision, cache_outcomes, route_audit, route_cut_changes)}
+def catalogue_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group for each user, its events as they come, at the end of the log; rows count for an hour."""
+    kinds = F.element_at(F.array(*[F.lit(k) for k in FRESHNESS_KINDS]), (1 + F.col("seq") * 7919 % len(FRESHNESS_KINDS)).cast("int"))
+    events = _log(spark, sf_dir).select(F.col("key").alias("group"), "seq", (F.col("seq") * 700).alias("ts_ms"), kinds.alias("kind"), (F.col("seq") % 50).alias("rows"))
+    end = events.agg(F.max("ts_ms")).first()[0] or 0
+    return state.catalogue_freshness(events, F.lit(end), 3_600_000)
+
+
+QUERIES = {f.__name__: f for f in (duration_summary, timings_by_host, failure_counts, provider_metrics, classify_failures, cache_identity, expand_tile_urls, coalesce_demand, rolling_frame_window, revision_changes, cut_churn, running_load, repeat_requests, provider_outages, provider_circuit, reconcile_requirements, reuse_by_revision, cache_outcomes, route_audit, route_cut_changes, catalogue_freshness)}
 
 _SUM = lambda v, o: f"round(arg_max({v}, {o}), 2) AS latest, round(avg({v}), 2) AS mean, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY {v}), 2) AS p50, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY {v}), 2) AS p95, round(percentile_disc(0.99) WITHIN GROUP (ORDER BY {v}), 2) AS p99, round(max({v}), 2) AS max"
 
@@ -196,6 +206,17 @@ f(provider, n, kind, until, since, opener, ts, was, outage) AS (
   FROM f JOIN e ON e.provider = f.provider AND e.n = f.n + 1)
 SELECT provider, min(since) AS open_from, CASE WHEN max(kind) < 2 THEN max(until) END AS open_until, max(ts) FILTER (kind = 0) AS closed_at, count(*) FILTER (kind > 0) AS failures, max(kind) = 2 AS fatal
 FROM f WHERE outage IS NOT NULL GROUP BY provider, outage""",
+    "catalogue_freshness": f"""WITH RECURSIVE {LOG}, e AS (SELECT key, seq * 700 AS t, {FRESHNESS_KINDS}[1 + seq * 7919 % {len(FRESHNESS_KINDS)}] AS kind, seq % 50 AS rows, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM log),
+f(key, n, enabled, out, failed, fetched, rows) AS (
+  SELECT DISTINCT key, 0::BIGINT, false, false, false, NULL::BIGINT, 0::BIGINT FROM e
+  UNION ALL
+  SELECT f.key, e.n, CASE kind WHEN 'enable' THEN true WHEN 'disable' THEN false ELSE enabled END, CASE WHEN kind = 'request' THEN enabled ELSE out AND kind = 'enable' END,
+    CASE WHEN kind = 'request' AND enabled THEN false WHEN out AND kind IN ('failed', 'loaded') THEN kind = 'failed' ELSE failed END,
+    CASE WHEN out AND kind = 'loaded' THEN e.t ELSE fetched END, CASE WHEN out AND kind = 'loaded' THEN e.rows ELSE f.rows END
+  FROM f JOIN e ON e.key = f.key AND e.n = f.n + 1),
+z AS (SELECT f.*, (SELECT max(t) FROM e) AS now FROM f QUALIFY n = max(n) OVER (PARTITION BY key))
+SELECT key AS "group", CASE WHEN NOT enabled THEN 'off' WHEN out THEN 'loading' WHEN failed THEN 'unavailable' WHEN fetched IS NOT NULL THEN 'loaded' ELSE 'ready' END AS status, rows, fetched AS fetched_at_ms,
+  failed AND rows > 0 AS stale, enabled AND NOT out AND NOT failed AND coalesce(now - fetched >= 3600000, true) AS due FROM z""",
     "route_cut_changes": f"""WITH {V.POSITIONS}, t AS (SELECT DISTINCT id % 2 AS pipeline, id // 500 AS rev, {V.tx(z='4')} AS x, {V.ty(z='4')} AS y FROM positions),
 r AS (SELECT *, lag(rev) OVER (PARTITION BY pipeline ORDER BY rev) AS was FROM (SELECT DISTINCT pipeline, rev FROM t)),
 d AS (SELECT pipeline, rev, count(*) FILTER (side = 'now') AS added, count(*) FILTER (side = 'was') AS removed FROM (

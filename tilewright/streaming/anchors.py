@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import astuple, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tilewright.functions import geo
@@ -36,6 +37,11 @@ def _tile(lat: float, lon: float, z: int) -> tuple[int, int]:
     return x, max(0, min(w - 1, math.floor((1 - math.log(math.tan(rad) + 1 / math.cos(rad)) / math.pi) / 2 * w)))
 
 
+def _shift(index: int) -> int:
+    """How far an axis of the block moves for an observer at ``index`` in it, or beyond it: from behind an inner tile to index 4, from ahead of one to 3."""
+    return 0 if 1 <= index <= geo.BLOCK - 2 else index - geo.BLOCK // 2 if index < 1 else index - geo.BLOCK // 2 + 1
+
+
 @dataclass
 class Anchor:
     mode: str = ""
@@ -71,18 +77,20 @@ class Anchor:
 
     def _follow(self, lat: float, lon: float, z: int, same: bool) -> bool:
         """The block stays while the observer is in its inner six columns and rows; an axis that is left moves on by itself."""
-        w, (x, y) = 1 << z, _tile(lat, lon, z)
-        self.zoom, self.side, self.locked, self.held = z, min(geo.BLOCK, w), False, lon
-        before = (self.block_x, self.block_y)
+        w = 1 << z
+        old = (self.block_x, self.block_y) if same else None
+        column, row = _tile(lat, lon, z)
         if w <= geo.BLOCK:
-            self.block_x = self.block_y = 0
-        elif not same:
-            self.block_x, self.block_y = x - 3, max(0, min(w - geo.BLOCK, y - 3))
+            new = (0, 0)
+        elif old is None:
+            new = (column - 3, min(max(row - 3, 0), w - geo.BLOCK))
         else:
-            x += _half_up((self.block_x + (geo.BLOCK - 1) / 2 - x) / w) * w  # the turn of the world next to the block
-            inside = lambda origin, at: origin if 1 <= at - origin <= geo.BLOCK - 2 else at - (4 if at <= origin else 3)
-            self.block_x, self.block_y = inside(self.block_x, x), max(0, min(w - geo.BLOCK, inside(self.block_y, y)))
-        return not same or before != (self.block_x, self.block_y)
+            half = w // 2 - geo.BLOCK // 2
+            east = (column - old[0] + half) % w - half  # columns from the block's first, the short way around the world
+            new = (old[0] + _shift(east), min(max(old[1] + _shift(row - old[1]), 0), w - geo.BLOCK))
+        self.zoom, self.side, self.locked, self.held = z, min(geo.BLOCK, w), False, lon
+        self.block_x, self.block_y = new
+        return new != old
 
     def _border(self, lat: float, lon: float, asked: int, mode: str, same: bool) -> bool:
         """Beyond or next to the map's edge the zoom drops with distance, and near the pole the longitude is held."""
@@ -104,18 +112,22 @@ class Anchor:
         return True
 
     def _imagery(self, lat: float, target_m: float) -> int:
-        world = 2 * math.pi * geo.EARTH_RADIUS_KM * 1000 * max(1e-6, math.cos(math.radians(lat)))
-        zoom = self.imagery if self.imagery >= 0 else max(0, _half_up(math.log2(world / target_m)))
-        while world / 2**zoom > target_m * REFINE:
-            zoom += 1
-        while zoom > 0 and world / 2**zoom < target_m * COARSEN:
-            zoom -= 1
-        return zoom
+        """The zoom that was, brought between the first one whose tiles aren't too wide and the last one whose tiles aren't too narrow."""
+        wanted = math.log2(2 * math.pi * geo.EARTH_RADIUS_KM * 1000 * max(1e-6, math.cos(math.radians(lat))) / target_m)
+        least, most = math.ceil(wanted - math.log2(REFINE)), math.floor(wanted - math.log2(COARSEN))
+        now = _half_up(wanted) if self.imagery < 0 else self.imagery
+        return max(0, least, min(now, most))
 
     def target(self, observer: int, ts: int, changed: bool) -> tuple:
         return (observer, ts, self.mode, self.zoom, self.block_x, self.block_y, self.side, self.imagery, self.locked, self.held, changed)
 
 
+def imagery_target(tile_px: Column, metres_a_pixel: float, height_m: Column, focal_px: Column, screen_pixels: float = 1.0) -> Column:
+    """target_m of an observation: the lesser of the width that shows the source's own detail and the one whose pixels match the screen's from the observer's height."""
+    own = F.greatest(F.lit(1), tile_px) * screen_pixels
+    return F.least(own * metres_a_pixel, F.when(focal_px > 0, own * height_m / focal_px))
+
+
 NAMES = ["observer_id", "ts", "mode", "zoom", "block_x", "block_y", "side", "imagery_zoom", "pole_locked", "held_lon", "changed"]
 READ = ["observer_id", "ts", "lat", "lon", "max_zoom", "target_m"]
 
