@@ -126,17 +126,27 @@ def with_covering_tile(points: DataFrame, cut: DataFrame, max_zoom: int, keys: l
 def touching_tiles(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Pairs (keys, z, x, y, other_z, other_x, other_y) that share an edge or a corner; x wraps, y doesn't.
 
-    No pair is tried blindly: each tile emits itself and its up to 8 neighbours, with their ancestors, and meets the other side's tiles on
-    equality. So a coarse tile meets the finer ones around it; with the sides swapped, a fine one the coarser ones.
+    No pair is tried blindly: each tile emits the tiles that hold it or one of its up to 8 neighbours, at its own zoom and above, and meets the other side's tiles on
+    equality. So a coarse tile meets the finer ones around it; with the sides swapped, a fine one the coarser ones. Above its own zoom a tile and its ring lie
+    in four tiles at most, and far up in one, so these are listed without repeats where they are made: about twenty rows a tile, and nothing to be made distinct.
     """
     keys = keys or []
-    ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+    def around(x: Column, y: Column, z: Column) -> Column:
+        """The tiles at each zoom up from z that hold the tile or one of its ring."""
+        w = geo.width(z)
+        rows = F.filter(F.array(y - 1, y, y + 1), lambda r: (r >= 0) & (r < w))
+        at = lambda up: F.transform(
+            F.array_distinct(F.transform(F.array(F.pmod(x - 1, w), x, F.pmod(x + 1, w)), lambda c: geo.ancestor(c, up))),
+            lambda ax: F.transform(F.array_distinct(F.transform(rows, lambda r: geo.ancestor(r, up))), lambda ay: F.struct((z - up).alias("z"), ax.alias("x"), ay.alias("y"))),
+        )
+        return F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), z), at)))
 
     def meet(fine: DataFrame, coarse: DataFrame) -> DataFrame:
-        w = geo.width("z")
-        near = fine.select(*keys, F.struct(*TILE).alias("own"), *TILE).distinct().withColumn("d", ring).withColumns({"x": F.pmod(F.col("x") + F.col("d.i"), w), "y": F.col("y") + F.col("d.j")}).filter((F.col("y") >= 0) & (F.col("y") < w))
-        over = with_ancestors(near).select(*keys, "own", F.col("az").alias("z"), F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
-        return over.join(coarse.select(*keys, *TILE).distinct(), [*keys, *TILE])
+        tile = [F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")]
+        near = fine.select(*keys, *tile).distinct()
+        over = near.select(*keys, F.struct(*TILE).alias("own"), F.explode(around(F.col("x"), F.col("y"), F.col("z"))).alias("t")).select(*keys, "own", "t.*")
+        return over.join(coarse.select(*keys, *tile).distinct(), [*keys, *TILE])
 
     other = [f"other_{c}" for c in TILE]
     down = meet(a, b).select(*keys, *[F.col(f"own.{c}").alias(c) for c in TILE], *[F.col(c).alias(f"other_{c}") for c in TILE])

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -132,50 +131,83 @@ def group_dependencies(members: DataFrame, key: str = "cut_id") -> DataFrame:
     return steep.join(a, [key, *TILE]).join(b, [key, "other_z", "other_x", "other_y"]).filter("a <> b").select(key, "a", "b").distinct()
 
 
-def _trimmed(edges: DataFrame, key: str, times: int = 3) -> DataFrame:
-    """The edges without those at nodes that have none in or none out: a circle never leaves the others."""
-    for _ in range(times):
-        edges = edges.join(edges.select(key, F.col("b").alias("a")).distinct(), [key, "a"], "left_semi")
-        edges = edges.join(edges.select(key, F.col("a").alias("b")).distinct(), [key, "b"], "left_semi")
-    return checkpoint(edges.select(key, "a", "b"))
+#: Tables of longer walks are made as long as they have at most so many times the rows of the edges.
+WALK_ROWS = 8
 
 
-def _spread(start: DataFrame, steps: DataFrame, on: list[str], to: str) -> DataFrame:
-    """The rows of start and all that steps lead to from them; each round goes on from what the last one found."""
-    found = fresh = checkpoint(start)
-    while not fresh.isEmpty():
-        onward = fresh.join(steps, on).select(*[F.col(to).alias(c) if c == on[-1] else F.col(c) for c in start.columns]).distinct()
-        fresh = checkpoint(onward.join(found, start.columns, "left_anti"))
-        found = checkpoint(found.unionByName(fresh))
-    return found
+def _walks(edges: DataFrame, key: str) -> list[DataFrame]:
+    """Who leads to whom in exactly 1, 2, 4, ... edges (key, a, b), each table made of the one before by joining it with itself.
+
+    They end with an empty one if no circle is there, else where twice the steps are more than a plan has nodes, or where a table would hold over WALK_ROWS times the edges.
+    """
+    walks = [checkpoint(edges.select(key, "a", "b").distinct())]
+    nodes = walks[0].select(key, F.explode(F.array("a", "b")).alias("node")).distinct().groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    limit, steps = WALK_ROWS * walks[0].count(), 1
+    while steps < nodes:
+        last = walks[-1]
+        longer = checkpoint(last.join(last.select(key, F.col("a").alias("b"), F.col("b").alias("__to")), [key, "b"]).select(key, "a", F.col("__to").alias("b")).distinct())
+        rows, steps = longer.count(), 2 * steps
+        walks.append(longer)
+        if rows == 0 or rows > limit:
+            break
+    return walks
+
+
+def _reached(start: DataFrame, walks: list[DataFrame], key: str, node: str) -> DataFrame:
+    """The rows (key, node) of start and all that edges lead to from them.
+
+    After the table of n steps all is found that lies less than 2n steps away, so the number of rounds grows with the logarithm of the distance; the last table is
+    used until it finds no more.
+    """
+    found, k = checkpoint(start), 0
+    while True:
+        steps = walks[min(k, len(walks) - 1)].select(key, F.col("a").alias(node), F.col("b").alias("__to"))
+        more = found.join(steps, [key, node]).select(key, F.col("__to").alias(node)).distinct().join(found, [key, node], "left_anti")
+        fresh = checkpoint(more)
+        if k >= len(walks) - 1 and fresh.isEmpty():
+            return found
+        found, k = checkpoint(found.unionByName(fresh)), k + 1
+
+
+def _least_from(nodes: DataFrame, walks: list[DataFrame], key: str, source: str, to: str) -> DataFrame:
+    """(key, node, label): the least node of those that lead to each node along walks from ``source`` to ``to``, itself included."""
+    labels, k = nodes.select(key, "node", F.col("node").alias("label")), 0
+    while True:
+        steps = walks[min(k, len(walks) - 1)].select(key, F.col(source).alias("node"), F.col(to).alias("__to"))
+        led = labels.join(steps, [key, "node"]).groupBy(key, F.col("__to").alias("node")).agg(F.min("label").alias("__led"))
+        lower = F.coalesce(F.col("__led") < F.col("label"), F.lit(False))
+        new = checkpoint(labels.join(led, [key, "node"], "left").select(key, "node", F.when(lower, F.col("__led")).otherwise(F.col("label")).alias("label"), lower.alias("__moved")))
+        labels, k = new.select(key, "node", "label"), k + 1
+        if new.filter("__moved").isEmpty():
+            return labels
 
 
 def atomic_batches(members: DataFrame, edges: DataFrame, key: str = "cut_id") -> DataFrame:
     """(key, node, batch): groups that depend on each other in a circle share a batch, named by its least group.
 
-    Of the trimmed edges each node first takes the least node that leads to it. Who has the same one, and leads back to it, is a circle; the rest
-    goes round again. Rows are nodes and edges, never pairs of what can be reached.
+    Walks of doubling length come first: who has none of the longest ones, in or out, is in no circle. Each other node takes the least node that leads to it and the least one
+    that it leads to. An edge whose ends differ in either is in no circle and goes, with all walks over it; what hangs together when none goes is a circle. Rows are nodes and walks.
     """
     nodes = members.select(key, _group("node")).distinct()
-    core, circles = _trimmed(edges.select(key, "a", "b").distinct(), key), []
-    while not core.isEmpty():
-        labels = checkpoint(core.select(key, F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-        while True:
-            led = core.join(labels.select(key, F.col("node").alias("a"), F.col("label").alias("from")), [key, "a"]).groupBy(key, F.col("b").alias("node")).agg(F.min("from").alias("from"))
-            new = checkpoint(labels.join(led, [key, "node"], "left").select(key, "node", F.least("label", F.coalesce("from", "label")).alias("label"), (F.col("from") < F.col("label")).alias("moved")))
-            labels = new.select(key, "node", "label")
-            if new.filter("moved").isEmpty():
-                break
-        ends = labels.select(key, F.col("node").alias("b"), F.col("label").alias("other"))
-        back = core.join(labels.withColumnRenamed("node", "a"), [key, "a"]).join(ends, [key, "b"]).filter("label = other").select(key, "label", F.col("b").alias("node"), F.col("a").alias("before"))
-        circle = _spread(labels.filter("node = label").select(key, "label", "node"), checkpoint(back), [key, "label", "node"], "before")
-        circles.append(circle.select(key, "node", F.col("label").alias("batch")))
-        done = circle.select(key, "node")
-        core = core.join(done.withColumnRenamed("node", "a"), [key, "a"], "left_anti").join(done.withColumnRenamed("node", "b"), [key, "b"], "left_anti")
-        core = _trimmed(core, key)
-    if not circles:
+    walks = _walks(edges, key)
+    core = walks[-1].select(key, F.col("a").alias("node")).intersect(walks[-1].select(key, F.col("b").alias("node")))
+    core = checkpoint(core)
+    if core.isEmpty():
         return nodes.withColumn("batch", F.col("node"))
-    found = functools.reduce(DataFrame.unionByName, circles)
+    inside = lambda w: w.join(core.withColumnRenamed("node", "a"), [key, "a"], "left_semi").join(core.withColumnRenamed("node", "b"), [key, "b"], "left_semi")
+    walks = [checkpoint(inside(w)) for w in walks]
+    left = walks[0].count()
+    while True:
+        down, up = _least_from(core, walks, key, "a", "b"), _least_from(core, walks, key, "b", "a")
+        ends = checkpoint(down.join(up.select(key, "node", F.col("label").alias("up")), [key, "node"]))
+        a = ends.select(key, F.col("node").alias("a"), F.struct("label", "up").alias("__a"))
+        b = ends.select(key, F.col("node").alias("b"), F.struct("label", "up").alias("__b"))
+        walks = [checkpoint(w.join(a, [key, "a"]).join(b, [key, "b"]).filter(F.col("__a") == F.col("__b")).select(key, "a", "b")) for w in walks]
+        now = walks[0].count()
+        if now == left:
+            break
+        left = now
+    found = ends.select(key, "node", F.col("label").alias("batch"))
     return nodes.join(found, [key, "node"], "left").select(key, "node", F.coalesce("batch", "node").alias("batch"))
 
 
@@ -188,7 +220,8 @@ def batch_dependencies(batches: DataFrame, edges: DataFrame, key: str = "cut_id"
 
 def dependency_closure(seeds: DataFrame, dependencies: DataFrame, key: str = "cut_id") -> DataFrame:
     """(key, batch): the seeds and all they depend on."""
-    return _spread(seeds.select(key, "batch").distinct(), checkpoint(dependencies.select(key, "batch", "depends_on")), [key, "batch"], "depends_on")
+    walks = _walks(dependencies.select(key, F.col("batch").alias("a"), F.col("depends_on").alias("b")), key)
+    return _reached(seeds.select(key, "batch").distinct(), walks, key, "batch")
 
 
 def ready_batches(batches: DataFrame, dependencies: DataFrame, members: DataFrame, requirements: DataFrame, key: str = "cut_id") -> DataFrame:
