@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -138,16 +139,18 @@ WALK_ROWS = 8
 def _walks(edges: DataFrame, key: str) -> list[DataFrame]:
     """Who leads to whom in exactly 1, 2, 4, ... edges (key, a, b), each table made of the one before by joining it with itself.
 
-    They end with an empty one if no circle is there, else where twice the steps are more than a plan has nodes, or where a table would hold over WALK_ROWS times the edges.
+    They end with an empty one if no circle is there, else where twice the steps are more than a plan has nodes, or where tables don't get smaller any more or hold over WALK_ROWS times the edges.
     """
     walks = [checkpoint(edges.select(key, "a", "b").distinct())]
     nodes = walks[0].select(key, F.explode(F.array("a", "b")).alias("node")).distinct().groupBy(key).count().agg(F.max("count")).first()[0] or 0
-    limit, steps = WALK_ROWS * walks[0].count(), 1
-    while steps < nodes:
+    before, steps, grown = walks[0].count(), 1, 0
+    limit = WALK_ROWS * before
+    while steps < nodes and grown < 2:
         last = walks[-1]
         longer = checkpoint(last.join(last.select(key, F.col("a").alias("b"), F.col("b").alias("__to")), [key, "b"]).select(key, "a", F.col("__to").alias("b")).distinct())
         rows, steps = longer.count(), 2 * steps
         walks.append(longer)
+        grown, before = grown + (rows >= before), rows
         if rows == 0 or rows > limit:
             break
     return walks
@@ -186,28 +189,25 @@ def atomic_batches(members: DataFrame, edges: DataFrame, key: str = "cut_id") ->
     """(key, node, batch): groups that depend on each other in a circle share a batch, named by its least group.
 
     Walks of doubling length come first: who has none of the longest ones, in or out, is in no circle. Each other node takes the least node that leads to it and the least one
-    that it leads to. An edge whose ends differ in either is in no circle and goes, with all walks over it; what hangs together when none goes is a circle. Rows are nodes and walks.
+    that it leads to. Where both are one, the node is in a circle with it. Of the others, only those who have both in common can share one, so edges and walks between them
+    stay, and go round again. Rows are nodes and walks.
     """
     nodes = members.select(key, _group("node")).distinct()
-    walks = _walks(edges, key)
-    core = walks[-1].select(key, F.col("a").alias("node")).intersect(walks[-1].select(key, F.col("b").alias("node")))
-    core = checkpoint(core)
-    if core.isEmpty():
-        return nodes.withColumn("batch", F.col("node"))
-    inside = lambda w: w.join(core.withColumnRenamed("node", "a"), [key, "a"], "left_semi").join(core.withColumnRenamed("node", "b"), [key, "b"], "left_semi")
-    walks = [checkpoint(inside(w)) for w in walks]
-    left = walks[0].count()
-    while True:
-        down, up = _least_from(core, walks, key, "a", "b"), _least_from(core, walks, key, "b", "a")
+    tables = _walks(edges, key)
+    rest = checkpoint(tables[-1].select(key, F.col("a").alias("node")).intersect(tables[-1].select(key, F.col("b").alias("node"))).withColumn("__of", F.lit(0)))
+    walks, circles = functools.reduce(DataFrame.unionByName, [w.withColumn("__k", F.lit(k)) for k, w in enumerate(tables)]), []
+    while not rest.isEmpty():
+        a, b = (rest.select(key, F.col("node").alias(c), F.col("__of").alias(f"__{c}")) for c in "ab")
+        walks = checkpoint(walks.join(a, [key, "a"]).join(b, [key, "b"]).filter("__a = __b").select(key, "a", "b", "__k"))
+        parts = [walks.filter(F.col("__k") == k) for k in range(len(tables))]
+        held = parts[0].select(key, F.explode(F.array("a", "b")).alias("node")).distinct()
+        down, up = _least_from(held, parts, key, "a", "b"), _least_from(held, parts, key, "b", "a")
         ends = checkpoint(down.join(up.select(key, "node", F.col("label").alias("up")), [key, "node"]))
-        a = ends.select(key, F.col("node").alias("a"), F.struct("label", "up").alias("__a"))
-        b = ends.select(key, F.col("node").alias("b"), F.struct("label", "up").alias("__b"))
-        walks = [checkpoint(w.join(a, [key, "a"]).join(b, [key, "b"]).filter(F.col("__a") == F.col("__b")).select(key, "a", "b")) for w in walks]
-        now = walks[0].count()
-        if now == left:
-            break
-        left = now
-    found = ends.select(key, "node", F.col("label").alias("batch"))
+        circles.append(ends.filter("label = up").select(key, "node", F.col("label").alias("batch")))
+        rest = ends.filter("label <> up").select(key, "node", F.struct("label", "up").alias("__of"))
+    if not circles:
+        return nodes.withColumn("batch", F.col("node"))
+    found = functools.reduce(DataFrame.unionByName, circles)
     return nodes.join(found, [key, "node"], "left").select(key, "node", F.coalesce("batch", "node").alias("batch"))
 
 
