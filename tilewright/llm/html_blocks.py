@@ -17,9 +17,11 @@ rows get the same text. Other columns are passed through; columns called like th
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -53,11 +55,43 @@ _NAME = re.compile(r"[a-z]+")
 _ENDS = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in (*RAW, "head")}
 
 
+@functools.lru_cache(1 << 16)
+def bucket(name: str, size: int) -> int:
+    return zlib.crc32(name.encode()) % size
+
+
+class Path:
+    """An open element and those above it: its tag, then the words of its names with a dot before. Going down costs what the element adds, however deep it is."""
+
+    __slots__ = ("above", "names", "kinds")
+
+    def __init__(self, above: Path | None, names: tuple[str, ...]):
+        self.above, self.names = above, names
+        own, over = {bucket(n, PATHS) for n in names}, above.kinds if above else frozenset()
+        self.kinds = over if own <= over else over | own
+
+    def __iter__(self) -> Iterator[str]:
+        levels, at = [], self
+        while at is not None:
+            levels.append(at.names)
+            at = at.above
+        return (n for names in reversed(levels) for n in names)
+
+
+def path_kinds(path: Path | tuple[str, ...] | None) -> list[int]:
+    """The buckets of a path: of all its names, of the last one as such, and of any path."""
+    if isinstance(path, Path):
+        kinds, last = path.kinds, path.names[-1]
+    else:
+        kinds, last = {bucket(n, PATHS) for n in path or ()}, path[-1] if path else ""
+    return sorted({bucket("/", PATHS), *kinds, bucket(">" + last, PATHS)})
+
+
 @dataclass
 class Block:
     """path: the open elements, the words of their names with a dot before; told: whether it is main text as the names say, -1 if they don't."""
 
-    path: tuple[str, ...]
+    path: Path | tuple[str, ...]
     text: str
     linked: int
     told: int = -1
@@ -66,7 +100,7 @@ class Block:
 @dataclass
 class _Open:
     tag: str
-    names: tuple[str, ...]
+    path: Path
     told: int
 
 
@@ -86,14 +120,20 @@ def blocks_of(page: str | None) -> list[Block]:
     if not page:
         return out
     stack: list[_Open] = []
+    standing: Counter[str] = Counter()
     parts: list[str] = []
-    linked, in_link, at = 0, 0, 0
+    linked, in_link, at, heads_end = 0, 0, 0, True
+
+    def close() -> str:
+        tag = stack.pop().tag
+        standing[tag] -= 1
+        return tag
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(tuple(n for o in stack for n in (o.tag, *["." + w for w in o.names])), text, linked, stack[-1].told if stack else -1))
+            out.append(Block(stack[-1].path if stack else (), text, linked, stack[-1].told if stack else -1))
         parts.clear()
         linked = 0
 
@@ -117,9 +157,10 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         tag, closing = m.group(2).lower(), bool(m.group(1))
         if tag in _ENDS and not closing:
-            if not m.group(3).endswith("/") and tag != "head" or tag == "head":
+            if tag == "head" and heads_end or tag != "head" and not m.group(3).endswith("/"):
                 end = _ENDS[tag].search(page, at)
                 if end is None and tag == "head":
+                    heads_end = False  # nor will there be one for those that follow
                     continue
                 at = end.end() if end else size
             continue
@@ -132,14 +173,15 @@ def blocks_of(page: str | None) -> list[Block]:
         flush()
         in_link = 0
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+            if standing[tag]:
+                while close() != tag:
+                    pass
         elif tag not in EMPTY:
             if stack and (stack[-1].tag == "p" or stack[-1].tag == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th")):
-                stack.pop()
-            stack.append(_Open(tag, *_told(tag, m.group(3), stack[-1].told if stack else -1)))
+                close()
+            names, told = _told(tag, m.group(3), stack[-1].told if stack else -1)
+            stack.append(_Open(tag, Path(stack[-1].path if stack else None, (tag, *["." + w for w in names])), told))
+            standing[tag] += 1
     flush()
     return out
 
@@ -161,10 +203,6 @@ def made_alike(page: list[Block], random: np.random.Generator) -> list[Block]:
     return [Block(tuple(path(b.path)), b.text, b.linked, b.told) for b in page]
 
 
-def bucket(name: str, size: int) -> int:
-    return zlib.crc32(name.encode()) % size
-
-
 @dataclass
 class Batch:
     """Blocks of some pages: flat features, and the blocks of each page."""
@@ -181,12 +219,12 @@ class Batch:
 def features(pages: list[list[Block]]) -> Batch:
     flat = [b for p in pages for b in p]
     counts = np.array([len(p) for p in pages])
-    known: dict[tuple[str, ...], list[int]] = {}
+    known: dict[Path | tuple[str, ...], list[int]] = {}
     path, lengths = [], []
     for b in flat:
         own = known.get(b.path)
         if own is None:
-            own = known[b.path] = sorted({bucket("/", PATHS), *[bucket(n, PATHS) for n in b.path], bucket(">" + (b.path[-1] if b.path else ""), PATHS)})
+            own = known[b.path] = path_kinds(b.path)
         path += own
         lengths.append(len(own))
     text, offsets = utf8(pa.array([b.text for b in flat], pa.string()), lower=True)

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tilewright.llm.jobs import checkpoint, refuse_columns, written
 
 BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Words of a line whose running sums are one array.
+RUN = 256
 
 
 def words_of(line: Column) -> Column:
@@ -49,7 +51,13 @@ def variant_keys(words: Column) -> Column:
     together = lambda hashes: F.aggregate(hashes, none, lambda sum_, x: sum_.bitwiseXOR(x))
     step = F.zip_with(here, moved, lambda x, y: x.bitwiseXOR(y))
     # all words moved up by one; then one word after the other goes back to its place
-    turns = F.aggregate(step, F.array(together(moved)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1).bitwiseXOR(x))))
+    running = lambda hashes, first: F.aggregate(hashes, F.array(first), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1).bitwiseXOR(x))))
+    # a long line in runs, each of which starts with what the runs before it come to, as a sum takes its whole array along
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    cut = lambda whole: F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / RUN).cast("int")), lambda k: F.slice(whole, k * RUN + 1, F.lit(RUN)))
+    joined = lambda runs: F.flatten(F.zip_with(runs, F.slice(running(F.transform(runs, together), together(moved)), F.lit(1), F.size(runs)), lambda run, first: F.slice(running(run, first), F.lit(1), F.size(run))))
+    parted = once(once(step, cut), joined)
+    turns = F.when(F.size(words) <= RUN, running(step, together(moved))).otherwise(parted)
     left_out = F.zip_with(moved, turns, lambda x, y: F.coalesce(x, none).bitwiseXOR(y))
     return F.concat(F.array(together(here)), F.slice(left_out, F.lit(1), F.size(words)))
 
