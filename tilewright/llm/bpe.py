@@ -204,9 +204,8 @@ class Encoder:
         hashes, first, where = np.unique(word_hashes(text, starts, ends), return_index=True, return_inverse=True)
         sizes = ends - starts
         stand_in = first[where]
-        alike = sizes[stand_in] == sizes
-        like = text[gather(starts[stand_in[alike]], sizes[alike])] == text[gather(starts[alike], sizes[alike])]
-        if not alike.all() or not like.all():  # pre-tokens that only share a hash are kinds of their own
+        # pre-tokens lie one behind the other, so what stands in for them, put together, is the text
+        if not np.array_equal(sizes[stand_in], sizes) or not np.array_equal(text[gather(starts[stand_in], sizes)], text):  # pre-tokens that only share a hash are kinds of their own
             hashes, first, where = self._by_bytes(text.tobytes(), starts, ends)
         found = self.vocabulary.perfect.find(hashes)
         whole, memo, v = text.tobytes(), self.memo, self.vocabulary
