@@ -128,22 +128,6 @@ def gram_hashes(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarra
     return out, inside
 
 
-def winnow(grams: np.ndarray, inside: np.ndarray, w: int) -> np.ndarray:
-    """Whether each gram is the least of some w consecutive grams of one row; ties are all kept, so equal text keeps equal grams."""
-    n = len(grams)
-    keep = np.zeros(n, bool)
-    if n < w:
-        return keep
-    g = np.where(inside, grams | U64(1), U64(0))
-    least = g[: n - w + 1].copy()
-    for j in range(1, w):
-        np.minimum(least, g[j : n - w + 1 + j], out=least)  # 0 where a window leaves its row
-    most = np.zeros(n, U64)
-    for j in range(w):
-        np.maximum(most[j : n - w + 1 + j], least, out=most[j : n - w + 1 + j])
-    return inside & (most == g) & (most > 0)
-
-
 def rows_of(first: np.ndarray) -> np.ndarray:
     """The row of each word."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
