@@ -83,10 +83,40 @@ def raster_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("x", "y", F.posexplode("elevation").alias("pixel", "metres")).withColumn("metres", F.round("metres", 6))
 
 
+#: Every how many documents an answer has each field; it says the field's name and the document.
+GEOCODE = {
+    "display_name": 11, "name": 13, "category": 29, "addresstype": 17, "type": 19, "house_number": 8, "pedestrian": 12, "footway": 9, "cycleway": 10, "neighbourhood": 16, "quarter": 14, "suburb": 15,
+    "city_district": 18, "borough": 20, "postcode": 21, "county": 22, "country": 23, "country_code": 5, "state": 24, "region": 25, "state_district": 26,
+    "city": 27, "town": 28, "village": 30, "municipality": 31, "hamlet": 32, "ocean": 33, "sea": 7, "water": 34,
+}
+
+
 def flatten_geocode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = V.read(spark, sf_dir, "documents")
-    address = F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("town"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" "), "source")).alias("city"), F.when(F.col("doc_id") % 5 == 0, F.col("lang")).alias("country_code"), F.when(F.col("doc_id") % 7 == 0, F.lit("s")).alias("sea"), F.lit("").alias("road"))
-    return P.flatten_geocode(d.select("doc_id", F.to_json(F.struct(address.alias("address"))).alias("body"))).select("doc_id", "road", "locality", "water", "country_code")
+    """All columns of a place, from answers in which each field is there now and then; ``road`` is always blank."""
+    top = ("display_name", "name", "category", "addresstype", "type")
+    field = lambda n: F.when(F.col("doc_id") % GEOCODE[n] == 0, F.concat(F.lit(f" {n} "), F.col("doc_id").cast("string"))).alias(n)
+    address = F.struct(F.lit(" ").alias("road"), *[field(n) for n in GEOCODE if n not in top]).alias("address")
+    body = F.to_json(F.struct(*[field(n) for n in top], address)).alias("body")
+    return P.flatten_geocode(V.read(spark, sf_dir, "documents").select("doc_id", body)).drop("body")
+
+
+def flatten_web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored answer of a search for each event: what it says, what it rests on, and those that say nothing."""
+    e = V.read(spark, sf_dir, "events")
+    n = lambda k: (F.col("event_id") % k).cast("string")
+    link = lambda url, title: F.struct(title.alias("title"), url.alias("url"))
+    some = F.concat(F.lit("https://A"), n(7), F.lit(".test:443"))
+    call = F.struct(F.lit("web_search_call").alias("type"), F.struct(F.array(link(some, F.when(F.col("event_id") % 3 == 0, F.lit(" t "))), link(F.lit("http://bad.test/"), F.lit("b"))).alias("sources")).alias("action"))
+    note = F.struct(link(F.concat(F.lit("https://b.test/p?"), n(11)), F.lit("  ")).alias("url_citation"))
+    late = F.struct(link(F.concat(F.lit("https://a"), n(7), F.lit(".test/")), F.lit("late")).alias("url_citation"))
+    text = F.when(F.col("event_id") % 5 > 0, F.concat(F.lit(" "), "event_type", F.lit("\n")))
+    parts = F.array(F.struct(F.lit("output_text").alias("type"), text.alias("text"), F.array(late, note).alias("annotations")), F.struct(F.lit("refusal").alias("type"), F.lit("no").alias("text"), F.array(note).alias("annotations")), F.struct(F.lit("output_text").alias("type"), F.when(F.col("event_id") % 4 == 0, n(9)).alias("text"), F.array(note).alias("annotations")))
+    message = F.struct(F.lit("message").alias("type"), parts.alias("content"))
+    body = F.concat(F.lit('{"output":['), F.to_json(call), F.lit(","), F.to_json(message), F.lit("]}"))
+    answers, sources, bad = P.flatten_web_search(e.select("event_id", body.alias("body")), "event_id")
+    none = F.lit(None).cast("string")
+    rows = [answers.select("event_id", F.lit("answer").alias("kind"), F.col("answer").alias("text"), none.alias("url")), sources.select("event_id", F.lit("source").alias("kind"), F.col("title").alias("text"), "url"), bad.select("event_id", F.lit("reject").alias("kind"), none.alias("text"), none.alias("url"))]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
 
 def flatten_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +126,19 @@ def flatten_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.flatten_search(one.select("conv_id", F.to_json(F.struct(F.struct("pages").alias("query"))).alias("body")), "e.test", "conv_id")
 
 
-QUERIES = {f.__name__: f for f in (decode_elevation, elevation_bounds, raster_pyramid, sample_elevation, ground_tracks_on_terrain, sample_through_cut, ground_tracks_through_cut, raster_neighbours, flatten_geocode, flatten_search)}
+QUERIES = {f.__name__: f for f in (decode_elevation, elevation_bounds, raster_pyramid, sample_elevation, ground_tracks_on_terrain, sample_through_cut, ground_tracks_through_cut, raster_neighbours, flatten_geocode, flatten_search, flatten_web_search)}
+
+
+def _geocode_sql() -> str:
+    """The order in which fields speak for a column, in full."""
+    by = {"feature_type": ["addresstype", "type"], "road": ["pedestrian", "footway", "cycleway"], "neighbourhood": ["neighbourhood", "quarter"], "district": ["city_district", "borough"]}
+    by |= {"region": ["state", "region", "state_district"], "locality": ["city", "town", "village", "municipality", "hamlet"], "water": ["ocean", "sea", "water"]}
+    by |= {c: [c] for c in ("display_name", "name", "category", "house_number", "suburb", "postcode", "county", "country", "country_code")}
+    said = {c: "coalesce(" + ", ".join(f"CASE WHEN doc_id % {GEOCODE[f]} = 0 THEN '{f} ' || doc_id END" for f in fields) + ")" for c, fields in by.items()}
+    said["country_code"] = f"upper({said['country_code']})"
+    some = " OR ".join(f"doc_id % {k} = 0" for k in GEOCODE.values())
+    return f"SELECT doc_id, {', '.join(f'{v} AS {c}' for c, v in said.items())} FROM documents WHERE {some}"
+
 
 _R = """wide AS (SELECT CAST(ceil(log2(sqrt(coalesce(max(vec_id), 0) + 1))) AS INT) AS z FROM embeddings), world AS (SELECT z, 1 << z AS w FROM wide),
 r AS (SELECT z, w, vec_id % w AS x, vec_id // w AS y, list_transform(embedding, lambda v: v::DOUBLE * 1000) AS e FROM embeddings, world)"""
@@ -127,6 +169,11 @@ SELECT x, y, level, pixel, round(m, 4) AS metres FROM (FROM l0 UNION ALL FROM l1
     "raster_neighbours": f"""WITH {_R}, b AS (SELECT r.*, k.k AS pixel, k.k % 10 - 1 AS col, k.k // 10 - 1 AS row_ FROM r, range(0, 100) k(k)),
 a AS (SELECT *, (x + CASE WHEN col < 0 THEN w - 1 WHEN col > 7 THEN 1 ELSE 0 END) % w AS ox, y + CASE WHEN row_ < 0 THEN -1 WHEN row_ > 7 THEN 1 ELSE 0 END AS oy FROM b)
 SELECT a.x, a.y, a.pixel, round(coalesce(o.e[((row_ + 8) % 8) * 8 + (col + 8) % 8 + 1], a.e[greatest(0, least(7, row_)) * 8 + greatest(0, least(7, col)) + 1]), 6) AS metres FROM a LEFT JOIN r o ON o.x = a.ox AND o.y = a.oy""",
-    "flatten_geocode": "SELECT doc_id, NULL::VARCHAR AS road, CASE WHEN doc_id % 3 = 0 OR doc_id % 2 = 0 THEN source END AS locality, CASE WHEN doc_id % 7 = 0 THEN 's' END AS water, CASE WHEN doc_id % 5 = 0 THEN upper(lang) END AS country_code FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0 OR (doc_id % 5 = 0 AND lang IS NOT NULL) OR doc_id % 7 = 0",
+    "flatten_geocode": _geocode_sql(),
+    "flatten_web_search": """WITH s AS (SELECT *, event_id % 5 > 0 AS first, event_id % 4 = 0 AS second FROM events), g AS (SELECT * FROM s WHERE first OR second)
+SELECT event_id, 'answer' AS kind, CASE WHEN first AND second THEN event_type || chr(10) || event_id % 9 WHEN first THEN event_type ELSE (event_id % 9)::VARCHAR END AS text, NULL::VARCHAR AS url FROM g
+UNION ALL SELECT event_id, 'source', CASE WHEN event_id % 3 = 0 THEN 't' ELSE 'a' || event_id % 7 || '.test' END, 'https://a' || event_id % 7 || '.test/' FROM g
+UNION ALL SELECT event_id, 'source', 'b.test', 'https://b.test/p?' || event_id % 11 FROM g
+UNION ALL SELECT event_id, 'reject', NULL, NULL FROM s WHERE NOT (first OR second)""",
     "flatten_search": "WITH c AS (SELECT conv_id, turn, any_value(role) AS role FROM conversations WHERE text IS NOT NULL GROUP BY ALL) SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 3 > 0 THEN 10 - turn ELSE 0 END, turn) AS rank, role || ' ' || turn AS title, 'some text' AS summary, CASE WHEN turn % 2 = 0 THEN 'https://e.test/wiki/x' ELSE 'https://e.test/wiki/' || role || '_' || turn END AS url FROM c WHERE turn % 4 <> 3",
 }

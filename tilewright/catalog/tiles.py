@@ -88,6 +88,23 @@ def cut_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.cut_statistics(checkpoint(_cut(spark, sf_dir)), ["cut_id"])
 
 
+def cut_leaves_by_zoom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(T.leaves_by_zoom(_cut(spark, sf_dir), ["cut_id"]), "area")
+
+
+def horizon_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each event's observer sees on a globe of its own radius."""
+    e = V.read(spark, sf_dir, "events").select("event_id", (1 + F.col("event_id") % 15000).cast("double").alias("radius_m"), (F.col("value") - 5).alias("height_m"))
+    return rounded(T.with_horizon(e).drop("radius_m", "height_m"), "horizon_rad", "horizon_deg", "horizon_diameter_m", "horizon_source_km")
+
+
+def fetch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetches of each user that terrain and imagery start first: four and six at a time."""
+    e = V.read(spark, sf_dir, "events")
+    asked = e.select("user_id", F.when(F.col("event_id") % 2 == 0, "terrain").when(F.col("event_id") % 5 > 0, "imagery").otherwise("other").alias("provider"), (F.col("event_id") * 7919 % 13).alias("priority"), F.col("event_id").alias("sequence"))
+    return T.fetch_order(asked, {"terrain": 4, "imagery": 6}, keys=["user_id"])
+
+
 def validate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The covers, each with some tiles taken out, one doubled and one split deep: what is wrong with them."""
     cut = _written(spark, sf_dir)
@@ -184,7 +201,7 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.canonical_order(_tiles(spark, sf_dir, 4))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (flagship, assign_tiles, tile_bounds, source_tiles, observer_zoom, clean_coordinates, first_valid_place, observer_targets, finest_tiles, balanced_cover, cut_statistics, validate_cut, deepest_covering_tile, horizon_candidates, diff_cuts, retained_sources, cuts_equal, touching_tiles, tiles_within_horizon, replacement_groups, group_dependencies, atomic_batches, dependency_closure, ready_batches, change_summary, work_order, canonical_order)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (flagship, assign_tiles, tile_bounds, source_tiles, observer_zoom, clean_coordinates, first_valid_place, observer_targets, finest_tiles, balanced_cover, cut_statistics, cut_leaves_by_zoom, horizon_measures, fetch_order, validate_cut, deepest_covering_tile, horizon_candidates, diff_cuts, retained_sources, cuts_equal, touching_tiles, tiles_within_horizon, replacement_groups, group_dependencies, atomic_batches, dependency_closure, ready_batches, change_summary, work_order, canonical_order)}
 
 _COVER = f"WITH RECURSIVE {V.FINEST},\n{V.cover_sql()}"
 _TWO = f"WITH RECURSIVE {V.two_covers_sql()}"
@@ -230,6 +247,11 @@ ORACLES: dict[str, str] = {
     "finest_tiles": f"WITH {V.FINEST} SELECT observer_id, z, x, y FROM finest",
     "balanced_cover": f"{_COVER} SELECT c.cut_id, c.z, c.x, c.y, CASE WHEN f.z IS NULL THEN 'outer' ELSE 'finest' END AS role FROM cover c LEFT JOIN finest f ON c.cut_id = f.observer_id AND c.z = f.z AND c.x = f.x AND c.y = f.y",
     "cut_statistics": f"{_COVER}, nodes AS (SELECT cut_id, count(*) AS nodes FROM (SELECT DISTINCT cut_id, z - u.u AS z, x >> u.u AS x, y >> u.u AS y FROM cover, range(0, 12) u(u) WHERE u.u <= z) GROUP BY 1) SELECT c.cut_id, count(*) AS leaves, count(f.z) AS finest, min(c.z) AS min_zoom, max(c.z) AS max_zoom, md5(string_agg(concat_ws('/', c.z, c.x, c.y), ' ' ORDER BY c.z, c.y, c.x)) AS signature, any_value(nodes) AS nodes FROM cover c LEFT JOIN finest f ON c.cut_id = f.observer_id AND c.z = f.z AND c.x = f.x AND c.y = f.y JOIN nodes n ON n.cut_id = c.cut_id GROUP BY c.cut_id",
+    "cut_leaves_by_zoom": f"{_COVER} SELECT c.cut_id, c.z, CASE WHEN f.z IS NULL THEN 'outer' ELSE 'finest' END AS role, count(*) AS leaves, round(sum(pow(4.0::DOUBLE, -c.z)), 6) AS area FROM cover c LEFT JOIN finest f ON c.cut_id = f.observer_id AND c.z = f.z AND c.x = f.x AND c.y = f.y GROUP BY ALL",
+    "horizon_measures": """WITH o AS (SELECT event_id, (1 + event_id % 15000)::DOUBLE AS r, greatest(0, value - 5) AS h FROM events), a AS (SELECT event_id, r, acos(r / (r + h)) AS a FROM o)
+SELECT event_id, round(a, 6) AS horizon_rad, round(degrees(a), 6) AS horizon_deg, round(2 * r * a, 6) AS horizon_diameter_m, round(a * 6371.0088, 6) AS horizon_source_km FROM a""",
+    "fetch_order": """WITH f AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'terrain' WHEN event_id % 5 > 0 THEN 'imagery' ELSE 'other' END AS provider, event_id * 7919 % 13 AS priority, event_id AS sequence FROM events)
+SELECT *, row_number() OVER (PARTITION BY user_id, provider ORDER BY priority DESC, sequence) AS turn FROM f QUALIFY turn <= CASE provider WHEN 'terrain' THEN 4 WHEN 'imagery' THEN 6 ELSE 0 END""",
     "validate_cut": f"""{_COVER}, given AS (SELECT * FROM cover WHERE (x + 3 * y + z) % 29 <> 0 UNION ALL SELECT * FROM cover WHERE (x + y) % 31 = 1 UNION ALL SELECT cut_id, z + 2, x * 4, y * 4 FROM cover WHERE (x * 5 + y) % 37 = 2), once AS (SELECT DISTINCT * FROM given),
 found AS (SELECT cut_id, 'duplicate' AS problem, count(*)::DOUBLE AS detail FROM given GROUP BY cut_id, z, x, y HAVING count(*) > 1
 UNION ALL SELECT cut_id, 'ancestor', 0 FROM once o WHERE EXISTS (SELECT 1 FROM once d WHERE d.cut_id = o.cut_id AND d.z > o.z AND d.x >> (d.z - o.z) = o.x AND d.y >> (d.z - o.z) = o.y)

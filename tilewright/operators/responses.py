@@ -42,16 +42,32 @@ def rank_results(results: DataFrame, key: str) -> DataFrame:
     return results.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(F.coalesce("index", F.lit(0.0)), "pos")))
 
 
-def flatten_web_search(responses: DataFrame, key: str = "request_key", body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(answers (key, answer), sources (key, pos, title, url)): texts joined by line breaks; https sources of calls and annotations, the first title of each URL."""
-    source = "struct<title:string,url:string>"
-    item = f"struct<type:string,action:struct<sources:array<{source}>>,content:array<struct<text:string,annotations:array<{source}>>>>"
-    items = responses.select(key, F.posexplode(F.from_json(F.get_json_object(body, "$.output"), f"array<{item}>")).alias("i", "o"))
-    parts = items.select(key, "i", F.posexplode("o.content").alias("j", "c"))
-    answers = parts.filter("c.text IS NOT NULL").groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "j", F.col("c.text").alias("text")))), lambda x: x["text"]), "\n").alias("answer")).filter("answer <> ''")
-    called = items.select(key, F.lit(0).alias("group"), "i", F.lit(0).alias("j"), F.posexplode("o.action.sources").alias("k", "s"))
-    noted = parts.select(key, F.lit(1).alias("group"), "i", "j", F.posexplode("c.annotations").alias("k", "s"))
-    every = called.unionByName(noted).filter(F.col("s.url").startswith("https://")).withColumn("pos", F.struct("group", "i", "j", "k"))
-    title = F.coalesce(F.nullif(F.trim("s.title"), F.lit("")), F.expr("try_parse_url(s.url, 'HOST')"))
-    first = every.groupBy(key, F.col("s.url").alias("url")).agg(F.min_by(title, "pos").alias("title"), F.min("pos").alias("pos"))
-    return answers, first
+def flatten_web_search(responses: DataFrame, key: str = "request_key", body: str = "body") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(answers (key, answer), sources (key, pos, title, url), rejects): responses whose messages say nothing are rejected, with their sources.
+
+    An answer is the trimmed texts of all messages, joined by line breaks. Sources are those of search calls and the notes of messages, as they come, https
+    only; of one URL the first counts, and one without a title is called by its host. ``key`` names a response once.
+    """
+    source = "title:string,url:string"
+    item = f"struct<type:string,action:struct<sources:array<struct<{source},url_citation:struct<{source}>>>>,content:array<struct<type:string,text:string,annotations:array<struct<{source},url_citation:struct<{source}>>>>>>"
+    read = responses.withColumn("__o", F.from_json(F.get_json_object(body, "$.output"), f"array<{item}>"))
+    blank = lambda c: F.nullif(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit(""))
+    messages = F.filter("__o", lambda o: (o["type"] == "message") & o["content"].isNotNull())
+    said = F.flatten(F.transform(messages, lambda o: F.filter(o["content"], lambda c: c["type"] == "output_text")))
+    texts = F.filter(F.transform(said, lambda c: blank(c["text"])), lambda t: t.isNotNull())
+    read = read.withColumn("__answer", F.nullif(F.array_join(texts, "\n"), F.lit("")))
+    good, bad = read.filter("__answer IS NOT NULL"), read.filter("__answer IS NULL").select(*responses.columns)
+    none = F.array().cast(f"array<struct<{source},url_citation:struct<{source}>>>")
+    of_item = lambda o: (
+        F.when(o["type"] == "web_search_call", F.coalesce(o["action"]["sources"], none))
+        .when(o["type"] == "message", F.flatten(F.transform(F.filter(o["content"], lambda c: c["type"] == "output_text"), lambda c: F.coalesce(c["annotations"], none))))
+    )
+    every = good.select(key, F.posexplode(F.flatten(F.transform("__o", lambda o: F.coalesce(of_item(o), none)))).alias("pos", "s"))
+    every = every.select(key, "pos", F.coalesce("s.url_citation", F.struct("s.title", "s.url")).alias("s")).select(key, "pos", "s.title", F.trim("s.url").alias("given"))
+    host = F.regexp_replace(F.lower(F.regexp_extract("given", r"^(?i:https)://([^/?#]+)", 1)), ":443$", "")
+    rest = F.regexp_extract("given", r"^(?i:https)://[^/?#]+(.*)$", 1)
+    every = every.withColumn("host", host).withColumn("rest", rest).filter("host <> ''")
+    url = F.concat(F.lit("https://"), "host", F.when(F.col("rest").startswith("/"), F.col("rest")).otherwise(F.concat(F.lit("/"), "rest")))
+    named = every.select(key, "pos", F.coalesce(blank("title"), F.regexp_replace("host", r":\d*$", "")).alias("title"), url.alias("url"))
+    first = named.groupBy(key, "url").agg(F.min_by("title", "pos").alias("title"), F.min("pos").alias("pos"))
+    return good.select(key, F.col("__answer").alias("answer")), first.select(key, "pos", "title", "url"), bad

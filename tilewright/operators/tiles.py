@@ -82,6 +82,22 @@ def work_order(work: DataFrame, first: int | None = None, provider: str | None =
     return work.withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= first)
 
 
+def fetch_order(fetches: DataFrame, limits: dict[str, int] | None = None, provider: str = "provider", keys: list[str] | None = None) -> DataFrame:
+    """Fetches by falling priority, then by rising sequence. limits: how many each provider may run at a time; only these are kept, with their
+    ``turn``, for each of ``keys`` and each provider. A provider without a limit starts nothing; a null priority comes last.
+
+    The largest limit is known while planning, so each partition passes on that many rows of a provider at most, whatever its length.
+    """
+    order = [F.col("priority").desc_nulls_last(), F.col("sequence")]
+    if limits is None:
+        return fetches.orderBy(*order)
+    if not limits:
+        return fetches.withColumn("turn", F.lit(0)).limit(0)
+    own = F.coalesce(*[F.when(F.col(provider) == name, F.lit(k)) for name, k in limits.items()])
+    first = fetches.withColumn("turn", F.row_number().over(Window.partitionBy(*(keys or []), provider).orderBy(*order))).filter(F.col("turn") <= max(limits.values()))
+    return first.filter(F.col("turn") <= own)
+
+
 def with_ancestors(tiles: DataFrame, own: bool = True) -> DataFrame:
     """A row for each tile above (and for the tile itself): az, ax, ay."""
     up = F.sequence(F.lit(0), F.col("z").cast("int")) if own else F.when(F.col("z") > 0, F.sequence(F.lit(1), F.col("z").cast("int"))).otherwise(F.array().cast("array<int>"))
@@ -179,7 +195,7 @@ def validate_cut(cut: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 
 def cut_statistics(cut: DataFrame, keys: list[str]) -> DataFrame:
-    """Leaves in all, by role and by zoom, depth, nodes of the tree, and a signature in canonical order."""
+    """Leaves in all and by role, depth, nodes of the tree, and a signature in canonical order; ``leaves_by_zoom`` has them by zoom."""
     leaves = cut.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("leaves"),
         F.count_if(F.col("role") == "finest").alias("finest"),
@@ -191,6 +207,11 @@ def cut_statistics(cut: DataFrame, keys: list[str]) -> DataFrame:
     return leaves.join(nodes, keys)
 
 
+def leaves_by_zoom(cut: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, z, role, leaves, area): how many leaves each zoom and role has, and what share of the map they are."""
+    return cut.groupBy(*keys, "z", "role").agg(F.count(F.lit(1)).alias("leaves"), F.sum(F.pow(F.lit(4.0), -F.col("z"))).alias("area"))
+
+
 def diff_cuts(old: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys, z, x, y, side): retained, removed or added."""
     on = [*(keys or []), *TILE]
@@ -237,6 +258,13 @@ def horizon_gap(radius: Column, height: Column) -> Column:
     return F.coalesce(F.try_divide(up, 2 * (low + up)), F.lit(0.0))
 
 
+def with_horizon(observers: DataFrame, radius: str = "radius_m", height: str = "height_m") -> DataFrame:
+    """How far the horizon is: horizon_rad and horizon_deg as angles, horizon_diameter_m across the displayed globe, horizon_source_km on the Earth. At least a millimetre of radius; no height is 0."""
+    globe, up = F.greatest(F.lit(0.001), F.col(radius)), F.greatest(F.lit(0.0), F.col(height))
+    angle = F.acos(globe / (globe + up))
+    return observers.withColumns({"horizon_rad": angle, "horizon_deg": F.degrees(angle), "horizon_diameter_m": 2 * globe * angle, "horizon_source_km": angle * geo.EARTH_RADIUS_KM})
+
+
 def tiles_within_horizon(observers: DataFrame, tiles: DataFrame, finest_cell: int = 16) -> DataFrame:
     """(observer_id, z, x, y) of tiles that the observer's horizon reaches. observers: (observer_id, lat, lon, radius_m, height_m).
 
