@@ -28,7 +28,7 @@ def read_orbital_catalogues(spark: SparkSession, path: str) -> tuple[DataFrame,
 
 
 def read_raster_tiles(spark: SparkSession, path: str, tile_pixels: int) -> tuple[DataFrame, DataFrame]:
-    """(tiles (z, x, y, width, height, channels, data), rejects) of images at z/x/y.*; empty ones and other sizes are rejected."""
+    """(tiles (z, x, y, width, height, channels, data), rejects) of images at z/x/y.*; what is no image and other sizes are rejected. Spark passes over files of no bytes."""
     images = spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", True).load(path).select("image.*")
     part = lambda k: F.regexp_extract("origin", r"(\d+)/(\d+)/(\d+)\.[^/.]+$", k)
     tiles = images.select("origin", part(1).try_cast("int").alias("z"), part(2).try_cast("long").alias("x"), part(3).try_cast("long").alias("y"), "width", "height", F.col("nChannels").alias("channels"), "data")
