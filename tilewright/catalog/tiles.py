@@ -11,6 +11,7 @@ from tilewright.catalog import views as V
 from tilewright.functions.shared import checkpoint
 from tilewright.operators import tiles as T
 from tilewright.plans import cover as C
+from tilewright.streaming import anchors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -105,6 +106,15 @@ def fetch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.fetch_order(asked, {"terrain": 4, "imagery": 6}, keys=["user_id"])
 
 
+def anchor_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observers that wander about a place of their own, some of them over the seam and beyond the map's edges: where their blocks stand after each move."""
+    e = V.read(spark, sf_dir, "events")
+    lat = (F.col("user_id") * 7919 % 177 - 88) + (F.col("event_id") * 31 % 997) / 997.0
+    lon = (F.col("user_id") * 104729 % 361 - 180) + (F.col("event_id") * 17 % 983) / 983.0 * 12
+    moves = e.select(F.col("user_id").alias("observer_id"), F.col("event_id").alias("ts"), lat.alias("lat"), lon.alias("lon"), (7 + F.col("user_id") % 3).cast("int").alias("max_zoom"), (200.0 + F.col("event_id") * 13 % 100).alias("target_m"))
+    return rounded(anchors.anchor_targets(moves), "held_lon")
+
+
 def validate_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The covers, each with some tiles taken out, one doubled and one split deep: what is wrong with them."""
     cut = _written(spark, sf_dir)
@@ -201,7 +211,7 @@ def canonical_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.canonical_order(_tiles(spark, sf_dir, 4))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (flagship, assign_tiles, tile_bounds, source_tiles, observer_zoom, clean_coordinates, first_valid_place, observer_targets, finest_tiles, balanced_cover, cut_statistics, cut_leaves_by_zoom, horizon_measures, fetch_order, validate_cut, deepest_covering_tile, horizon_candidates, diff_cuts, retained_sources, cuts_equal, touching_tiles, tiles_within_horizon, replacement_groups, group_dependencies, atomic_batches, dependency_closure, ready_batches, change_summary, work_order, canonical_order)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (flagship, assign_tiles, tile_bounds, source_tiles, observer_zoom, clean_coordinates, first_valid_place, observer_targets, finest_tiles, balanced_cover, cut_statistics, cut_leaves_by_zoom, horizon_measures, fetch_order, anchor_targets, validate_cut, deepest_covering_tile, horizon_candidates, diff_cuts, retained_sources, cuts_equal, touching_tiles, tiles_within_horizon, replacement_groups, group_dependencies, atomic_batches, dependency_closure, ready_batches, change_summary, work_order, canonical_order)}
 
 _COVER = f"WITH RECURSIVE {V.FINEST},\n{V.cover_sql()}"
 _TWO = f"WITH RECURSIVE {V.two_covers_sql()}"
@@ -235,6 +245,29 @@ after AS (SELECT DISTINCT cut_id, g, z, x, y, ['ready', 'ready', 'requested', 'r
 _AT8 = f"SELECT DISTINCT 8 AS z, {V.tx(z='8')} AS x, {V.ty(z='8')} AS y FROM positions"
 _LATLON = "event_id * 31 % 2001 / 10.0::DOUBLE - 100.0::DOUBLE AS lat_a, event_id * 17 % 4001 / 10.0::DOUBLE - 200.0::DOUBLE AS lon_a"
 
+_SHIFT = "CASE WHEN {i} BETWEEN 1 AND 6 THEN 0 WHEN {i} < 1 THEN {i} - 4 ELSE {i} - 3 END"
+#: One step of all observers after another; what doesn't depend on the step before is in m.
+_ANCHORS = f"""WITH RECURSIVE e AS (SELECT user_id AS observer_id, event_id AS ts, (user_id * 7919 % 177 - 88) + (event_id * 31 % 997) / 997.0::DOUBLE AS lat,
+  (user_id * 104729 % 361 - 180) + (event_id * 17 % 983) / 983.0::DOUBLE * 12 AS east, 7 + user_id % 3 AS z, 200.0::DOUBLE + event_id * 13 % 100 AS target FROM events),
+o AS (SELECT *, CASE WHEN east >= 180 THEN east - 360 ELSE east END AS lon, 1 << z AS w, row_number() OVER (PARTITION BY observer_id ORDER BY ts) AS k,
+  log2(2 * pi() * 6371008.8 * greatest(1e-6, cos(radians(lat))) / target) AS wanted, cos(radians(85.05112878)) AS edge FROM e),
+t AS (SELECT *, {V.tx(z='z')} AS c, {V.ty(z='z')} AS r, 1 + radians(greatest(0, abs(lat) - 85.05112878)) * w / (2 * pi() * edge) AS ratio FROM o),
+m AS (SELECT *, CASE WHEN abs(lat) > 85.05112878 THEN CASE WHEN lat > 0 THEN 'north-boundary' ELSE 'south-boundary' END WHEN r BETWEEN 2 AND w - 3 THEN 'normal' WHEN r < 2 THEN 'north-boundary' ELSE 'south-boundary' END AS mode, CAST(floor(log2(ratio)) AS BIGINT) AS fall FROM t),
+s(observer_id, k, ts, mode, zoom, bx, "by", locked, held, imagery, changed) AS (
+  SELECT DISTINCT observer_id, 0::BIGINT, 0::BIGINT, '', -1::BIGINT, 0::BIGINT, 0::BIGINT, false, 0::DOUBLE, -1::BIGINT, false FROM m
+  UNION ALL
+  SELECT observer_id, k, ts, mode, zoom, nx, ny, locked, held, imagery, mode <> 'normal' OR NOT same OR nx <> bx OR ny <> "by" FROM (
+    SELECT *, CASE WHEN mode <> 'normal' THEN CASE WHEN (1 << zoom) < 8 THEN 0 ELSE CAST(floor((floor((held + 180) / 360 * (1 << zoom)) - 2) / 4) AS BIGINT) * 4 END WHEN NOT same THEN c - 3 ELSE bx + {_SHIFT.format(i='ahead')} END AS nx,
+      CASE WHEN mode = 'north-boundary' THEN 0 WHEN mode = 'south-boundary' THEN (1 << zoom) - least(8, 1 << zoom) WHEN NOT same THEN greatest(0, least(w - 8, r - 3)) ELSE greatest(0, least(w - 8, "by" + {_SHIFT.format(i='(r - "by")')})) END AS ny FROM (
+      SELECT *, CASE WHEN mode = 'normal' THEN z ELSE greatest(0, z - CASE WHEN same AND (fall > was AND ratio < pow(2, was + 1) * 1.1 OR fall < was AND ratio > pow(2, was) * 0.9) THEN was ELSE fall END) END AS zoom,
+        CASE WHEN locked AND old_zoom >= 0 THEN old_held ELSE lon END AS held FROM (
+        SELECT m.*, s.mode = m.mode AS same, s.bx, s."by", s.zoom AS old_zoom, s.held AS old_held, m.z - s.zoom AS was,
+          m.mode <> 'normal' AND abs(cos(radians(m.lat))) < edge / 4 * CASE WHEN s.locked THEN 2 ELSE 1 END AS locked,
+          ((c - s.bx + w // 2 - 4) % w + w) % w - (w // 2 - 4) AS ahead,
+          CAST(greatest(0, ceil(wanted - log2(3.75 / 2.56)), least(CASE WHEN s.imagery < 0 THEN floor(wanted + 0.5) ELSE s.imagery END, floor(wanted - log2(1.75 / 2.56)))) AS BIGINT) AS imagery
+        FROM s JOIN m ON m.observer_id = s.observer_id AND m.k = s.k + 1))))
+SELECT observer_id, ts, mode, zoom, bx AS block_x, "by" AS block_y, least(8, 1 << zoom) AS side, imagery AS imagery_zoom, locked AS pole_locked, round(held, 6) AS held_lon, changed FROM s WHERE k > 0"""
+
 ORACLES: dict[str, str] = {
     "flagship": f"{_COVER} SELECT p.observer_id, c.z, c.x, c.y, count(*) AS positions FROM positions p JOIN cover c ON p.observer_id = c.cut_id AND {V.tx(z='c.z')} = c.x AND {V.ty(z='c.z')} = c.y GROUP BY ALL",
     "assign_tiles": f"WITH {V.POSITIONS} SELECT z.z AS z, {V.tx(z='z.z')} AS x, {V.ty(z='z.z')} AS y, count(*) AS points FROM positions, (VALUES (3), (7), (11)) z(z) GROUP BY ALL",
@@ -252,6 +285,7 @@ ORACLES: dict[str, str] = {
 SELECT event_id, round(a, 6) AS horizon_rad, round(degrees(a), 6) AS horizon_deg, round(2 * r * a, 6) AS horizon_diameter_m, round(a * 6371.0088, 6) AS horizon_source_km FROM a""",
     "fetch_order": """WITH f AS (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN 'terrain' WHEN event_id % 5 > 0 THEN 'imagery' ELSE 'other' END AS provider, event_id * 7919 % 13 AS priority, event_id AS sequence FROM events)
 SELECT *, row_number() OVER (PARTITION BY user_id, provider ORDER BY priority DESC, sequence) AS turn FROM f QUALIFY turn <= CASE provider WHEN 'terrain' THEN 4 WHEN 'imagery' THEN 6 ELSE 0 END""",
+    "anchor_targets": _ANCHORS,
     "validate_cut": f"""{_COVER}, given AS (SELECT * FROM cover WHERE (x + 3 * y + z) % 29 <> 0 UNION ALL SELECT * FROM cover WHERE (x + y) % 31 = 1 UNION ALL SELECT cut_id, z + 2, x * 4, y * 4 FROM cover WHERE (x * 5 + y) % 37 = 2), once AS (SELECT DISTINCT * FROM given),
 found AS (SELECT cut_id, 'duplicate' AS problem, count(*)::DOUBLE AS detail FROM given GROUP BY cut_id, z, x, y HAVING count(*) > 1
 UNION ALL SELECT cut_id, 'ancestor', 0 FROM once o WHERE EXISTS (SELECT 1 FROM once d WHERE d.cut_id = o.cut_id AND d.z > o.z AND d.x >> (d.z - o.z) = o.x AND d.y >> (d.z - o.z) = o.y)
