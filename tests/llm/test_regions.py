@@ -83,3 +83,19 @@ def test_rows_of_one_id_with_other_texts(spark):
     got = sorted(tuple(r) for r in jaccard_join.link_components(df).select("doc_id", "component_id").collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
 
+
+
+def test_parts_meet_through_many_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK_KEYS", 50)
+    monkeypatch.setattr(jaccard_join, "LINKS", 3)
+    monkeypatch.setattr(jaccard_join, "PARTITION_SHINGLES", 2000)
+    docs = [*families(), (9001, None), (9002, ""), (9003, "one two"), (9004, "One two")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(df, size=5, per_cent=80, tries=8).collect()}
+    assert got == brute(docs, 5, 80)
+
+
+def test_packed_keys_come_back():
+    keys, owners = jaccard_join.np.array([5, 2**47 + 9, 2**48 - 1], "u8"), jaccard_join.np.array([-7, 2**62, -7], "i8")
+    back = jaccard_join._unpacked(*jaccard_join._packed(keys, owners))
+    assert [b.tolist() for b in back] == [keys.tolist(), owners.tolist()]

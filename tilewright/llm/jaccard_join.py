@@ -4,8 +4,8 @@ Two documents link when ``per_cent`` * |union| <= 100 * |intersection|. Document
 
 In the metric of the symmetric difference D two sets of a and b shingles link when D <= (a + b) * (100 - p) / (100 + p). Whole corpora are
 first cut by parts of sets, as unrelated texts are all equally far from any pivot: sets of similar size are cut by hash range into more
-parts than a link may have differences, so two linked sets have a whole part in common. Equal parts are joined through their least holder, one
-row for a holder, and what hangs together is a region; no link leaves its region.
+parts than a link may have differences, so two linked sets have a whole part in common. Equal parts meet at their least holder, moved once in packed
+blocks that hold a part once each, and what hangs together is a region; no link leaves its region.
 
 A region of more than ``cell`` sets is cut by pivots. Each member belongs to the Voronoi region of its nearest pivot and, by the triangle
 inequality, goes as a guest to each earlier pivot that isn't farther from it than its own by more than twice its longest link; any two linked members
@@ -44,7 +44,10 @@ SPARE = 1
 CELL = 192
 PIVOTS = 12
 CUTS = 32
-BROADCAST_ROWS = 1_000_000
+KEY_BYTES = 6
+BLOCK_KEYS = 1 << 20
+PARTITION_SHINGLES = 1 << 21
+LINKS = 1 << 16
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -378,6 +381,95 @@ def region_links(members: DataFrame, sets: DataFrame, per_cent: int, keys_of: Ca
     return functools.reduce(DataFrame.unionByName, links)
 
 
+def _least(keys: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(each key once and in order, its least owner, and links a, b of its other owners to that one, each link once)."""
+    order = np.lexsort((owners, keys))
+    keys, owners = keys[order], owners[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    least = owners[first]
+    lead = np.repeat(least, np.diff(np.append(first, len(keys))))
+    other = owners != lead
+    a, b = owners[other], lead[other]
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    once = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: len(a)]
+    return keys[first], least, a[once], b[once]
+
+
+def _packed(keys: np.ndarray, owners: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Keys by their low bytes, and owners by their places in a list of those that there are."""
+    there, at = np.unique(owners, return_inverse=True)
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES].tobytes(), at.astype("<u2" if len(there) <= 1 << 16 else "<u4").tobytes(), there.astype("<i8").tobytes()
+
+
+def _unpacked(keys: bytes, at: bytes, there: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(keys) // KEY_BYTES
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :KEY_BYTES] = np.frombuffer(keys, np.uint8).reshape(-1, KEY_BYTES)
+    return wide.view("<u8")[:, 0], np.frombuffer(there, "<i8")[np.frombuffer(at, "<u2" if len(at) == 2 * n else "<u4")]
+
+
+def _touching(texts: DataFrame, keyed: Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]], shingles: int) -> DataFrame:
+    """(a, b): enough links for the components of the classes that share a key. keyed: class and keys of each text of a slice.
+
+    Keys move once, in blocks: a task joins the owners of a key that it has itself, so a key leaves it once per ``BLOCK_KEYS`` keys however many own it, and what
+    moves of a key is six bytes and its owner's place in the block. Its top bits choose the partition, of which there are as many as keep one small. Two keys that
+    agree in what is left make a region larger and no link, as links are verified in their region.
+    """
+    spark = texts.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // PARTITION_SHINGLES))
+
+    def block(held: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        keys, least, a, b = _least(np.concatenate(held).view(U64), np.repeat(np.array(owners, np.int64), [len(k) for k in held]))
+        part = ((keys >> U64(32)) * U64(partitions)) >> U64(32)
+        bounds = np.searchsorted(part, np.arange(partitions + 1, dtype=U64))
+        rows = [(p, *_packed(keys[x:y], least[x:y])) for p, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if y > x]
+        turn = int(keys[0] % U64(partitions))
+        for k, at in enumerate(range(0, len(a), LINKS)):
+            rows.append(((turn + k) % partitions, b"", a[at : at + LINKS].tobytes(), b[at : at + LINKS].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "at", "there"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, owners, count = [], [], 0
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in slices(text):
+                for cls, keys in keyed(text.slice(a, b - a)):
+                    if len(keys):
+                        held.append(keys)
+                        owners.append(cls)
+                        count += len(keys)
+                if count >= BLOCK_KEYS:
+                    yield block(held, owners)
+                    held, owners, count = [], [], 0
+        if count:
+            yield block(held, owners)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, fresh, count = (np.zeros(0, U64), np.zeros(0, np.int64)), [], 0
+
+        def links(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            for keys, at, there in zip(*[batch.column(c) for c in ("keys", "at", "there")], strict=True):
+                keys, at, there = keys.as_py(), at.as_py(), there.as_py()
+                if keys:
+                    fresh.append(_unpacked(keys, at, there))
+                    count += len(fresh[-1][0])
+                else:
+                    yield links(np.frombuffer(at, np.int64), np.frombuffer(there, np.int64))
+                if count >= BLOCK_KEYS:
+                    *known, a, b = _least(*[np.concatenate(c) for c in zip(known, *fresh, strict=True)])
+                    fresh, count = [], 0
+                    yield links(a, b)
+        if fresh:
+            yield links(*_least(*[np.concatenate(c) for c in zip(known, *fresh, strict=True)])[2:])
+
+    moved = texts.select("text").mapInArrow(pack, "part int, keys binary, at binary, there binary").repartitionById(partitions, F.col("part"))
+    return moved.mapInArrow(meet, "a long, b long")
+
+
 def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col: str = "doc_id", text_col: str = "text", tries: int = 1, cell: int = CELL) -> DataFrame:
     """(id, n_shingles long, component_id): the least id that links lead to, the document's own included. Thresholds under 90 need several ``tries``, or empty parts join regions."""
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -408,18 +500,8 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
     # regions: classes that hang together by equal parts
     reps = narrow.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
 
-    def parts(batch: pa.RecordBatch) -> Iterator[list]:
-        keys, owners = [], []
-        for s in shingle_sets(batch.column("text"), size):
-            k = part_keys(s, plan, per_cent, tries)
-            keys.append(k)
-            owners.append(np.full(len(k), name(s), np.int64))
-        yield [pa.array(np.concatenate(keys)), pa.array(np.concatenate(owners))]
-
-    holders = _mapped(narrow, "key long, cls long", ["key", "cls"], parts)
-    met = checkpoint(holders.groupBy("key").agg(F.min("cls").alias("least"), F.max("cls").alias("most")).filter("least < most").select("key", "least"))
-    # few shared parts go to all tasks, more of them by a join that moves the parts once more
-    touching = holders.join(F.broadcast(met) if met.count() <= BROADCAST_ROWS else met, "key").filter("cls <> least").select(F.col("cls").alias("a"), F.col("least").alias("b"))
+    shingles = own.agg(F.sum("n")).first()[0] or 0
+    touching = _touching(narrow.filter("id IS NOT NULL"), lambda t: ((name(s), part_keys(s, plan, per_cent, tries)) for s in shingle_sets(t, size)), shingles)
     regions = checkpoint(components(touching).select(F.col("node").alias("cls"), F.col("root").alias("region")))
 
     def whole(batch: pa.RecordBatch) -> Iterator[list]:
