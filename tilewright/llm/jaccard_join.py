@@ -310,11 +310,12 @@ def _dense(members: DataFrame, sets: DataFrame, per_cent: int, cell: int, keys_o
         for batch in batches:
             keys = [np.unique(keys_of(np.frombuffer(s, U64))) for s in batch.column("shingles").to_pylist()]
             if keys:
-                owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), batch.column("cls").take(pa.array(owner))], ["key", "cls"])
+                bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys))), batch.column("cls")], ["keys", "cls"])
 
-    parts = checkpoint(sets.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").mapInArrow(keyed, "key long, cls long"))
-    held = parts.join(placed.select("region", "cls", "root"), "cls")
+    # one row for a set, as a row for a part would take five times the room
+    parts = checkpoint(sets.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").mapInArrow(keyed, "keys array<long>, cls long"))
+    held = parts.select(F.explode("keys").alias("key"), "cls").join(placed.select("region", "cls", "root"), "cls")
     open_ = held.groupBy("region", "key").agg(F.count(F.lit(1)).alias("g"), F.min("root").alias("x"), F.max("root").alias("y"), F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("also")).filter("x < y")
     open_ = checkpoint(open_.groupBy("region", "g", "who", "also").agg(F.min("key").alias("key")))
     # or, where that takes more, by the bands of distance from the first pivot
@@ -324,7 +325,12 @@ def _dense(members: DataFrame, sets: DataFrame, per_cent: int, cell: int, keys_o
     plans = main.join(by_parts, "region").select("region", "main", ((F.col("rows") <= F.col("all") * F.ceil(outside / (4 * cell)) + outside * F.ceil(F.col("all") / cell)) & (F.col("largest") <= F.col("all") / 2)).alias("parts"))
     plans = checkpoint(plans)
     by = held.join(open_.join(plans.filter("parts"), "region", "left_semi").select("region", "key"), ["region", "key"], "left_semi").select(F.xxhash64("region", "key").alias("region"), "cls")
-    links = links.unionByName(region_links(checkpoint(by), sets, per_cent, keys_of, cell))
+    by = checkpoint(by)
+    # a set goes to as many regions as have one of its parts; in so many turns that none of them moves much more than every set twice
+    turns = max(1, -(-by.count() // (2 * placed.count())))
+    for turn in range(turns):
+        some = by.filter(F.pmod(F.xxhash64("region", F.lit("turn")), F.lit(turns)) == turn)
+        links = links.unionByName(checkpoint(region_links(some, sets, per_cent, keys_of, cell)))
     rest = placed.join(plans.filter("NOT parts").select("region", "main"), "region")
     return links if rest.isEmpty() else links.unionByName(_banded(rest, sets, per_cent, cell))
 
