@@ -59,46 +59,50 @@ def finest_tiles(targets: DataFrame, key: str = "observer_id") -> DataFrame:
 def balanced_cover(targets: DataFrame, key: str = "observer_id") -> DataFrame:
     """(key, z, x, y, role): the least complete quadtree cover that has the finest tiles, with touching tiles at most one zoom apart.
 
-    A fold over the zooms of each row, from the finest up, inside one expression: no shuffle and no job for each level. At a zoom the tiles
-    asked for are completed to families of four; each family member asks the zoom above for the tiles around the place it faces.
+    From the finest zoom up, the tiles asked for are completed to families of four, and each member of a family asks the zoom above for the tiles around the place it faces. What
+    is asked of a zoom is then a rectangle on the ring: the block's parents, and from there on the parents with one more row and column on each side. So a row's fold
+    carries four numbers, and the leaves of a zoom are its families' rectangle without that of the tiles opened for the zoom below.
     """
     z0 = F.col("zoom").cast("int")
-    asked = block_tiles(F.col("block_x"), F.col("block_y"), F.col("block_width"), F.col("block_height"), z0)
-    shift = lambda name, v, k: F.call_function(name, v, F.lit(k))
-    # a tile is one number inside the fold, which sets of numbers are looked up by hash for
-    code = lambda x, y: shift("shiftleft", x, 31) + y
-    column, row = lambda t: shift("shiftright", t, 31), lambda t: t.bitwiseAND(F.lit((1 << 31) - 1))
-    half = lambda v: shift("shiftright", v, 1)
-    faced = lambda v: half(v) + F.when(v % 2 == 0, -1).otherwise(1)
-    leaf = "array<struct<z:int,t:bigint>>"
+    half = lambda v: F.call_function("shiftright", v, F.lit(1))
+    kind = "struct<x:bigint,wide:bigint,y:bigint,tall:bigint>"
+    rectangle = lambda x, wide, y, tall: F.struct(x.cast("long").alias("x"), wide.cast("long").alias("wide"), y.cast("long").alias("y"), tall.cast("long").alias("tall"))
+
+    def clipped(x: Column, wide: Column, y: Column, below: Column, w: Column) -> Column:
+        """On a zoom of w columns: at most the whole ring, and the rows up to ``below`` that are on the map."""
+        top = F.greatest(y, F.lit(0).cast("long"))
+        return rectangle(x, F.least(wide, w), top, F.greatest(F.lit(0).cast("long"), F.least(below, w) - top))
+
+    def parents(asked: Column, z: Column) -> Column:
+        x, y, tall = half(asked["x"]), half(asked["y"]), asked["tall"]
+        return rectangle(x, F.least(half(asked["x"] + asked["wide"] - 1) - x + 1, geo.width(z - 1)), y, F.when(tall > 0, half(asked["y"] + tall - 1) - y + 1).otherwise(0))
 
     def level(state: Column, z: Column) -> Column:
-        w = geo.width(z - 1)
-
-        def around(t: Column) -> Column:
-            x, y = column(t), row(t)
-            beside = F.pmod(faced(x), w)
-            straight, across = F.array(code(half(x), half(y)), code(beside, half(y))), F.array(code(half(x), faced(y)), code(beside, faced(y)))
-            return F.when((faced(y) >= 0) & (faced(y) < w), F.concat(straight, across)).otherwise(straight)
-
-        def opened(parents: Column) -> Column:
-            family = F.flatten(F.transform(parents, lambda p: F.array(*[code(column(p) * 2 + i, row(p) * 2 + j) for j in (0, 1) for i in (0, 1)])))
-            return geo.let(family, lambda own: F.struct(
-                F.array_distinct(F.flatten(F.transform(own, around))).alias("asked"),
-                parents.alias("opened"),
-                F.concat(state["leaves"], F.transform(F.array_except(own, state["opened"]), lambda t: F.struct(z.alias("z"), t.alias("t"))).cast(leaf)).alias("leaves"),
-            ))
-
-        return geo.let(F.array_distinct(F.transform(state["asked"], lambda t: code(half(column(t)), half(row(t))))), opened)
-
-    start = F.struct(F.transform(asked, lambda t: code(t["x"], t["y"])).alias("asked"), F.array().cast("array<bigint>").alias("opened"), F.array().cast(leaf).alias("leaves"))
-    zooms = F.when(z0 > 0, F.sequence(z0, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    folded = F.aggregate(zooms, start, level, lambda s: s["leaves"])
-    root = F.array(F.struct(F.lit(0).alias("z"), F.lit(0).cast("long").alias("t"))).cast(leaf)
-    covered = targets.select(key, z0.alias("__zoom"), asked.alias("__finest"), F.when(z0 > 0, folded).otherwise(root).alias("__leaves"))
-    out = covered.select(key, "__zoom", "__finest", F.explode("__leaves").alias("l")).select(key, "__zoom", "__finest", F.col("l.z").alias("z"), column(F.col("l.t")).alias("x"), row(F.col("l.t")).alias("y"))
-    finest = (F.col("z") == F.col("__zoom")) & F.array_contains("__finest", F.struct("x", "y"))
-    return out.select(key, "z", "x", "y", F.when(finest, "finest").otherwise("outer").alias("role"))
+        up = lambda p: F.struct(
+            F.when(p["tall"] > 0, clipped(p["x"] - 1, p["wide"] + 2, p["y"] - 1, p["y"] + p["tall"] + 1, geo.width(z - 1))).otherwise(p).alias("asked"),
+            p.alias("opened"),
+            F.concat(state["levels"], F.array(F.struct(z.alias("z"), p.alias("own"), state["opened"].alias("opened")))).alias("levels"),
+        )
+        return geo.let(parents(state["asked"], z), up)
+
+    block = clipped(F.col("__x"), F.col("__wide"), F.col("__y"), F.col("__y") + F.col("__tall"), geo.width("__zoom"))
+    nothing = rectangle(*[F.lit(0)] * 4)
+    start = F.struct(block.alias("asked"), nothing.alias("opened"), F.array().cast(f"array<struct<z:int,own:{kind},opened:{kind}>>").alias("levels"))
+    # the root alone, as the family of one that a world without zooms has
+    root = F.array(F.struct(F.lit(0).alias("z"), rectangle(F.lit(0), F.lit(1), F.lit(0), F.lit(1)).alias("own"), nothing.alias("opened")))
+    folded = F.aggregate(F.sequence(F.col("__zoom"), F.lit(1), F.lit(-1)), start, level, lambda s: s["levels"])
+    given = targets.select(key, z0.alias("__zoom"), *[F.col(f"block_{c}").cast("long").alias(n) for c, n in (("x", "__x"), ("width", "__wide"), ("y", "__y"), ("height", "__tall"))])
+    there = functools.reduce(Column.__and__, [F.col(c).isNotNull() for c in given.columns[2:]])
+    levels = given.withColumn("l", F.explode(F.when(F.col("__zoom") > 0, F.when(there, folded)).otherwise(root))).select(key, *given.columns[1:], "l.*")
+    split = F.when(F.col("__zoom") > 0, 2).otherwise(1)
+    span = lambda first, many: F.when(many > 0, F.sequence(first * split, (first + many) * split - 1)).otherwise(F.array().cast("array<bigint>"))
+    rows = levels.withColumn("y", F.explode(span(F.col("own.y"), F.col("own.tall"))))
+    out = rows.withColumn("c", F.explode(span(F.col("own.x"), F.col("own.wide")))).withColumn("x", F.pmod("c", geo.width("z")))
+    within = lambda x, wide, y, tall: (F.pmod(F.col("x") - x, geo.width("z")) < wide) & (F.col("y") >= y) & (F.col("y") < y + tall)
+    opened = F.col("opened")
+    leaves = out.filter(~within(opened["x"], opened["wide"], opened["y"], opened["tall"]))
+    finest = (F.col("z") == F.col("__zoom")) & within(F.col("__x"), F.col("__wide"), F.col("__y"), F.col("__tall"))
+    return leaves.select(key, "z", "x", "y", F.when(finest, "finest").otherwise("outer").alias("role"))
 
 
 def replacement_groups(old: DataFrame, new: DataFrame, key: str = "cut_id") -> DataFrame:
