@@ -140,37 +140,48 @@ def with_covering_tile(points: DataFrame, cut: DataFrame, max_zoom: int, keys: l
 
 
 def touching_tiles(a: DataFrame, b: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Pairs (keys, z, x, y, other_z, other_x, other_y) that share an edge or a corner; x wraps, y doesn't.
+    """Pairs (keys, z, x, y, other_z, other_x, other_y) that share an edge or a corner; x wraps, y doesn't. Of tiles that hold each other all pairs touch but those of a tile with itself.
 
-    No pair is tried blindly: each tile emits the tiles that hold it or one of its up to 8 neighbours, at its own zoom and above, and meets the other side's tiles on
-    equality. So a coarse tile meets the finer ones around it; with the sides swapped, a fine one the coarser ones. Above its own zoom a tile and its ring lie
-    in four tiles at most, and far up in one, so these are listed without repeats where they are made: about twenty rows a tile, and nothing to be made distinct.
+    No pair is tried blindly: tiles of one zoom travel as blocks of 8 x 8, a bit for each tile. A block emits the blocks that hold its tiles or their ring, at its own zoom and above, and
+    meets the other side's blocks on equality; which tiles of two blocks touch is told from their bits. So a coarse tile meets the finer ones around it; with the sides swapped, and
+    one zoom apart at least, a fine one the coarser ones: no pair is made twice, and nothing has to be made distinct. The joins are merges, as bits shrink too much in a shuffle to tell what they take in the driver.
     """
     keys = keys or []
-
-    def around(x: Column, y: Column, z: Column) -> Column:
-        """The tiles at each zoom up from z that hold the tile or one of its ring."""
-        w = geo.width(z)
-        rows = F.filter(F.array(y - 1, y, y + 1), lambda r: (r >= 0) & (r < w))
-        at = lambda up: F.transform(
-            F.array_distinct(F.transform(F.array(F.pmod(x - 1, w), x, F.pmod(x + 1, w)), lambda c: geo.ancestor(c, up))),
-            lambda ax: F.transform(F.array_distinct(F.transform(rows, lambda r: geo.ancestor(r, up))), lambda ay: F.struct((z - up).alias("z"), ax.alias("x"), ay.alias("y"))),
-        )
-        return F.flatten(F.flatten(F.transform(F.sequence(F.lit(0), z), at)))
-
-    def meet(fine: DataFrame, coarse: DataFrame) -> DataFrame:
-        tile = [F.col("z").cast("int").alias("z"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")]
-        near = fine.select(*keys, *tile).distinct()
-        over = near.select(*keys, F.struct(*TILE).alias("own"), F.explode(around(F.col("x"), F.col("y"), F.col("z"))).alias("t")).select(*keys, "own", "t.*")
-        return over.join(coarse.select(*keys, *tile).distinct(), [*keys, *TILE])
-
-    other = [f"other_{c}" for c in TILE]
-    down = meet(a, b).select(*keys, *[F.col(f"own.{c}").alias(c) for c in TILE], *[F.col(c).alias(f"other_{c}") for c in TILE])
-    up = meet(b, a).select(*keys, *[F.col(c).alias(c) for c in TILE], *[F.col(f"own.{c}").alias(f"other_{c}") for c in TILE])
-    nested = lambda p, q: (F.col(f"{q}z") >= F.col(f"{p}z")) & (geo.ancestor(f"{q}x", F.greatest(F.lit(0), F.col(f"{q}z") - F.col(f"{p}z"))) == F.col(f"{p}x")) & (geo.ancestor(f"{q}y", F.greatest(F.lit(0), F.col(f"{q}z") - F.col(f"{p}z"))) == F.col(f"{p}y"))
-    pairs = down.unionByName(up).distinct()
-    # tiles of which one holds the other touch only if they aren't the same tile
-    return pairs.filter(~((F.col("z") == F.col("other_z")) & nested("", "other_"))).select(*keys, *TILE, *other)
+    at = lambda v, up: geo.ancestor(v, up)
+    place = lambda x, y: (y.bitwiseAND(F.lit(7)) * 8 + x.bitwiseAND(F.lit(7))).cast("int")
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+
+    def blocks(tiles: DataFrame) -> DataFrame:
+        tile = [F.col("z").cast("int").alias("__z"), F.col("x").cast("long").alias("__x"), F.col("y").cast("long").alias("__y")]
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place(F.col("__x"), F.col("__y")))
+        return tiles.select(*keys, *tile).groupBy(*keys, "__z", at("__x", F.lit(3)).alias("__bx"), at("__y", F.lit(3)).alias("__by")).agg(F.bit_or(bit).alias("__bits"))
+
+    def ring(df: DataFrame, x: Column, y: Column, side: int, w: Column, up: Column) -> DataFrame:
+        """A row for each place (__cx, __cy), ``up`` zooms above, of the square of ``side`` tiles from (x, y) and of the tiles around it: each once."""
+        west, east, north, south = F.pmod(x - 1, w), F.pmod(x + side, w), y - 1, y + side
+        i, j = F.col("__d.i"), F.col("__d.j")
+        column = (i == 0) | ((i < 0) & (at(west, up) != at(x, up))) | ((i > 0) & (at(east, up) != at(x, up)) & (at(east, up) != at(west, up)))
+        row = (j == 0) | ((j < 0) & (north >= 0) & (at(north, up) != at(y, up))) | ((j > 0) & (south < w) & (at(south, up) != at(y, up)))
+        cx, cy = F.when(i < 0, west).when(i > 0, east).otherwise(x), F.when(j < 0, north).when(j > 0, south).otherwise(y)
+        return df.withColumn("__d", steps).filter(column & row).withColumns({"__cx": at(cx, up), "__cy": at(cy, up)}).drop("__d")
+
+    def meet(fine: DataFrame, coarse: DataFrame, apart: int) -> DataFrame:
+        """(keys, __fz, __x, __y) with (__z, __cx, __cy), ``apart`` zooms above at least."""
+        own = blocks(fine).withColumnsRenamed({"__z": "__fz", "__bx": "__fx", "__by": "__fy", "__bits": "__own"})
+        above = own.filter(F.col("__fz") >= apart).withColumn("__up", F.explode(F.sequence(F.lit(apart), F.col("__fz"))))
+        asked = ring(above, F.col("__fx") * 8, F.col("__fy") * 8, 8, geo.width("__fz"), F.col("__up") + 3)
+        asked = asked.select(*keys, "__fz", "__fx", "__fy", "__own", (F.col("__fz") - F.col("__up")).alias("__z"), F.col("__cx").alias("__bx"), F.col("__cy").alias("__by"))
+        met = asked.join(blocks(coarse).hint("merge"), [*keys, "__z", "__bx", "__by"]).withColumn("__n", F.explode(F.sequence(F.lit(0), F.lit(63)))).filter(F.getbit("__own", F.col("__n")) == 1)
+        tiles = met.withColumns({"__x": F.col("__fx") * 8 + F.col("__n") % 8, "__y": F.col("__fy") * 8 + F.floor(F.col("__n") / 8)})
+        near = ring(tiles, F.col("__x"), F.col("__y"), 1, geo.width("__fz"), F.col("__fz") - F.col("__z"))
+        inside = (at("__cx", F.lit(3)) == F.col("__bx")) & (at("__cy", F.lit(3)) == F.col("__by"))
+        return near.filter(inside & (F.getbit("__bits", place(F.col("__cx"), F.col("__cy"))) == 1))
+
+    named = lambda names, cols: [F.col(c).alias(n) for n, c in zip(names, cols, strict=True)]
+    own, other, low, high = TILE, [f"other_{c}" for c in TILE], ["__fz", "__x", "__y"], ["__z", "__cx", "__cy"]
+    same = (F.col("__fz") == F.col("__z")) & (F.col("__x") == F.col("__cx")) & (F.col("__y") == F.col("__cy"))
+    down = meet(a, b, 0).filter(~same).select(*keys, *named(own, low), *named(other, high))
+    return down.unionByName(meet(b, a, 1).select(*keys, *named(own, high), *named(other, low)))
 
 
 def validate_cut(cut: DataFrame, keys: list[str] | None = None) -> DataFrame:
