@@ -106,15 +106,18 @@ def balanced_cover(targets: DataFrame, key: str = "observer_id") -> DataFrame:
 
 
 def replacement_groups(old: DataFrame, new: DataFrame, key: str = "cut_id") -> DataFrame:
-    """(key, group_z, group_x, group_y, side, z, x, y): the least regions in which one cut has a leaf where the other is finer."""
+    """(key, group_z, group_x, group_y, side, z, x, y): the least regions in which one cut has a leaf where the other is finer.
+
+    Its joins are merges: tiles shrink so much in a shuffle that Spark would take tables of hundreds of megabytes for small enough to go through the driver.
+    """
     on = [key, *TILE]
     a, b = old.select(*on).distinct(), new.select(*on).distinct()
-    gone, come = a.join(b, on, "left_anti"), b.join(a, on, "left_anti")
+    gone, come = a.join(b.hint("merge"), on, "left_anti"), b.join(a.hint("merge"), on, "left_anti")
 
     def under(fine: DataFrame, coarse: DataFrame) -> DataFrame:
         at = with_ancestors(fine)
         holds = coarse.select(key, F.col("z").alias("az"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-        return at.join(holds, [key, "az", "ax", "ay"]).select(key, F.col("az").alias("group_z"), F.col("ax").alias("group_x"), F.col("ay").alias("group_y"), *TILE)
+        return at.join(holds.hint("merge"), [key, "az", "ax", "ay"]).select(key, F.col("az").alias("group_z"), F.col("ax").alias("group_x"), F.col("ay").alias("group_y"), *TILE)
 
     split, merged = under(come, gone).withColumn("side", F.lit("after")), under(gone, come).withColumn("side", F.lit("before"))
     group = ["group_z", "group_x", "group_y"]
@@ -133,7 +136,7 @@ def group_dependencies(members: DataFrame, key: str = "cut_id") -> DataFrame:
     steep = touching_tiles(after, before, [key]).filter(F.abs(F.col("z") - F.col("other_z")) > 1)
     a = after.select(key, *TILE, _group("a")).distinct()
     b = before.select(key, *[F.col(c).alias(f"other_{c}") for c in TILE], _group("b")).distinct()
-    return steep.join(a, [key, *TILE]).join(b, [key, "other_z", "other_x", "other_y"]).filter("a <> b").select(key, "a", "b").distinct()
+    return steep.join(a.hint("merge"), [key, *TILE]).join(b.hint("merge"), [key, "other_z", "other_x", "other_y"]).filter("a <> b").select(key, "a", "b").distinct()
 
 
 #: Tables of longer walks are made as long as they have at most so many times the rows of the edges.
@@ -151,7 +154,7 @@ def _walks(edges: DataFrame, key: str) -> list[DataFrame]:
     limit = WALK_ROWS * before
     while steps < nodes and grown < 2:
         last = walks[-1]
-        longer = checkpoint(last.join(last.select(key, F.col("a").alias("b"), F.col("b").alias("__to")), [key, "b"]).select(key, "a", F.col("__to").alias("b")).distinct())
+        longer = checkpoint(last.join(last.select(key, F.col("a").alias("b"), F.col("b").alias("__to")).hint("merge"), [key, "b"]).select(key, "a", F.col("__to").alias("b")).distinct())
         rows, steps = longer.count(), 2 * steps
         walks.append(longer)
         grown, before = grown + (rows >= before), rows
@@ -169,7 +172,7 @@ def _reached(start: DataFrame, walks: list[DataFrame], key: str, node: str) -> D
     found, k = checkpoint(start), 0
     while True:
         steps = walks[min(k, len(walks) - 1)].select(key, F.col("a").alias(node), F.col("b").alias("__to"))
-        more = found.join(steps, [key, node]).select(key, F.col("__to").alias(node)).distinct().join(found, [key, node], "left_anti")
+        more = found.join(steps.hint("merge"), [key, node]).select(key, F.col("__to").alias(node)).distinct().join(found.hint("merge"), [key, node], "left_anti")
         fresh = checkpoint(more)
         if k >= len(walks) - 1 and fresh.isEmpty():
             return found
@@ -181,9 +184,9 @@ def _least_from(nodes: DataFrame, walks: list[DataFrame], key: str, source: str,
     labels, k = nodes.select(key, "node", F.col("node").alias("label")), 0
     while True:
         steps = walks[min(k, len(walks) - 1)].select(key, F.col(source).alias("node"), F.col(to).alias("__to"))
-        led = labels.join(steps, [key, "node"]).groupBy(key, F.col("__to").alias("node")).agg(F.min("label").alias("__led"))
+        led = labels.join(steps.hint("merge"), [key, "node"]).groupBy(key, F.col("__to").alias("node")).agg(F.min("label").alias("__led"))
         lower = F.coalesce(F.col("__led") < F.col("label"), F.lit(False))
-        new = checkpoint(labels.join(led, [key, "node"], "left").select(key, "node", F.when(lower, F.col("__led")).otherwise(F.col("label")).alias("label"), lower.alias("__moved")))
+        new = checkpoint(labels.join(led.hint("merge"), [key, "node"], "left").select(key, "node", F.when(lower, F.col("__led")).otherwise(F.col("label")).alias("label"), lower.alias("__moved")))
         labels, k = new.select(key, "node", "label"), k + 1
         if new.filter("__moved").isEmpty():
             return labels
@@ -202,24 +205,24 @@ def atomic_batches(members: DataFrame, edges: DataFrame, key: str = "cut_id") ->
     walks, circles = functools.reduce(DataFrame.unionByName, [w.withColumn("__k", F.lit(k)) for k, w in enumerate(tables)]), []
     while not rest.isEmpty():
         a, b = (rest.select(key, F.col("node").alias(c), F.col("__of").alias(f"__{c}")) for c in "ab")
-        walks = checkpoint(walks.join(a, [key, "a"]).join(b, [key, "b"]).filter("__a = __b").select(key, "a", "b", "__k"))
+        walks = checkpoint(walks.join(a.hint("merge"), [key, "a"]).join(b.hint("merge"), [key, "b"]).filter("__a = __b").select(key, "a", "b", "__k"))
         parts = [walks.filter(F.col("__k") == k) for k in range(len(tables))]
         held = parts[0].select(key, F.explode(F.array("a", "b")).alias("node")).distinct()
         down, up = _least_from(held, parts, key, "a", "b"), _least_from(held, parts, key, "b", "a")
-        ends = checkpoint(down.join(up.select(key, "node", F.col("label").alias("up")), [key, "node"]))
+        ends = checkpoint(down.join(up.select(key, "node", F.col("label").alias("up")).hint("merge"), [key, "node"]))
         circles.append(ends.filter("label = up").select(key, "node", F.col("label").alias("batch")))
         rest = ends.filter("label <> up").select(key, "node", F.struct("label", "up").alias("__of"))
     if not circles:
         return nodes.withColumn("batch", F.col("node"))
     found = functools.reduce(DataFrame.unionByName, circles)
-    return nodes.join(found, [key, "node"], "left").select(key, "node", F.coalesce("batch", "node").alias("batch"))
+    return nodes.join(found.hint("merge"), [key, "node"], "left").select(key, "node", F.coalesce("batch", "node").alias("batch"))
 
 
 def batch_dependencies(batches: DataFrame, edges: DataFrame, key: str = "cut_id") -> DataFrame:
     """(key, batch, depends_on)."""
     a = batches.select(key, F.col("node").alias("a"), "batch")
     b = batches.select(key, F.col("node").alias("b"), F.col("batch").alias("depends_on"))
-    return edges.join(a, [key, "a"]).join(b, [key, "b"]).filter("batch <> depends_on").select(key, "batch", "depends_on").distinct()
+    return edges.join(a.hint("merge"), [key, "a"]).join(b.hint("merge"), [key, "b"]).filter("batch <> depends_on").select(key, "batch", "depends_on").distinct()
 
 
 def dependency_closure(seeds: DataFrame, dependencies: DataFrame, key: str = "cut_id") -> DataFrame:
@@ -233,15 +236,15 @@ def ready_batches(batches: DataFrame, dependencies: DataFrame, members: DataFram
     after = members.filter("side = 'after'").select(key, _group("node"), *TILE)
     state = requirements.select(key, *TILE, "state")
     done = F.coalesce(F.col("state").isin("ready", "missing"), F.lit(False))
-    all_done = after.join(state, [key, *TILE], "left").join(batches, [key, "node"]).groupBy(key, "batch").agg(F.bool_and(done).alias("done")).filter("done")
-    return all_done.join(dependencies.select(key, "batch").distinct(), [key, "batch"], "left_anti").select(key, "batch")
+    all_done = after.join(state.hint("merge"), [key, *TILE], "left").join(batches.hint("merge"), [key, "node"]).groupBy(key, "batch").agg(F.bool_and(done).alias("done")).filter("done")
+    return all_done.join(dependencies.select(key, "batch").distinct().hint("merge"), [key, "batch"], "left_anti").select(key, "batch")
 
 
 def change_summary(old: DataFrame, new: DataFrame, members: DataFrame, batches: DataFrame, requirements: DataFrame, key: str = "cut_id") -> DataFrame:
     """One row for each plan: tiles committed, requested and retained, groups, batches, requirements by state, blocking, complete."""
     on = [key, *TILE]
     count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    parts = [count(old.select(*on).distinct(), "committed"), count(new.select(*on).distinct(), "requested"), count(old.select(*on).distinct().join(new.select(*on).distinct(), on, "left_semi"), "retained"), count(members.select(key, _group("g")).distinct(), "groups"), batches.groupBy(key).agg(F.count_distinct("batch").alias("batches"))]
+    parts = [count(old.select(*on).distinct(), "committed"), count(new.select(*on).distinct(), "requested"), count(old.select(*on).distinct().join(new.select(*on).distinct().hint("merge"), on, "left_semi"), "retained"), count(members.select(key, _group("g")).distinct(), "groups"), batches.groupBy(key).agg(F.count_distinct("batch").alias("batches"))]
     states = requirements.groupBy(key).agg(*[F.count_if(F.col("state") == s).alias(s.replace("-", "_")) for s in ("requested", "in-flight", "ready", "failed")]).withColumnsRenamed({"requested": "state_requested", "in_flight": "state_in_flight", "ready": "state_ready", "failed": "state_failed"})
     out = parts[0]
     for p in [*parts[1:], states]:
