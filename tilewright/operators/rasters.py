@@ -44,7 +44,7 @@ def raster_pyramid(tiles: DataFrame) -> DataFrame:
     schema = "z int, x long, y long, level int, width int, height int, elevation array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for r in batch.to_pylist():
                 now, level = np.array(r["elevation"], float).reshape(r["height"], r["width"]), 0
@@ -64,6 +64,16 @@ def raster_pyramid(tiles: DataFrame) -> DataFrame:
     return tiles.select("z", "x", "y", "width", "height", "elevation").mapInArrow(run, schema)
 
 
+#: Rows of a batch that are taken as Python objects at a time, which need many times the memory of Arrow's.
+AT_A_TIME = 64
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, AT_A_TIME):
+            yield batch.slice(first, AT_A_TIME)
+
+
 #: Pixels of a raster travel to points in squares of this side, each with the next row and column along.
 SQUARE = 8
 
@@ -158,7 +168,7 @@ def raster_neighbours(tiles: DataFrame, border: int) -> DataFrame:
     parts = held.groupBy("z", "x", "y").agg(F.max(F.when((F.col("d.i") == 0) & (F.col("d.j") == 0), F.struct("width", "height"))).alias("size"), F.collect_list(F.struct(F.col("d.i").alias("i"), F.col("d.j").alias("j"), "width", "height", "elevation")).alias("around"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for r in batch.to_pylist():
                 near = {(p["i"], p["j"]): np.array(p["elevation"], float).reshape(p["height"], p["width"]) for p in r["around"]}
