@@ -65,7 +65,11 @@ def expand_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.merge_catalogues(_expanded(spark, sf_dir).groupBy("group", "id", "pos").agg(F.max("value").alias("value"), F.min("fetched_at").alias("fetched_at")))
+    once = lambda df: df.groupBy("group", "id", "pos").agg(F.max("value").alias("value"), F.min("fetched_at").alias("fetched_at"))
+    rows = _expanded(spark, sf_dir)
+    # dealt by what they are merged by, rows with an id move once; those without stay dealt by place
+    named, nameless = rows.filter("id IS NOT NULL").repartition("group", "id"), rows.filter("id IS NULL")
+    return K.merge_named(once(named)).unionByName(once(nameless).select("group", "id", "pos", "value", "fetched_at"))
 
 
 def priority_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

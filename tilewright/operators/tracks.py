@@ -94,10 +94,14 @@ def priority_dedup(positions: DataFrame, priority: list[str], enabled: list[str]
     return positions.filter(F.col("group").isin(*enabled) & F.col("ok")).withColumn("__turn", F.row_number().over(w)).filter("__turn = 1").drop("__turn")
 
 
+def merge_named(expanded: DataFrame) -> DataFrame:
+    """merge_catalogues of rows that all have an id."""
+    return expanded.groupBy("group", "id").agg(F.min("pos").alias("pos"), F.max_by("value", "pos").alias("value"), F.min("fetched_at").alias("fetched_at"))
+
+
 def merge_catalogues(expanded: DataFrame) -> DataFrame:
     """One row for each (group, id): the last value, the first place, the least fetch time; rows without an id all stay."""
-    named = expanded.filter("id IS NOT NULL").groupBy("group", "id").agg(F.min("pos").alias("pos"), F.max_by("value", "pos").alias("value"), F.min("fetched_at").alias("fetched_at"))
-    return named.unionByName(expanded.filter("id IS NULL").select("group", "id", "pos", "value", "fetched_at"))
+    return merge_named(expanded.filter("id IS NOT NULL")).unionByName(expanded.filter("id IS NULL").select("group", "id", "pos", "value", "fetched_at"))
 
 
 def expand_groups(groups: DataFrame, catalogues: DataFrame) -> DataFrame:
@@ -165,11 +169,13 @@ NUMBERS = ("MEAN_MOTION", "ECCENTRICITY", "INCLINATION", "RA_OF_ASC_NODE", "ARG_
 
 def valid_orbital_elements(records: DataFrame, record: str = "record") -> tuple[DataFrame, DataFrame]:
     """(valid, rejects) of records as JSON text: all fields must be there with their kind; numbers are finite."""
-    fields = records.withColumn("__f", F.from_json(record, ", ".join(f"{name} variant" for name in (*TEXTS, *NUMBERS))))
-    seen = lambda names: F.array(*[F.struct(F.schema_of_variant(F.col(f"__f.{n}")).alias("kind"), F.try_variant_get(F.col(f"__f.{n}"), "$", "string").alias("text")) for n in names])
+    fields = ", ".join(f"{name} variant" for name in (*TEXTS, *NUMBERS))
+    seen = lambda f, names: F.array(*[F.struct(F.schema_of_variant(f[n]).alias("kind"), F.try_variant_get(f[n], "$", "string").alias("text")) for n in names])
     plain = lambda t: F.trim(t).rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$") & geo.finite(t.try_cast("double"))
     number = lambda v: F.coalesce(v["kind"].rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL|STRING)") & plain(v["text"]), F.lit(False))
-    told = fields.withColumn("__good", F.coalesce(F.forall(seen(TEXTS), lambda v: F.coalesce(v["kind"] == "STRING", F.lit(False))) & F.forall(seen(NUMBERS), number), F.lit(False))).drop("__f")
+    good = lambda f: F.forall(seen(f, TEXTS), lambda v: F.coalesce(v["kind"] == "STRING", F.lit(False))) & F.forall(seen(f, NUMBERS), number)
+    # a column of its own would be put in for each of its uses, and the record read as often, where the filter is pushed below it
+    told = records.withColumn("__good", F.coalesce(geo.let(F.from_json(record, fields), good), F.lit(False)))
     return told.filter("__good").drop("__good"), told.filter("NOT __good").drop("__good")
 
 
