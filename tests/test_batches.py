@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tilewright.plans import cover
@@ -64,3 +65,22 @@ def test_tables_of_walks_stay_small(spark):
     assert all(w.count() <= cover.WALK_ROWS * len(dense) for w in walks[:-1])
     got = {x["node"]: x["batch"] for x in cover.atomic_batches(members, edges).collect()}
     assert got == circles(names, dense)[0] and len(set(got.values())) == 40
+
+
+@pytest.mark.parametrize("most", [1 << 16, 20, 0])
+def test_small_plans_take_no_rounds_and_large_ones_agree(spark, monkeypatch, most):
+    monkeypatch.setattr(cover, "PLAN_EDGES", most)
+    rounds, written = [], cover.checkpoint
+    monkeypatch.setattr(cover, "checkpoint", lambda df: rounds.append(1) or written(df))
+    plans = {}
+    for c in range(6):
+        r = random.Random(c)
+        nodes = [f"{i % 3}/{i}/0" for i in range(14)]
+        plans[c] = nodes, {(a, b) for a, b in ((r.choice(nodes), r.choice(nodes)) for _ in range(6 + 5 * c)) if a != b}
+    members, edges = frames(spark, plans)
+    got = {(x["cut_id"], x["node"]): x["batch"] for x in cover.atomic_batches(members, edges).collect()}
+    assert got == {(c, n): b for c, (nodes, e) in plans.items() for n, b in circles(nodes, e)[0].items()}
+    seeds = [(c, nodes[0]) for c, (nodes, _) in plans.items()] + [(99, "0/0/0")]
+    closed = cover.dependency_closure(spark.createDataFrame(seeds, "cut_id long, batch string"), edges.select("cut_id", F.col("a").alias("batch"), F.col("b").alias("depends_on"))).collect()
+    assert sorted(map(tuple, closed)) == sorted({(c, m) for c, n in seeds for m in {n} | (circles(*plans[c])[1][n] if c in plans else set())})
+    assert len(rounds) <= 3 or most < 1 << 16

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -15,4 +16,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if shared is None and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    sc._jvm.System.gc()  # the driver gives back what the plan took, and Spark's cleaner drops the shuffle files of lineages that were cut before
+    return out

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import math
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tilewright.functions import geo
 from tilewright.functions.shared import checkpoint
@@ -192,14 +196,118 @@ def _least_from(nodes: DataFrame, walks: list[DataFrame], key: str, source: str,
             return labels
 
 
+#: A plan of at most so many edges is walked through in one task, so that the driver has no rounds to plan for it; larger ones go round by round.
+PLAN_EDGES = 1 << 16
+
+
+def _by_size(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """The edges of plans of up to PLAN_EDGES, and the keys of the larger ones, if there are any."""
+    large = checkpoint(edges.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > PLAN_EDGES).select(key))
+    return (edges, None) if large.isEmpty() else (edges.join(large.hint("merge"), key, "left_anti"), large)
+
+
+def _in_tasks(rows: DataFrame, key: str, names: list[str], solve: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
+    """(key, names): what solve makes of the (a, b) of each key. One key's rows are held at a time."""
+    schema = StructType([rows.schema[key], *[StructField(n, StringType()) for n in names]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, held = pa.null(), []
+
+        def packed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), [kind] + [pa.string()] * len(names), strict=True)], [key, *names])
+
+        def each() -> Iterator[tuple]:
+            nonlocal kind
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                yield from zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)
+
+        for k, group in itertools.groupby(each(), lambda r: r[0]):
+            held += [(k, *r) for r in solve([r[1:] for r in group])]
+            if len(held) > 10_000:
+                yield packed()
+                held.clear()
+        if held:
+            yield packed()
+
+    return rows.select(key, "a", "b").repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _circles(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """(node, least node of its circle) of all nodes in circles: Tarjan's strongly connected components, without recursion."""
+    onward: dict[str, list[str]] = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            onward.setdefault(a, []).append(b)
+    number, low, path, on_path, out = {}, {}, [], set(), []
+    for root in onward:
+        if root in number:
+            continue
+        work = [(root, iter(onward[root]))]
+        number[root] = low[root] = len(number)
+        path.append(root)
+        on_path.add(root)
+        while work:
+            node, rest = work[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    path.append(to)
+                    on_path.add(to)
+                    work.append((to, iter(onward.get(to, ()))))
+                    break
+                if to in on_path:
+                    low[node] = min(low[node], number[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == number[node]:
+                    circle = [path.pop()]
+                    while circle[-1] != node:
+                        circle.append(path.pop())
+                    on_path.difference_update(circle)
+                    if len(circle) > 1:
+                        least = min(circle)
+                        out += [(n, least) for n in circle]
+    return out
+
+
+def _followed(rows: list[tuple[str, str | None]]) -> list[tuple[str]]:
+    """All that edges (a, b) lead to from the rows (a, null), and those."""
+    onward: dict[str, list[str]] = {}
+    for a, b in rows:
+        if b is not None:
+            onward.setdefault(a, []).append(b)
+    todo = list({a for a, b in rows if b is None})
+    seen = set(todo)
+    while todo:
+        fresh = {b for b in onward.get(todo.pop(), ()) if b not in seen}
+        seen |= fresh
+        todo += fresh
+    return [(n,) for n in seen]
+
+
 def atomic_batches(members: DataFrame, edges: DataFrame, key: str = "cut_id") -> DataFrame:
     """(key, node, batch): groups that depend on each other in a circle share a batch, named by its least group.
 
+    A plan of up to PLAN_EDGES edges is settled in one task, larger ones by tables of walks.
+    """
+    nodes = members.select(key, _group("node")).distinct()
+    small, large = _by_size(edges, key)
+    found = _in_tasks(small, key, ["node", "batch"], _circles)
+    if large is not None:
+        found = found.unionByName(_circles_by_walks(edges.join(large.hint("merge"), key, "left_semi"), key))
+    return nodes.join(found.hint("merge"), [key, "node"], "left").select(key, "node", F.coalesce("batch", "node").alias("batch"))
+
+
+def _circles_by_walks(edges: DataFrame, key: str) -> DataFrame:
+    """(key, node, batch) of all nodes in circles.
+
     Walks of doubling length come first: who has none of the longest ones, in or out, is in no circle. Each other node takes the least node that leads to it and the least one
     that it leads to. Where both are one, the node is in a circle with it. Of the others, only those who have both in common can share one, so edges and walks between them
     stay, and go round again. Rows are nodes and walks.
     """
-    nodes = members.select(key, _group("node")).distinct()
     tables = _walks(edges, key)
     rest = checkpoint(tables[-1].select(key, F.col("a").alias("node")).intersect(tables[-1].select(key, F.col("b").alias("node"))).withColumn("__of", F.lit(0)))
     walks, circles = functools.reduce(DataFrame.unionByName, [w.withColumn("__k", F.lit(k)) for k, w in enumerate(tables)]), []
@@ -212,10 +320,8 @@ def atomic_batches(members: DataFrame, edges: DataFrame, key: str = "cut_id") ->
         ends = checkpoint(down.join(up.select(key, "node", F.col("label").alias("up")).hint("merge"), [key, "node"]))
         circles.append(ends.filter("label = up").select(key, "node", F.col("label").alias("batch")))
         rest = ends.filter("label <> up").select(key, "node", F.struct("label", "up").alias("__of"))
-    if not circles:
-        return nodes.withColumn("batch", F.col("node"))
-    found = functools.reduce(DataFrame.unionByName, circles)
-    return nodes.join(found.hint("merge"), [key, "node"], "left").select(key, "node", F.coalesce("batch", "node").alias("batch"))
+    none = edges.select(key, F.col("a").alias("node"), F.col("b").alias("batch")).limit(0)
+    return functools.reduce(DataFrame.unionByName, circles, none)
 
 
 def batch_dependencies(batches: DataFrame, edges: DataFrame, key: str = "cut_id") -> DataFrame:
@@ -226,9 +332,16 @@ def batch_dependencies(batches: DataFrame, edges: DataFrame, key: str = "cut_id"
 
 
 def dependency_closure(seeds: DataFrame, dependencies: DataFrame, key: str = "cut_id") -> DataFrame:
-    """(key, batch): the seeds and all they depend on."""
-    walks = _walks(dependencies.select(key, F.col("batch").alias("a"), F.col("depends_on").alias("b")), key)
-    return _reached(seeds.select(key, "batch").distinct(), walks, key, "batch")
+    """(key, batch): the seeds and all they depend on. A plan of up to PLAN_EDGES dependencies is followed in one task, larger ones by tables of walks."""
+    edges = checkpoint(dependencies.select(key, F.col("batch").alias("a"), F.col("depends_on").alias("b")).filter(F.col(key).isNotNull() & F.col("b").isNotNull()))
+    start = seeds.select(key, F.col("batch").alias("a"), F.lit(None).cast("string").alias("b"))
+    small, large = _by_size(edges, key)
+    if large is None:
+        return _in_tasks(small.unionByName(start), key, ["batch"], _followed)
+    start = checkpoint(start)
+    near = _in_tasks(small.unionByName(start.join(large.hint("merge"), key, "left_anti")), key, ["batch"], _followed)
+    walks = _walks(edges.join(large.hint("merge"), key, "left_semi"), key)
+    return near.unionByName(_reached(start.join(large.hint("merge"), key, "left_semi").select(key, F.col("a").alias("batch")).distinct(), walks, key, "batch"))
 
 
 def ready_batches(batches: DataFrame, dependencies: DataFrame, members: DataFrame, requirements: DataFrame, key: str = "cut_id") -> DataFrame:
