@@ -84,3 +84,14 @@ def test_small_plans_take_no_rounds_and_large_ones_agree(spark, monkeypatch, mos
     closed = cover.dependency_closure(spark.createDataFrame(seeds, "cut_id long, batch string"), edges.select("cut_id", F.col("a").alias("batch"), F.col("b").alias("depends_on"))).collect()
     assert sorted(map(tuple, closed)) == sorted({(c, m) for c, n in seeds for m in {n} | (circles(*plans[c])[1][n] if c in plans else set())})
     assert len(rounds) <= 3 or most < 1 << 16
+
+
+def test_a_summary_counts_what_only_some_tables_have(spark):
+    cut = lambda rows: spark.createDataFrame(rows, "cut_id long, z int, x long, y long")
+    old, new = cut([(1, 0, 0, 0), (2, 1, 0, 0), (2, 1, 0, 0), (2, 1, 1, 0)]), cut([(2, 1, 1, 0), (2, 1, 1, 1), (3, 0, 0, 0)])
+    members, _ = frames(spark, {2: (["1/0/0", "1/1/1"], [])})
+    batches = spark.createDataFrame([(2, "1/0/0", "1/0/0"), (2, "1/1/1", "1/0/0")], "cut_id long, node string, batch string")
+    needs = cut([(2, 1, 0, 0), (2, 1, 1, 1), (3, 0, 0, 0)]).withColumn("state", F.when(F.col("y") == 1, "in-flight").otherwise("ready"))
+    out = cover.change_summary(old, new, members, batches, needs)
+    assert {tuple(r) for r in out.collect()} == {(1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, False), (2, 2, 2, 1, 2, 1, 0, 1, 1, 0, 1, False), (3, 0, 1, 0, 0, 0, 0, 0, 1, 0, 0, False)}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -166,9 +166,9 @@ def replacement_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.replacement_groups(_written(spark, sf_dir, 2), _written(spark, sf_dir))
 
 
-def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Members, edges and batches of the change, each written once, as all steps behind them read them more than once."""
-    members = checkpoint(replacement_groups(spark, sf_dir))
+def _plan(spark: SparkSession, sf_dir: str, old: DataFrame | None = None, new: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members, edges and batches of the change, each written once, as all steps behind them read them more than once. old, new: the cuts, where they are written already."""
+    members = checkpoint(replacement_groups(spark, sf_dir) if old is None else C.replacement_groups(old, new))
     edges = checkpoint(C.group_dependencies(members))
     return members, edges, checkpoint(C.atomic_batches(members, edges))
 
@@ -198,8 +198,9 @@ def ready_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, _, batches = _plan(spark, sf_dir)
-    return C.change_summary(_written(spark, sf_dir, 2), _written(spark, sf_dir), members, batches, _requirements(members))
+    old, new = _written(spark, sf_dir, 2), _written(spark, sf_dir)
+    members, _, batches = _plan(spark, sf_dir, old, new)
+    return C.change_summary(old, new, members, batches, _requirements(members))
 
 
 def work_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -356,13 +356,19 @@ def ready_batches(batches: DataFrame, dependencies: DataFrame, members: DataFram
 def change_summary(old: DataFrame, new: DataFrame, members: DataFrame, batches: DataFrame, requirements: DataFrame, key: str = "cut_id") -> DataFrame:
     """One row for each plan: tiles committed, requested and retained, groups, batches, requirements by state, blocking, complete."""
     on = [key, *TILE]
-    count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    parts = [count(old.select(*on).distinct(), "committed"), count(new.select(*on).distinct(), "requested"), count(old.select(*on).distinct().join(new.select(*on).distinct().hint("merge"), on, "left_semi"), "retained"), count(members.select(key, _group("g")).distinct(), "groups"), batches.groupBy(key).agg(F.count_distinct("batch").alias("batches"))]
-    states = requirements.groupBy(key).agg(*[F.count_if(F.col("state") == s).alias(s.replace("-", "_")) for s in ("requested", "in-flight", "ready", "failed")]).withColumnsRenamed({"requested": "state_requested", "in_flight": "state_in_flight", "ready": "state_ready", "failed": "state_failed"})
-    out = parts[0]
-    for p in [*parts[1:], states]:
-        out = out.join(p, key, "full_outer")
-    out = out.na.fill(0)
+    names = ["committed", "requested", "retained", "groups", "batches", "state_requested", "state_in_flight", "state_ready", "state_failed"]
+    counts = lambda df, **of: df.groupBy(key).agg(*[of.get(n, F.lit(0)).cast("long").alias(n) for n in names])
+    # both cuts meet in one grouping, and what is counted by plan in another, so that no tables are joined
+    side = lambda df, o: df.select(*on, F.lit(o).alias("o"), F.lit(1 - o).alias("n"))
+    tiles = side(old, 1).unionByName(side(new, 0)).groupBy(*on).agg(F.max("o").alias("o"), F.max("n").alias("n"))
+    state = lambda s: F.count_if(F.col("state") == s)
+    parts = [
+        counts(tiles, committed=F.sum("o"), requested=F.sum("n"), retained=F.sum(F.col("o") * F.col("n"))),
+        counts(members.select(key, _group("g")).distinct(), groups=F.count(F.lit(1))),
+        counts(batches, batches=F.count_distinct("batch")),
+        counts(requirements, state_requested=state("requested"), state_in_flight=state("in-flight"), state_ready=state("ready"), state_failed=state("failed")),
+    ]
+    out = functools.reduce(DataFrame.unionByName, parts).groupBy(key).agg(*[F.sum(n).alias(n) for n in names])
     blocking = F.col("state_requested") + F.col("state_in_flight") + F.col("state_failed")
     same = (F.col("committed") == F.col("retained")) & (F.col("requested") == F.col("retained"))
     return out.withColumns({"blocking": blocking, "complete": same & (F.col("groups") == 0) & (F.col("batches") == 0)})
