@@ -99,3 +99,18 @@ def test_packed_keys_come_back():
     keys, owners = jaccard_join.np.array([5, 2**47 + 9, 2**48 - 1], "u8"), jaccard_join.np.array([-7, 2**62, -7], "i8")
     back = jaccard_join._unpacked(*jaccard_join._packed(keys, owners))
     assert [b.tolist() for b in back] == [keys.tolist(), owners.tolist()]
+
+
+def test_small_regions_move_their_sets_once(spark, monkeypatch):
+    docs = [(i, f"a{i // 2} " + " ".join(f"w{i // 2}x{k}" for k in range(40)) + (" end" if i % 2 else "")) for i in range(60)]
+    plans, within = [], jaccard_join._within
+    monkeypatch.setattr(jaccard_join, "_within", lambda small, *rest: plans.append(small._jdf.queryExecution().executedPlan().toString()) or within(small, *rest))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.createDataFrame([*docs, docs[3], docs[8]], "doc_id long, text string")
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.link_components(rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == brute(docs, 3, 90)
+    assert plans and not any("SortMergeJoin" in p for p in plans)

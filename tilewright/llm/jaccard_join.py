@@ -199,15 +199,15 @@ def _pairs(ids: np.ndarray, sets: list[np.ndarray], per_cent: int) -> tuple[np.n
     return ids[own], ids[root[own]]
 
 
-def _within(small: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
-    """(a, b): the links inside regions that fit in one task."""
+def _within(small: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): the links inside regions that fit in one task. small: (region, cls, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["region"]):
             a, b = _pairs(np.array(g["cls"], np.int64), [np.frombuffer(s, U64) for s in g["shingles"]], per_cent)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return small.join(sets, "cls").select("region", "cls", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+    return small.select("region", "cls", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -367,15 +367,25 @@ def _banded(placed: DataFrame, sets: DataFrame, per_cent: int, cell: int) -> Dat
     return checkpoint(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(across, "a long, b long")).filter("a <> b")
 
 
-def region_links(members: DataFrame, sets: DataFrame, per_cent: int, keys_of: Callable[[np.ndarray], np.ndarray], cell: int = CELL) -> DataFrame:
-    """(a, b): links of the members (region long, cls long) of regions, enough of them for the components. sets: (cls long, shingles binary); keys_of: the keys of a set's parts."""
+def region_links(members: DataFrame, sets: DataFrame, per_cent: int, keys_of: Callable[[np.ndarray], np.ndarray], cell: int = CELL, placed: DataFrame | None = None) -> DataFrame:
+    """(a, b): links of the members (region long, cls long) of regions, enough of them for the components. sets: (cls long, shingles binary); keys_of: the keys of a set's parts.
+
+    placed: members with their sets (region, cls, shingles), where there is one table of both, so that small regions move once. Behind the first round only the sets of
+    large regions are moved.
+    """
     links, dense, turn = [], [], 0
     while True:
         counted = checkpoint(_sized(members))
-        links.append(checkpoint(_within(counted.filter(F.col("m") <= cell), sets, per_cent)))
         large = counted.filter(F.col("m") > cell)
+        # of large regions there are fewer than a cell's share of the members, so their names may go to every task
+        named = F.broadcast(large.select("region").distinct())
+        small = counted.filter(F.col("m") <= cell).join(sets, "cls") if placed is None else placed.join(named, "region", "left_anti")
+        links.append(checkpoint(_within(small, per_cent)))
         if large.isEmpty():
             break
+        if turn == 0:
+            sets = checkpoint(sets.join(large.select("cls").distinct(), "cls", "left_semi") if placed is None else placed.join(named, "region", "left_semi").select("cls", "shingles"))
+            placed = None
         to_pivots, parts, left = _cut(large, sets, per_cent, cell, turn)
         links.append(to_pivots)
         dense.append(left)
@@ -504,8 +514,6 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
     plan = levels(classes.agg(F.max("n")).first()[0] or 0, per_cent, tries)
 
     # regions: classes that hang together by equal parts
-    reps = narrow.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-
     shingles = own.agg(F.sum("n")).first()[0] or 0
     touching = _touching(narrow.filter("id IS NOT NULL"), lambda t: ((name(s), part_keys(s, plan, per_cent, tries)) for s in shingle_sets(t, size)), shingles)
     regions = checkpoint(components(touching).select(F.col("node").alias("cls"), F.col("root").alias("region")))
@@ -515,10 +523,12 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
         own = pa.array([name(s) == c for s, c in zip(sets, batch.column("cls").to_pylist(), strict=True)])  # rows of one id may hold other texts
         yield [batch.column("region").filter(own), batch.column("cls").filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)]
 
-    placed = reps.join(classes.join(regions, "cls").select(F.col("rep").alias("id"), "cls", "region"), "id").select("region", "cls", "text")
-    members = checkpoint(_mapped(placed, "region long, cls long, shingles binary", ["region", "cls", "shingles"], whole).dropDuplicates(["cls"]))
+    placed = narrow.join(classes.join(regions, "cls").select(F.col("rep").alias("id"), "cls", "region"), "id").select("region", "cls", "text")
+    members = checkpoint(_mapped(placed, "region long, cls long, shingles binary", ["region", "cls", "shingles"], whole))
+    if members.count() > members.select("cls").distinct().count():  # repeated rows; without them no set has to move for this
+        members = checkpoint(members.dropDuplicates(["cls"]))
     sets = members.select("cls", "shingles")
-    roots = components(region_links(members.select("region", "cls"), sets, per_cent, lambda s: part_keys(s, plan, per_cent, tries), cell))
+    roots = components(region_links(members.select("region", "cls"), sets, per_cent, lambda s: part_keys(s, plan, per_cent, tries), cell, members))
     joined = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
     alone = own.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
