@@ -113,10 +113,13 @@ def flatten_web_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.array(F.struct(F.lit("output_text").alias("type"), text.alias("text"), F.array(late, note).alias("annotations")), F.struct(F.lit("refusal").alias("type"), F.lit("no").alias("text"), F.array(note).alias("annotations")), F.struct(F.lit("output_text").alias("type"), F.when(F.col("event_id") % 4 == 0, n(9)).alias("text"), F.array(note).alias("annotations")))
     message = F.struct(F.lit("message").alias("type"), parts.alias("content"))
     body = F.concat(F.lit('{"output":['), F.to_json(call), F.lit(","), F.to_json(message), F.lit("]}"))
-    answers, sources, bad = P.flatten_web_search(e.select("event_id", body.alias("body")), "event_id")
+    read = P.read_web_search(e.select("event_id", body.alias("body")))
     none = F.lit(None).cast("string")
-    rows = [answers.select("event_id", F.lit("answer").alias("kind"), F.col("answer").alias("text"), none.alias("url")), sources.select("event_id", F.lit("source").alias("kind"), F.col("title").alias("text"), "url"), bad.select("event_id", F.lit("reject").alias("kind"), none.alias("text"), none.alias("url"))]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    row = lambda kind, text, url: F.struct(F.lit(kind).alias("kind"), text.alias("text"), url.alias("url"))
+    # one row of each kind from one reading of the body
+    said = F.concat(F.array(row("answer", F.col("answer"), none)), F.transform(F.coalesce("sources", F.array().cast("array<struct<url:string,pos:int,title:string>>")), lambda s: row("source", s["title"], s["url"])))
+    rows = F.when(F.col("answer").isNotNull(), said).otherwise(F.array(row("reject", none, none)))
+    return read.select("event_id", F.explode(rows).alias("r")).select("event_id", "r.kind", "r.text", "r.url")
 
 
 def flatten_search(spark: SparkSession, sf_dir: str) -> DataFrame:
