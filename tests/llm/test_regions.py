@@ -114,3 +114,46 @@ def test_small_regions_move_their_sets_once(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got == brute(docs, 3, 90)
     assert plans and not any("SortMergeJoin" in p for p in plans)
+
+
+def test_only_classes_that_share_enough_go_further(spark, monkeypatch):
+    r = random.Random(9)
+    common = " ".join(f"p{j}" for j in range(12))
+    docs = [(i, f"{common} " + " ".join(f"d{i}x{r.randrange(10**9)}" for _ in range(40))) for i in range(300)]
+    docs += [(1000 + i, " ".join(f"t{i // 2}y{j}" for j in range(60)) + (" end" if i % 2 else "")) for i in range(6)]
+    seen, own = [], jaccard_join._touching
+    monkeypatch.setattr(jaccard_join, "_touching", lambda sets, *rest: seen.append({x["cls"] for x in sets.select("cls").collect()}) or own(sets, *rest))
+    df = spark.createDataFrame([*docs, docs[0], docs[303]], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.link_components(df, size=5, per_cent=80, tries=8).collect()}
+    assert got == brute(docs, 5, 80)
+    assert len(seen[0]) == 6
+
+
+def test_shared_shingles_are_counted_in_many_small_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    docs = [(i, " ".join(f"w{r.randrange(30)}" for _ in range(r.randrange(3, 60)))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+
+    def named(column):
+        return ((jaccard_join.signature(s), s) for s in jaccard_join.shingle_sets(column, 2))
+
+    sets = {}
+    for cls, s in named(jaccard_join.pa.array([t for _, t in docs])):
+        sets[cls] = set(jaccard_join._asked(s).tolist())
+    want = {c: sum(any(x in o for d, o in sets.items() if d != c) for x in s) for c, s in sets.items()}
+    for keys in (1 << 20, 40):
+        monkeypatch.setattr(jaccard_join, "BLOCK_KEYS", keys)
+        got = {x["cls"]: x["shared"] for x in jaccard_join._shared(df, named, 5000).collect()}
+        assert all(got.get(c, 0) >= n for c, n in want.items())
+        assert keys == 40 or got == {c: n for c, n in want.items() if n}
+
+
+def test_components_of_few_and_of_many_edges(spark, monkeypatch):
+    from tilewright.llm import components as C
+
+    edges = [(i, i + 1) for i in range(0, 400) if i % 50] + [(1000 + i, 2000) for i in range(90)] + [(7, 7)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    want = {n: 50 * ((n - 1) // 50) + 1 for n in range(1, 401) if n <= 400} | {1000 + i: 1000 for i in range(90)} | {2000: 1000}
+    for most in (1 << 16, 16):
+        monkeypatch.setattr(C, "EDGES", most)
+        assert {x["node"]: x["root"] for x in C.components(df).collect()} == want

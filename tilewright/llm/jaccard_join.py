@@ -2,7 +2,10 @@
 
 Two documents link when ``per_cent`` * |union| <= 100 * |intersection|. Documents with equal sets are one class; classes are joined.
 
-In the metric of the symmetric difference D two sets of a and b shingles link when D <= (a + b) * (100 - p) / (100 + p). Whole corpora are
+A set that has a link keeps p in 100 of its shingles in common with another class. So shingles are counted first: a class of which more than
+(100 - p) in 100 are nobody else's has no links and goes no further. Half of all hashes are enough to see that, as a set's own ones among them are no more than all of its own.
+
+In the metric of the symmetric difference D two sets of a and b shingles link when D <= (a + b) * (100 - p) / (100 + p). What is left is
 first cut by parts of sets, as unrelated texts are all equally far from any pivot: sets of similar size are cut by hash range into more
 parts than a link may have differences, so two linked sets have a whole part in common. Equal parts meet at their least holder, moved once in packed
 blocks that hold a part once each, and what hangs together is a region; no link leaves its region.
@@ -32,7 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
@@ -425,15 +428,133 @@ def _unpacked(keys: bytes, at: bytes, there: bytes) -> tuple[np.ndarray, np.ndar
     return wide.view("<u8")[:, 0], np.frombuffer(there, "<i8")[np.frombuffer(at, "<u2" if len(at) == 2 * n else "<u4")]
 
 
-def _touching(texts: DataFrame, keyed: Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]], shingles: int) -> DataFrame:
-    """(a, b): enough links for the components of the classes that share a key. keyed: class and keys of each text of a slice.
+def _asked(hashes: np.ndarray) -> np.ndarray:
+    """Those shingles of a set that are asked for: half of all hashes, the same ones in every set."""
+    return hashes[(hashes & U64(1)) == 0]
+
+
+def _partitions(spark: SparkSession, shingles: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // PARTITION_SHINGLES))
+
+
+def _shared(texts: DataFrame, named: Callable[[pa.Array], Iterator[tuple[int, np.ndarray]]], shingles: int) -> DataFrame:
+    """(cls, shared long): of how many of its asked shingles another class has one too; a class without such has no row. named: class and shingles of each text of a slice.
+
+    Shingles move once, as four bytes beside their partition, in the order of their owners. Two of them that agree there, and classes that a partition counts again
+    behind its first ``BLOCK_KEYS`` shingles, make a count larger: that lets a class pass which has no link, and never keeps one back.
+    """
+    partitions = _partitions(texts.sparkSession, shingles)
+
+    def block(held: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
+        keys, names, own = np.concatenate(held), np.array(owners, np.int64), np.repeat(np.arange(len(owners)), [len(k) for k in held])
+        part = (((keys >> U64(32)) * U64(partitions)) >> U64(32)).astype("u2" if partitions <= 1 << 16 else "u4")
+        order = np.argsort(part, kind="stable")
+        low, own = (keys >> U64(1)).astype("<u4")[order], own[order]
+        bounds = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=partitions))])
+        rows = []
+        for p, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if y > x:
+                there, runs = np.unique(own[x:y], return_counts=True)
+                rows.append((p, low[x:y].tobytes(), runs.astype("<u4").tobytes(), names[there].tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "keys", "runs", "there"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, owners, count = [], [], 0
+        for batch in batches:
+            text = batch.column("text")
+            for a, b in slices(text):
+                for cls, hashes in named(text.slice(a, b - a)):
+                    keys = _asked(hashes)
+                    if len(keys):
+                        held.append(keys)
+                        owners.append(cls)
+                        count += len(keys)
+                if count >= BLOCK_KEYS:
+                    yield block(held, owners)
+                    held, owners, count = [], [], 0
+        if count:
+            yield block(held, owners)
+
+    def answers(owners: np.ndarray) -> pa.RecordBatch:
+        names, counts = np.unique(owners, return_counts=True)
+        part = (mix(names.view(U64)) % U64(partitions)).astype("i4")
+        order = np.argsort(part, kind="stable")
+        to, first = np.unique(part[order], return_index=True)
+        cut = lambda values: [v.tobytes() for v in np.split(values[order], first[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(to), pa.array(cut(names), pa.binary()), pa.array(cut(counts.astype("<u4")), pa.binary())], ["part", "there", "counts"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of the shingles before: each once, its first owner and whether another one has been seen
+        known, first, many = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, bool)
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+
+        def settle() -> Iterator[pa.RecordBatch]:
+            nonlocal known, first, many
+            old = len(known)
+            keys, owners = np.concatenate([known, *[k for k, _ in fresh]]), np.concatenate([first, *[o for _, o in fresh]])
+            order = np.argsort(keys, kind="stable")
+            keys, owners = keys[order], owners[order]
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+            lead = owners[starts]
+            now = np.zeros(len(starts), bool)
+            now[group[owners != lead[group]]] = True
+            was = np.zeros(len(starts), bool)
+            before = order < old
+            was[group[before]] = many[order[before]]
+            # an owner from before is counted when the second one comes
+            counted = (now | was)[group] & ~(before & was[group])
+            g, o = group[counted], owners[counted]
+            at = np.lexsort((o, g))
+            g, o = g[at], o[at]
+            once = np.concatenate([[True], (g[1:] != g[:-1]) | (o[1:] != o[:-1])])[: len(g)]
+            known, first, many = keys[starts], lead, now | was
+            if len(g):
+                yield answers(o[once])
+
+        for batch in batches:
+            for keys, runs, there in zip(*[batch.column(c) for c in ("keys", "runs", "there")], strict=True):
+                keys = np.frombuffer(keys.as_py(), "<u4")
+                fresh.append((keys, np.repeat(np.frombuffer(there.as_py(), np.int64), np.frombuffer(runs.as_py(), "<u4"))))
+                count += len(keys)
+                if count >= 4 * BLOCK_KEYS:
+                    yield from settle()
+                    fresh, count = [], 0
+        if fresh:
+            yield from settle()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, sums, fresh, count = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def total() -> tuple[np.ndarray, np.ndarray]:
+            every, at = np.unique(np.concatenate([names, *[n for n, _ in fresh]]), return_inverse=True)
+            return every, np.bincount(at, np.concatenate([sums, *[c for _, c in fresh]]), len(every)).astype(np.int64)
+
+        for batch in batches:
+            for there, counts in zip(batch.column("there"), batch.column("counts"), strict=True):
+                fresh.append((np.frombuffer(there.as_py(), np.int64), np.frombuffer(counts.as_py(), "<u4").astype(np.int64)))
+                count += len(fresh[-1][0])
+                if count >= BLOCK_KEYS:
+                    names, sums = total()
+                    fresh, count = [], 0
+        names, sums = total()
+        for at in range(0, len(names), LINKS):
+            yield pa.RecordBatch.from_arrays([pa.array(names[at : at + LINKS]), pa.array(sums[at : at + LINKS])], ["cls", "shared"])
+
+    moved = texts.select("text").mapInArrow(pack, "part int, keys binary, runs binary, there binary").repartitionById(partitions, F.col("part"))
+    back = moved.mapInArrow(meet, "part int, there binary, counts binary").repartitionById(partitions, F.col("part"))
+    return back.mapInArrow(add, "cls long, shared long")
+
+
+def _touching(sets: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], shingles: int) -> DataFrame:
+    """(a, b): enough links for the components of the classes that share a key. sets: (cls, shingles).
 
     Keys move once, in blocks: a task joins the owners of a key that it has itself, so a key leaves it once per ``BLOCK_KEYS`` keys however many own it, and what
     moves of a key is six bytes and its owner's place in the block. Its top bits choose the partition, of which there are as many as keep one small. Two keys that
     agree in what is left make a region larger and no link, as links are verified in their region.
     """
-    spark = texts.sparkSession
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // PARTITION_SHINGLES))
+    partitions = _partitions(sets.sparkSession, shingles)
 
     def block(held: list[np.ndarray], owners: list[int]) -> pa.RecordBatch:
         keys, least, a, b = _least(np.concatenate(held).view(U64), np.repeat(np.array(owners, np.int64), [len(k) for k in held]))
@@ -448,13 +569,12 @@ def _touching(texts: DataFrame, keyed: Callable[[pa.Array], Iterator[tuple[int,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, owners, count = [], [], 0
         for batch in batches:
-            text = batch.column("text")
-            for a, b in slices(text):
-                for cls, keys in keyed(text.slice(a, b - a)):
-                    if len(keys):
-                        held.append(keys)
-                        owners.append(cls)
-                        count += len(keys)
+            for cls, shingles in zip(batch.column("cls"), batch.column("shingles"), strict=True):
+                keys = keys_of(np.frombuffer(shingles.as_py(), U64))
+                if len(keys):
+                    held.append(keys)
+                    owners.append(cls.as_py())
+                    count += len(keys)
                 if count >= BLOCK_KEYS:
                     yield block(held, owners)
                     held, owners, count = [], [], 0
@@ -482,7 +602,7 @@ def _touching(texts: DataFrame, keyed: Callable[[pa.Array], Iterator[tuple[int,
         if fresh:
             yield links(*_least(*[np.concatenate(c) for c in zip(known, *fresh, strict=True)])[2:])
 
-    moved = texts.select("text").mapInArrow(pack, "part int, keys binary, at binary, there binary").repartitionById(partitions, F.col("part"))
+    moved = sets.select("cls", "shingles").mapInArrow(pack, "part int, keys binary, at binary, there binary").repartitionById(partitions, F.col("part"))
     return moved.mapInArrow(meet, "a long, b long")
 
 
@@ -493,11 +613,11 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
 
     def sized(batch: pa.RecordBatch) -> Iterator[list]:
         sets = list(shingle_sets(batch.column("text"), size))
-        yield [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.array([second_signature(s) for s in sets], pa.int64())]
+        yield [batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s) for s in sets], pa.int64()), pa.array([second_signature(s) for s in sets], pa.int64()), pa.array([len(_asked(s)) for s in sets], pa.int64())]
 
-    own = checkpoint(_mapped(narrow, f"id {kind}, n long, cls long, also long", ["id", "n", "cls", "also"], sized))
+    own = checkpoint(_mapped(narrow, f"id {kind}, n long, cls long, also long, asked long", ["id", "n", "cls", "also", "asked"], sized))
     there = own.filter("id IS NOT NULL AND n > 0")
-    classes = checkpoint(there.groupBy("cls", "also").agg(F.min("id").alias("rep"), F.min("n").alias("n")))
+    classes = checkpoint(there.groupBy("cls", "also").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("asked").alias("asked")))
     # two classes of one number are expected once in 2 ** 64 pairs; all but one of them get another
     shared = classes.groupBy("cls").agg(F.min("also").alias("least"), F.max("also").alias("most")).filter("least < most")
     renamed = {(r["cls"], r["also"]): r["new"] for r in classes.join(shared, "cls").filter("also > least").select("cls", "also", F.xxhash64("cls", "also").alias("new")).collect()}
@@ -510,25 +630,31 @@ def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col:
     if renamed:
         pairs = there.sparkSession.createDataFrame([(*k, v) for k, v in renamed.items()], "cls long, also long, new long")
         there, classes = (df.join(F.broadcast(pairs), ["cls", "also"], "left").withColumn("cls", F.coalesce("new", "cls")).drop("new") for df in (there, classes))
-    there, classes = there.drop("also"), classes.drop("also")
+    there, classes = there.drop("also", "asked"), classes.drop("also")
     plan = levels(classes.agg(F.max("n")).first()[0] or 0, per_cent, tries)
 
-    # regions: classes that hang together by equal parts
+    # classes with as much in common with others as a link takes
     shingles = own.agg(F.sum("n")).first()[0] or 0
-    touching = _touching(narrow.filter("id IS NOT NULL"), lambda t: ((name(s), part_keys(s, plan, per_cent, tries)) for s in shingle_sets(t, size)), shingles)
-    regions = checkpoint(components(touching).select(F.col("node").alias("cls"), F.col("root").alias("region")))
+    shared = _shared(narrow.filter("id IS NOT NULL"), lambda t: ((name(s), s) for s in shingle_sets(t, size)), shingles)
+    able = F.col("asked") - F.coalesce("shared", F.lit(0)) <= F.floor(F.col("n") * (100 - per_cent) / 100)
+    likely = checkpoint(classes.join(shared, "cls", "left").filter(able).select(F.col("rep").alias("id"), "cls"))
 
     def whole(batch: pa.RecordBatch) -> Iterator[list]:
         sets = list(shingle_sets(batch.column("text"), size))
-        own = pa.array([name(s) == c for s, c in zip(sets, batch.column("cls").to_pylist(), strict=True)])  # rows of one id may hold other texts
-        yield [batch.column("region").filter(own), batch.column("cls").filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)]
+        own = pa.array([name(s) == c for s, c in zip(sets, batch.column("cls").to_pylist(), strict=True)], pa.bool_())  # rows of one id may hold other texts
+        yield [batch.column("cls").filter(own), pa.array([s.tobytes() for s in sets], pa.binary()).filter(own)]
+
+    sets = checkpoint(_mapped(narrow.join(likely, "id").select("cls", "text"), "cls long, shingles binary", ["cls", "shingles"], whole))
+    if sets.count() > sets.select("cls").distinct().count():  # repeated rows; without them no set has to move for this
+        sets = checkpoint(sets.dropDuplicates(["cls"]))
 
-    placed = narrow.join(classes.join(regions, "cls").select(F.col("rep").alias("id"), "cls", "region"), "id").select("region", "cls", "text")
-    members = checkpoint(_mapped(placed, "region long, cls long, shingles binary", ["region", "cls", "shingles"], whole))
-    if members.count() > members.select("cls").distinct().count():  # repeated rows; without them no set has to move for this
-        members = checkpoint(members.dropDuplicates(["cls"]))
+    # regions: classes that hang together by equal parts
+    keys_of = lambda s: part_keys(s, plan, per_cent, tries)
+    touching = _touching(sets, keys_of, (sets.agg(F.sum(F.octet_length("shingles"))).first()[0] or 0) // 8)
+    regions = components(touching).select(F.col("node").alias("cls"), F.col("root").alias("region"))
+    members = checkpoint(sets.join(regions, "cls").select("region", "cls", "shingles"))
     sets = members.select("cls", "shingles")
-    roots = components(region_links(members.select("region", "cls"), sets, per_cent, lambda s: part_keys(s, plan, per_cent, tries), cell, members))
+    roots = components(region_links(members.select("region", "cls"), sets, per_cent, keys_of, cell, members))
     joined = classes.join(roots, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     named = joined.join(joined.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("cls", "component_id")
     alone = own.filter("id IS NULL OR n = 0").select("id", "n", F.col("id").alias("component_id"))
