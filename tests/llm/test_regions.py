@@ -157,3 +157,13 @@ def test_components_of_few_and_of_many_edges(spark, monkeypatch):
     for most in (1 << 16, 16):
         monkeypatch.setattr(C, "EDGES", most)
         assert {x["node"]: x["root"] for x in C.components(df).collect()} == want
+
+
+def test_dense_regions_of_some_cells_need_no_row_for_a_part(spark, monkeypatch):
+    plans, own = [], jaccard_join.checkpoint
+    monkeypatch.setattr(jaccard_join, "checkpoint", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or own(df))
+    docs = families()[:48]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jaccard_join.link_components(df, size=3, per_cent=90, cell=4).collect()}
+    assert got == brute(docs, 3, 90)
+    assert any("band" in p for p in plans) and not any("explode(keys" in p for p in plans)

@@ -15,8 +15,8 @@ inequality, goes as a guest to each earlier pivot that isn't farther from it tha
 so meet in the region of one of them. The parts are cut again, with other pivots, until they fit in one task. Where every member
 of a part links to its pivot nothing is left to find. Where a cut doesn't part a region (its parts hold over twice its members, or one of
 them most), the region is dense: each member is dealt to a cell, where it is compared with its cell and with the region's pivots, so
-near copies of one text reach the region's main component at once. Then those who share a part are a region of their own, where they are not
-all of one component yet and no other part has the same holders. Where that would take more than comparing each outsider with all, the outsiders are compared with the rest
+near copies of one text reach the region's main component at once. Then, in a region of more than ``NARROW`` cells, those who share a part are a region of their own, where they are not
+all of one component yet and no other part has the same holders. In smaller regions, and where that would take more than comparing each outsider with all, the outsiders are compared with the rest
 by the triangle inequality: a member goes only to the bands of distance from the first pivot that can hold a partner, and each band is joined block by block. So no group is ever
 whole in one task, and no pair that could link is left out.
 
@@ -51,6 +51,8 @@ KEY_BYTES = 6
 BLOCK_KEYS = 1 << 20
 PARTITION_SHINGLES = 1 << 21
 LINKS = 1 << 16
+#: Cells up to which a dense region is compared by blocks at once; a set then moves under 20 times.
+NARROW = 16
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -308,7 +310,12 @@ def _dense(members: DataFrame, sets: DataFrame, per_cent: int, cell: int, keys_o
     gaps = first.filter("a = b").groupBy("region", F.col("a").alias("cls")).agg(F.min("gap").alias("gap"), F.min("n").alias("n"))
     placed = checkpoint(members.join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node").join(gaps, ["region", "cls"]))
 
-    # second pass, either by the parts that members of two components share: all who have such a part are a region of their own
+    main = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("region").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most"))
+    narrow, wide = F.col("m") <= NARROW * cell, placed.filter(F.col("m") > NARROW * cell)
+    bands = placed.filter(narrow).join(main.select("region", "main"), "region")
+    if wide.isEmpty():
+        return links.unionByName(_banded(bands, sets, per_cent, cell))
+    # second pass, of wide regions either by the parts that members of two components share: all who have such a part are a region of their own
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [np.unique(keys_of(np.frombuffer(s, U64))) for s in batch.column("shingles").to_pylist()]
@@ -317,12 +324,11 @@ def _dense(members: DataFrame, sets: DataFrame, per_cent: int, cell: int, keys_o
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys))), batch.column("cls")], ["keys", "cls"])
 
     # one row for a set, as a row for a part would take five times the room
-    parts = checkpoint(sets.join(placed.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").mapInArrow(keyed, "keys array<long>, cls long"))
-    held = parts.select(F.explode("keys").alias("key"), "cls").join(placed.select("region", "cls", "root"), "cls")
+    parts = checkpoint(sets.join(wide.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").mapInArrow(keyed, "keys array<long>, cls long"))
+    held = parts.select(F.explode("keys").alias("key"), "cls").join(wide.select("region", "cls", "root"), "cls")
     open_ = held.groupBy("region", "key").agg(F.count(F.lit(1)).alias("g"), F.min("root").alias("x"), F.max("root").alias("y"), F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("also")).filter("x < y")
     open_ = checkpoint(open_.groupBy("region", "g", "who", "also").agg(F.min("key").alias("key")))
     # or, where that takes more, by the bands of distance from the first pivot
-    main = placed.groupBy("region", "root").agg(F.count(F.lit(1)).alias("held")).groupBy("region").agg(F.max_by("root", F.struct("held", "root")).alias("main"), F.sum("held").alias("all"), F.max("held").alias("most"))
     outside = F.col("all") - F.col("most")
     by_parts = open_.groupBy("region").agg(F.sum("g").alias("rows"), F.max("g").alias("largest"))
     plans = main.join(by_parts, "region").select("region", "main", ((F.col("rows") <= F.col("all") * F.ceil(outside / (4 * cell)) + outside * F.ceil(F.col("all") / cell)) & (F.col("largest") <= F.col("all") / 2)).alias("parts"))
@@ -330,11 +336,11 @@ def _dense(members: DataFrame, sets: DataFrame, per_cent: int, cell: int, keys_o
     by = held.join(open_.join(plans.filter("parts"), "region", "left_semi").select("region", "key"), ["region", "key"], "left_semi").select(F.xxhash64("region", "key").alias("region"), "cls")
     by = checkpoint(by)
     # a set goes to as many regions as have one of its parts; in so many turns that none of them moves much more than every set twice
-    turns = max(1, -(-by.count() // (2 * placed.count())))
+    turns = max(1, -(-by.count() // (2 * wide.count())))
     for turn in range(turns):
         some = by.filter(F.pmod(F.xxhash64("region", F.lit("turn")), F.lit(turns)) == turn)
         links = links.unionByName(checkpoint(region_links(some, sets, per_cent, keys_of, cell)))
-    rest = placed.join(plans.filter("NOT parts").select("region", "main"), "region")
+    rest = bands.unionByName(wide.join(plans.filter("NOT parts").select("region", "main"), "region"))
     return links if rest.isEmpty() else links.unionByName(_banded(rest, sets, per_cent, cell))
 
 
