@@ -1,13 +1,15 @@
 """Words that polynomials modulo a power of two can't tell apart."""
 
 import base64
+import gc
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
-from tilewright.llm import bpe, jaccard_join, substring_dedup
+from tilewright.llm import bpe, jaccard_join, substring_dedup, textkit
 from tilewright.llm.textkit import word_hashes
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -65,3 +67,19 @@ def test_sets_and_windows_of_such_words(spark, pair):
     filler = [f"w{i}" for i in range(19)]
     docs = spark.createDataFrame([(i, " ".join([*filler, w])) for i, w in enumerate(pair)], "doc_id long, text string")
     assert [r["n_removed"] for r in substring_dedup.dedup_substrings(docs).collect()] == [0, 0]
+
+
+def test_power_tables_take_no_more_than_asked():
+    powers = textkit._geometric(3, 2147483629, 700)
+    assert (powers.base is None or powers.base.nbytes == powers.nbytes) and powers.tolist() == [pow(3, k, 2147483629) for k in range(700)]
+
+
+def test_workers_drop_the_vocabulary_with_the_job(spark):
+    def held(batches):
+        for batch in batches:
+            n = sum(type(x).__name__ == "Vocabulary" for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * batch.num_rows, pa.int32())], ["n"])
+
+    docs = spark.createDataFrame([(i, f"unheardofword{i} and some more") for i in range(40)], "id long, text string").repartition(4)
+    assert bpe.encode(docs, bpe.load(spark, RANKS)).filter("size(ids) > 4").count() == 40
+    assert {r["n"] for r in docs.select("id").mapInArrow(held, "n int").collect()} == {0}

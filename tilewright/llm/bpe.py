@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm.jobs import numbered, refuse_columns, widened
+from tilewright.llm.jobs import giving_back, numbered, refuse_columns, widened
 from tilewright.llm.textkit import mix, slices, utf8, word_hashes
 
 U64 = np.uint64
@@ -150,6 +150,9 @@ class Vocabulary:
         for token, rank in self.ranks.items():
             if len(token) == 2:
                 self.pairs[token[0] * 256 + token[1]] = rank
+        # merged pre-tokens, for all tasks of a worker, as theirs are much the same; they go with the vocabulary when the worker takes up other work
+        self.memo: dict[int, tuple[bytes, list[int]]] = {}
+        self.older: dict[int, tuple[bytes, list[int]]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of a pre-token: the pair of neighbours of least rank is joined first, the leftmost of equals, until none is left."""
@@ -185,8 +188,6 @@ def gather(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self.memo: dict[int, tuple[bytes, list[int]]] = {}
-        self.older: dict[int, tuple[bytes, list[int]]] = {}
 
     @staticmethod
     def _by_bytes(whole: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +209,8 @@ class Encoder:
         if not np.array_equal(sizes[stand_in], sizes) or not np.array_equal(text[gather(starts[stand_in], sizes)], text):  # pre-tokens that only share a hash are kinds of their own
             hashes, first, where = self._by_bytes(text.tobytes(), starts, ends)
         found = self.vocabulary.perfect.find(hashes)
-        whole, memo, v = text.tobytes(), self.memo, self.vocabulary
+        whole, v = text.tobytes(), self.vocabulary
+        memo = v.memo
         pieces: list = [None] * len(hashes)
         for k, (h, a, b, at) in enumerate(zip(hashes.tolist(), starts[first].tolist(), ends[first].tolist(), found.tolist(), strict=True)):
             if at >= 0 and v.tokens[at] == whole[a:b]:
@@ -216,14 +218,14 @@ class Encoder:
                 continue
             known = memo.get(h)
             if known is None or known[0] != whole[a:b]:
-                known = self.older.get(h)
+                known = v.older.get(h)
                 if known is None or known[0] != whole[a:b]:
                     known = (whole[a:b], v.merge(whole[a:b]))
                 if b - a <= 64:
                     memo[h] = known
             pieces[k] = known[1]
         if len(memo) >= MEMO_ENTRIES:
-            self.older, self.memo = memo, {}
+            v.older, v.memo = memo, {}
         lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         flat = np.fromiter((x for p in pieces for x in p), np.int32, int(lengths.sum()))
         at = np.cumsum(lengths) - lengths
@@ -237,16 +239,6 @@ def load(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 
-_encoder: list[Encoder] = []
-
-
-def encoder_of(vocabulary: Vocabulary) -> Encoder:
-    """One for all tasks of a worker, as their pre-tokens are much the same."""
-    if not _encoder or _encoder[0].vocabulary.tokens is not vocabulary.tokens:
-        _encoder[:] = [Encoder(vocabulary)]
-    return _encoder[0]
-
-
 def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all but the text, if None) and ``out``, the ids of the whole text as array<int>."""
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
@@ -255,7 +247,7 @@ def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids",
     schema = widened(narrow.drop("__text"), **{out: "array<int>"})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary.value)
+        encoder = Encoder(vocabulary.value)
         for batch in batches:
             text = batch.column("__text")
             for a, b in slices(text):
@@ -264,7 +256,7 @@ def encode(df: DataFrame, vocabulary, text_col: str = "text", out: str = "ids",
                 rest = [batch.column(c).slice(a, b - a) for c in names]
                 yield pa.RecordBatch.from_arrays([*rest, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], [*names, out])
 
-    return narrow.mapInArrow(run, schema).toDF(*keep, out)
+    return narrow.mapInArrow(giving_back(run), schema).toDF(*keep, out)
 
 
 def decode(df: DataFrame, vocabulary, ids_col: str = "ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -294,4 +286,4 @@ def decode(df: DataFrame, vocabulary, ids_col: str = "ids", out: str = "decoded"
                 made = pa.BinaryArray.from_buffers(pa.binary(), len(part), [valid, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())])
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, rows) for c in names], made], [*names, out])
 
-    return narrow.mapInArrow(run, schema).toDF(*keep, out)
+    return narrow.mapInArrow(giving_back(run), schema).toDF(*keep, out)

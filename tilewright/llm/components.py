@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.jobs import checkpoint
+from tilewright.llm.jobs import checkpoint, giving_back
 
 #: Edges that a task joins at a time, and up to which one task settles them all.
 EDGES = 1 << 16
@@ -51,7 +51,7 @@ def contracted(edges: DataFrame) -> DataFrame:
         if count:
             yield settled()
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(giving_back(run), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

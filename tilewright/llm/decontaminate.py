@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.jobs import refuse_columns
+from tilewright.llm.jobs import giving_back, refuse_columns
 from tilewright.llm.textkit import ALNUM, gram_hashes, mix, rows_of, slices, utf8, word_hashes, word_spans
 
 U64 = np.uint64
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, lengths: list[int], k: int) -> DataFrame:
                     keys = batch.column("key").slice(a, b - a).take(pa.array(row))
                     yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(head), n, np.int32)), pa.array(fps[head]), pa.array((at[head] - first[row]).astype(np.int32)), lists], ["key", "n", "fp", "start", "spans"])
 
-    return docs.mapInArrow(run, "key long, n int, fp long, start int, spans array<long>")
+    return docs.mapInArrow(giving_back(run), "key long, n int, fp long, start int, spans array<long>")
 
 
 def item_windows(items: DataFrame, lengths: list[int], window: int, k: int) -> DataFrame:
@@ -87,7 +87,7 @@ def item_windows(items: DataFrame, lengths: list[int], window: int, k: int) -> D
                     ids = batch.column("item").slice(a, b - a).take(pa.array(rows[at[own]]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), n, np.int32)), pa.array(fps[own]), pa.array(spans[own]), said, ids], ["n", "fp", "span", "words", "item"])
 
-    return items.mapInArrow(run, "n int, fp long, span long, words string, item string").groupBy("n", "fp", "span", "words").agg(F.collect_set("item").alias("items"))
+    return items.mapInArrow(giving_back(run), "n int, fp long, span long, words string, item string").groupBy("n", "fp", "span", "words").agg(F.collect_set("item").alias("items"))
 
 
 def matches(docs: DataFrame, items: DataFrame, lengths: list[int], window: int = 10, k: int = 5) -> DataFrame:
@@ -155,5 +155,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
                     schema.names,
                 )
 
-    out = docs.mapInArrow(run, schema)
+    out = docs.mapInArrow(giving_back(run), schema)
     return out.select(F.col("__id").alias(id_col), F.col("__text").alias(text_col), *[F.col(f"__rest.`{c}`") for c in inner], "n_words", "n_hit", "hit_items", "hit_runs")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.components import components
-from tilewright.llm.jobs import checkpoint
+from tilewright.llm.jobs import checkpoint, giving_back
 from tilewright.llm.textkit import NON_SPACE, gram_hashes, mix, slices, utf8, word_hashes, word_spans
 
 U64 = np.uint64
@@ -129,7 +129,7 @@ def _mapped(df: DataFrame, schema: str, names: list[str], make: Callable[[pa.Rec
                 for columns in make(batch.slice(a, b - a)):
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(giving_back(run), schema)
 
 
 def differences(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -212,7 +212,7 @@ def _within(small: DataFrame, per_cent: int) -> DataFrame:
             a, b = _pairs(np.array(g["cls"], np.int64), [np.frombuffer(s, U64) for s in g["shingles"]], per_cent)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return small.select("region", "cls", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(run, "a long, b long")
+    return small.select("region", "cls", "shingles").repartition("region").sortWithinPartitions("region").mapInArrow(giving_back(run), "a long, b long")
 
 
 def _sized(members: DataFrame) -> DataFrame:
@@ -268,7 +268,7 @@ def _cut(large: DataFrame, sets: DataFrame, per_cent: int, cell: int, turn: int)
 
     narrow = fields[:-1]
     met = dealt.select(*narrow).unionByName(pivots.select(*narrow)).join(sets, "cls").select(*fields).repartition("region", "chunk").sortWithinPartitions("region", "chunk")
-    placed = checkpoint(met.mapInArrow(nearest, "region long, cls long, parts array<struct<at:int,linked:boolean>>, links array<long>"))
+    placed = checkpoint(met.mapInArrow(giving_back(nearest), "region long, cls long, parts array<struct<at:int,linked:boolean>>, links array<long>"))
     links = placed.select(F.col("cls").alias("a"), F.explode("links").alias("b")).filter("a <> b")
     flat = placed.select("region", "cls", F.explode("parts").alias("part")).select("region", "cls", "part.at", "part.linked")
     left = flat.groupBy("region", "at").agg(F.count(F.lit(1)).alias("held"), F.bool_and("linked").alias("done")).filter("NOT done")
@@ -304,7 +304,7 @@ def _dense(members: DataFrame, sets: DataFrame, per_cent: int, cell: int, keys_o
 
     fields = ["region", "cell", "cls", "pivot"]
     dealt = member.select(*fields).unionByName(spread.select(*fields)).join(sets, "cls").select(*fields, "shingles").repartition("region", "cell").sortWithinPartitions("region", "cell")
-    first = checkpoint(dealt.mapInArrow(in_cells, "region long, a long, b long, gap long, n long"))
+    first = checkpoint(dealt.mapInArrow(giving_back(in_cells), "region long, a long, b long, gap long, n long"))
     links = first.filter("a <> b").select("a", "b")
     roots = components(links)
     gaps = first.filter("a = b").groupBy("region", F.col("a").alias("cls")).agg(F.min("gap").alias("gap"), F.min("n").alias("n"))
@@ -324,7 +324,7 @@ def _dense(members: DataFrame, sets: DataFrame, per_cent: int, cell: int, keys_o
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(keys))), batch.column("cls")], ["keys", "cls"])
 
     # one row for a set, as a row for a part would take five times the room
-    parts = checkpoint(sets.join(wide.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").mapInArrow(keyed, "keys array<long>, cls long"))
+    parts = checkpoint(sets.join(wide.select("cls").distinct(), "cls", "left_semi").select("cls", "shingles").mapInArrow(giving_back(keyed), "keys array<long>, cls long"))
     held = parts.select(F.explode("keys").alias("key"), "cls").join(wide.select("region", "cls", "root"), "cls")
     open_ = held.groupBy("region", "key").agg(F.count(F.lit(1)).alias("g"), F.min("root").alias("x"), F.max("root").alias("y"), F.bit_xor(F.xxhash64("cls")).alias("who"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("also")).filter("x < y")
     open_ = checkpoint(open_.groupBy("region", "g", "who", "also").agg(F.min("key").alias("key")))
@@ -373,7 +373,7 @@ def _banded(placed: DataFrame, sets: DataFrame, per_cent: int, cell: int) -> Dat
                 x = np.flatnonzero(root != np.arange(len(root)))
                 yield pa.RecordBatch.from_arrays([pa.array(every[x]), pa.array(every[root[x]])], ["a", "b"])
 
-    return checkpoint(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(across, "a long, b long")).filter("a <> b")
+    return checkpoint(met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(giving_back(across), "a long, b long")).filter("a <> b")
 
 
 def region_links(members: DataFrame, sets: DataFrame, per_cent: int, keys_of: Callable[[np.ndarray], np.ndarray], cell: int = CELL, placed: DataFrame | None = None) -> DataFrame:
@@ -548,9 +548,9 @@ def _shared(texts: DataFrame, named: Callable[[pa.Array], Iterator[tuple[int, np
         for at in range(0, len(names), LINKS):
             yield pa.RecordBatch.from_arrays([pa.array(names[at : at + LINKS]), pa.array(sums[at : at + LINKS])], ["cls", "shared"])
 
-    moved = texts.select("text").mapInArrow(pack, "part int, keys binary, runs binary, there binary").repartitionById(partitions, F.col("part"))
-    back = moved.mapInArrow(meet, "part int, there binary, counts binary").repartitionById(partitions, F.col("part"))
-    return back.mapInArrow(add, "cls long, shared long")
+    moved = texts.select("text").mapInArrow(giving_back(pack), "part int, keys binary, runs binary, there binary").repartitionById(partitions, F.col("part"))
+    back = moved.mapInArrow(giving_back(meet), "part int, there binary, counts binary").repartitionById(partitions, F.col("part"))
+    return back.mapInArrow(giving_back(add), "cls long, shared long")
 
 
 def _touching(sets: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], shingles: int) -> DataFrame:
@@ -608,8 +608,8 @@ def _touching(sets: DataFrame, keys_of: Callable[[np.ndarray], np.ndarray], shin
         if fresh:
             yield links(*_least(*[np.concatenate(c) for c in zip(known, *fresh, strict=True)])[2:])
 
-    moved = sets.select("cls", "shingles").mapInArrow(pack, "part int, keys binary, at binary, there binary").repartitionById(partitions, F.col("part"))
-    return moved.mapInArrow(meet, "a long, b long")
+    moved = sets.select("cls", "shingles").mapInArrow(giving_back(pack), "part int, keys binary, at binary, there binary").repartitionById(partitions, F.col("part"))
+    return moved.mapInArrow(giving_back(meet), "a long, b long")
 
 
 def link_components(docs: DataFrame, size: int = 3, per_cent: int = 90, id_col: str = "doc_id", text_col: str = "text", tries: int = 1, cell: int = CELL) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -32,6 +36,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, a function over the batches of a task; behind it what Arrow and the C library hold free goes back to the machine, as an executor's workers wait side by side for the next task."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder, for what is read several times by few of its columns."""
     at = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

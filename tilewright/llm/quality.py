@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.jobs import bounded_sample, numbered, refuse_columns, widened
+from tilewright.llm.jobs import bounded_sample, giving_back, numbered, refuse_columns, widened
 from tilewright.llm.textkit import ALNUM, rows_of, slices, utf8, word_hashes, word_spans
 
 U64 = np.uint64
@@ -142,7 +142,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, levels: int, rows:
                 packed = [x.tobytes() for x in np.split((seen & (BUCKETS - 1)).astype(np.int32), ends)]
                 yield pa.RecordBatch.from_arrays([batch.column("__id").slice(a, b - a).cast(pa.string()), batch.column("__grade").slice(a, b - a), pa.array(packed, pa.binary())], ["id", "grade", "buckets"])
 
-    got = chosen.mapInArrow(sparse, "id string, grade int, buckets binary").orderBy(F.xxhash64("id"), "id", "buckets").limit(2 * rows).collect()
+    got = chosen.mapInArrow(giving_back(sparse), "id string, grade int, buckets binary").orderBy(F.xxhash64("id"), "id", "buckets").limit(2 * rows).collect()
     got.sort(key=lambda r: (r["id"], r["buckets"]))
     return fit([np.frombuffer(r["buckets"], np.int32).astype(np.int64) for r in got], np.array([r["grade"] for r in got], int), levels)
 
@@ -166,4 +166,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tails.size + 1, tails.shape[1]), pa.int32()), pa.array(tails.ravel()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(a, b - a) for c in names], *([part] if keep_text else []), pa.array(tails.sum(1)), lists], schema.names)
 
-    return narrow.mapInArrow(run, schema).toDF(*keep, *schema.names[len(keep) :])
+    return narrow.mapInArrow(giving_back(run), schema).toDF(*keep, *schema.names[len(keep) :])

@@ -89,8 +89,8 @@ def _geometric(base: int, prime: int, size: int) -> np.ndarray:
     """1, base, base^2, ... modulo prime, by doubling."""
     out = np.ones(1, U64)
     while len(out) < size:
-        out = np.concatenate([out, out * U64(pow(base, len(out), prime)) % U64(prime)])
-    return out[:size]
+        out = np.concatenate([out, out[: size - len(out)] * U64(pow(base, len(out), prime)) % U64(prime)])
+    return out
 
 
 def _power_tables(n: int) -> list[list[np.ndarray]]:
