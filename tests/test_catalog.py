@@ -93,3 +93,24 @@ def test_targets_at_seam_and_poles(spark):
     edge = [r for r in finest_tiles(targets).collect() if r["observer_id"] == 4]
     assert len(edge) == 64 and {r["y"] for r in edge} == set(range(8))
     assert all(abs(sum(4.0**-z for z, _, _ in t) - 1) < 1e-12 for t in tiles.values())
+
+
+def test_pairs_within_a_radius(spark):
+    from tilewright.catalog.tracks import tracks_within_radius as query
+    from tilewright.operators.tracks import tracks_within_radius
+
+    places = [(0.0, 0.0), (0.0, 4.0), (3.0, 3.0), (10.0, 179.9), (10.0, -179.9), (84.5, 0.0), (84.5, 30.0), (89.9, 10.0), (89.0, -170.0), (-88.0, 90.0), (-87.0, -90.0), (None, 1.0), (float("nan"), 1.0)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(places)], "id long, lat double, lon double")
+    got = tracks_within_radius(rows, rows.toDF("centre", "c_lat", "c_lon"), 250.0).collect()
+    limit, want = 250 * 1.852 / 6371.0088, {}
+    for i, (a, b) in enumerate(places[:-2]):
+        for j, (c, d) in enumerate(places[:-2]):
+            a_, c_ = math.radians(a), math.radians(c)
+            h = math.sin((c_ - a_) / 2) ** 2 + math.cos(a_) * math.cos(c_) * math.sin(math.radians(d - b) / 2) ** 2
+            if (angle := 2 * math.asin(math.sqrt(min(1, h)))) <= limit:
+                want[i, j] = angle
+    assert {(r["centre"], r["id"]) for r in got} == want.keys() and all(abs(r["angle"] - want[r["centre"], r["id"]]) < 1e-12 for r in got)
+    # a pair takes no sine, cosine or decimal number, only the arc sine of its chord
+    plan = query(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Join") + plan[plan.index("Join") :].index("\n")].lower()
+    assert "round(" not in above and "cos(" not in above and " sin(" not in above and "asin(" in above
