@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -112,6 +112,42 @@ def balanced_cover(targets: DataFrame, key: str = "observer_id") -> DataFrame:
 def replacement_groups(old: DataFrame, new: DataFrame, key: str = "cut_id") -> DataFrame:
     """(key, group_z, group_x, group_y, side, z, x, y): the least regions in which one cut has a leaf where the other is finer.
 
+    Both cuts of a plan of up to PLAN_TILES tiles meet in one task, so that a tile moves once and the tiles above it never do; larger plans are joined. old and new are read twice.
+    """
+    on = [key, *TILE]
+    side = lambda df, s: df.select(*on, F.lit(s).alias("side")).filter(F.col(key).isNotNull() & (F.col("z") >= 0) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    a, b = side(old, "before"), side(new, "after")
+    small, large = _by_size(a.unionByName(b), key, PLAN_TILES)
+    groups = _in_tasks(small, key, ["side", *TILE], {f"group_{c}": c for c in TILE} | {"side": "side"} | {c: c for c in TILE}, _regions)
+    if large is None:
+        return groups
+    return groups.unionByName(_groups_by_joins(a.join(large.hint("merge"), key, "left_semi"), b.join(large.hint("merge"), key, "left_semi"), key))
+
+
+def _regions(rows: list[tuple]) -> list[tuple]:
+    """The members of one plan's groups, of its tiles (side, z, x, y)."""
+    tiles = {"before": set(), "after": set()}
+    for side, *tile in rows:
+        tiles[side].add(tuple(tile))
+    gone, come = tiles["before"] - tiles["after"], tiles["after"] - tiles["before"]
+    out = []
+    for side, fine, other, coarse in (("after", come, "before", gone), ("before", gone, "after", come)):
+        zooms, groups = sorted({z for z, _, _ in coarse}), set()
+        for z, x, y in fine:
+            for g in zooms:
+                if g >= z:
+                    break
+                above = (g, x >> (z - g), y >> (z - g))
+                if above in coarse:
+                    groups.add(above)
+                    out.append((*above, side, z, x, y))
+        out += [(*g, other, *g) for g in groups]
+    return sorted(out)  # what is alike lies together in the files of a cut
+
+
+def _groups_by_joins(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """replacement_groups of plans of any size, in which a tile meets all above it.
+
     Its joins are merges: tiles shrink so much in a shuffle that Spark would take tables of hundreds of megabytes for small enough to go through the driver.
     """
     on = [key, *TILE]
@@ -135,7 +171,42 @@ def _group(alias: str) -> Column:
 
 
 def group_dependencies(members: DataFrame, key: str = "cut_id") -> DataFrame:
-    """(key, a, b): group a can't come before group b, as a new tile of a would touch an old tile of b more than one zoom away."""
+    """(key, a, b): group a can't come before group b, as a new tile of a would touch an old tile of b more than one zoom away.
+
+    A plan of up to PLAN_TILES members is settled in one task, larger ones by joins of touching tiles. members is read twice.
+    """
+    sound = members.filter(F.col(key).isNotNull() & F.col("side").isin("before", "after") & (F.col("z") >= 0) & F.col("x").isNotNull() & F.col("y").isNotNull())
+    small, large = _by_size(sound, key, PLAN_TILES)
+    found = _in_tasks(small, key, ["side", *TILE, _group("g")], {"a": None, "b": None}, _steep)
+    return found if large is None else found.unionByName(_dependencies_by_joins(sound.join(large.hint("merge"), key, "left_semi"), key))
+
+
+def _steep(rows: list[tuple]) -> set[tuple[str, str]]:
+    """The edges of one plan, of its members (side, z, x, y, group). A fine tile looks two zooms up and more, under itself and under the tiles around it that have other parents."""
+    groups = {"before": {}, "after": {}}
+    for side, z, x, y, group in rows:
+        groups[side].setdefault((z, x, y), set()).add(group)
+    edges = set()
+    for fine, coarse in (("after", "before"), ("before", "after")):
+        zooms = sorted({z for z, _, _ in groups[coarse]})
+        for (z, x, y), own in groups[fine].items():
+            w = 1 << z
+            beside, below = (x + 1 if x & 1 else x - 1) % w, y + 1 if y & 1 else y - 1
+            for g in zooms:
+                up = z - g
+                if up < 2:
+                    break
+                columns, lines = {x >> up, beside >> up}, {y >> up, below >> up} if 0 <= below < w else {y >> up}
+                for c in columns:
+                    for r in lines:
+                        there = groups[coarse].get((g, c, r))
+                        if there:
+                            edges.update((a, b) if fine == "after" else (b, a) for a in own for b in there if a != b)
+    return edges
+
+
+def _dependencies_by_joins(members: DataFrame, key: str) -> DataFrame:
+    """group_dependencies of plans of any size."""
     after, before = members.filter("side = 'after'"), members.filter("side = 'before'")
     steep = touching_tiles(after, before, [key]).filter(F.abs(F.col("z") - F.col("other_z")) > 1)
     a = after.select(key, *TILE, _group("a")).distinct()
@@ -196,31 +267,33 @@ def _least_from(nodes: DataFrame, walks: list[DataFrame], key: str, source: str,
             return labels
 
 
-#: A plan of at most so many edges is walked through in one task, so that the driver has no rounds to plan for it; larger ones go round by round.
+#: A plan of at most so many edges, or tiles, is settled in one task, so that no table of walks or of tiles and all above them is made; larger ones go round by round.
 PLAN_EDGES = 1 << 16
+PLAN_TILES = 1 << 16
 
 
-def _by_size(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """The edges of plans of up to PLAN_EDGES, and the keys of the larger ones, if there are any."""
-    large = checkpoint(edges.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > PLAN_EDGES).select(key))
-    return (edges, None) if large.isEmpty() else (edges.join(large.hint("merge"), key, "left_anti"), large)
+def _by_size(rows: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame | None]:
+    """The rows of plans of up to ``most``, and the keys of the larger ones, if there are any."""
+    large = checkpoint(rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > most).select(key))
+    return (rows, None) if large.isEmpty() else (rows.join(large.hint("merge"), key, "left_anti"), large)
 
 
-def _in_tasks(rows: DataFrame, key: str, names: list[str], solve: Callable[[list[tuple]], list[tuple]]) -> DataFrame:
-    """(key, names): what solve makes of the (a, b) of each key. One key's rows are held at a time."""
-    schema = StructType([rows.schema[key], *[StructField(n, StringType()) for n in names]])
+def _in_tasks(rows: DataFrame, key: str, given: list[Column | str], out: dict[str, str | None], solve: Callable[[list[tuple]], Iterable[tuple]]) -> DataFrame:
+    """(key, out): what solve makes of the given columns of each key's rows. out has the given column whose type a column takes, or None for text. One key's rows are held at a time."""
+    moved = rows.repartition(key).select(key, *given)
+    schema = StructType([moved.schema[key], *[StructField(n, moved.schema[c].dataType if c else StringType()) for n, c in out.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, held = pa.null(), []
+        kinds, held = [], []
+        plain = lambda c: not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_string(c.type))
 
         def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), [kind] + [pa.string()] * len(names), strict=True)], [key, *names])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], [key, *out])
 
         def each() -> Iterator[tuple]:
-            nonlocal kind
             for batch in batches:
-                kind = batch.schema.field(0).type
-                yield from zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True)
+                kinds[:] = [batch.schema.field(c).type if c else pa.string() for c in (key, *out.values())]
+                yield from zip(*[c.to_numpy(zero_copy_only=False).tolist() if plain(c) else c.to_pylist() for c in batch.columns], strict=True)
 
         for k, group in itertools.groupby(each(), lambda r: r[0]):
             held += [(k, *r) for r in solve([r[1:] for r in group])]
@@ -230,7 +303,7 @@ def _in_tasks(rows: DataFrame, key: str, names: list[str], solve: Callable[[list
         if held:
             yield packed()
 
-    return rows.select(key, "a", "b").repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return moved.sortWithinPartitions(key).mapInArrow(run, schema)
 
 
 def _circles(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
@@ -294,8 +367,8 @@ def atomic_batches(members: DataFrame, edges: DataFrame, key: str = "cut_id") ->
     A plan of up to PLAN_EDGES edges is settled in one task, larger ones by tables of walks.
     """
     nodes = members.select(key, _group("node")).distinct()
-    small, large = _by_size(edges, key)
-    found = _in_tasks(small, key, ["node", "batch"], _circles)
+    small, large = _by_size(edges, key, PLAN_EDGES)
+    found = _in_tasks(small, key, ["a", "b"], {"node": None, "batch": None}, _circles)
     if large is not None:
         found = found.unionByName(_circles_by_walks(edges.join(large.hint("merge"), key, "left_semi"), key))
     return nodes.join(found.hint("merge"), [key, "node"], "left").select(key, "node", F.coalesce("batch", "node").alias("batch"))
@@ -335,11 +408,11 @@ def dependency_closure(seeds: DataFrame, dependencies: DataFrame, key: str = "cu
     """(key, batch): the seeds and all they depend on. A plan of up to PLAN_EDGES dependencies is followed in one task, larger ones by tables of walks."""
     edges = checkpoint(dependencies.select(key, F.col("batch").alias("a"), F.col("depends_on").alias("b")).filter(F.col(key).isNotNull() & F.col("b").isNotNull()))
     start = seeds.select(key, F.col("batch").alias("a"), F.lit(None).cast("string").alias("b"))
-    small, large = _by_size(edges, key)
+    small, large = _by_size(edges, key, PLAN_EDGES)
     if large is None:
-        return _in_tasks(small.unionByName(start), key, ["batch"], _followed)
+        return _in_tasks(small.unionByName(start), key, ["a", "b"], {"batch": None}, _followed)
     start = checkpoint(start)
-    near = _in_tasks(small.unionByName(start.join(large.hint("merge"), key, "left_anti")), key, ["batch"], _followed)
+    near = _in_tasks(small.unionByName(start.join(large.hint("merge"), key, "left_anti")), key, ["a", "b"], {"batch": None}, _followed)
     walks = _walks(edges.join(large.hint("merge"), key, "left_semi"), key)
     return near.unionByName(_reached(start.join(large.hint("merge"), key, "left_semi").select(key, F.col("a").alias("batch")).distinct(), walks, key, "batch"))
 
