@@ -1,6 +1,7 @@
 """Replacement groups and their dependencies against plain loops over tiles, in tasks and by joins."""
 
 import random
+import re
 
 import pytest
 
@@ -70,3 +71,31 @@ def test_groups_and_dependencies_move_no_ancestors(spark, monkeypatch, most):
     # where plans are small, tiles meet in tasks: no table of tiles and all above them is shuffled or sorted
     for df in (groups, edges):
         assert most < 1 << 16 or "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ready_batches_count_up_groups_before_batches_are_looked_up(spark):
+    r = random.Random(4)
+    states = ["ready", "missing", "requested", None]
+    members, needs, batches, waits = [], [], [], []
+    for k in range(6):
+        for n in range(9):
+            batches.append((k, f"2/{n}/0", f"2/{n - n % 2}/0"))
+            for x in range(r.randrange(4)):
+                members.append((k, 2, n, 0, "after", 4, x, n))
+                needs += [(k, 4, x, n, s) for s in r.sample(states, k=r.choice([1, 1, 1, 2])) if s or r.random() < 0.5]
+            members.append((k, 2, n, 0, "before", 2, n, 0))
+        waits.append((k, "2/4/0", "2/0/0"))
+    done = lambda m: all(s in ("ready", "missing") for s in [n[4] for n in needs if n[:4] == (m[0], *m[5:])] or [None])
+    of = {b[:2]: b[2] for b in batches}
+    tiles = [(m[0], of[m[0], f"2/{m[2]}/0"], done(m)) for m in members if m[4] == "after"]
+    want = {t[:2] for t in tiles} - {t[:2] for t in tiles if not t[2]} - {w[:2] for w in waits}
+    frame = spark.createDataFrame
+    out = cover.ready_batches(
+        frame(batches, "cut_id long, node string, batch string"),
+        frame(waits, "cut_id long, batch string, depends_on string"),
+        frame(members, "cut_id long, group_z int, group_x long, group_y long, side string, z int, x long, y long"),
+        frame(needs, "cut_id long, z int, x long, y long, state string"),
+    )
+    got = [tuple(b) for b in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+    assert re.search(r"Aggregate \[cut_id#\d+L?, node#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())

@@ -422,7 +422,9 @@ def ready_batches(batches: DataFrame, dependencies: DataFrame, members: DataFram
     after = members.filter("side = 'after'").select(key, _group("node"), *TILE)
     state = requirements.select(key, *TILE, "state")
     done = F.coalesce(F.col("state").isin("ready", "missing"), F.lit(False))
-    all_done = after.join(state.hint("merge"), [key, *TILE], "left").join(batches.hint("merge"), [key, "node"]).groupBy(key, "batch").agg(F.bool_and(done).alias("done")).filter("done")
+    # a group's tiles are counted up before its batch is looked up, so that tiles meet their states and move no more
+    groups = after.join(state.hint("merge"), [key, *TILE], "left").groupBy(key, "node").agg(F.bool_and(done).alias("done"))
+    all_done = groups.join(batches.hint("merge"), [key, "node"]).groupBy(key, "batch").agg(F.bool_and("done").alias("done")).filter("done")
     return all_done.join(dependencies.select(key, "batch").distinct().hint("merge"), [key, "batch"], "left_anti").select(key, "batch")
 
 
